@@ -131,3 +131,27 @@ def formula_value(left: Column, op: str, right: Column) -> tuple[Column, Column]
     if op == "/":
         msg = msg.when(right == 0, F.lit("Division by zero in formula"))
     return F.when(msg.isNull(), v.cast("decimal(38,16)")), msg
+
+
+def sales_amounts(amount: Column, quantity: Column, discount_rate: Column, tax_rate: str = "0.19") -> dict[str, Column]:
+    """Subtotal, tax and total of a sale line, each HALF_UP to 2 decimals
+    from unrounded values.
+
+    subtotal = amount * quantity * (1 - round(discount / 100, 8)),
+    tax = subtotal * tax_rate, total = subtotal + tax. Widths are chosen so
+    every intermediate is exact in Spark's decimal arithmetic (amount below
+    1e14, quantity below 1e7); larger values give null (a reject).
+    """
+    amt = amount.try_cast("decimal(16,2)")
+    qty = quantity.try_cast("decimal(7,0)")
+    disc = discount_rate.try_cast("decimal(20,8)")
+    mult = (F.lit(1).cast("decimal(1,0)") - F.round(disc / F.lit(100).cast("decimal(3,0)"), 8)).try_cast("decimal(12,8)")
+    sub = (amt * qty * mult).try_cast("decimal(34,10)")
+    tax = sub * F.lit(tax_rate).cast("decimal(2,2)")
+    total = sub * (F.lit(1) + F.lit(tax_rate).cast("decimal(2,2)")).cast("decimal(3,2)")
+    return {
+        "discount_rate": F.round(disc, 2).cast("decimal(18,2)"),
+        "subtotal": F.round(sub, 2).cast("decimal(18,2)"),
+        "tax_amount": F.round(tax, 2).cast("decimal(18,2)"),
+        "total_amount": F.round(total, 2).cast("decimal(18,2)"),
+    }

@@ -253,3 +253,322 @@ def consolidate_latest_q(spark, sf_dir):
         "merged_rows", F.col("l_shipdate").alias("latest_shipdate"), "latest_price",
         F.col("l_orderkey").alias("first_orderkey"), F.col("l_returnflag").alias("first_returnflag"),
     )
+
+
+# ------------------------------------------------------------ code maps
+
+STATUS_CODES = {"F": "FINISHED", "O": "OPEN"}
+
+
+@register(
+    "code_mapping",
+    """SELECT o_orderkey,
+  CASE o_orderstatus WHEN 'F' THEN 'FINISHED' WHEN 'O' THEN 'OPEN' END AS status_reject,
+  o_orderstatus NOT IN ('F', 'O') AS status_rejected,
+  COALESCE(CASE o_orderstatus WHEN 'F' THEN 'FINISHED' WHEN 'O' THEN 'OPEN' END, 'UNKNOWN') AS status_default,
+  COALESCE(CASE o_orderstatus WHEN 'F' THEN 'FINISHED' WHEN 'O' THEN 'OPEN' END, o_orderstatus) AS status_pass
+FROM orders""",
+)
+def code_mapping(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    st = F.col("o_orderstatus")
+    rej, failed = lookup.map_code(st, STATUS_CODES, "REJECT")
+    dflt, _ = lookup.map_code(st, STATUS_CODES, "DEFAULT", "UNKNOWN")
+    pas, _ = lookup.map_code(st, STATUS_CODES, "PASS_THROUGH")
+    return o.select("o_orderkey", rej.alias("status_reject"), failed.alias("status_rejected"),
+                    dflt.alias("status_default"), pas.alias("status_pass"))
+
+
+# ---------------------------------------------------------------- dates
+
+_TS_SPARK = "(o_orderdate + make_interval(0, 0, 0, 0, 0, 0, o_orderkey % 86400))"
+_TS_DUCK = "(o_orderdate + to_seconds(o_orderkey % 86400))"
+_DATE_FORMS = [  # (spark pattern, duckdb pattern)
+    ("yyyy-MM-dd'T'HH:mm:ss", "%Y-%m-%dT%H:%M:%S"),
+    ("dd/MM/yyyy", "%d/%m/%Y"),
+    ("MM/dd/yyyy", "%m/%d/%Y"),
+    ("yyyyMMdd", "%Y%m%d"),
+    ("dd-MM-yyyy", "%d-%m-%Y"),
+    ("yyyy/MM/dd", "%Y/%m/%d"),
+    ("dd/MM/yyyy HH:mm:ss", "%d/%m/%Y %H:%M:%S"),
+    ("yyyy-MM-dd HH:mm:ss", "%Y-%m-%d %H:%M:%S"),
+]
+
+
+def _date_raw(spark_side: bool) -> str:
+    ts = _TS_SPARK if spark_side else _TS_DUCK
+    fmt = (lambda p: f'date_format({ts}, "{p[0]}")') if spark_side else (lambda p: f"strftime({ts}, '{p[1]}')")
+    whens = " ".join(f"WHEN {i} THEN {fmt(p)}" for i, p in enumerate(_DATE_FORMS))
+    return (f"CASE WHEN o_orderkey % 13 = 0 THEN '31/02/1999' WHEN o_orderkey % 17 = 0 THEN 'not a date' "
+            f"ELSE CASE o_orderkey % {len(_DATE_FORMS)} {whens} END END")
+
+
+# DuckDB parses lenient widths, so the twin guards each pattern with a shape regex.
+_DUCK_PARSE = [
+    ("[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}", "%Y-%m-%dT%H:%M:%S"),
+    ("[0-9]{4}-[0-9]{2}-[0-9]{2} [0-9]{2}:[0-9]{2}:[0-9]{2}", "%Y-%m-%d %H:%M:%S"),
+    ("[0-9]{2}/[0-9]{2}/[0-9]{4} [0-9]{2}:[0-9]{2}:[0-9]{2}", "%d/%m/%Y %H:%M:%S"),
+    ("[0-9]{2}/[0-9]{2}/[0-9]{4} [0-9]{2}:[0-9]{2}:[0-9]{2}", "%m/%d/%Y %H:%M:%S"),
+    ("[0-9]{4}-[0-9]{2}-[0-9]{2}", "%Y-%m-%d"),
+    ("[0-9]{2}/[0-9]{2}/[0-9]{4}", "%d/%m/%Y"),
+    ("[0-9]{2}/[0-9]{2}/[0-9]{4}", "%m/%d/%Y"),
+    ("[0-9]{4}/[0-9]{2}/[0-9]{2}", "%Y/%m/%d"),
+    ("[0-9]{2}-[0-9]{2}-[0-9]{4}", "%d-%m-%Y"),
+    ("[0-9]{8}", "%Y%m%d"),
+]
+_DUCK_PARSED = "COALESCE(" + ", ".join(
+    f"CASE WHEN regexp_full_match(raw_date, '{rx}') THEN try_strptime(raw_date, '{p}') END" for rx, p in _DUCK_PARSE
+) + ")"
+
+
+@register(
+    "date_normalization",
+    f"""WITH r AS (SELECT o_orderkey, {_date_raw(False)} AS raw_date FROM orders)
+SELECT o_orderkey, raw_date, {_DUCK_PARSED} AS parsed_ts, CAST({_DUCK_PARSED} AS DATE) AS parsed_date,
+  {_DUCK_PARSED} IS NOT NULL AS is_valid
+FROM r""",
+)
+def date_normalization(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.expr(_date_raw(True)).alias("raw_date"))
+    ts = dates.to_utc_timestamp_multi(F.col("raw_date"), "UTC")
+    return o.select("o_orderkey", "raw_date", ts.cast("timestamp_ntz").alias("parsed_ts"),
+                    F.to_date(ts).alias("parsed_date"), ts.isNotNull().alias("is_valid"))
+
+
+# ------------------------------------------------------------- money
+
+CURRENCY_RAW = ("CASE l_suppkey % 5 WHEN 0 THEN 'USD' WHEN 1 THEN 'EUR' WHEN 2 THEN 'COP' "
+                "WHEN 3 THEN NULL ELSE 'GBP' END")
+RATES = {"USD": "1.00", "EUR": "1.10", "COP": "0.00025"}
+
+
+@register(
+    "currency_conversion",
+    f"""WITH r AS (
+  SELECT l_orderkey, l_linenumber, CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS DECIMAL(20,8)) AS amt,
+    COALESCE({CURRENCY_RAW}, 'EUR') AS src
+  FROM lineitem)
+SELECT l_orderkey, l_linenumber, amt AS amount_original, src AS currency_original, 'USD' AS currency,
+  CAST(round(amt * CAST(CASE src WHEN 'USD' THEN 1.00 WHEN 'EUR' THEN 1.10 WHEN 'COP' THEN 0.00025 ELSE 1 END
+                        AS DECIMAL(17,8)), 2) AS DECIMAL(38,2)) AS amount
+FROM r""",
+)
+def currency_conversion(spark, sf_dir):
+    from sluice.operators.transform import common_transform
+    from sluice.plans.config import TransformationConfig
+
+    li = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber",
+        F.col("l_extendedprice").cast("decimal(18,2)").cast("string").alias("amount"),
+        F.expr(CURRENCY_RAW).alias("currency"),
+    )
+    cfg = TransformationConfig(
+        currency_field="currency", base_currency="USD", default_currency="EUR",
+        currency_rates=RATES, monetary_fields=["amount"], rounding_fields=["amount"],
+    )
+    t = common_transform(li, cfg)
+    return t.select("l_orderkey", "l_linenumber", "amount_original", "currency_original", "currency", "amount")
+
+
+@register(
+    "sales_amounts",
+    """WITH r AS (
+  SELECT l_orderkey, l_linenumber, CAST(CAST(l_extendedprice AS DECIMAL(16,2)) AS DECIMAL(38,2)) AS amt,
+    CAST(CAST(l_quantity AS INTEGER) AS DECIMAL(38,0)) AS qty,
+    CAST(CAST(l_discount AS DECIMAL(9,2)) * 100 AS DECIMAL(38,8)) AS disc
+  FROM lineitem),
+s AS (SELECT *, amt * qty * CAST(1 - round(disc / 100, 8) AS DECIMAL(38,8)) AS sub FROM r)
+SELECT l_orderkey, l_linenumber,
+  CAST(round(disc, 2) AS DECIMAL(18,2)) AS discount_rate,
+  CAST(round(sub, 2) AS DECIMAL(18,2)) AS subtotal,
+  CAST(round(sub * CAST(0.19 AS DECIMAL(38,2)), 2) AS DECIMAL(18,2)) AS tax_amount,
+  CAST(round(sub * CAST(1.19 AS DECIMAL(38,2)), 2) AS DECIMAL(18,2)) AS total_amount
+FROM s""",
+)
+def sales_amounts(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem")
+    m = money.sales_amounts(
+        F.col("l_extendedprice").cast("decimal(16,2)"),
+        F.col("l_quantity").cast("int"),
+        F.col("l_discount").cast("decimal(9,2)") * 100,
+    )
+    return li.select("l_orderkey", "l_linenumber", *[v.alias(k) for k, v in m.items()])
+
+
+@register(
+    "derived_columns",
+    """WITH r AS (
+  SELECT l_orderkey, l_linenumber, CAST(l_extendedprice AS DECIMAL(18,2)) AS amount,
+    CASE WHEN l_orderkey % 53 = 0 THEN 0 ELSE 1 + l_linenumber % 4 END AS parts
+  FROM lineitem)
+SELECT l_orderkey, l_linenumber,
+  CASE WHEN parts = 0 THEN NULL ELSE CAST(round(amount / parts, 8) AS DECIMAL(22,10)) END AS unit_amount,
+  CASE WHEN parts = 0 THEN NULL ELSE CAST(CAST(round(amount / parts, 8) AS DECIMAL(22,10)) * 2 AS DECIMAL(22,10)) END AS double_unit,
+  CASE WHEN parts = 0 THEN NULL ELSE CAST(round(CAST(round(amount / parts, 8) AS DECIMAL(22,10)) * 2, 2) AS DECIMAL(38,2)) END AS double_unit_rounded,
+  parts = 0 AS rejected
+FROM r""",
+)
+def derived_columns(spark, sf_dir):
+    from sluice.operators.transform import common_transform
+    from sluice.plans.config import TransformationConfig
+
+    li = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber",
+        F.col("l_extendedprice").cast("decimal(18,2)").cast("string").alias("amount"),
+        F.expr("CASE WHEN l_orderkey % 53 = 0 THEN 0 ELSE 1 + l_linenumber % 4 END").cast("string").alias("parts"),
+    )
+    cfg = TransformationConfig(derived_columns={"unit_amount": "amount / parts", "double_unit": "unit_amount * 2"})
+    t = common_transform(li, cfg)
+    rejected = F.size("errors") > 0
+    return t.select(
+        "l_orderkey", "l_linenumber",
+        F.when(~rejected, F.col("unit_amount")).alias("unit_amount"),
+        F.when(~rejected, F.col("double_unit")).alias("double_unit"),
+        F.when(~rejected, money.round_decimal(F.col("double_unit"), 2, "HALF_UP").cast("decimal(38,2)")).alias("double_unit_rounded"),
+        rejected.alias("rejected"),
+    )
+
+
+# ---------------------------------------------------------------- text
+
+NAME_RAW = ("CASE c_custkey % 4 WHEN 0 THEN concat('  ', lower(c_name), ' ') "
+            "WHEN 1 THEN upper(replace(c_name, '#', ' #  ')) "
+            "WHEN 2 THEN concat('o''brien-smith  ', lower(c_name)) ELSE c_name END")
+SEGMENT_RAW = "CASE WHEN c_custkey % 3 = 0 THEN concat(' ', lower(c_mktsegment), ' ') ELSE c_mktsegment END"
+_DUCK_CAP = "upper(left({x}, 1)) || substr({x}, 2)"
+_DUCK_PERSON = (
+    "array_to_string(list_transform(string_split(lower(trim(regexp_replace(regexp_replace(raw_name, "
+    "'[^\\p{L}\\s\\-'']', ' ', 'g'), '\\s+', ' ', 'g'))), ' '), lambda w: array_to_string(list_transform("
+    "string_split(w, '-'), lambda p: array_to_string(list_transform(string_split(p, ''''), lambda q: "
+    + _DUCK_CAP.format(x="q") + "), '''')), '-')), ' ')"
+)
+
+
+@register(
+    "text_normalization",
+    f"""WITH r AS (SELECT c_custkey, {NAME_RAW} AS raw_name, {SEGMENT_RAW} AS raw_segment FROM customer)
+SELECT c_custkey,
+  array_to_string(list_transform(string_split(regexp_replace(trim(lower(raw_name)), '\\s+', ' ', 'g'), ' '),
+                  lambda w: {_DUCK_CAP.format(x='w')}), ' ') AS title_name,
+  {_DUCK_PERSON} AS person_name,
+  upper(trim(raw_segment)) AS segment,
+  left(regexp_replace(trim(raw_name), '\\s+', ' ', 'g'), 12) AS short_name,
+  lower(regexp_replace(trim(raw_name), '\\s+', ' ', 'g')) AS lower_name
+FROM r""",
+)
+def text_normalization(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select(
+        "c_custkey", F.expr(NAME_RAW).alias("raw_name"), F.expr(SEGMENT_RAW).alias("raw_segment"))
+    return c.select(
+        "c_custkey",
+        text.title_case("raw_name").alias("title_name"),
+        text.name_case("raw_name").alias("person_name"),
+        text.upper_code("raw_segment").alias("segment"),
+        text.truncate(text.collapse_text("raw_name"), 12).alias("short_name"),
+        text.lower_text("raw_name").alias("lower_name"),
+    )
+
+
+EMAIL_RAW = ("CASE c_custkey % 5 WHEN 0 THEN concat(' ', upper(replace(c_name, '#', '.')), '@Example.COM ') "
+             "WHEN 1 THEN concat(replace(c_name, '#', ''), '@bad') "
+             "ELSE concat(lower(replace(c_name, '#', '.')), '@example.com') END")
+COUNTRY_RAW = "CASE c_nationkey % 5 WHEN 0 THEN 'COL' WHEN 1 THEN '840' WHEN 2 THEN ' mx ' WHEN 3 THEN 'us' ELSE 'XX' END"
+PHONE_RAW = ("CASE c_custkey % 4 WHEN 0 THEN concat('300 ', lpad(CAST(c_custkey AS STRING), 7, '0')) "
+             "WHEN 1 THEN concat('+1 (555) ', CAST(c_custkey AS STRING)) WHEN 2 THEN 'n/a' "
+             "ELSE concat('57', lpad(CAST(c_custkey AS STRING), 10, '0')) END")
+
+
+@register(
+    "contact_normalization",
+    f"""WITH r AS (SELECT c_custkey, {EMAIL_RAW} AS raw_email, {COUNTRY_RAW} AS raw_country, {PHONE_RAW} AS raw_phone
+               FROM customer),
+m AS (SELECT *, lower(trim(raw_email)) AS email,
+        CASE upper(trim(raw_country)) WHEN 'CO' THEN 'CO' WHEN 'COL' THEN 'CO' WHEN '170' THEN 'CO'
+          WHEN 'US' THEN 'US' WHEN 'USA' THEN 'US' WHEN '840' THEN 'US'
+          WHEN 'MX' THEN 'MX' WHEN 'MEX' THEN 'MX' WHEN '484' THEN 'MX' END AS country,
+        CASE WHEN starts_with(trim(raw_phone), '+') THEN '+' || regexp_replace(substr(trim(raw_phone), 2), '[^0-9]', '', 'g')
+             ELSE regexp_replace(trim(raw_phone), '[^0-9]', '', 'g') END AS digits
+      FROM r),
+d AS (SELECT *, CASE country WHEN 'CO' THEN '57' WHEN 'US' THEN '1' WHEN 'MX' THEN '52' END AS dial FROM m)
+SELECT c_custkey, email,
+  regexp_full_match(email, '[A-Za-z0-9+_.-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{{2,}}') AS email_valid,
+  country, country IS NULL AS country_rejected,
+  CASE WHEN digits = '' OR digits = '+' THEN NULL WHEN starts_with(digits, '+') THEN digits
+       WHEN dial IS NULL THEN NULL WHEN starts_with(digits, dial) THEN '+' || digits ELSE '+' || dial || digits END AS phone
+FROM d""",
+)
+def contact_normalization(spark, sf_dir):
+    from sluice.functions import codes
+
+    c = table(spark, sf_dir, "customer").select(
+        "c_custkey", F.expr(EMAIL_RAW).alias("raw_email"), F.expr(COUNTRY_RAW).alias("raw_country"),
+        F.expr(PHONE_RAW).alias("raw_phone"))
+    country, failed = lookup.map_code(text.upper_code("raw_country"), codes.COUNTRY_MAPPING, "REJECT")
+    c = c.withColumn("country", country).withColumn("country_rejected", failed | F.col("country").isNull())
+    email = text.normalize_email("raw_email")
+    return c.select(
+        "c_custkey", email.alias("email"), text.is_valid_email(email).alias("email_valid"),
+        "country", "country_rejected",
+        text.phone_e164("raw_phone", "country", codes.COUNTRY_DIAL_CODES).alias("phone"),
+    )
+
+
+SKU_RAW = ("CASE p_partkey % 5 WHEN 0 THEN lower(replace(p_brand, '#', ' 00')) "
+           "WHEN 1 THEN concat('  ', replace(p_name, ' ', '   ')) "
+           "WHEN 2 THEN concat(p_brand, '-0', CAST(p_size AS STRING), '-') "
+           "WHEN 3 THEN concat('x-', CAST(p_partkey AS STRING), '99999999999') "
+           "ELSE concat('-', p_type, '--', CAST(p_partkey AS STRING)) END")
+WAREHOUSE_RAW = ("CASE p_size % 6 WHEN 0 THEN 'wh001' WHEN 1 THEN 'CENTRAL' WHEN 2 THEN ' 2 ' "
+                 "WHEN 3 THEN 'south' WHEN 4 THEN 'W-001' ELSE 'NORTH' END")
+
+
+@register(
+    "sku_normalization",
+    f"""WITH r AS (SELECT p_partkey, {SKU_RAW} AS raw_sku, {WAREHOUSE_RAW} AS raw_wh FROM part),
+s AS (SELECT *, list_transform(string_split(regexp_replace(regexp_replace(upper(trim(raw_sku)), '\\s+', '-', 'g'), '-+', '-', 'g'), '-'),
+          lambda x: CASE WHEN regexp_full_match(x, '[0-9]+') THEN CAST(TRY_CAST(x AS INTEGER) AS VARCHAR) ELSE x END) AS segs
+      FROM r)
+SELECT p_partkey,
+  CASE WHEN trim(raw_sku) = '' OR len(list_filter(segs, lambda x: x IS NULL)) > 0 THEN NULL
+       ELSE rtrim(array_to_string(segs, '-'), '-') END AS sku,
+  CASE upper(trim(raw_wh)) WHEN 'WH001' THEN 'W-001' WHEN 'CENTRAL' THEN 'W-001' WHEN '1' THEN 'W-001'
+    WHEN 'WH002' THEN 'W-002' WHEN 'NORTH' THEN 'W-002' WHEN '2' THEN 'W-002'
+    WHEN 'WH003' THEN 'W-003' WHEN 'SOUTH' THEN 'W-003' WHEN '3' THEN 'W-003' END AS warehouse_id
+FROM s""",
+)
+def sku_normalization(spark, sf_dir):
+    from sluice.functions import codes
+
+    p = table(spark, sf_dir, "part").select("p_partkey", F.expr(SKU_RAW).alias("raw_sku"),
+                                             F.expr(WAREHOUSE_RAW).alias("raw_wh"))
+    wh, _ = lookup.map_code(text.upper_code("raw_wh"), codes.WAREHOUSE_MAPPING, "REJECT")
+    return p.select("p_partkey", text.normalize_sku("raw_sku").alias("sku"), wh.alias("warehouse_id"))
+
+
+# ------------------------------------------------------------- catalogs
+
+SUPP_RAW = "CASE WHEN l_orderkey % 97 = 0 THEN l_suppkey + 1000000 ELSE l_suppkey END"
+PART_RAW = "CASE WHEN l_orderkey % 89 = 0 THEN -l_partkey - 1 ELSE l_partkey END"
+
+
+@register(
+    "catalog_lookup",
+    f"""WITH r AS (SELECT l_orderkey, l_linenumber, {SUPP_RAW} AS supp_key, {PART_RAW} AS part_key FROM lineitem)
+SELECT l_orderkey, l_linenumber, supp_key, part_key,
+  concat_ws('|',
+    CASE WHEN s.s_suppkey IS NULL THEN 'CATALOG_LOOKUP:supp_key' END,
+    CASE WHEN s.s_suppkey IS NULL OR s.s_acctbal <= 0 THEN 'ACTIVE_REFERENCE:supp_key' END,
+    CASE WHEN p.p_partkey IS NULL THEN 'CATALOG_LOOKUP:part_key' END) AS rules
+FROM r LEFT JOIN supplier s ON r.supp_key = s.s_suppkey LEFT JOIN part p ON r.part_key = p.p_partkey""",
+)
+def catalog_lookup(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", F.expr(SUPP_RAW).alias("supp_key"), F.expr(PART_RAW).alias("part_key"))
+    supplier = table(spark, sf_dir, "supplier")
+    part = table(spark, sf_dir, "part")
+    li, s_in, s_act = lookup.catalog_flags(li, "supp_key", supplier, "s_suppkey", active=F.col("s_acctbal") > 0)
+    li, p_in, _ = lookup.catalog_flags(li, "part_key", part, "p_partkey")
+    checks = rules.business_checks(li, ValidationConfig(), dt.date(2000, 1, 1),
+                                   catalog_flags={"supp_key": (s_in, s_act), "part_key": (p_in, None)})
+    v = rules.attach_errors(li, checks)
+    return v.select("l_orderkey", "l_linenumber", "supp_key", "part_key", rules.rule_list("errors").alias("rules"))
