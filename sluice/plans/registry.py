@@ -572,3 +572,107 @@ def catalog_lookup(spark, sf_dir):
                                    catalog_flags={"supp_key": (s_in, s_act), "part_key": (p_in, None)})
     v = rules.attach_errors(li, checks)
     return v.select("l_orderkey", "l_linenumber", "supp_key", "part_key", rules.rule_list("errors").alias("rules"))
+
+
+# ---------------------------------------------------------------- loads
+
+_T_SQL = ("SELECT o_orderkey, o_custkey, CAST(o_totalprice AS DECIMAL(18,2)) AS o_totalprice, o_orderpriority, "
+          "CASE o_orderstatus WHEN 'F' THEN 'CLOSED' ELSE 'OPEN' END AS status, 'exec-1' AS etl_execution_id "
+          "FROM orders WHERE o_orderdate < TIMESTAMP '1999-01-01 00:00:00'")
+_S_SQL = ("SELECT o_orderkey, o_custkey, CAST(CAST(o_totalprice AS DECIMAL(18,2)) + 1 AS DECIMAL(18,2)) AS o_totalprice, "
+          "'1-URGENT' AS o_orderpriority, 'OPEN' AS status, 'exec-2' AS etl_execution_id "
+          "FROM orders WHERE o_orderdate >= TIMESTAMP '1998-01-01 00:00:00'")
+_MERGE_COLS = ["o_custkey", "o_totalprice", "o_orderpriority", "status", "etl_execution_id"]
+_DUCK_MERGE = f"""t AS ({_T_SQL}), s AS ({_S_SQL}),
+j AS (SELECT t.o_orderkey AS tk, s.o_orderkey AS sk,
+  {', '.join(f't.{c} AS t_{c}, s.{c} AS s_{c}' for c in _MERGE_COLS)}
+  FROM t FULL OUTER JOIN s ON t.o_orderkey = s.o_orderkey),
+a AS (SELECT *, CASE WHEN tk IS NOT NULL AND sk IS NOT NULL AND t_status IS NOT DISTINCT FROM 'CLOSED' THEN 'skipped_closed'
+                     WHEN tk IS NOT NULL AND sk IS NOT NULL THEN 'updated'
+                     WHEN sk IS NOT NULL THEN 'inserted' ELSE 'unchanged' END AS _action FROM j),
+merged AS (SELECT COALESCE(tk, sk) AS o_orderkey,
+  {', '.join(f"CASE WHEN _action IN ('inserted', 'updated') THEN s_{c} ELSE t_{c} END AS {c}" for c in _MERGE_COLS)},
+  _action FROM a)"""
+
+
+def _load_frames(spark, sf_dir):
+    table(spark, sf_dir, "orders").createOrReplaceTempView("orders")
+    return spark.sql(_T_SQL), spark.sql(_S_SQL)
+
+
+@register("upsert_merge", f"WITH {_DUCK_MERGE} SELECT * FROM merged")
+def upsert_merge(spark, sf_dir):
+    from sluice.operators import load
+
+    t, s = _load_frames(spark, sf_dir)
+    return load.merge_frame(t, s, ["o_orderkey"], guard_column="status", guard_value="CLOSED")
+
+
+@register("upsert_counts", f"WITH {_DUCK_MERGE} SELECT _action, count(*) AS n_rows FROM merged GROUP BY _action")
+def upsert_counts(spark, sf_dir):
+    from sluice.operators import load
+
+    return load.action_counts(upsert_merge(spark, sf_dir))
+
+
+@register("rollback_by_execution", f"WITH {_DUCK_MERGE} SELECT * FROM merged WHERE etl_execution_id <> 'exec-2'")
+def rollback_by_execution(spark, sf_dir):
+    from sluice.operators import load
+
+    return load.rollback_frame(upsert_merge(spark, sf_dir), "exec-2")
+
+
+@register(
+    "insert_ignore",
+    f"""WITH t AS ({_T_SQL}), s AS ({_S_SQL})
+SELECT *, 'unchanged' AS _action FROM t
+UNION ALL
+SELECT *, 'inserted' AS _action FROM s WHERE o_orderkey NOT IN (SELECT o_orderkey FROM t)""",
+)
+def insert_ignore(spark, sf_dir):
+    from sluice.operators import load
+
+    t, s = _load_frames(spark, sf_dir)
+    return load.insert_ignore_frame(t, s, ["o_orderkey"])
+
+
+@register(
+    "staging_checks",
+    """WITH st AS (
+  SELECT l_orderkey, l_linenumber,
+    CASE WHEN l_orderkey % 61 = 0 THEN NULL ELSE l_returnflag END AS returnflag,
+    CASE WHEN l_orderkey % 71 = 0 THEN NULL ELSE l_shipdate END AS shipdate
+  FROM lineitem),
+k AS (SELECT count(*) AS n, count(*) FILTER (WHERE returnflag IS NULL) AS nr, count(*) FILTER (WHERE shipdate IS NULL) AS ns
+      FROM st GROUP BY l_orderkey, l_linenumber)
+SELECT CAST(sum(n) AS BIGINT) AS staged_rows, CAST(sum(nr) AS BIGINT) AS nulls_returnflag,
+  CAST(sum(ns) AS BIGINT) AS nulls_shipdate, count(*) FILTER (WHERE n > 1) AS duplicate_keys FROM k""",
+)
+def staging_checks(spark, sf_dir):
+    from sluice.operators import load
+
+    st = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber",
+        F.expr("CASE WHEN l_orderkey % 61 = 0 THEN NULL ELSE l_returnflag END").alias("returnflag"),
+        F.expr("CASE WHEN l_orderkey % 71 = 0 THEN NULL ELSE l_shipdate END").alias("shipdate"),
+    )
+    return load.staging_check_frame(st, ["l_orderkey", "l_linenumber"], ["returnflag", "shipdate"])
+
+
+@register(
+    "union_by_name",
+    """SELECT *, 'exec-9' AS etl_execution_id, 'orders-sync' AS etl_pipeline_id, 'orders.parquet' AS etl_source_file,
+  TIMESTAMP '2026-01-01 00:00:00' AS etl_load_timestamp, '1.0.0' AS etl_pipeline_version
+FROM (SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderstatus = 'F'
+      UNION ALL BY NAME
+      SELECT o_orderkey, o_orderdate, o_orderpriority FROM orders WHERE o_orderstatus <> 'F')""",
+)
+def union_by_name(spark, sf_dir):
+    from sluice.operators import load
+
+    o = table(spark, sf_dir, "orders")
+    a = o.filter(F.col("o_orderstatus") == "F").select("o_orderkey", "o_custkey", "o_totalprice")
+    b = o.filter(F.col("o_orderstatus") != "F").select("o_orderkey", "o_orderdate", "o_orderpriority")
+    run = load.RunContext(execution_id="exec-9", pipeline_id="orders-sync", pipeline_version="1.0.0",
+                          source_file="orders.parquet", load_timestamp=dt.datetime(2026, 1, 1))
+    return load.add_trace_columns(load.union_for_load([a, b]), run)
