@@ -99,7 +99,8 @@ def in_allowed_windows(ts_col, windows: Sequence[dict], zone: str = "UTC") -> Co
     """
     if not windows:
         return F.lit(True)
-    local = F.from_utc_timestamp(_c(ts_col), zone) if zone not in ("UTC", "Z") else _c(ts_col)
+    ts = _c(ts_col).cast("timestamp")
+    local = F.from_utc_timestamp(ts, zone) if zone not in ("UTC", "Z") else ts
     micro_of_day = F.unix_micros(local) - F.unix_micros(F.date_trunc("day", local))
     day_name = F.element_at(F.array(*[F.lit(d) for d in DAY_NAMES]), F.dayofweek(local))
     conds = []

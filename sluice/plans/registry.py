@@ -676,3 +676,164 @@ def union_by_name(spark, sf_dir):
     run = load.RunContext(execution_id="exec-9", pipeline_id="orders-sync", pipeline_version="1.0.0",
                           source_file="orders.parquet", load_timestamp=dt.datetime(2026, 1, 1))
     return load.add_trace_columns(load.union_for_load([a, b]), run)
+
+
+# ---------------------------------------------------------- run history
+
+def _runs_sql(spark_side: bool) -> str:
+    k = "get_json_object(props, '$.k')" if spark_side else "json_extract_string(props, '$.k')"
+    secs = "CAST(CAST(value AS DECIMAL(10,2)) * 100 AS BIGINT)"
+    fin = f"timestampadd(SECOND, {secs}, ts)" if spark_side else f"ts + to_seconds({secs})"
+    return f"""SELECT CAST(event_id AS STRING) AS execution_id, CAST(user_id AS STRING) AS pipeline_id,
+  CASE event_type WHEN 'purchase' THEN 'SUCCESS' WHEN 'view' THEN 'PARTIAL' WHEN 'error' THEN 'FAILED'
+    WHEN 'click' THEN 'RUNNING' ELSE 'RETRYING' END AS status,
+  'SCHEDULED' AS trigger_type, ts AS started_at,
+  CASE WHEN event_type IN ('click', 'signup') THEN NULL ELSE {fin} END AS finished_at,
+  {secs} AS total_read, {secs} - event_id % 7 AS total_transformed, CAST(event_id % 7 AS BIGINT) AS total_rejected,
+  {secs} - event_id % 7 AS total_loaded, CAST(NULL AS STRING) AS error_summary,
+  CAST(event_id % 4 AS INT) AS retry_count,
+  CASE WHEN event_id % 4 > 0 THEN CAST(event_id - 1 AS STRING) END AS parent_execution_id,
+  ts AS created_at,
+  CASE CAST({k} AS INT) % 4 WHEN 0 THEN 'TECHNICAL' WHEN 1 THEN 'FUNCTIONAL' WHEN 2 THEN 'DATA_QUALITY'
+    ELSE 'EXTERNAL_INTEGRATION' END AS error_type,
+  CASE WHEN CAST({k} AS INT) % 10 = 0 THEN 1 ELSE 0 END AS critical_errors
+FROM events"""
+
+
+def _runs(spark, sf_dir):
+    table(spark, sf_dir, "events").createOrReplaceTempView("events")
+    return spark.sql(_runs_sql(True))
+
+
+_DUCK_RUNS = f"runs AS ({_runs_sql(False)})"
+
+
+@register(
+    "run_error_rates",
+    f"""WITH {_DUCK_RUNS}
+SELECT pipeline_id, CAST(sum(total_read) AS BIGINT) AS total_read, CAST(sum(total_rejected) AS BIGINT) AS total_rejected,
+  CASE WHEN sum(total_read) > 0 THEN CAST((sum(total_rejected) * 20000 + sum(total_read)) // (2 * sum(total_read)) / 100.0 AS DECIMAL(9,2))
+       ELSE CAST(0 AS DECIMAL(9,2)) END AS error_rate
+FROM runs GROUP BY pipeline_id""",
+)
+def run_error_rates(spark, sf_dir):
+    from sluice.plans import runs
+
+    return runs.error_rates(_runs(spark, sf_dir))
+
+
+@register(
+    "pipeline_health",
+    f"""WITH {_DUCK_RUNS}
+SELECT pipeline_id, count(*) AS runs, count(*) FILTER (WHERE status IN ('RUNNING', 'RETRYING')) AS active_runs,
+  max(finished_at) FILTER (WHERE status IN ('SUCCESS', 'PARTIAL')) AS last_success_at
+FROM runs GROUP BY pipeline_id""",
+)
+def pipeline_health(spark, sf_dir):
+    from sluice.plans import runs
+
+    return runs.pipeline_health(_runs(spark, sf_dir))
+
+
+_METRIC_NAMES = ["records_read", "records_transformed", "records_rejected", "records_loaded"]
+
+
+@register(
+    "run_metrics",
+    f"""WITH {_DUCK_RUNS}
+{' UNION ALL '.join(f"SELECT execution_id, '{m}' AS metric_name, CAST(total_{m.split('_')[1]} AS DECIMAL(20,2)) AS metric_value FROM runs" for m in _METRIC_NAMES)}
+UNION ALL SELECT execution_id, 'error_rate', CAST(CASE WHEN total_read > 0 THEN CAST((total_rejected * 20000 + total_read) // (2 * total_read) / 100.0 AS DECIMAL(9,2)) ELSE 0 END AS DECIMAL(20,2)) FROM runs
+UNION ALL SELECT execution_id, 'duration_total_ms', CAST((epoch_us(finished_at) - epoch_us(started_at)) / 1000 AS DECIMAL(20,2)) FROM runs""",
+)
+def run_metrics(spark, sf_dir):
+    from sluice.plans import runs
+
+    return runs.run_metrics(_runs(spark, sf_dir))
+
+
+@register(
+    "run_status",
+    f"""WITH {_DUCK_RUNS}
+SELECT execution_id, CASE WHEN status IN ('FAILED', 'SKIPPED') THEN status WHEN critical_errors > 0 THEN 'FAILED'
+  WHEN total_rejected > 0 THEN 'PARTIAL' ELSE 'SUCCESS' END AS final_status FROM runs""",
+)
+def run_status(spark, sf_dir):
+    from sluice.plans import runs
+
+    r = _runs(spark, sf_dir)
+    return r.select("execution_id", runs.decide_status(F.col("status"), F.col("critical_errors"),
+                                                       F.col("total_rejected")).alias("final_status"))
+
+
+@register(
+    "latest_runs",
+    f"""WITH {_DUCK_RUNS}
+SELECT execution_id, pipeline_id, created_at FROM (
+  SELECT *, row_number() OVER (PARTITION BY pipeline_id ORDER BY created_at DESC, execution_id DESC) AS rn FROM runs)
+WHERE rn <= 3""",
+)
+def latest_runs(spark, sf_dir):
+    from sluice.plans import runs
+
+    return runs.latest_runs(_runs(spark, sf_dir), 3).select("execution_id", "pipeline_id", "created_at")
+
+
+@register(
+    "rejects_page",
+    f"""WITH {_DUCK_ORDERS_CLEAN}
+SELECT o_orderkey, rules FROM validated WHERE n_errors > 0 ORDER BY o_orderkey LIMIT 50 OFFSET 100""",
+)
+def rejects_page(spark, sf_dir):
+    from sluice.plans import runs
+
+    _, rej = rules.split(_orders_validated(spark, sf_dir))
+    return runs.page(rej.select("o_orderkey", rules.rule_list("errors").alias("rules")), 2, 50, [F.col("o_orderkey")])
+
+
+WINDOWS = [
+    {"start": "01:30", "end": "04:00", "days": []},
+    {"start": "22:00", "end": "23:30", "days": ["SATURDAY", "SUNDAY"]},
+    {"start": "23:00", "end": "01:00", "days": []},
+]
+
+
+@register(
+    "allowed_window",
+    """SELECT event_id, (CAST(ts AS TIME) >= TIME '01:30:00' AND CAST(ts AS TIME) <= TIME '04:00:00')
+  OR (CAST(ts AS TIME) >= TIME '22:00:00' AND CAST(ts AS TIME) <= TIME '23:30:00' AND upper(dayname(ts)) IN ('SATURDAY', 'SUNDAY'))
+  AS allowed FROM events""",
+)
+def allowed_window(spark, sf_dir):
+    from sluice.plans import runs
+
+    e = table(spark, sf_dir, "events")
+    return e.select("event_id", runs.window_allowed(F.col("ts"), WINDOWS).alias("allowed"))
+
+
+@register(
+    "retry_eligible",
+    f"""WITH {_DUCK_RUNS}
+SELECT r.execution_id, r.status = 'FAILED' AND r.retry_count < 3 AND r.error_type IN ('EXTERNAL_INTEGRATION', 'TECHNICAL') AS retry_eligible,
+  p.status AS parent_status
+FROM runs r LEFT JOIN runs p ON r.parent_execution_id = p.execution_id""",
+)
+def retry_eligible(spark, sf_dir):
+    from sluice.plans import runs
+
+    r = _runs(spark, sf_dir)
+    errors = r.select("execution_id", F.lit("LOAD").alias("step_name"), "error_type",
+                      F.lit("ERROR").alias("severity"), F.lit("x").alias("message"), F.col("started_at").alias("created_at"))
+    e = runs.retry_eligible(r.drop("error_type"), errors, 3, ["EXTERNAL_INTEGRATION", "TECHNICAL"])
+    return runs.retry_chain(e).select("execution_id", "retry_eligible", "parent_status")
+
+
+@register(
+    "runs_per_status",
+    f"""WITH {_DUCK_RUNS}
+SELECT CAST(started_at AS DATE) AS day, status, count(*) AS runs FROM runs
+WHERE CAST(started_at AS DATE) BETWEEN DATE '2024-01-24' AND DATE '2024-01-30' GROUP BY 1, 2""",
+)
+def runs_per_status(spark, sf_dir):
+    from sluice.plans import runs
+
+    return runs.runs_per_status(_runs(spark, sf_dir), dt.date(2024, 1, 30), 7)
