@@ -58,3 +58,21 @@ def null_safe_on(left: DataFrame, right: DataFrame, keys: Sequence[str], rprefix
 
 def hint_broadcast(df: DataFrame, ok: bool) -> DataFrame:
     return F.broadcast(df) if ok else df
+
+
+def sequential_ids(df: DataFrame, name: str = "_row", start: int = 1) -> DataFrame:
+    """Dense ids ``start, start+1, ...`` in partition order without a global
+    window: per-partition counts (one small row per partition) get
+    cumulative offsets that are joined back. ``df`` must be deterministic
+    (a scan or a materialised table)."""
+    from pyspark.sql import Window
+
+    tagged = df.withColumn("_mid", F.monotonically_increasing_id())
+    pid = F.shiftright(F.col("_mid"), 33)
+    parts = tagged.groupBy(pid.alias("_pid")).agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first"))
+    w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("_offset", F.coalesce(F.sum("_n").over(w), F.lit(0))).drop("_n")
+    parts, small = small_or_none(parts)
+    j = tagged.withColumn("_pid", pid).join(hint_broadcast(parts, small), "_pid")
+    return j.withColumn(name, F.col("_offset") + (F.col("_mid") - F.col("_first")) + F.lit(start)) \
+        .drop("_mid", "_pid", "_first", "_offset")

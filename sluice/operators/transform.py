@@ -36,6 +36,25 @@ def normalize_strings(df: DataFrame, null_values) -> DataFrame:
     return df.select(*cols)
 
 
+class Step:
+    """Collects a step's new values and failure messages and applies them in
+    one projection, so every message sees the values before the step."""
+
+    def __init__(self, df: DataFrame):
+        self.df = df
+        self.msg_cols: list[str] = []
+
+    def apply(self, values: dict[str, Column], messages: list[Column]) -> DataFrame:
+        names = [f"_msg{len(self.msg_cols) + i}" for i in range(len(messages))]
+        self.msg_cols.extend(names)
+        self.df = self.df.withColumns({**values, **dict(zip(names, messages))})
+        return self.df
+
+    def finish(self, rule: str, name: str) -> DataFrame:
+        out = with_first_error(self.df, [F.col(c) for c in self.msg_cols], rule, name)
+        return out.drop(*self.msg_cols)
+
+
 def with_first_error(df: DataFrame, messages: list[Column], rule: str = TRANSFORM_ERROR, name: str = "errors") -> DataFrame:
     """Set ``name`` to one error struct holding the first non-null message
     (or an empty array). Existing errors in ``name`` are kept in front."""
@@ -53,80 +72,83 @@ def common_transform(df: DataFrame, cfg: TransformationConfig, errors: str = "er
     ``TRANSFORM_ERROR`` in ``errors``. Needs a UTC session time zone."""
     df = text.snake_case_columns(df)
     df = normalize_strings(df, cfg.null_values)
-    msgs: list[Column] = []
+    step = Step(df)
     present = set(df.columns)
 
     # code maps
+    values, msgs = {}, []
     for fld, mapping in cfg.code_mappings.items():
         if fld not in present:
             continue
         policy = cfg.mapping_policies.get(fld, "REJECT")
         value, failed = lookup.map_code(_q(fld), mapping, policy, cfg.mapping_defaults.get(fld))
         msgs.append(F.when(failed, F.concat(F.lit(f"Missing code mapping for field {fld} and value "), _q(fld).cast("string"))))
-        df = df.withColumn(fld, value)
+        values[fld] = value
+    step.apply(values, msgs)
 
     # dates -> UTC timestamps
+    values, msgs = {}, []
     for fld in cfg.date_fields:
         if fld not in present:
             continue
-        dtype = df.schema[fld].dataType
-        if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
-            parsed = _q(fld).cast("timestamp")
-        elif isinstance(dtype, T.DateType):
-            parsed = _q(fld).cast("timestamp")
+        dtype = step.df.schema[fld].dataType
+        if isinstance(dtype, (T.TimestampType, T.TimestampNTZType, T.DateType)):
+            values[fld] = _q(fld).cast("timestamp")
         else:
             parsed = dates.to_utc_timestamp_multi(_q(fld), cfg.source_timezone)
             msgs.append(F.when(_q(fld).isNotNull() & parsed.isNull(),
                                F.concat(F.lit("Cannot parse datetime: "), _q(fld).cast("string"))))
-        df = df.withColumn(fld, parsed)
+            values[fld] = parsed
+    step.apply(values, msgs)
 
     # currency: the source currency is resolved once per row
     if cfg.monetary_fields:
-        cur_present = cfg.currency_field in present
-        cur = _q(cfg.currency_field).cast("string") if cur_present else F.lit(None).cast("string")
+        values, msgs = {}, []
+        cur = _q(cfg.currency_field).cast("string") if cfg.currency_field in present else F.lit(None).cast("string")
         src = money.resolve_currency(cur, cfg.default_currency, cfg.base_currency)
         any_amount = None
         for fld in cfg.monetary_fields:
             if fld not in present:
                 continue
             raw = _q(fld)
-            amt = raw.cast(money.AMOUNT_TYPE) if isinstance(df.schema[fld].dataType, T.NumericType) else money.to_amount(raw)
+            numeric = isinstance(step.df.schema[fld].dataType, T.NumericType)
+            amt = raw.cast(money.AMOUNT_TYPE) if numeric else money.to_amount(raw)
             msgs.append(F.when(raw.isNotNull() & amt.isNull(),
                                F.concat(F.lit(f"Invalid decimal value for field {fld}: "), raw.cast("string"))))
-            df = df.withColumn(f"{fld}_original", F.when(raw.isNotNull(), amt))
-            df = df.withColumn(fld, F.when(raw.isNotNull(), money.convert(amt, src, cfg.currency_rates)))
+            values[f"{fld}_original"] = F.when(raw.isNotNull(), amt)
+            values[fld] = F.when(raw.isNotNull(), money.convert(amt, src, cfg.currency_rates))
             has = raw.isNotNull()
             any_amount = has if any_amount is None else (any_amount | has)
         if any_amount is not None:
-            df = df.withColumn("currency_original", F.when(any_amount, src))
-            base = F.when(any_amount, F.lit(cfg.base_currency)).otherwise(cur)
-            df = df.withColumn(cfg.currency_field, base)
+            values["currency_original"] = F.when(any_amount, src)
+            values[cfg.currency_field] = F.when(any_amount, F.lit(cfg.base_currency)).otherwise(cur)
+        step.apply(values, msgs)
 
     # derived columns, in configured order (later formulas see earlier results)
     for fld, formula in cfg.derived_columns.items():
         try:
             left_t, op, right_t = money.parse_formula(formula)
         except ValueError as exc:
-            msgs.append(F.lit(str(exc)))
+            step.apply({}, [F.lit(str(exc))])
             continue
-        cols = set(df.columns)
-        left = _operand(df, left_t, cols)
-        right = _operand(df, right_t, cols)
+        cols = set(step.df.columns)
+        left = _operand(step.df, left_t, cols)
+        right = _operand(step.df, right_t, cols)
         value, msg = money.formula_value(left, op, right)
-        msgs.append(F.when(msg.isNotNull(), F.concat(msg, F.lit(f": {formula}"))))
-        df = df.withColumn(fld, value.cast(DERIVED_TYPE))
+        step.apply({fld: value.cast(DERIVED_TYPE)}, [F.when(msg.isNotNull(), F.concat(msg, F.lit(f": {formula}")))])
 
     # rounding, last
+    values, msgs = {}, []
     for fld in cfg.rounding_fields:
-        if fld not in df.columns:
+        if fld not in step.df.columns:
             continue
         c = _q(fld)
-        num = c if isinstance(df.schema[fld].dataType, T.DecimalType) else money.to_amount(c, DERIVED_TYPE)
+        num = c if isinstance(step.df.schema[fld].dataType, T.DecimalType) else money.to_amount(c, DERIVED_TYPE)
         msgs.append(F.when(c.isNotNull() & num.isNull(), F.lit(f"Invalid decimal value for field {fld}")))
-        df = df.withColumn(fld, money.round_decimal(num, cfg.rounding_scale, cfg.rounding_mode)
-                           .cast(f"decimal(38,{cfg.rounding_scale})"))
-
-    return with_first_error(df, msgs, TRANSFORM_ERROR, errors)
+        values[fld] = money.round_decimal(num, cfg.rounding_scale, cfg.rounding_mode).cast(
+            f"decimal(38,{cfg.rounding_scale})")
+    step.apply(values, msgs)
+    return step.finish(TRANSFORM_ERROR, errors)
 
 
 def _operand(df: DataFrame, token: str, cols: set[str]) -> Column:
