@@ -281,3 +281,11 @@ def as_dict(obj: Any) -> Any:
     from dataclasses import asdict
 
     return asdict(obj)
+
+
+BUILTIN_DIR = os.path.join(os.path.dirname(os.path.abspath(__file__)), "builtin")
+
+
+def builtin(name: str, env: dict | None = None) -> PipelineConfig:
+    """One of the built-in pipelines: sales, customer, inventory, item."""
+    return load_yaml(os.path.join(BUILTIN_DIR, f"{name}.yml"), env)
