@@ -29,6 +29,22 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 OUTPUT_SCHEMA = "record string, row_number long, endpoint string, page long"
 
 
+class Options(dict):
+    """Case-insensitive option lookup (data source options are lower-cased)."""
+
+    def __init__(self, data):
+        super().__init__({str(k).lower(): v for k, v in dict(data).items()})
+
+    def get(self, key, default=None):
+        return super().get(str(key).lower(), default)
+
+    def __getitem__(self, key):
+        return super().__getitem__(str(key).lower())
+
+    def __contains__(self, key):
+        return super().__contains__(str(key).lower())
+
+
 class ApiError(RuntimeError):
     def __init__(self, status: int, url: str):
         super().__init__(f"API extraction failed with HTTP status {status} for {url}")
@@ -60,6 +76,7 @@ def _secret(opts: dict, key: str) -> str | None:
 
 
 def auth_headers(opts: dict) -> dict:
+    opts = Options(opts)
     kind = (opts.get("authType") or "NONE").upper()
     if kind == "BEARER":
         tok = _secret(opts, "authToken")
@@ -89,6 +106,7 @@ def dotted(node, path: str):
 
 
 def fetch_page(opts: dict, endpoint: str, extra: dict, fetch=None) -> dict:
+    opts = Options(opts)
     fetch = fetch or _resolve(opts.get("fetcher"))
     params = {opts.get("pageSizeParam", "size"): opts.get("pageSize", "200")}
     if opts.get("filterParam") and opts.get("filterValue") is not None:
@@ -116,6 +134,7 @@ def fetch_page(opts: dict, endpoint: str, extra: dict, fetch=None) -> dict:
 
 def pages(opts: dict, endpoint: str, fetch=None):
     """Yield (page_no, items) for one endpoint following its pagination."""
+    opts = Options(opts)
     path = opts["responseArrayPath"]
     kind = (opts.get("paginationType") or "NONE").upper()
 
@@ -155,7 +174,7 @@ class _Endpoint(InputPartition):
 
 class PagedApiReader(DataSourceReader):
     def __init__(self, options: dict):
-        self.options = dict(options)
+        self.options = Options(options)
 
     def partitions(self):
         return [_Endpoint(e.strip()) for e in self.options["location"].split("|") if e.strip()]
