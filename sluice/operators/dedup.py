@@ -39,6 +39,7 @@ def duplicate_flags(
     order_cols: Sequence[str] | None = None,
     reject_all: bool = False,
     flag: str = "_dup",
+    where: Column | None = None,
 ) -> DataFrame:
     """Add boolean ``flag``: True for rows rejected as duplicate keys.
 
@@ -47,9 +48,12 @@ def duplicate_flags(
     ``(order_cols..., row_id)``; ``order_cols`` defaults to none (row order).
     keep-first flags every row of a repeated key but the first; reject-all
     flags every row of a repeated key. Null key values group together.
+    ``where`` limits the check to eligible rows (others are never flagged).
     """
     order_cols = list(order_cols or [])
-    per_key = df.groupBy(*[F.col(f"`{k}`") for k in keys]).agg(
+    eligible = F.lit(True) if where is None else F.coalesce(where, F.lit(False))
+    source = df if where is None else df.filter(eligible)
+    per_key = source.groupBy(*[F.col(f"`{k}`") for k in keys]).agg(
         F.count(F.lit(1)).alias("_cnt"), _first_key(order_cols, row_id).alias("_first")
     )
     repeated, small = strategy.small_or_none(per_key.filter(F.col("_cnt") > 1))
@@ -57,7 +61,7 @@ def duplicate_flags(
         r, cond = strategy.null_safe_on(df, repeated, keys)
         joined = df.join(F.broadcast(r), cond, "left")
         hit = F.col("_cnt").isNotNull()
-        is_dup = hit & (F.lit(reject_all) | (F.col(f"`{row_id}`") != F.col("_first")))
+        is_dup = eligible & hit & (F.lit(reject_all) | (F.col(f"`{row_id}`") != F.col("_first")))
         return joined.withColumn(flag, F.coalesce(is_dup, F.lit(False))).drop(
             "_cnt", "_first", *[f"_r_{k}" for k in keys]
         )
@@ -65,7 +69,7 @@ def duplicate_flags(
     keep = per_key.filter(F.col("_cnt") == 1) if reject_all else per_key
     keep = keep.select(F.col("_first").alias(row_id), F.lit(True).alias("_keep"))
     joined = df.join(keep, on=row_id, how="left")
-    return joined.withColumn(flag, F.col("_keep").isNull()).drop("_keep")
+    return joined.withColumn(flag, eligible & F.col("_keep").isNull()).drop("_keep")
 
 
 def keep_first(df: DataFrame, keys: Sequence[str], row_id: str = "_row", order_cols=None) -> DataFrame:

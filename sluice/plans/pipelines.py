@@ -207,21 +207,26 @@ def resolve_transformer(cfg: PipelineConfig) -> tuple[Specific, str] | None:
 def tag_rows(raw: DataFrame, cfg: PipelineConfig, as_of: dt.date,
              table_catalogs: dict[str, tuple[str, str | None]] | None = None,
              catalog_frames: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """All steps as one plan. Output: data columns after transformation,
-    ``_row``, ``_raw`` (JSON of the source row), ``_step`` (step a rejected
-    row failed at, null if valid) and ``errors``.
-
+    """All steps as one plan over one scan of the source. Output: data
+    columns after transformation, ``_row``, ``_raw`` (JSON of the source
+    row), ``_step`` (the step a rejected row failed at, null if valid) and
+    ``errors`` (every error of that step).
+
+    Rows are never split into branches: each step's errors are computed for
+    every row and masked for rows that already failed an earlier step, so the
+    source is read once (plus the key-only pass of the duplicate check).
+    Inventory consolidation changes cardinality and is the one exception.
     ``catalog_frames`` may join table-backed catalogs onto the transformed
-    frame (adding flag columns named in ``table_catalogs``).
+    frame (adding the flag columns named in ``table_catalogs``).
     """
+    empty = F.array().cast(rules.ERRORS_TYPE)
     data_cols = [c for c in raw.columns if not c.startswith("_")]
     base = raw.withColumn("_raw", F.to_json(F.struct(*[_q(c) for c in data_cols])))
     # schema step on raw header names
-    schema_checked = rules.validate_schema(base, cfg.validation, "_e_schema")
-    ok_schema = schema_checked.filter(F.size("_e_schema") == 0).drop("_e_schema")
-    bad_schema = schema_checked.filter(F.size("_e_schema") > 0)
+    s = rules.validate_schema(base, cfg.validation, "_e_schema")
+    schema_ok = F.size("_e_schema") == 0
     # transform step: common rules then pipeline-specific rules
-    t = common_transform(ok_schema, cfg.transformation, "_e_transform")
+    t = common_transform(s, cfg.transformation, "_e_transform")
     spec = resolve_transformer(cfg)
     if spec is not None:
         fn, rule = spec
@@ -230,29 +235,29 @@ def tag_rows(raw: DataFrame, cfg: PipelineConfig, as_of: dt.date,
         t2 = with_first_error(t2, [F.when(~common_failed, m) for m in msgs], rule, "_e_spec")
         t = t2.withColumn("_e_transform", F.concat("_e_transform", "_e_spec")).drop("_e_spec", *[
             c for c in t2.columns if c.startswith("_smsg")])
-    ok_t = t.filter(F.size("_e_transform") == 0).drop("_e_transform")
-    bad_t = t.filter(F.size("_e_transform") > 0)
+    t = t.withColumn("_e_transform", F.when(schema_ok, F.col("_e_transform")).otherwise(empty))
+    alive = schema_ok & (F.size("_e_transform") == 0)
     if cfg.name == "inventory-sync" or cfg.id == "inventory-sync":
-        ok_t = inventory_consolidate(ok_t)
+        dead = t.filter(~alive)
+        t = inventory_consolidate(t.filter(alive)).unionByName(dead, allowMissingColumns=True)
     # business step
     if catalog_frames is not None:
-        ok_t = catalog_frames(ok_t)
-    checks = rules.business_checks(ok_t, cfg.validation, as_of, table_catalogs)
-    keys = [k for k in cfg.validation.unique_key_columns if k in ok_t.columns]
+        t = catalog_frames(t)
+    checks = rules.business_checks(t, cfg.validation, as_of, table_catalogs)
+    keys = [k for k in cfg.validation.unique_key_columns if k in t.columns]
     if keys:
-        ok_t = dedup.duplicate_flags(ok_t, keys, row_id="_row", reject_all=cfg.validation.reject_all_duplicates,
-                                     flag="_dup")
+        t = dedup.duplicate_flags(t, keys, row_id="_row", reject_all=cfg.validation.reject_all_duplicates,
+                                  flag="_dup", where=alive)
         checks.append(rules.duplicate_error(keys, "_dup", "_row"))
-    biz = rules.attach_errors(ok_t, checks, "errors")
-    drop_flags = [c for c in biz.columns if c == "_dup" or (table_catalogs and c in
-                  {x for pair in table_catalogs.values() for x in pair if x})]
-    biz = biz.drop(*drop_flags)
-    biz = biz.withColumn("_step", F.when(F.size("errors") > 0, F.lit(rules.STEP_BUSINESS)))
-    schema_rej = bad_schema.select("_row", "_raw", F.col("_e_schema").alias("errors"),
-                                   F.lit(rules.STEP_SCHEMA).alias("_step"))
-    trans_rej = bad_t.select("_row", "_raw", F.col("_e_transform").alias("errors"),
-                             F.lit(rules.STEP_TRANSFORM).alias("_step"))
-    return biz.unionByName(schema_rej, allowMissingColumns=True).unionByName(trans_rej, allowMissingColumns=True)
+    t = t.withColumn("_e_business", F.when(alive, rules.collect_errors(checks)).otherwise(empty))
+    step = (F.when(~schema_ok, F.lit(rules.STEP_SCHEMA))
+            .when(F.size("_e_transform") > 0, F.lit(rules.STEP_TRANSFORM))
+            .when(F.size("_e_business") > 0, F.lit(rules.STEP_BUSINESS)))
+    errors = (F.when(~schema_ok, F.col("_e_schema")).when(F.size("_e_transform") > 0, F.col("_e_transform"))
+              .otherwise(F.col("_e_business")))
+    flags = {"_dup"} | ({x for pair in table_catalogs.values() for x in pair if x} if table_catalogs else set())
+    out = t.withColumn("_step", step).withColumn("errors", errors)
+    return out.drop(*[c for c in out.columns if c in flags or c in ("_e_schema", "_e_transform", "_e_business")])
 
 
 # ------------------------------------------------------------------ runner

@@ -165,11 +165,11 @@ def decide_status(current: Column, critical_errors: Column, rejected: Column) ->
             .otherwise(F.lit("SUCCESS")))
 
 
-def latest_runs(runs: DataFrame, n: int, by: str = "pipeline_id",
-                order: Sequence[Column] = (F.col("created_at").desc(), F.col("execution_id").desc())) -> DataFrame:
+def latest_runs(runs: DataFrame, n: int, by: str = "pipeline_id", order: Sequence[Column] | None = None) -> DataFrame:
     """The ``n`` most recent runs of every pipeline (O1), n >= 1."""
     if n < 1:
         raise ValueError("limit must be >= 1")
+    order = order or (F.col("created_at").desc(), F.col("execution_id").desc())
     w = Window.partitionBy(by).orderBy(*order)
     return runs.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
 

@@ -39,9 +39,11 @@ def _json(spark, cfg):
 
 
 def _api(spark, cfg):
+    from sluice.operators.strategy import materialize
     from sluice.sources.api import read_api
 
-    return read_api(spark, cfg.location, cfg.properties, cfg.properties.get("itemSchema"))
+    # fetched once: later jobs read the checkpoint, not the endpoint again
+    return materialize(read_api(spark, cfg.location, cfg.properties, cfg.properties.get("itemSchema")))
 
 
 def _database(spark, cfg):
@@ -54,9 +56,10 @@ def _database(spark, cfg):
 
 
 def _excel(spark, cfg):
+    from sluice.operators.strategy import materialize
     from sluice.sources.xlsx import read_xlsx
 
-    return read_xlsx(spark, cfg.location, cfg.properties, cfg.has_header)
+    return materialize(read_xlsx(spark, cfg.location, cfg.properties, cfg.has_header))
 
 
 for _t, _f in (("CSV", _csv), ("JSON", _json), ("API", _api), ("DATABASE", _database), ("EXCEL", _excel)):
