@@ -9,6 +9,7 @@ such values are rejected.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -39,8 +40,56 @@ def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+def pattern_shape(pattern: str) -> str:
+    """A regex matching the text shapes a datetime pattern can parse.
+
+    Used as a cheap guard before ``try_to_timestamp``: a failed parse costs
+    an exception inside Spark, a failed regex match does not. The shape is
+    only a pre-filter; the parser still decides.
+    """
+    out, i = [], 0
+    widths = {"y": "4,", "M": "1,2", "d": "1,2", "H": "1,2", "h": "1,2", "m": "1,2", "s": "1,2", "S": "1,9"}
+    while i < len(pattern):
+        ch = pattern[i]
+        if ch == "'":
+            j = pattern.index("'", i + 1)
+            out.append(re.escape(pattern[i + 1:j]) if j > i + 1 else "'")
+            i = j + 1
+            continue
+        if ch == "[":
+            out.append("(?:")
+            i += 1
+            continue
+        if ch == "]":
+            out.append(")?")
+            i += 1
+            continue
+        if ch.isalpha():
+            j = i
+            while j < len(pattern) and pattern[j] == ch:
+                j += 1
+            n = j - i
+            if ch == "y":
+                out.append("[0-9]{2}" if n == 2 else "[0-9]{%d,}" % max(n, 1))
+            elif ch == "S":
+                out.append("[0-9]{1,%d}" % n)
+            elif ch in widths:
+                out.append("[0-9]{%d}" % n if n >= 2 else "[0-9]{%s}" % widths[ch])
+            else:
+                out.append("[^ ]+")
+            i = j
+            continue
+        out.append(re.escape(ch))
+        i += 1
+    return "^" + "".join(out) + "$"
+
+
+def _try_parse(col: Column, pattern: str) -> Column:
+    return F.when(col.rlike(pattern_shape(pattern)), F.try_to_timestamp(col, F.lit(pattern)))
+
+
 def _first(col: Column, patterns: Sequence[str]) -> Column:
-    return F.coalesce(*[F.try_to_timestamp(col, F.lit(p)) for p in patterns])
+    return F.coalesce(*[_try_parse(col, p) for p in patterns])
 
 
 def parse_date(col) -> Column:
@@ -71,18 +120,18 @@ def schema_date_ok(col, date_format: str | None, iso_fallback: bool = True) -> C
     s = _c(col).cast("string")
     tries = []
     if date_format:
-        tries.append(F.try_to_timestamp(s, F.lit(date_format)))
+        tries.append(_try_parse(s, date_format))
         if iso_fallback:
-            tries.append(F.try_to_timestamp(s, F.lit(ISO_DATE)))
+            tries.append(_try_parse(s, ISO_DATE))
     else:
-        tries.append(F.try_to_timestamp(s, F.lit(ISO_DATE)))
+        tries.append(_try_parse(s, ISO_DATE))
     return F.coalesce(*tries).isNotNull()
 
 
 def utc_date(col) -> Column:
     """DATE in UTC of a timestamp, date or ISO text value."""
     c = _c(col)
-    return F.coalesce(F.to_date(F.try_to_timestamp(c.cast("string"), F.lit(ISO_DATE))), F.to_date(c.cast("timestamp")))
+    return F.coalesce(F.to_date(_try_parse(c.cast("string"), ISO_DATE)), F.to_date(c.try_cast("timestamp")))
 
 
 def whole_years_between(start_date, end_date) -> Column:

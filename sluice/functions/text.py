@@ -25,9 +25,12 @@ def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+JAVA_TRIM_CHARS = "".join(chr(i) for i in range(0x21))
+
+
 def trim_ws(col) -> Column:
     """Java ``String.trim``: strip control chars and spaces at both ends."""
-    return F.regexp_replace(_c(col), f"^{JAVA_TRIM_CLASS}+|{JAVA_TRIM_CLASS}+$", "")
+    return F.btrim(_c(col), F.lit(JAVA_TRIM_CHARS))
 
 
 def trim_to_null(col) -> Column:

@@ -51,10 +51,16 @@ def duplicate_flags(
     ``where`` limits the check to eligible rows (others are never flagged).
     """
     order_cols = list(order_cols or [])
-    eligible = F.lit(True) if where is None else F.coalesce(where, F.lit(False))
-    source = df if where is None else df.filter(eligible)
-    per_key = source.groupBy(*[F.col(f"`{k}`") for k in keys]).agg(
-        F.count(F.lit(1)).alias("_cnt"), _first_key(order_cols, row_id).alias("_first")
+    if where is None:
+        eligible = F.lit(True)
+    else:
+        # a column, not a filter: a pushed-down filter would inline every
+        # upstream expression it depends on into the scan-side predicate
+        df = df.withColumn("_elig", F.coalesce(where, F.lit(False)))
+        eligible = F.col("_elig")
+    first_struct = F.struct(*[F.col(f"`{c}`") for c in order_cols], F.col(f"`{row_id}`").alias("_id"))
+    per_key = df.groupBy(*[F.col(f"`{k}`") for k in keys]).agg(
+        F.count_if(eligible).alias("_cnt"), F.min(F.when(eligible, first_struct))["_id"].alias("_first")
     )
     repeated, small = strategy.small_or_none(per_key.filter(F.col("_cnt") > 1))
     if small:
@@ -63,13 +69,13 @@ def duplicate_flags(
         hit = F.col("_cnt").isNotNull()
         is_dup = eligible & hit & (F.lit(reject_all) | (F.col(f"`{row_id}`") != F.col("_first")))
         return joined.withColumn(flag, F.coalesce(is_dup, F.lit(False))).drop(
-            "_cnt", "_first", *[f"_r_{k}" for k in keys]
+            "_cnt", "_first", "_elig", *[f"_r_{k}" for k in keys]
         )
     # Many repeated keys: keep-set by unique row id (uniform shuffle).
-    keep = per_key.filter(F.col("_cnt") == 1) if reject_all else per_key
+    keep = per_key.filter(F.col("_cnt") == 1) if reject_all else per_key.filter(F.col("_cnt") > 0)
     keep = keep.select(F.col("_first").alias(row_id), F.lit(True).alias("_keep"))
     joined = df.join(keep, on=row_id, how="left")
-    return joined.withColumn(flag, eligible & F.col("_keep").isNull()).drop("_keep")
+    return joined.withColumn(flag, eligible & F.col("_keep").isNull()).drop("_keep", "_elig")
 
 
 def keep_first(df: DataFrame, keys: Sequence[str], row_id: str = "_row", order_cols=None) -> DataFrame:

@@ -206,7 +206,8 @@ def resolve_transformer(cfg: PipelineConfig) -> tuple[Specific, str] | None:
 
 def tag_rows(raw: DataFrame, cfg: PipelineConfig, as_of: dt.date,
              table_catalogs: dict[str, tuple[str, str | None]] | None = None,
-             catalog_frames: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+             catalog_frames: Callable[[DataFrame], DataFrame] | None = None,
+             dedup_order: list[str] | None = None) -> DataFrame:
     """All steps as one plan over one scan of the source. Output: data
     columns after transformation, ``_row``, ``_raw`` (JSON of the source
     row), ``_step`` (the step a rejected row failed at, null if valid) and
@@ -217,7 +218,8 @@ def tag_rows(raw: DataFrame, cfg: PipelineConfig, as_of: dt.date,
     source is read once (plus the key-only pass of the duplicate check).
     Inventory consolidation changes cardinality and is the one exception.
     ``catalog_frames`` may join table-backed catalogs onto the transformed
-    frame (adding the flag columns named in ``table_catalogs``).
+    frame (adding the flag columns named in ``table_catalogs``). The first
+    row of a repeated key is the smallest ``(dedup_order..., _row)``.
     """
     empty = F.array().cast(rules.ERRORS_TYPE)
     data_cols = [c for c in raw.columns if not c.startswith("_")]
@@ -246,8 +248,8 @@ def tag_rows(raw: DataFrame, cfg: PipelineConfig, as_of: dt.date,
     checks = rules.business_checks(t, cfg.validation, as_of, table_catalogs)
     keys = [k for k in cfg.validation.unique_key_columns if k in t.columns]
     if keys:
-        t = dedup.duplicate_flags(t, keys, row_id="_row", reject_all=cfg.validation.reject_all_duplicates,
-                                  flag="_dup", where=alive)
+        t = dedup.duplicate_flags(t, keys, row_id="_row", order_cols=dedup_order,
+                                  reject_all=cfg.validation.reject_all_duplicates, flag="_dup", where=alive)
         checks.append(rules.duplicate_error(keys, "_dup", "_row"))
     t = t.withColumn("_e_business", F.when(alive, rules.collect_errors(checks)).otherwise(empty))
     step = (F.when(~schema_ok, F.lit(rules.STEP_SCHEMA))

@@ -837,3 +837,144 @@ def runs_per_status(spark, sf_dir):
     from sluice.plans import runs
 
     return runs.runs_per_status(_runs(spark, sf_dir), dt.date(2024, 1, 30), 7)
+
+
+# ------------------------------------------------------ flagship: sales
+
+SALES_AS_OF = dt.date(2001, 6, 30)
+_SALES_COLS = {
+    "transaction_id": "concat('TXN-', CAST(l_orderkey AS STRING), '-', CAST(l_linenumber AS STRING))",
+    "customer_id": "concat('C-', CAST(o_custkey AS STRING))",
+    "product_id": "concat('P-', CAST(CASE WHEN l_orderkey % 97 = 0 THEN l_partkey + 1000000 ELSE l_partkey END AS STRING))",
+    "amount": ("CASE WHEN l_orderkey % 89 = 0 THEN concat('-', CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS STRING)) "
+               "WHEN l_orderkey % 83 = 0 THEN 'N/A' ELSE CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS STRING) END"),
+    "currency": "CASE l_suppkey % 3 WHEN 0 THEN 'USD' WHEN 1 THEN 'EUR' ELSE 'COP' END",
+    "salesperson_id": "concat('S-', CAST(l_suppkey AS STRING))",
+    "channel": "CASE WHEN l_partkey % 71 = 0 THEN '9' ELSE CAST(1 + l_linenumber % 5 AS STRING) END",
+    "product_quantity": "CAST(CAST(l_quantity AS INT) AS STRING)",
+    "discount_rate": ("CASE WHEN l_orderkey % 101 = 0 THEN '150' "
+                      "ELSE CAST(CAST(CAST(l_discount AS DECIMAL(9,2)) * 100 AS DECIMAL(9,2)) AS STRING) END"),
+}
+_SALE_DATE_SPARK = "CASE WHEN l_orderkey % 79 = 0 THEN 'bad-date' ELSE date_format(o_orderdate, 'yyyy-MM-dd') END"
+_SALE_DATE_DUCK = "CASE WHEN l_orderkey % 79 = 0 THEN 'bad-date' ELSE strftime(o_orderdate, '%Y-%m-%d') END"
+_ORDER_KEYS = ["l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag",
+               "l_linestatus", "l_shipdate"]
+_SALES_OUT = ["transaction_id", "step", "rules", "amount", "currency", "quantity", "discount_rate", "subtotal",
+              "tax_amount", "total_amount"]
+
+
+def sales_config():
+    from sluice.plans.config import builtin
+
+    cfg = builtin("sales")
+    # customer, product and salesperson catalogs come from tables
+    for f in ("customer_id", "product_id"):
+        cfg.validation.catalog_values.pop(f, None)
+    cfg.validation.active_catalog_values.pop("salesperson_id", None)
+    return cfg
+
+
+@register("sales_pipeline")
+def sales_pipeline(spark, sf_dir):
+    from sluice.plans import pipelines
+
+    li = dedup.with_row_id(table(spark, sf_dir, "lineitem"), "_row")  # id fixed on the scan, before the join
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    j = li.join(orders, li.l_orderkey == orders.o_orderkey)
+    raw = j.select(*[F.expr(e).alias(c) for c, e in _SALES_COLS.items()],
+                   F.expr(_SALE_DATE_SPARK).alias("sale_date"), "_row",
+                   *[F.col(c).alias(f"_k{i}") for i, c in enumerate(_ORDER_KEYS)])
+    tokens = ("", "NULL", "N/A", "-")
+    raw = raw.select(*[text.null_tokens(F.col(c), tokens, case_sensitive=True).alias(c) if not c.startswith("_")
+                       else F.col(c) for c in raw.columns])
+    customers = table(spark, sf_dir, "customer").select(F.concat(F.lit("C-"), F.col("c_custkey").cast("string")).alias("k"))
+    parts = table(spark, sf_dir, "part").select(F.concat(F.lit("P-"), F.col("p_partkey").cast("string")).alias("k"))
+    supp = table(spark, sf_dir, "supplier").select(
+        F.concat(F.lit("S-"), F.col("s_suppkey").cast("string")).alias("k"), (F.col("s_acctbal") > 0).alias("active"))
+
+    def catalogs(df):
+        df, c_in, _ = lookup.catalog_flags(df, "customer_id", customers, "k")
+        df, p_in, _ = lookup.catalog_flags(df, "product_id", parts, "k")
+        df, _, s_act = lookup.catalog_flags(df, "salesperson_id", supp, "k", active=F.col("active"))
+        return df
+
+    flags = {"customer_id": ("_in_customer_id", None), "product_id": ("_in_product_id", None),
+             "salesperson_id": (None, "_active_salesperson_id")}
+    tagged = pipelines.tag_rows(raw, sales_config(), SALES_AS_OF, flags, catalogs,
+                                dedup_order=[f"_k{i}" for i in range(len(_ORDER_KEYS))])
+    ok = F.col("_step").isNull()
+    return tagged.select(
+        "transaction_id", F.col("_step").alias("step"), rules.rule_list("errors").alias("rules"),
+        F.when(ok, F.col("amount").cast("decimal(18,2)")).alias("amount"),
+        F.when(ok, F.col("currency")).alias("currency"),
+        F.when(ok, F.col("quantity")).alias("quantity"),
+        *[F.when(ok, F.col(c)).alias(c) for c in ("discount_rate", "subtotal", "tax_amount", "total_amount")],
+    )
+
+
+_K = ", ".join(f"{c} AS _k{i}" for i, c in enumerate(_ORDER_KEYS))
+ORACLE["sales_pipeline"] = f"""
+WITH raw0 AS (
+  SELECT {', '.join(f'{e} AS {c}' for c, e in _SALES_COLS.items())}, {_SALE_DATE_DUCK} AS sale_date, {_K}
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+raw AS (SELECT * REPLACE (CASE WHEN amount IN ('', 'NULL', 'N/A', '-') THEN NULL ELSE amount END AS amount) FROM raw0),
+s AS (
+  SELECT *,
+    concat_ws('|',
+      CASE WHEN amount IS NULL THEN 'NOT_NULL_OR_EMPTY:amount' END,
+      CASE WHEN amount IS NOT NULL AND NOT regexp_full_match(amount, '[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?')
+           THEN 'TYPE_COMPATIBILITY:amount' END,
+      CASE WHEN NOT (regexp_full_match(sale_date, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') AND try_strptime(sale_date, '%Y-%m-%d') IS NOT NULL)
+           THEN 'TYPE_COMPATIBILITY:sale_date' END) AS schema_rules
+  FROM raw),
+t AS (
+  SELECT *,
+    CAST(round(CAST(amount AS DECIMAL(38,8)) * CAST(CASE currency WHEN 'USD' THEN 1.00 WHEN 'EUR' THEN 1.10 ELSE 0.00025 END
+                                                AS DECIMAL(38,8)), 2) AS DECIMAL(38,2)) AS amt,
+    CASE channel WHEN '1' THEN 'ONLINE' WHEN '2' THEN 'IN_STORE' WHEN '3' THEN 'PHONE' WHEN '4' THEN 'PARTNER'
+                 WHEN '5' THEN 'MARKETPLACE' END AS ch,
+    CAST(product_quantity AS INTEGER) AS qty,
+    CAST(discount_rate AS DECIMAL(38,8)) AS disc
+  FROM s),
+t2 AS (
+  SELECT *, CAST(amt AS DECIMAL(38,2)) * CAST(qty AS DECIMAL(38,0)) * CAST(1 - round(disc / 100, 8) AS DECIMAL(38,8)) AS sub,
+    schema_rules = '' AND ch IS NOT NULL AS alive
+  FROM t),
+c AS (
+  SELECT t2.*, cu.k IS NOT NULL AS in_cust, pa.k IS NOT NULL AS in_part, COALESCE(su.active, false) AS sp_active
+  FROM t2
+  LEFT JOIN (SELECT DISTINCT 'C-' || CAST(c_custkey AS VARCHAR) AS k FROM customer) cu ON t2.customer_id = cu.k
+  LEFT JOIN (SELECT DISTINCT 'P-' || CAST(p_partkey AS VARCHAR) AS k FROM part) pa ON t2.product_id = pa.k
+  LEFT JOIN (SELECT 'S-' || CAST(s_suppkey AS VARCHAR) AS k, bool_or(s_acctbal > 0) AS active FROM supplier GROUP BY 1) su
+    ON t2.salesperson_id = su.k),
+d AS (
+  SELECT *, CASE WHEN alive THEN row_number() OVER (PARTITION BY alive, transaction_id
+              ORDER BY {', '.join(f'_k{i}' for i in range(len(_ORDER_KEYS)))}) END AS rn
+  FROM c),
+b AS (
+  SELECT *, concat_ws('|',
+      CASE WHEN amt < 0 THEN 'NON_NEGATIVE_AMOUNT:amount' END,
+      CASE WHEN disc < 0 OR disc > 100 THEN 'RANGE_CHECK:discount_rate' END,
+      CASE WHEN CAST(strptime(sale_date, '%Y-%m-%d') AS DATE) >
+                DATE '{SALES_AS_OF.isoformat()}' + CASE WHEN ch = 'PARTNER' THEN 2 ELSE 0 END THEN 'FUTURE_DATE:sale_date' END,
+      CASE WHEN NOT in_cust THEN 'CATALOG_LOOKUP:customer_id' END,
+      CASE WHEN NOT in_part THEN 'CATALOG_LOOKUP:product_id' END,
+      CASE WHEN NOT sp_active THEN 'ACTIVE_REFERENCE:salesperson_id' END,
+      CASE WHEN rn > 1 THEN 'UNIQUE_BUSINESS_KEY:transaction_id' END) AS business_rules
+  FROM d WHERE alive),
+final AS (
+  SELECT transaction_id, CASE WHEN business_rules <> '' THEN 'VALIDATE_BUSINESS' END AS step,
+    business_rules AS rules, amt, qty, disc, sub FROM b
+  UNION ALL
+  SELECT transaction_id, CASE WHEN schema_rules <> '' THEN 'VALIDATE_SCHEMA' ELSE 'TRANSFORM' END,
+    CASE WHEN schema_rules <> '' THEN schema_rules ELSE 'SALES_TRANSFORM_ERROR' END, NULL, NULL, NULL, NULL
+  FROM t2 WHERE NOT alive)
+SELECT transaction_id, step, rules,
+  CASE WHEN step IS NULL THEN CAST(amt AS DECIMAL(18,2)) END AS amount,
+  CASE WHEN step IS NULL THEN 'USD' END AS currency,
+  CASE WHEN step IS NULL THEN qty END AS quantity,
+  CASE WHEN step IS NULL THEN CAST(round(disc, 2) AS DECIMAL(18,2)) END AS discount_rate,
+  CASE WHEN step IS NULL THEN CAST(round(sub, 2) AS DECIMAL(18,2)) END AS subtotal,
+  CASE WHEN step IS NULL THEN CAST(round(sub * CAST(0.19 AS DECIMAL(38,2)), 2) AS DECIMAL(18,2)) END AS tax_amount,
+  CASE WHEN step IS NULL THEN CAST(round(sub * CAST(1.19 AS DECIMAL(38,2)), 2) AS DECIMAL(18,2)) END AS total_amount
+FROM final"""
