@@ -87,5 +87,7 @@ def error_rate_pct(rejected: Column, read: Column) -> Column:
 
 def rejects_by_rule(rejects: DataFrame, errors_col: str = "errors", extra: Sequence[str] = ()) -> DataFrame:
     """Count of errors per rule code (and ``extra`` grouping columns)."""
-    e = rejects.select(*extra, F.explode(F.col(errors_col)).alias("_e"))
+    # explode_outer + filter on the generated column: a plain explode makes
+    # Spark infer size(errors) > 0 and push it below, recomputing the array
+    e = rejects.select(*extra, F.explode_outer(F.col(errors_col)).alias("_e")).filter(F.col("_e").isNotNull())
     return e.groupBy(*extra, F.col("_e.rule").alias("rule")).agg(F.count(F.lit(1)).alias("n_errors"))

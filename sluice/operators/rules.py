@@ -79,9 +79,18 @@ def check(failed: Column, field, value, rule: str, message, severity: str = "CRI
 
 
 def collect_errors(checks: Sequence[Column]) -> Column:
+    """Array of the failing checks' errors, in check order.
+
+    Built as ``concat`` of one-element-or-empty arrays rather than
+    ``array_compact``/``filter``: higher-order functions have no generated
+    code, and one of them would push the whole projection (every regex and
+    cast of every rule) out of whole-stage codegen.
+    """
+    empty = F.array().cast(ERRORS_TYPE)
     if not checks:
-        return F.array().cast(ERRORS_TYPE)
-    return F.array_compact(F.array(*checks)).cast(ERRORS_TYPE)
+        return empty
+    parts = [F.when(c.isNotNull(), F.array(c)).otherwise(empty) for c in checks]
+    return F.concat(*parts).cast(ERRORS_TYPE) if len(parts) > 1 else parts[0].cast(ERRORS_TYPE)
 
 
 def attach_errors(df: DataFrame, checks: Sequence[Column], name: str = "errors") -> DataFrame:

@@ -76,3 +76,17 @@ def sequential_ids(df: DataFrame, name: str = "_row", start: int = 1) -> DataFra
     j = tagged.withColumn("_pid", pid).join(hint_broadcast(parts, small), "_pid")
     return j.withColumn(name, F.col("_offset") + (F.col("_mid") - F.col("_first")) + F.lit(start)) \
         .drop("_mid", "_pid", "_first", "_offset")
+
+
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Round-robin repartition when ``df`` has fewer partitions than the
+    cluster has cores (e.g. a file with one row group is one task).
+
+    A no-op for large inputs, whose scans already have many more splits than
+    cores. Assign source row ids before spreading: ids taken after a
+    shuffle are not tied to the input order.
+    """
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
