@@ -293,7 +293,7 @@ class BucketedTable:
 
     def _commit(self, data: DataFrame, touched: Sequence[int] | None, execution_id: str | None, replace: bool) -> int:
         prev = self.manifest()
-        version = (prev["version"] + 1) if prev else 1
+        version = self._max_version() + 1
         vdir = f"v{version:06d}"
         out = data.drop(ACTION) if ACTION in data.columns else data
         schema_json = out.schema.json()
@@ -316,6 +316,13 @@ class BucketedTable:
         self._write_text(f"{self.root}/_CURRENT", str(version))
         return version
 
+    def _max_version(self) -> int:
+        p = self._path(f"{self.root}/_manifest")
+        if not self._fs.exists(p):
+            return 0
+        names = [st.getPath().getName() for st in self._fs.listStatus(p)]
+        return max([int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit()] or [0])
+
     def _list_buckets(self, vdir: str) -> list[int]:
         p = self._path(f"{self.root}/{vdir}")
         if not self._fs.exists(p):
@@ -360,10 +367,17 @@ class BucketedTable:
         version = self._commit(m, touched, exec_id, replace)
         return version, action_counts(m)
 
+    def restore(self, version: int) -> int:
+        """Point the table back at an earlier committed version."""
+        if self._read_text(f"{self.root}/_manifest/{version}.json") is None:
+            raise FileNotFoundError(f"no version {version} at {self.root}")
+        self._write_text(f"{self.root}/_CURRENT", str(version))
+        return version
+
     def rollback(self, execution_id: str) -> int:
         """Remove the rows of one execution from the buckets it wrote."""
         hist = [json.loads(self._read_text(f"{self.root}/_manifest/{v}.json") or "{}")
-                for v in range(1, (self.manifest() or {"version": 0})["version"] + 1)]
+                for v in range(1, self._max_version() + 1)]
         touched = sorted({b for m in hist if m.get("execution_id") == execution_id for b in m.get("written", [])})
         if not touched:
             return self.manifest()["version"]

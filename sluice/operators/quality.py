@@ -85,6 +85,16 @@ def error_rate_pct(rejected: Column, read: Column) -> Column:
     return F.coalesce((x100 / 100).cast("decimal(9,2)"), F.lit(0).cast("decimal(9,2)"))
 
 
+def div_round(num: Column, den: Column, scale: int = 2) -> Column:
+    """``num / den`` rounded HALF_UP to ``scale`` decimals, exactly, for
+    non-negative integers (decimal(38,0) arithmetic, no floating point)."""
+    f = 10 ** scale
+    n = num.cast("decimal(38,0)") * (2 * f) + den.cast("decimal(38,0)")
+    d = den.cast("decimal(38,0)") * 2
+    q = ((n - F.pmod(n, d)) / d).cast("decimal(38,0)")
+    return F.when(den > 0, (q / f).cast(f"decimal(38,{scale})"))
+
+
 def rejects_by_rule(rejects: DataFrame, errors_col: str = "errors", extra: Sequence[str] = ()) -> DataFrame:
     """Count of errors per rule code (and ``extra`` grouping columns)."""
     # explode_outer + filter on the generated column: a plain explode makes

@@ -268,3 +268,43 @@ def rule_list(name: str = "errors", sep: str = "|") -> Column:
     return F.array_join(
         F.transform(F.col(name), lambda e: F.concat_ws(":", e["rule"], e["field"])), sep
     )
+
+
+# ------------------------------------------------- documented extra rules
+
+
+def max_age_check(col_name: str, as_of: _dt.date, max_days: int) -> Column:
+    """Date older than ``as_of - max_days`` (rule ``MAX_AGE``)."""
+    d = dates.utc_date(_col(col_name))
+    return check(d < F.date_sub(F.lit(as_of), max_days), col_name, _col(col_name), "MAX_AGE",
+                 f"Date is older than {max_days} days")
+
+
+def blocked_domain_check(col_name: str, domains: Sequence[str]) -> Column:
+    """E-mail whose domain is blocked (rule ``BLOCKED_DOMAIN``)."""
+    dom = F.lower(F.substring_index(_col(col_name).cast("string"), "@", -1))
+    return check(_col(col_name).contains("@") & dom.isin([d.lower() for d in domains]), col_name, _col(col_name),
+                 "BLOCKED_DOMAIN", "E-mail domain is blocked")
+
+
+def document_format_check(type_col: str, number_col: str, patterns: dict[str, str]) -> Column:
+    """Document number must match the pattern of its document type
+    (rule ``DOCUMENT_FORMAT``); types without a pattern pass."""
+    t = F.upper(_col(type_col).cast("string"))
+    n = _col(number_col).cast("string")
+    bad = None
+    for typ, rx in patterns.items():
+        c = (t == typ.upper()) & ~n.rlike(f"^(?:{rx})$")
+        bad = c if bad is None else (bad | c)
+    if bad is None:
+        return F.lit(None)
+    return check(n.isNotNull() & bad, number_col, n, "DOCUMENT_FORMAT", "Document number does not match its type")
+
+
+def near_duplicate_key(col) -> Column:
+    """Grouping key for near-copies of text: ASCII-lower-cased, runs of
+    whitespace collapsed, trimmed, then SHA-256 over the whole text."""
+    c = F.col(col) if isinstance(col, str) else col
+    lowered = F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    norm = F.trim(F.regexp_replace(lowered, "[ \\t\\n\\r]+", " "))
+    return F.sha2(norm, 256)

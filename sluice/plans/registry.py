@@ -992,3 +992,245 @@ SELECT transaction_id, step, rules,
   CASE WHEN step IS NULL THEN CAST(round(sub * CAST(0.19 AS DECIMAL(38,2)), 2) AS DECIMAL(18,2)) END AS tax_amount,
   CASE WHEN step IS NULL THEN CAST(round(sub * CAST(1.19 AS DECIMAL(38,2)), 2) AS DECIMAL(18,2)) END AS total_amount
 FROM final"""
+
+
+# -------------------------------------------------- JSON envelopes
+
+_K_SPARK = "CAST(get_json_object(props, '$.k') AS INT)"
+_K_DUCK = "CAST(json_extract_string(props, '$.k') AS INTEGER)"
+_CURSOR = "CASE WHEN event_id % 10 = 9 THEN NULL ELSE CAST(event_id + 1 AS STRING) END"
+
+
+@register(
+    "json_envelope",
+    f"""WITH e AS (SELECT event_id, {_K_DUCK} AS k, {_CURSOR} AS next_cursor FROM events)
+SELECT event_id, 0 AS item_pos, k AS item_k, next_cursor FROM e
+UNION ALL SELECT event_id, 1, k * 2, next_cursor FROM e""",
+)
+def json_envelope(spark, sf_dir):
+    from pyspark.sql import types as T
+
+    from sluice.sources.json import cursor_value, explode_envelope
+
+    e = table(spark, sf_dir, "events")
+    k = F.expr(_K_SPARK)
+    body = F.to_json(F.struct(
+        F.struct(F.expr(_CURSOR).alias("next_cursor")).alias("meta"),
+        F.struct(F.array(F.struct(F.col("event_id").alias("id"), k.alias("k")),
+                         F.struct(F.col("event_id").alias("id"), (k * 2).alias("k"))).alias("items")).alias("data"),
+    ))
+    bodies = e.select("event_id", body.alias("body"))
+    item = T.StructType([T.StructField("id", T.LongType()), T.StructField("k", T.IntegerType())])
+    out = explode_envelope(bodies, "body", "data.items", item, keep=["event_id", "body"])
+    return out.select("event_id", F.col("_pos").alias("item_pos"), F.col("k").alias("item_k"),
+                      cursor_value(F.col("body")).alias("next_cursor"))
+
+
+# ------------------------------------------------ near copies of text (D3)
+
+@register(
+    "near_duplicates",
+    """SELECT doc_id, row_number() OVER (
+  PARTITION BY sha256(trim(regexp_replace(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                          '[ \\t\\n\\r]+', ' ', 'g')))
+  ORDER BY doc_id) > 1 AS is_near_dup
+FROM documents""",
+)
+def near_duplicates(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", rules.near_duplicate_key("text").alias("_nk"))
+    return dedup.duplicate_flags(d, ["_nk"], row_id="doc_id", flag="is_near_dup").select("doc_id", "is_near_dup")
+
+
+# ------------------------------------------- target constraints per row
+
+_CONSTRAINT_COLS = {
+    "returnflag": "CASE WHEN l_orderkey % 61 = 0 THEN NULL ELSE l_returnflag END",
+    "quantity": "CAST(CASE WHEN l_orderkey % 43 = 0 THEN -l_quantity ELSE l_quantity END AS DECIMAL(12,2))",
+    "linestatus": "CASE WHEN l_orderkey % 59 = 0 THEN concat(l_linestatus, l_linestatus) ELSE l_linestatus END",
+    "price": "CAST(CAST(l_extendedprice AS DECIMAL(18,2)) * CASE WHEN l_orderkey % 47 = 0 THEN 100 ELSE 1 END AS DECIMAL(18,2))",
+}
+
+
+@register(
+    "constraint_rejects",
+    f"""WITH s AS (SELECT l_orderkey, l_linenumber, {', '.join(f'{e} AS {c}' for c, e in _CONSTRAINT_COLS.items())} FROM lineitem)
+SELECT l_orderkey, l_linenumber, concat_ws('|',
+  CASE WHEN returnflag IS NULL THEN 'NOT_NULL_CONSTRAINT:returnflag' END,
+  CASE WHEN quantity < 0 THEN 'CHECK_CONSTRAINT:quantity' END,
+  CASE WHEN length(linestatus) > 1 THEN 'LENGTH_CONSTRAINT:linestatus' END,
+  CASE WHEN TRY_CAST(price AS DECIMAL(8,2)) IS NULL THEN 'NUMERIC_OVERFLOW:price' END) AS rules
+FROM s""",
+)
+def constraint_rejects(spark, sf_dir):
+    from sluice.operators import load
+
+    s = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", *[F.expr(e).alias(c) for c, e in _CONSTRAINT_COLS.items()])
+    checks = load.constraint_checks(s, not_null=["returnflag"], non_negative=["quantity"],
+                                    max_length={"linestatus": 1}, decimal_fit={"price": "decimal(8,2)"})
+    return rules.attach_errors(s, checks).select("l_orderkey", "l_linenumber", rules.rule_list("errors").alias("rules"))
+
+
+# ------------------------------------------------ name handling
+
+FULL_NAME_RAW = ("CASE c_custkey % 4 WHEN 0 THEN concat(' ', lower(c_name), '  smith ') WHEN 1 THEN upper(c_name) "
+                 "WHEN 2 THEN '   ' ELSE concat(c_mktsegment, ' van  der ', lower(c_mktsegment)) END")
+_DUCK_TITLE = ("CASE WHEN nullif(trim(regexp_replace(full_name, '\\s+', ' ', 'g')), '') IS NULL THEN NULL ELSE "
+               "array_to_string(list_transform(string_split(lower(trim(regexp_replace(full_name, '\\s+', ' ', 'g'))), ' '), "
+               "lambda w: upper(left(w, 1)) || substr(w, 2)), ' ') END")
+
+
+@register(
+    "name_split_combine",
+    f"""WITH r AS (SELECT c_custkey, {FULL_NAME_RAW} AS full_name FROM customer),
+n AS (SELECT c_custkey, {_DUCK_TITLE} AS n FROM r),
+p AS (SELECT c_custkey, n,
+        CASE WHEN strpos(n, ' ') > 0 THEN split_part(n, ' ', 1) END AS first_name,
+        CASE WHEN strpos(n, ' ') > 0 THEN substr(n, strpos(n, ' ') + 1) ELSE n END AS last_name
+      FROM n)
+SELECT c_custkey, first_name, last_name, n IS NULL AS rejected, concat_ws(' ', first_name, last_name) AS full_name FROM p""",
+)
+def name_split_combine(spark, sf_dir):
+    from sluice.functions import derive
+
+    c = table(spark, sf_dir, "customer").select("c_custkey", F.expr(FULL_NAME_RAW).alias("raw"))
+    first, last, failed = derive.split_name(F.col("raw"), "LAST_NAME")
+    s = c.select("c_custkey", first.alias("first_name"), last.alias("last_name"), failed.alias("rejected"))
+    return s.withColumn("full_name", derive.combine_name("first_name", "last_name"))
+
+
+# ---------------------------------------------- composite fields
+
+PACKED_RAW = ("CASE WHEN p_partkey % 7 = 0 THEN p_type WHEN p_partkey % 5 = 0 "
+              "THEN concat(p_type, ',', p_name, ', ', p_brand, ',extra') ELSE concat(p_type, ',', p_name, ', ', p_brand) END")
+
+
+@register(
+    "composite_split",
+    f"""WITH r AS (SELECT p_partkey, string_split({PACKED_RAW}, ',') AS parts FROM part)
+SELECT p_partkey, nullif(trim(parts[1]), '') AS part_type, nullif(trim(parts[2]), '') AS part_name,
+  nullif(trim(parts[3]), '') AS brand, len(parts) > 3 AS rejected FROM r""",
+)
+def composite_split(spark, sf_dir):
+    from sluice.functions import derive
+
+    p = table(spark, sf_dir, "part").select("p_partkey", F.expr(PACKED_RAW).alias("packed"))
+    vals, failed = derive.split_composite(F.col("packed"), ",", {0: "part_type", 1: "part_name", 2: "brand"}, "REJECT")
+    return p.select("p_partkey", *[v.alias(k) for k, v in vals.items()], failed.alias("rejected"))
+
+
+# ------------------------------------------- derived column kinds
+
+@register(
+    "derived_kinds",
+    """SELECT o_orderkey,
+  CAST(round(CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS DECIMAL(38,8)) * CAST(o_orderkey % 20 AS DECIMAL(38,6))
+             * CAST(0.01 AS DECIMAL(3,2)), 2) AS DECIMAL(18,2)) AS pct_amount,
+  o_orderpriority || ' / ' || o_orderstatus AS label,
+  date_diff('day', CAST(o_orderdate AS DATE), DATE '2002-01-01') AS age_days,
+  CASE WHEN o_orderstatus = 'F' THEN 'Finished' ELSE 'Open' END AS status_label,
+  COALESCE(CASE o_orderpriority WHEN '1-URGENT' THEN 'P1' WHEN '2-HIGH' THEN 'P2' END, 'P3+') AS priority_code
+FROM orders""",
+)
+def derived_kinds(spark, sf_dir):
+    from sluice.functions import derive
+
+    o = table(spark, sf_dir, "orders")
+    return o.select(
+        "o_orderkey",
+        derive.percentage(F.col("o_totalprice").cast("decimal(18,2)"), F.col("o_orderkey") % 20).cast("decimal(18,2)")
+        .alias("pct_amount"),
+        derive.concatenation([F.col("o_orderpriority"), " / ", F.col("o_orderstatus")]).alias("label"),
+        derive.date_diff_days(F.lit("2002-01-01"), F.col("o_orderdate")).cast("long").alias("age_days"),
+        derive.conditional("o_orderstatus", "F", "Finished", "Open").alias("status_label"),
+        derive.lookup("o_orderpriority", {"1-URGENT": "P1", "2-HIGH": "P2"}, "P3+").alias("priority_code"),
+    )
+
+
+# ------------------------------------------------ extra predicates
+
+_DOC_TYPE = "CASE c_custkey % 3 WHEN 0 THEN 'CC' WHEN 1 THEN 'NIT' ELSE 'PASS' END"
+_DOC_NUM = ("CASE c_custkey % 3 WHEN 0 THEN CAST(100000 + c_custkey AS STRING) "
+            "WHEN 1 THEN concat(lpad(CAST(c_custkey AS STRING), 9, '0'), '-', CAST(c_custkey % 10 AS STRING)) "
+            "ELSE concat('AB', CAST(c_custkey AS STRING)) END")
+_EMAIL = "concat(lower(replace(c_name, '#', '.')), CASE WHEN c_custkey % 9 = 0 THEN '@Blocked.com' ELSE '@ok.com' END)"
+_REG_SPARK = "date_add(DATE '2000-01-01', CAST(c_custkey AS INT))"
+_REG_DUCK = "(DATE '2000-01-01' + CAST(c_custkey AS INTEGER))"
+_DOC_PATTERNS = {"CC": "[0-9]{6,10}", "NIT": "[0-9]{9}-[0-9]", "PASS": "[A-Z]{2}[0-9]{6}"}
+
+
+@register(
+    "extended_predicates",
+    f"""WITH r AS (SELECT c_custkey, {_DOC_TYPE} AS doc_type, {_DOC_NUM} AS doc_number, {_EMAIL} AS email,
+               {_REG_DUCK} AS registered FROM customer)
+SELECT c_custkey, concat_ws('|',
+  CASE WHEN registered < DATE '2003-01-01' - 1000 THEN 'MAX_AGE:registered' END,
+  CASE WHEN lower(split_part(email, '@', -1)) IN ('blocked.com') THEN 'BLOCKED_DOMAIN:email' END,
+  CASE WHEN (doc_type = 'CC' AND NOT regexp_full_match(doc_number, '{_DOC_PATTERNS["CC"]}'))
+         OR (doc_type = 'NIT' AND NOT regexp_full_match(doc_number, '{_DOC_PATTERNS["NIT"]}'))
+         OR (doc_type = 'PASS' AND NOT regexp_full_match(doc_number, '{_DOC_PATTERNS["PASS"]}'))
+       THEN 'DOCUMENT_FORMAT:doc_number' END) AS rules
+FROM r""",
+)
+def extended_predicates(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select(
+        "c_custkey", F.expr(_DOC_TYPE).alias("doc_type"), F.expr(_DOC_NUM).alias("doc_number"),
+        F.expr(_EMAIL).alias("email"), F.expr(_REG_SPARK).alias("registered"))
+    checks = [rules.max_age_check("registered", dt.date(2003, 1, 1), 1000),
+              rules.blocked_domain_check("email", ["blocked.com"]),
+              rules.document_format_check("doc_type", "doc_number", _DOC_PATTERNS)]
+    return rules.attach_errors(c, checks).select("c_custkey", rules.rule_list("errors").alias("rules"))
+
+
+# ---------------------------------------------- dead-letter attempts
+
+@register(
+    "dead_letter_attempts",
+    f"""WITH r AS (SELECT user_id, ts AS rejected_at, 'k=' || json_extract_string(props, '$.k') AS reason
+               FROM events WHERE event_type = 'error'),
+m AS (SELECT *, max(rejected_at) OVER (PARTITION BY user_id) AS mx FROM r)
+SELECT user_id, count(*) AS attempts, min(rejected_at) AS first_rejected_at, max(rejected_at) AS last_rejected_at,
+  max(reason) FILTER (WHERE rejected_at = mx) AS last_reason, count(*) < 30 AS retryable
+FROM m GROUP BY user_id""",
+)
+def dead_letter_attempts(spark, sf_dir):
+    from sluice.plans import runs
+
+    e = table(spark, sf_dir, "events").filter(F.col("event_type") == "error").select(
+        "user_id", F.col("ts").alias("rejected_at"), F.concat(F.lit("k="), F.get_json_object("props", "$.k")).alias("reason"))
+    return runs.dead_letter_summary(e, ["user_id"], 30)
+
+
+# ------------------------------------------------ throughput per run
+
+@register(
+    "step_throughput",
+    f"""WITH {_DUCK_RUNS}, m AS (SELECT execution_id, total_read + total_rejected AS n, total_read, total_rejected,
+                        epoch_us(finished_at) - epoch_us(started_at) AS us FROM runs)
+SELECT execution_id,
+  CASE WHEN us > 0 THEN CAST(CAST((CAST(n AS HUGEINT) * 1000000 * 200 + us) // (2 * us) AS DECIMAL(38,0)) / 100 AS DECIMAL(20,2)) END
+    AS records_per_second,
+  CASE WHEN n > 0 THEN CAST((total_rejected * 20000 + n) // (2 * n) / 100.0 AS DECIMAL(9,2)) ELSE CAST(0 AS DECIMAL(9,2)) END
+    AS rejected_pct
+FROM m""",
+)
+def step_throughput(spark, sf_dir):
+    from sluice.plans import runs
+
+    r = _runs(spark, sf_dir).withColumn("processed", F.col("total_read") + F.col("total_rejected"))
+    return runs.step_throughput(r, "processed")
+
+
+# ------------------------------------------------ incremental extract
+
+@register(
+    "incremental_extract",
+    """SELECT event_id, ts FROM events
+WHERE ts > (SELECT max(ts) FROM events WHERE ts < TIMESTAMP '2024-01-15 00:00:00')""",
+)
+def incremental_extract(spark, sf_dir):
+    from sluice.sources.registry import incremental, watermark
+
+    events = table(spark, sf_dir, "events")
+    loaded = events.filter(F.col("ts") < F.lit(dt.datetime(2024, 1, 15)).cast("timestamp_ntz"))
+    return incremental(events, "ts", watermark(loaded, "ts")).select("event_id", "ts")

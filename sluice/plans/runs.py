@@ -208,3 +208,27 @@ def runs_per_status(runs: DataFrame, as_of: dt.date, days: int = 7) -> DataFrame
     start = F.date_sub(F.lit(as_of), days - 1)
     r = runs.filter((F.to_date("started_at") >= start) & (F.to_date("started_at") <= F.lit(as_of)))
     return r.groupBy(F.to_date("started_at").alias("day"), "status").agg(F.count(F.lit(1)).alias("runs"))
+
+
+def dead_letter_summary(rejects: DataFrame, keys: Sequence[str], max_attempts: int,
+                        at: str = "rejected_at", reason: str = "reason") -> DataFrame:
+    """Rejects grouped by business key across executions (D14): attempts,
+    first and last rejection, the latest reason, and whether another retry
+    is allowed. One aggregate with map-side combine; no window."""
+    g = rejects.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("attempts"),
+        F.min(at).alias("first_rejected_at"),
+        F.max(at).alias("last_rejected_at"),
+        F.max_by(F.col(reason), F.struct(F.col(at), F.col(reason))).alias("last_reason"),
+    )
+    return g.withColumn("retryable", F.col("attempts") < F.lit(max_attempts))
+
+
+def step_throughput(runs: DataFrame, count_col: str = "total_read") -> DataFrame:
+    """Records per second and rejected share per run."""
+    from sluice.operators.quality import div_round
+
+    micros = F.unix_micros(F.col("finished_at").cast("timestamp")) - F.unix_micros(F.col("started_at").cast("timestamp"))
+    rps = div_round(F.col(count_col) * 1000000, micros, 2).cast("decimal(20,2)")
+    return runs.select("execution_id", rps.alias("records_per_second"),
+                       error_rate_pct(F.col("total_rejected"), F.col(count_col)).alias("rejected_pct"))

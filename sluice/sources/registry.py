@@ -71,3 +71,21 @@ def extract(spark: SparkSession, cfg: SourceConfig) -> DataFrame:
     if reader is None:
         raise ValueError(f"No extractor supports source type {cfg.type}")
     return reader(spark, cfg)
+
+
+def watermark(target: DataFrame, column: str):
+    """Largest value of ``column`` already loaded (one scalar aggregate)."""
+    from pyspark.sql import functions as F
+
+    return target.agg(F.max(column).alias("w")).first()["w"]
+
+
+def incremental(source: DataFrame, column: str, since) -> DataFrame:
+    """Rows newer than ``since`` (D12). The bound is a literal, so file
+    sources push it down to the scan (``PushedFilters``)."""
+    from pyspark.sql import functions as F
+
+    if since is None:
+        return source
+    bound = F.lit(since).cast(source.schema[column].dataType)
+    return source.filter(F.col(column) > bound)
