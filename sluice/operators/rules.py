@@ -2,7 +2,7 @@
 
 Each rule is a ``Column`` that evaluates to an error struct when the row
 breaks the rule and to null otherwise. ``attach_errors`` gathers all rules of
-a step into one ``errors`` array (``array_compact``), so every reason a row
+a step into one ``errors`` array (in check order), so every reason a row
 is rejected is kept, all rules are evaluated in a single projection, and the
 valid/reject split is a filter on ``size(errors)``.
 """
