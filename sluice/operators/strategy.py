@@ -26,8 +26,8 @@ def broadcast_limit(df: DataFrame) -> int:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and return the reread
-    frame (reliable checkpoint: survives executor loss, cuts lineage)."""
+    """Reliable checkpoint of ``df`` in the shared ``spark.checkpoint.dir``:
+    cuts lineage and survives executor loss (never a local checkpoint)."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 

@@ -207,7 +207,7 @@ def resolve_transformer(cfg: PipelineConfig) -> tuple[Specific, str] | None:
 def tag_rows(raw: DataFrame, cfg: PipelineConfig, as_of: dt.date,
              table_catalogs: dict[str, tuple[str, str | None]] | None = None,
              catalog_frames: Callable[[DataFrame], DataFrame] | None = None,
-             dedup_order: list[str] | None = None) -> DataFrame:
+             dedup_order: list[str] | None = None, stage_transformed: bool = True) -> DataFrame:
     """All steps as one plan over one scan of the source. Output: data
     columns after transformation, ``_row``, ``_raw`` (JSON of the source
     row), ``_step`` (the step a rejected row failed at, null if valid) and
@@ -242,11 +242,18 @@ def tag_rows(raw: DataFrame, cfg: PipelineConfig, as_of: dt.date,
     if cfg.name == "inventory-sync" or cfg.id == "inventory-sync":
         dead = t.filter(~alive)
         t = inventory_consolidate(t.filter(alive)).unionByName(dead, allowMissingColumns=True)
+    keys = [k for k in cfg.validation.unique_key_columns if k in t.columns]
+    if keys and stage_transformed:
+        # the duplicate check needs a pass over the transformed rows before the
+        # final pass; materialising them once avoids running every transform
+        # rule twice (one write + two reads instead of two full evaluations)
+        t = strategy.materialize(t.withColumn("_alive", alive))
+        alive = F.col("_alive")
+        schema_ok = F.size("_e_schema") == 0
     # business step
     if catalog_frames is not None:
         t = catalog_frames(t)
     checks = rules.business_checks(t, cfg.validation, as_of, table_catalogs)
-    keys = [k for k in cfg.validation.unique_key_columns if k in t.columns]
     if keys:
         t = dedup.duplicate_flags(t, keys, row_id="_row", order_cols=dedup_order,
                                   reject_all=cfg.validation.reject_all_duplicates, flag="_dup", where=alive)
@@ -259,7 +266,7 @@ def tag_rows(raw: DataFrame, cfg: PipelineConfig, as_of: dt.date,
               .otherwise(F.col("_e_business")))
     flags = {"_dup"} | ({x for pair in table_catalogs.values() for x in pair if x} if table_catalogs else set())
     out = t.withColumn("_step", step).withColumn("errors", errors)
-    return out.drop(*[c for c in out.columns if c in flags or c in ("_e_schema", "_e_transform", "_e_business")])
+    return out.drop(*[c for c in out.columns if c in flags or c in ("_e_schema", "_e_transform", "_e_business", "_alive")])
 
 
 # ------------------------------------------------------------------ runner
