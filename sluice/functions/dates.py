@@ -24,6 +24,11 @@ DATETIME_PATTERNS = (
     "dd/MM/yyyy HH:mm:ss",
     "MM/dd/yyyy HH:mm:ss",
 )
+# Documented extension: ISO date-times with a zone offset or Z, converted to UTC.
+OFFSET_PATTERNS = (
+    "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]XXX",
+    "yyyy-MM-dd HH:mm:ss[.SSSSSS]XXX",
+)
 DATE_PATTERNS = (
     "yyyy-MM-dd",
     "dd/MM/yyyy",
@@ -75,6 +80,8 @@ def pattern_shape(pattern: str) -> str:
                 out.append("[0-9]{1,%d}" % n)
             elif ch in widths:
                 out.append("[0-9]{%d}" % n if n >= 2 else "[0-9]{%s}" % widths[ch])
+            elif ch == "X":
+                out.append("(?:Z|[+-][0-9]{2}(?::?[0-9]{2})?)")
             else:
                 out.append("[^ ]+")
             i = j
@@ -111,7 +118,9 @@ def to_utc_timestamp_multi(col, source_zone: str = "UTC") -> Column:
     c = _c(col)
     s = trim_ws(c.cast("string"))
     local = F.coalesce(_first(s, DATETIME_PATTERNS), _first(s, DATE_PATTERNS))
-    return local if source_zone in ("UTC", "Z", "GMT") else F.to_utc_timestamp(local, source_zone)
+    in_zone = local if source_zone in ("UTC", "Z", "GMT") else F.to_utc_timestamp(local, source_zone)
+    # text carrying its own offset is already absolute: no source-zone shift
+    return F.coalesce(in_zone, _first(s, OFFSET_PATTERNS))
 
 
 def schema_date_ok(col, date_format: str | None, iso_fallback: bool = True) -> Column:

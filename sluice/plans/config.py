@@ -56,6 +56,9 @@ class TargetConfig:
     closed_flag_value: str | None = None
     not_null_columns: list[str] = field(default_factory=list)
     immutable_columns: list[str] = field(default_factory=list)
+    non_negative_columns: list[str] = field(default_factory=list)
+    max_lengths: dict[str, int] = field(default_factory=dict)
+    decimal_types: dict[str, str] = field(default_factory=dict)
 
 
 @dataclass
@@ -183,6 +186,9 @@ def from_dict(doc: dict) -> PipelineConfig:
         closed_flag_value=_g(tc, "closed-flag-value"),
         not_null_columns=list(_g(tc, "not-null-columns", []) or []),
         immutable_columns=list(_g(tc, "immutable-columns", []) or []),
+        non_negative_columns=list(_g(tc, "non-negative-columns", []) or []),
+        max_lengths={k: int(v) for k, v in (_g(tc, "max-lengths", {}) or {}).items()},
+        decimal_types={k: str(v) for k, v in (_g(tc, "decimal-types", {}) or {}).items()},
     )
     ranges = {
         k: RangeRule(_dec(v["min"]), _dec(v["max"]), bool(v.get("inclusive", True)))

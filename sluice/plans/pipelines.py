@@ -297,6 +297,7 @@ class RunResult:
 STEP_REASONS = {
     rules.STEP_SCHEMA: rules.REASON_SCHEMA,
     rules.STEP_BUSINESS: rules.REASON_BUSINESS,
+    "LOAD": "Target constraint violated",
 }
 
 
@@ -372,6 +373,31 @@ def run_pipeline(
         result.errors.append(str(exc))
         _record(run_store, cfg, result, rejects, started)
         return result
+    tc = cfg.target
+    constraints = load.constraint_checks(tagged, [c for c in tc.not_null_columns if c in tagged.columns],
+                                         [c for c in tc.non_negative_columns if c in tagged.columns],
+                                         {k: v for k, v in tc.max_lengths.items() if k in tagged.columns},
+                                         {k: v for k, v in tc.decimal_types.items() if k in tagged.columns})
+    if constraints:
+        # Rows the target would refuse are rejected one by one (step LOAD)
+        # instead of failing their chunk; fail-fast turns any of them into FAILED
+        load_errors = rules.collect_errors(constraints)
+        ok = F.col("_step").isNull()
+        tagged = strategy.materialize(tagged.withColumn("_le", F.when(ok, load_errors)).withColumns({
+            "_step": F.when(ok & (F.size("_le") > 0), F.lit("LOAD")).otherwise(F.col("_step")),
+            "errors": F.when(ok & (F.size("_le") > 0), F.col("_le")).otherwise(F.col("errors")),
+        }).drop("_le"))
+        result.tagged = tagged
+        n_load = tagged.filter(F.col("_step") == "LOAD").count()
+        result.rejected += n_load
+        rejects = reject_rows(tagged, execution_id, started)
+        if n_load and tc.fail_fast_on_chunk_error:
+            result.status = "FAILED"
+            result.errors.append(f"{n_load} rows violate target constraints")
+            _record(run_store, cfg, result, rejects, started)
+            return result
+        c = c.asDict()
+        c["valid"] -= n_load
     valid = tagged.filter(F.col("_step").isNull()).drop("_step", "errors", "_raw")
     run = load.RunContext(execution_id=execution_id, pipeline_id=cfg.id, pipeline_version=cfg.version,
                           source_file=cfg.source.location, load_timestamp=started, as_of=as_of)

@@ -232,3 +232,26 @@ def step_throughput(runs: DataFrame, count_col: str = "total_read") -> DataFrame
     rps = div_round(F.col(count_col) * 1000000, micros, 2).cast("decimal(20,2)")
     return runs.select("execution_id", rps.alias("records_per_second"),
                        error_rate_pct(F.col("total_rejected"), F.col(count_col)).alias("rejected_pct"))
+
+
+def with_pipeline_names(runs: DataFrame, pipelines: DataFrame) -> DataFrame:
+    """Execution rows with their pipeline's name; the id when the pipeline
+    is unknown (J6). The pipeline table is small and unique per id."""
+    names = pipelines.select(F.col("pipeline_id").alias("_pid"), F.col("name").alias("_pname"))
+    j = runs.join(names, runs["pipeline_id"] == names["_pid"], "left")
+    return j.withColumn("pipeline_name", F.coalesce(F.col("_pname"), F.col("pipeline_id"))).drop("_pid", "_pname")
+
+
+def rejected_per_execution(rejects: DataFrame) -> DataFrame:
+    """Rejected row count of every execution (A10)."""
+    return rejects.groupBy("execution_id").agg(F.count(F.lit(1)).alias("rejected"))
+
+
+def active_runs(runs: DataFrame) -> DataFrame:
+    """Runs still in progress (F1)."""
+    return runs.filter(F.col("status").isin(*ACTIVE_STATUSES))
+
+
+def active_pipelines(pipelines: DataFrame) -> DataFrame:
+    """Pipelines whose status is ACTIVE (F1)."""
+    return pipelines.filter(F.col("status") == "ACTIVE")

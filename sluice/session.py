@@ -19,6 +19,7 @@ BASE_CONF = {
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    "spark.serializer": "org.apache.spark.serializer.KryoSerializer",
 }
 
 

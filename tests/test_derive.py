@@ -83,3 +83,20 @@ def test_restore_and_incremental(spark, tmpdir_path):
     ev = spark.createDataFrame([(1, dt.datetime(2026, 1, 1)), (2, dt.datetime(2026, 1, 3))], "id int, ts timestamp")
     w = watermark(ev.filter(F.col("id") == 1), "ts")
     assert [r.id for r in incremental(ev, "ts", w).collect()] == [2]
+
+
+def test_offset_timestamps_and_run_lookups(spark):
+    from sluice.functions import dates
+    from sluice.plans import runs
+
+    ts = spark.createDataFrame([("2026-01-15T10:00:00-05:00",), ("2026-01-15T10:00:00Z",)], ["s"]).select(
+        dates.to_utc_timestamp_multi(F.col("s")).alias("t")).collect()
+    assert [r.t for r in ts] == [dt.datetime(2026, 1, 15, 15, 0), dt.datetime(2026, 1, 15, 10, 0)]
+    r = spark.createDataFrame([("e1", "p1", "RUNNING"), ("e2", "p9", "SUCCESS")], "execution_id string, pipeline_id string, status string")
+    p = spark.createDataFrame([("p1", "sales-daily", "ACTIVE")], "pipeline_id string, name string, status string")
+    names = {x.execution_id: x.pipeline_name for x in runs.with_pipeline_names(r, p).collect()}
+    assert names == {"e1": "sales-daily", "e2": "p9"}
+    assert [x.execution_id for x in runs.active_runs(r).collect()] == ["e1"]
+    assert runs.active_pipelines(p).count() == 1
+    rej = spark.createDataFrame([("e1",), ("e1",), ("e2",)], ["execution_id"])
+    assert {x.execution_id: x.rejected for x in runs.rejected_per_execution(rej).collect()} == {"e1": 2, "e2": 1}

@@ -137,3 +137,22 @@ def test_item_end_to_end(spark, tmpdir_path):
         "Acme Imports", "cans", Decimal("11.50"), "tasty soup", "Colombia")
     rej = res.rejects().first()
     assert rej._step == "TRANSFORM" and rej.errors[0].message == "unit_price must be non-negative"
+
+
+def test_item_target_constraints_reject_per_row(spark, tmpdir_path):
+    p = os.path.join(tmpdir_path, "items.csv")
+    with open(p, "w") as fh:
+        fh.write("item_key,item_name,desc,unit_price,man_country,supplier,unit\n"
+                 "I1,Soup,,1.5,peru,acme,CANS\nI2,A very long item name,,2,peru,acme,BAGS\n")
+    cfg = builtin("item", {"SLUICE_ITEM_SOURCE_PATH": p})
+    cfg.target.max_lengths = {"item_name": 10}
+    cfg.target.fail_fast_on_chunk_error = False
+    cfg.validation.error_threshold_percent = 100.0
+    target = load.BucketedTable(spark, os.path.join(tmpdir_path, "item_t"), cfg.target.business_key, 4)
+    res = pipelines.run_pipeline(spark, cfg, sources.extract(spark, cfg.source), target, AS_OF, "e1")
+    assert (res.read, res.loaded, res.rejected, res.status) == (2, 1, 1, "PARTIAL")
+    rej = res.rejects().first()
+    assert rej._step == "LOAD" and rej.errors[0].rule == "LENGTH_CONSTRAINT"
+    cfg.target.fail_fast_on_chunk_error = True
+    res2 = pipelines.run_pipeline(spark, cfg, sources.extract(spark, cfg.source), target, AS_OF, "e2")
+    assert res2.status == "FAILED"
