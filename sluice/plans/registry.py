@@ -800,7 +800,13 @@ SELECT o_orderkey, rules FROM validated WHERE n_errors > 0 ORDER BY o_orderkey L
 def rejects_page(spark, sf_dir):
     from sluice.plans import runs
 
-    _, rej = rules.split(_orders_validated(spark, sf_dir))
+    from sluice.operators.strategy import materialize
+
+    # pages are served from stored rejects: validate once, then filter and
+    # page the materialised rows (a filter on the live error array would be
+    # pushed below and evaluate every rule twice)
+    stored = materialize(_orders_validated(spark, sf_dir).select("o_orderkey", "errors"))
+    _, rej = rules.split(stored)
     return runs.page(rej.select("o_orderkey", rules.rule_list("errors").alias("rules")), 2, 50, [F.col("o_orderkey")])
 
 
