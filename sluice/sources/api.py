@@ -168,8 +168,9 @@ def pages(opts: dict, endpoint: str, fetch=None):
 
 
 class _Endpoint(InputPartition):
-    def __init__(self, endpoint: str):
+    def __init__(self, endpoint: str, page: int | None = None):
         self.endpoint = endpoint
+        self.page = page
 
 
 class PagedApiReader(DataSourceReader):
@@ -177,9 +178,28 @@ class PagedApiReader(DataSourceReader):
         self.options = Options(options)
 
     def partitions(self):
-        return [_Endpoint(e.strip()) for e in self.options["location"].split("|") if e.strip()]
+        endpoints = [e.strip() for e in self.options["location"].split("|") if e.strip()]
+        kind = (self.options.get("paginationType") or "NONE").upper()
+        max_pages = self.options.get("maxPages")
+        if kind == "OFFSET" and max_pages:
+            # page count known up front: every page is its own task
+            start = int(self.options.get("pageStart", "0"))
+            return [_Endpoint(e, p) for e in endpoints for p in range(start, start + int(max_pages))]
+        return [_Endpoint(e) for e in endpoints]
 
     def read(self, partition):
+        if partition.page is not None:
+            # rows numbered as if pages were read in order (full pages of pageSize)
+            size = int(self.options.get("pageSize", "200"))
+            start = int(self.options.get("pageStart", "0"))
+            opts = self.options
+            root = fetch_page(opts, partition.endpoint, {opts.get("pageParam", "page"): str(partition.page)})
+            arr = dotted(root, opts["responseArrayPath"])
+            if not isinstance(arr, list):
+                raise ValueError(f"Response path '{opts['responseArrayPath']}' is not an array")
+            for i, item in enumerate(arr):
+                yield (json.dumps(item), (partition.page - start) * size + i + 1, partition.endpoint, partition.page)
+            return
         row = 1
         for page_no, items in pages(self.options, partition.endpoint):
             for item in items:

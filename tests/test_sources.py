@@ -146,3 +146,14 @@ def test_xlsx_reader(spark, tmpdir_path):
     df = read_xlsx(spark, p, {"sheetName": "Inventory", "dataStartRow": "2"})
     got = [(r._row, r.sku, r.quantity_on_hand, r.unit_cost, r.last_updated) for r in df.orderBy("_row").collect()]
     assert got == [(2, "abc 00123", "5", "10.5", "2026-03-23"), (4, "SKU-1", "4", "5", "2026-03-23 10:30:00")]
+
+
+def test_api_offset_pages_in_parallel(spark, tmpdir_path):
+    from sluice.sources.api import read_api
+
+    p = _api_spec(tmpdir_path, {"pages": {"page=0": {"items": [{"v": 1}, {"v": 2}]}, "page=1": {"items": [{"v": 3}]}}})
+    props = {"responseArrayPath": "items", "paginationType": "OFFSET", "fetcher": "tests.fake_api:fetch",
+             "maxPages": "3", "pageSize": "2"}
+    df = read_api(spark, "fake://" + p, props, "v int")
+    assert df.rdd.getNumPartitions() == 3
+    assert sorted((r._row, r.v) for r in df.collect()) == [(1, 1), (2, 2), (3, 3)]
