@@ -2,9 +2,10 @@
 
 Small fixed vocabularies (config lists, code maps) are inlined as literals
 (``isin`` / ``create_map``): no join at all. Table-backed catalogs are joined:
-the distinct catalog keys are materialised and counted, broadcast when under
-the limit, otherwise joined by shuffle (the catalog side is unique per key,
-and AQE's skew-join split handles a hot key on the data side).
+the catalog is broadcast when its size is proven under the limit (Parquet
+footer row count of the scan, or a count of the materialised keys when the
+plan gives no bound), otherwise joined by shuffle (the catalog side is
+unique per key, and AQE's skew-join split handles a hot key on the data side).
 """
 
 from __future__ import annotations
@@ -38,7 +39,13 @@ def catalog_flags(
         F.col(catalog_key).alias("_cat_key"),
         (active if active is not None else F.lit(True)).alias("_cat_active"),
     ).groupBy("_cat_key").agg(F.max("_cat_active").alias("_cat_active"))
-    cat, small = strategy.small_or_none(cat)
+    # footer row count of the catalog table bounds its distinct keys: no job
+    # over the data, and a large catalog is never copied just to be counted
+    bound = strategy.row_bound(cat)
+    if bound is None:
+        cat, small = strategy.small_or_none(cat)
+    else:
+        small = bound <= strategy.broadcast_limit(cat)
     j = df.join(strategy.hint_broadcast(cat, small), df[f"`{field}`"] == cat["_cat_key"], "left")
     present = F.col("_cat_key").isNotNull()
     j = j.withColumn(in_col, F.when(F.col(f"`{field}`").isNotNull(), present))
@@ -74,6 +81,10 @@ def map_code(col: Column, mapping: Mapping[str, str], policy: str = "REJECT", de
 def map_table(df: DataFrame, field: str, table: DataFrame, key: str, value: str, out: str | None = None) -> DataFrame:
     """Code translation through a lookup table (size-checked broadcast)."""
     t = table.select(F.col(key).alias("_map_k"), F.col(value).alias("_map_v")).dropDuplicates(["_map_k"])
-    t, small = strategy.small_or_none(t)
+    bound = strategy.row_bound(t)
+    if bound is None:
+        t, small = strategy.small_or_none(t)
+    else:
+        small = bound <= strategy.broadcast_limit(t)
     j = df.join(strategy.hint_broadcast(t, small), df[f"`{field}`"] == t["_map_k"], "left")
     return j.withColumn(out or field, F.col("_map_v")).drop("_map_k", "_map_v")

@@ -90,3 +90,39 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     if df.rdd.getNumPartitions() < target:
         return df.repartition(target)
     return df
+
+
+# plan nodes that never produce more rows than their child
+_ROW_NON_INCREASING = {"Project", "Filter", "Aggregate", "Deduplicate", "Distinct", "Sort", "GlobalLimit",
+                       "LocalLimit", "SubqueryAlias", "Repartition", "RepartitionByExpression", "Sample",
+                       "ResolvedHint", "WithMetadata"}
+
+
+def row_bound(df: DataFrame) -> int | None:
+    """A proven upper bound on the rows of ``df`` without evaluating it.
+
+    When the optimised plan is a chain of row-non-increasing operators over
+    one Parquet scan, the scan's row count (read from the file footers, no
+    data pages) bounds the result. ``None`` when no such bound is known.
+    """
+    node = df._jdf.queryExecution().optimizedPlan()
+    while True:
+        name = node.nodeName()
+        children = node.children()
+        if children.size() == 0:
+            break
+        if name not in _ROW_NON_INCREASING or children.size() != 1:
+            return None
+        node = children.apply(0)
+    if node.nodeName() != "LogicalRelation" or "parquet" not in node.toString().lower():
+        return None
+    files = df.inputFiles()
+    if not files:
+        return 0
+    return df.sparkSession.read.parquet(*files).count()
+
+
+def broadcastable(df: DataFrame, limit: int | None = None) -> bool:
+    """True only when ``df`` has a proven row bound under the limit."""
+    bound = row_bound(df)
+    return bound is not None and bound <= (broadcast_limit(df) if limit is None else limit)
