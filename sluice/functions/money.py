@@ -13,7 +13,6 @@ from collections.abc import Mapping
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from sluice.functions.text import trim_ws
 
 AMOUNT_TYPE = "decimal(20,8)"
 RATE_TYPE = "decimal(17,8)"

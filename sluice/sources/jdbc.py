@@ -151,3 +151,10 @@ def with_source_rows(df: DataFrame, source: str) -> DataFrame:
     from sluice.operators.strategy import sequential_ids
 
     return sequential_ids(df, "_row").withColumn("_source", F.lit(source))
+
+
+def query_tables(spark: SparkSession, query: str, props: dict | None = None) -> DataFrame:
+    """Parameterised query over tables/views registered in the session,
+    with Spark's native named parameter markers (``:name``): values are
+    bound as typed literals by Spark, never spliced into the text."""
+    return spark.sql(query, args=query_params(props or {}))

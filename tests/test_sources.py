@@ -157,3 +157,13 @@ def test_api_offset_pages_in_parallel(spark, tmpdir_path):
     df = read_api(spark, "fake://" + p, props, "v int")
     assert df.rdd.getNumPartitions() == 3
     assert sorted((r._row, r.v) for r in df.collect()) == [(1, 1), (2, 2), (3, 3)]
+
+
+def test_query_tables_with_named_parameters(spark):
+    spark.createDataFrame([("O-001", "OPEN", Decimal("12.50")), ("O-002", "OPEN", Decimal("10.00")),
+                           ("O-003", "CLOSED", Decimal("99.00"))], "order_id string, status string, amount decimal(12,2)") \
+        .createOrReplaceTempView("source_orders")
+    df = jdbc.query_tables(spark, "SELECT order_id FROM source_orders WHERE status = :status AND amount >= :minAmount",
+                           {"queryParam.status": "OPEN", "queryParam.minAmount": "10.00",
+                            "queryParamType.minAmount": "DECIMAL"})
+    assert sorted(r.order_id for r in df.collect()) == ["O-001", "O-002"]
