@@ -88,6 +88,12 @@ def read_csv(spark: SparkSession, path: str, cfg: SourceConfig, extracted_at=Non
     props = cfg.properties
     tokens = null_token_set(props)
     opts = _csv_options(cfg)
+    if opts["encoding"].replace("-", "").upper() not in ("UTF8", "USASCII", "ASCII"):
+        # the text source decodes UTF-8 only: other encodings go through the
+        # CSV reader (decoded there), with unique ids instead of line numbers
+        df = read_csv_multiline(spark, path, cfg)
+        ts = F.lit(extracted_at).cast("timestamp") if extracted_at is not None else F.current_timestamp()
+        return df.withColumn("_extracted_at", ts)
     raw_header = read_header(spark, path, cfg) if cfg.has_header else []
     n = max(len(raw_header), width or 0)
     if not cfg.has_header and n == 0:

@@ -142,10 +142,15 @@ def read_xlsx(spark: SparkSession, path: str, props: dict | None = None, has_hea
                 width = max([max(r) + 1 for r in rows.values()] or [0])
                 yield pd.DataFrame({"path": [p], "cells": [[hdr.get(i) for i in range(width)]]})
 
-    first = files.mapInPandas(headers_of, "path string, cells array<string>").orderBy("path").limit(1).collect()
+    # header from the first workbook only (one small task), not from every file
+    first_path = spark.read.format("binaryFile").load(path).select("path").orderBy("path").limit(1).collect()
+    head = files.filter(F.col("path") == first_path[0]["path"]) if first_path else files.limit(0)
+    first = head.mapInPandas(headers_of, "path string, cells array<string>").collect()
     raw_header = list(first[0]["cells"]) if first else []
     if has_header:
-        names = [(h if h else f"column_{i + 1}") for i, h in enumerate(raw_header)]
+        from sluice.sources.csv import header_mapping, normalize_headers
+
+        names = normalize_headers(raw_header, header_mapping(props))
     else:
         names = [f"column_{i + 1}" for i in range(len(raw_header))]
     schema = ", ".join(f"`{n}` string" for n in names) + (", " if names else "") + "_row long, _source string"

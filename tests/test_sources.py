@@ -167,3 +167,11 @@ def test_query_tables_with_named_parameters(spark):
                            {"queryParam.status": "OPEN", "queryParam.minAmount": "10.00",
                             "queryParamType.minAmount": "DECIMAL"})
     assert sorted(r.order_id for r in df.collect()) == ["O-001", "O-002"]
+
+
+def test_csv_latin1_encoding(spark, tmpdir_path):
+    p = os.path.join(tmpdir_path, "l1.csv")
+    with open(p, "wb") as fh:
+        fh.write("name,city\nJosé,Bogotá\n".encode("latin-1"))
+    df = csv_src.read_csv(spark, p, SourceConfig(encoding="ISO-8859-1"))
+    assert [(r.name, r.city) for r in df.collect()] == [("José", "Bogotá")]
