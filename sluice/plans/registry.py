@@ -897,7 +897,12 @@ def sales_pipeline(spark, sf_dir):
     from sluice.plans import pipelines
 
     li = table(spark, sf_dir, "lineitem", row_id="_row")  # id fixed on the scan, before the join
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    from sluice.operators import strategy
+
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey", "o_orderdate")
+    # orders is broadcast only under a proven row bound (footer count);
+    # at scale it is a shuffle join on the order key
+    orders = strategy.hint_broadcast(orders, strategy.broadcastable(orders))
     j = li.join(orders, li.l_orderkey == orders.o_orderkey)
     raw = j.select(*[F.expr(e).alias(c) for c, e in _SALES_COLS.items()],
                    F.expr(_SALE_DATE_SPARK).alias("sale_date"), "_row",

@@ -9,13 +9,17 @@ from pyspark.sql import SparkSession
 
 # Settings every sluice job relies on: UTC wall clock (date rules are defined
 # in UTC), ANSI on (bad casts raise unless try_* is used), AQE for runtime
-# coalescing and skew-join splitting.
+# coalescing and skew-join splitting. Broadcasts happen only on a proven size:
+# sluice's own hints after a row-bound check, or AQE's runtime conversion on
+# the measured size of a finished shuffle stage, never on static estimates.
 BASE_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.ansi.enabled": "true",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "67108864",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
