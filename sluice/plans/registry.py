@@ -689,7 +689,9 @@ def union_by_name(spark, sf_dir):
     b = o.filter(F.col("o_orderstatus") != "F").select("o_orderkey", "o_orderdate", "o_orderpriority")
     run = load.RunContext(execution_id="exec-9", pipeline_id="orders-sync", pipeline_version="1.0.0",
                           source_file="orders.parquet", load_timestamp=dt.datetime(2026, 1, 1))
-    return load.add_trace_columns(load.union_for_load([a, b]), run)
+    out = load.add_trace_columns(load.union_for_load([a, b]), run)
+    # zone-less like the other timestamp outputs (session time zone is UTC)
+    return out.withColumn("etl_load_timestamp", F.col("etl_load_timestamp").cast("timestamp_ntz"))
 
 
 # ---------------------------------------------------------- run history
