@@ -16,6 +16,8 @@ from sluice.session import checkpoint_dir
 
 BROADCAST_ROW_LIMIT = 1_000_000
 BROADCAST_CONF = "sluice.broadcast.rowLimit"
+BROADCAST_BYTE_LIMIT = 256 * 1024 * 1024
+BROADCAST_BYTES_CONF = "sluice.broadcast.byteLimit"
 
 
 def broadcast_limit(df: DataFrame) -> int:
@@ -38,10 +40,45 @@ def counted(df: DataFrame) -> tuple[DataFrame, int]:
     return m, m.count()
 
 
+def _width(dt) -> int:
+    """Bytes of a fixed-width value in Spark's row format (complex types are
+    counted generously)."""
+    from pyspark.sql import types as T
+
+    if isinstance(dt, (T.BooleanType, T.ByteType)):
+        return 1
+    if isinstance(dt, (T.ShortType,)):
+        return 2
+    if isinstance(dt, (T.IntegerType, T.FloatType, T.DateType)):
+        return 4
+    if isinstance(dt, (T.LongType, T.DoubleType, T.TimestampType, T.TimestampNTZType)):
+        return 8
+    if isinstance(dt, T.DecimalType):
+        return 8 if dt.precision <= 18 else 16
+    if isinstance(dt, T.StructType):
+        return sum(_width(f.dataType) for f in dt.fields) + 8
+    return 256
+
+
 def small_or_none(df: DataFrame, limit: int | None = None) -> tuple[DataFrame, bool]:
-    """Materialise a (usually small) side and say whether it may be broadcast."""
-    m, n = counted(df)
-    return m, n <= (broadcast_limit(df) if limit is None else limit)
+    """Materialise a (usually small) side and say whether it may be broadcast:
+    its row count and its measured size (fixed-width fields by type, string
+    and binary fields by their actual bytes) must both be under the limits."""
+    from pyspark.sql import types as T
+
+    m = materialize(df)
+    var = [f.name for f in m.schema.fields if isinstance(f.dataType, (T.StringType, T.BinaryType))]
+    fixed = sum(_width(f.dataType) for f in m.schema.fields if f.name not in var) + 16
+    stats = m.agg(F.count(F.lit(1)).alias("n"),
+                  *[F.coalesce(F.sum(F.octet_length(F.col(f"`{c}`"))), F.lit(0)).alias(f"_b{i}") for i, c in enumerate(var)]
+                  ).first()
+    n = stats["n"]
+    size = n * fixed + sum(stats[f"_b{i}"] for i in range(len(var)))
+    try:
+        byte_limit = int(df.sparkSession.conf.get(BROADCAST_BYTES_CONF, str(BROADCAST_BYTE_LIMIT)))
+    except Exception:  # noqa: BLE001
+        byte_limit = BROADCAST_BYTE_LIMIT
+    return m, n <= (broadcast_limit(df) if limit is None else limit) and size <= byte_limit
 
 
 def null_safe_on(left: DataFrame, right: DataFrame, keys: Sequence[str], rprefix: str = "_r_") -> tuple[DataFrame, Column]:
