@@ -93,8 +93,21 @@ def collect_errors(checks: Sequence[Column]) -> Column:
     return F.concat(*parts).cast(ERRORS_TYPE) if len(parts) > 1 else parts[0].cast(ERRORS_TYPE)
 
 
-def attach_errors(df: DataFrame, checks: Sequence[Column], name: str = "errors") -> DataFrame:
-    return df.withColumn(name, collect_errors(checks))
+def attach_errors(df: DataFrame, checks: Sequence[Column], name: str = "errors", labels: str | None = None) -> DataFrame:
+    """Add the error array; with ``labels`` also a ``rule:field|...`` text
+    column built from the same checks (same subexpressions, so codegen
+    evaluates each check once; no higher-order function)."""
+    cols = {name: collect_errors(checks)}
+    if labels:
+        cols[labels] = check_labels(checks)
+    return df.withColumns(cols)
+
+
+def check_labels(checks: Sequence[Column], sep: str = "|") -> Column:
+    """``rule:field`` of every failing check, in check order."""
+    if not checks:
+        return F.lit("")
+    return F.concat_ws(sep, *[F.when(c.isNotNull(), F.concat_ws(":", c["rule"], c["field"])) for c in checks])
 
 
 # --------------------------------------------------------------------- schema
@@ -157,8 +170,8 @@ def schema_checks(df: DataFrame, cfg: ValidationConfig) -> list[Column]:
     return out
 
 
-def validate_schema(df: DataFrame, cfg: ValidationConfig, name: str = "errors") -> DataFrame:
-    return attach_errors(df, schema_checks(df, cfg), name)
+def validate_schema(df: DataFrame, cfg: ValidationConfig, name: str = "errors", labels: str | None = None) -> DataFrame:
+    return attach_errors(df, schema_checks(df, cfg), name, labels)
 
 
 # ------------------------------------------------------------------- business

@@ -106,7 +106,7 @@ def _orders_validated(spark, sf_dir):
         "o_orderkey", "o_orderpriority",
         *[text.null_tokens(F.col(c), text.DEFAULT_NULL_TOKENS, case_sensitive=True).alias(c) for c in RAW_COLS],
     )
-    return rules.validate_schema(clean, ORDERS_SCHEMA_CFG)
+    return rules.validate_schema(clean, ORDERS_SCHEMA_CFG, labels="rules")
 
 
 _DUCK_ORDERS_CLEAN = f"""
@@ -161,7 +161,7 @@ def schema_validation(spark, sf_dir):
     return v.select(
         "o_orderkey",
         F.size("errors").alias("n_errors"),
-        rules.rule_list("errors").alias("rules"),
+        "rules",
         (F.size("errors") == 0).alias("is_valid"),
     )
 
@@ -584,8 +584,8 @@ def catalog_lookup(spark, sf_dir):
     li, p_in, _ = lookup.catalog_flags(li, "part_key", part, "p_partkey")
     checks = rules.business_checks(li, ValidationConfig(), dt.date(2000, 1, 1),
                                    catalog_flags={"supp_key": (s_in, s_act), "part_key": (p_in, None)})
-    v = rules.attach_errors(li, checks)
-    return v.select("l_orderkey", "l_linenumber", "supp_key", "part_key", rules.rule_list("errors").alias("rules"))
+    v = rules.attach_errors(li, checks, labels="rules")
+    return v.select("l_orderkey", "l_linenumber", "supp_key", "part_key", "rules")
 
 
 # ---------------------------------------------------------------- loads
@@ -807,9 +807,9 @@ def rejects_page(spark, sf_dir):
     # pages are served from stored rejects: validate once, then filter and
     # page the materialised rows (a filter on the live error array would be
     # pushed below and evaluate every rule twice)
-    stored = materialize(_orders_validated(spark, sf_dir).select("o_orderkey", "errors"))
+    stored = materialize(_orders_validated(spark, sf_dir).select("o_orderkey", "errors", "rules"))
     _, rej = rules.split(stored)
-    return runs.page(rej.select("o_orderkey", rules.rule_list("errors").alias("rules")), 2, 50, [F.col("o_orderkey")])
+    return runs.page(rej.select("o_orderkey", "rules"), 2, 50, [F.col("o_orderkey")])
 
 
 WINDOWS = [
@@ -1085,7 +1085,7 @@ def constraint_rejects(spark, sf_dir):
         "l_orderkey", "l_linenumber", *[F.expr(e).alias(c) for c, e in _CONSTRAINT_COLS.items()])
     checks = load.constraint_checks(s, not_null=["returnflag"], non_negative=["quantity"],
                                     max_length={"linestatus": 1}, decimal_fit={"price": "decimal(8,2)"})
-    return rules.attach_errors(s, checks).select("l_orderkey", "l_linenumber", rules.rule_list("errors").alias("rules"))
+    return rules.attach_errors(s, checks, labels="rules").select("l_orderkey", "l_linenumber", "rules")
 
 
 # ------------------------------------------------ name handling
@@ -1196,7 +1196,7 @@ def extended_predicates(spark, sf_dir):
     checks = [rules.max_age_check("registered", dt.date(2003, 1, 1), 1000),
               rules.blocked_domain_check("email", ["blocked.com"]),
               rules.document_format_check("doc_type", "doc_number", _DOC_PATTERNS)]
-    return rules.attach_errors(c, checks).select("c_custkey", rules.rule_list("errors").alias("rules"))
+    return rules.attach_errors(c, checks, labels="rules").select("c_custkey", "rules")
 
 
 # ---------------------------------------------- dead-letter attempts
