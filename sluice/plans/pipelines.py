@@ -225,7 +225,7 @@ def tag_rows(raw: DataFrame, cfg: PipelineConfig, as_of: dt.date,
     data_cols = [c for c in raw.columns if not c.startswith("_")]
     base = raw.withColumn("_raw", F.to_json(F.struct(*[_q(c) for c in data_cols])))
     # schema step on raw header names
-    s = rules.validate_schema(base, cfg.validation, "_e_schema")
+    s = rules.validate_schema(base, cfg.validation, "_e_schema", labels="_l_schema")
     schema_ok = F.size("_e_schema") == 0
     # transform step: common rules then pipeline-specific rules
     t = common_transform(s, cfg.transformation, "_e_transform")
@@ -258,15 +258,21 @@ def tag_rows(raw: DataFrame, cfg: PipelineConfig, as_of: dt.date,
         t = dedup.duplicate_flags(t, keys, row_id="_row", order_cols=dedup_order,
                                   reject_all=cfg.validation.reject_all_duplicates, flag="_dup", where=alive)
         checks.append(rules.duplicate_error(keys, "_dup", "_row"))
-    t = t.withColumn("_e_business", F.when(alive, rules.collect_errors(checks)).otherwise(empty))
+    t = t.withColumns({"_e_business": F.when(alive, rules.collect_errors(checks)).otherwise(empty),
+                       "_l_business": F.when(alive, rules.check_labels(checks)).otherwise(F.lit(""))})
     step = (F.when(~schema_ok, F.lit(rules.STEP_SCHEMA))
             .when(F.size("_e_transform") > 0, F.lit(rules.STEP_TRANSFORM))
             .when(F.size("_e_business") > 0, F.lit(rules.STEP_BUSINESS)))
     errors = (F.when(~schema_ok, F.col("_e_schema")).when(F.size("_e_transform") > 0, F.col("_e_transform"))
               .otherwise(F.col("_e_business")))
     flags = {"_dup"} | ({x for pair in table_catalogs.values() for x in pair if x} if table_catalogs else set())
-    out = t.withColumn("_step", step).withColumn("errors", errors)
-    return out.drop(*[c for c in out.columns if c in flags or c in ("_e_schema", "_e_transform", "_e_business", "_alive")])
+    # rule:field labels of the failing step, without a higher-order function
+    labels = (F.when(~schema_ok, F.col("_l_schema"))
+              .when(F.size("_e_transform") > 0, F.get(F.col("_e_transform"), 0)["rule"])
+              .otherwise(F.col("_l_business")))
+    out = t.withColumns({"_step": step, "errors": errors, "_labels": labels})
+    return out.drop(*[c for c in out.columns if c in flags or c in (
+        "_e_schema", "_e_transform", "_e_business", "_alive", "_l_schema", "_l_business")])
 
 
 # ------------------------------------------------------------------ runner
@@ -398,7 +404,7 @@ def run_pipeline(
             return result
         c = c.asDict()
         c["valid"] -= n_load
-    valid = tagged.filter(F.col("_step").isNull()).drop("_step", "errors", "_raw")
+    valid = tagged.filter(F.col("_step").isNull()).drop("_step", "errors", "_raw", "_labels")
     run = load.RunContext(execution_id=execution_id, pipeline_id=cfg.id, pipeline_version=cfg.version,
                           source_file=cfg.source.location, load_timestamp=started, as_of=as_of)
     staged = load.add_trace_columns(valid, run).drop("_row", "_source", "_extracted_at", "_src_rows")

@@ -935,7 +935,7 @@ def sales_pipeline(spark, sf_dir):
                                 dedup_order=[f"_k{i}" for i in range(len(_ORDER_KEYS))])
     ok = F.col("_step").isNull()
     return tagged.select(
-        "transaction_id", F.col("_step").alias("step"), rules.rule_list("errors").alias("rules"),
+        "transaction_id", F.col("_step").alias("step"), F.col("_labels").alias("rules"),
         F.when(ok, F.col("amount").cast("decimal(18,2)")).alias("amount"),
         F.when(ok, F.col("currency")).alias("currency"),
         F.when(ok, F.col("quantity")).alias("quantity"),
