@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm import quality, sharding
+from sluice.llm import quality, sharding, simhash
 from sluice.llm.common import Scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,6 +27,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op5_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """3-word shingles, links at 2 bits or fewer, over all documents."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    grouped = simhash.group(docs, shingle_words=3, radius=2, carry=["doc_id"])
+    return grouped.select(
+        "doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id"
+    )
+
+
 @query
 def op8_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """24 shards over all documents, sizes near equal."""
