@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm import quality, sharding, simhash
+from sluice.llm import pii, quality, sharding, simhash
 from sluice.llm.common import Scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,6 +27,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op1_anchor_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of personal data in every whole text; the digests are built from the operator's spans."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.with_spans(docs, "pii").select("doc_id", "pii")
+
+    def of(kinds: tuple[str, ...]):
+        return F.filter("pii", lambda s: s["kind"].isin(*kinds))
+
+    def joined(spans):
+        return F.array_join(
+            F.transform(
+                spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))
+            ),
+            ",",
+        )
+
+    return found.select(
+        "doc_id",
+        *[F.size(of((k,))).cast("long").alias(f"n_{k}") for k in pii.BASE_KINDS],
+        F.sha2(joined(of(pii.BASE_KINDS)).cast("binary"), 256).alias("base_sha256"),
+        joined(F.col("pii")).alias("spans"),
+        *[F.size(of((k,))).cast("long").alias(f"n_{k}") for k in pii.KINDS if k not in pii.BASE_KINDS],
+    )
+
+
 @query
 def op5_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """3-word shingles, links at 2 bits or fewer, over all documents."""
