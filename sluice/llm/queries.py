@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm import pii, quality, sharding, simhash
+from sluice.llm import packing, pii, quality, sharding, simhash
 from sluice.llm.common import Scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -97,3 +98,20 @@ def op9_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         "strict_failed",
         "host_verdict",
     )
+
+
+@query
+def op10_power_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in pieces of 1 to 2048 tokens, each a power of two."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    pieces = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    return pieces.select(
+        "doc_id",
+        "start",
+        "length",
+        F.crc32("ids").alias("ids_crc32"),
+        "doc_tokens",
+        "sequence_id",
+        "offset",
+        "bucket",
+    )
