@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm import packing, pii, quality, sharding, simhash
+from sluice.llm import bpe, packing, pii, quality, sharding, simhash
 from sluice.llm.common import Scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -54,6 +54,21 @@ def op1_anchor_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op3_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every whole text, decoded again."""
+    vocabulary = (public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    ids = bpe.encode(docs, *vocabulary).select("doc_id", "token_ids")
+    back = bpe.decode(ids, *vocabulary)
+    return back.select(
+        "doc_id",
+        F.size("token_ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("token_ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 @query
 def op5_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """3-word shingles, links at 2 bits or fewer, over all documents."""
