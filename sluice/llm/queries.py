@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm import bpe, packing, pii, quality, sharding, simhash
+from sluice.llm import bpe, packing, pii, quality, sharding, simhash, styletree
 from sluice.llm.common import Scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -69,6 +69,13 @@ def op3_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op4_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page, with the style trees of all hosts."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return styletree.extract(pages).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 @query
 def op5_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """3-word shingles, links at 2 bits or fewer, over all documents."""
