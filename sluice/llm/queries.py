@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm import bpe, packing, pii, quality, sharding, simhash, styletree
+from sluice.llm import bpe, packing, pii, quality, sharding, simhash, styletree, vectors
 from sluice.llm.common import Scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,6 +86,13 @@ def op5_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op6_collision_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors of equal labels, linked at a cosine of 0.98 or more."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    return vectors.group(rows, carry=["vec_id"])
+
+
 @query
 def op8_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """24 shards over all documents, sizes near equal."""
