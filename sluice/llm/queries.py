@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm import bpe, packing, pii, quality, sharding, simhash, styletree, vectors
+from sluice.llm import bpe, katz, packing, pii, quality, sharding, simhash, styletree, vectors
 from sluice.llm.common import Scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -93,6 +93,15 @@ def op6_collision_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.group(rows, carry=["vec_id"])
 
 
+@query
+def op7_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Back-off bigram scores of all documents; four fifths of them train the model."""
+    scored = katz.score(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return scored.select(
+        "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
+
+
 @query
 def op8_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """24 shards over all documents, sizes near equal."""
