@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm import bpe, katz, packing, pii, quality, sharding, simhash, styletree, vectors
+from sluice.llm import bpe, katz, linededup, packing, pii, quality, sharding, simhash, styletree, vectors
 from sluice.llm.common import Scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -54,6 +54,13 @@ def op1_anchor_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op2_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line of all documents that is not blank, with the place of the line that stays for it."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return linededup.verdicts(docs).select("doc_id", "line_no", "first_doc", "first_line", "kept")
+
+
 @query
 def op3_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every whole text, decoded again."""
