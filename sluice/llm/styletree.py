@@ -136,7 +136,7 @@ def _style(tag: str, attrs: list) -> str:
     if not attrs:
         return tag
     named = [f"{'#' if k == 'id' else '.'}{' '.join(v.split())}" for k, v in attrs if k in ("id", "class") and v]
-    return re.sub(r"\d+", "0", tag + "".join(named)) if named else tag
+    return re.sub(r"\d{3,}", "0", tag + "".join(named)) if named else tag  # long numbers are ids of pages
 
 
 def _is_furniture(tag: str, attrs: list, stack: list[Node]) -> bool:
