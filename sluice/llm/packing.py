@@ -32,10 +32,11 @@ PIECES = T.ArrayType(
             T.StructField("start", T.LongType()),
             T.StructField("length", T.LongType()),
             T.StructField("ids", T.BinaryType()),
+            T.StructField("doc_tokens", T.LongType()),
         ]
     )
 )
-PIECES_ARROW = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary())]))
+PIECES_ARROW = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64())]))
 
 
 class FileEncoder:
@@ -105,28 +106,30 @@ def pack(docs: DataFrame, path: str, pattern: str, end_id: int = END_ID, longest
     def pieces(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = _encoder(path, pattern)
         for texts in batches:
-            rows = []
+            sizes, starts, lengths, totals, ids = [0], [], [], [], []
             for text in texts:
-                ids = encoder.encode(text.as_py()) + end
-                at, row = 0, []
-                for n in lengths_of(len(ids) // 4, longest):
-                    row.append({"start": at, "length": n, "ids": ids[4 * at : 4 * (at + n)]})
+                data = encoder.encode(text.as_py()) + end
+                parts, at = lengths_of(len(data) // 4, longest), 0
+                for n in parts:
+                    starts.append(at)
+                    ids.append(data[4 * at : 4 * (at + n)])
                     at += n
-                rows.append(row)
-            yield pa.array(rows, type=PIECES_ARROW)
-
-    cut = docs.select(*keep, pieces(F.col("text")).alias("ids"))
-    return (
-        cut.select(*keep, F.explode("ids").alias("ids"), (F.aggregate(
-            "ids", F.lit(0).cast("long"), lambda a, p: a + p["length"])).alias("doc_tokens"))
-        .select(*keep, "doc_tokens", "ids.start", "ids.length", "ids.ids")
-        .withColumns(
-            {
-                "bucket": F.col("length").cast("int"),
-                "sequence_id": F.monotonically_increasing_id(),
-                "offset": F.lit(0).cast("long"),
-            }
-        )
+                lengths += parts
+                totals += [at] * len(parts)
+                sizes.append(len(lengths))
+            columns = [pa.array(x, pa.int64()) for x in (starts, lengths)]
+            columns += [pa.array(ids, pa.binary()), pa.array(totals, pa.int64())]
+            structs = pa.StructArray.from_arrays(columns, fields=list(PIECES_ARROW.value_type))
+            yield pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), structs)
+
+    # one use of the pieces, or the plan would make them twice
+    cut = docs.select(*keep, F.explode(pieces(F.col("text"))).alias("ids"))
+    return cut.select(*keep, "ids.doc_tokens", "ids.start", "ids.length", "ids.ids").withColumns(
+        {
+            "bucket": F.col("length").cast("int"),
+            "sequence_id": F.monotonically_increasing_id(),
+            "offset": F.lit(0).cast("long"),
+        }
     )
 
 
