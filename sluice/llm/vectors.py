@@ -117,7 +117,8 @@ def _tile_links(tile: pd.DataFrame, plan: Collisions) -> pd.DataFrame:
     homes = np.flatnonzero(home)
     # queries in the order of one projection, so that a window is a slice
     lead = t * plan.width
-    order = np.argsort(spots[:, lead], kind="stable")
+    windows = np.flatnonzero(tile["window"].to_numpy())
+    order = windows[np.argsort(spots[windows, lead], kind="stable")]
     sorted_lead = spots[order, lead]
     starts = np.searchsorted(sorted_lead, spots[homes, lead] - half, "left")
     ends = np.searchsorted(sorted_lead, spots[homes, lead] + half, "right")
@@ -168,16 +169,23 @@ def tiles(cells: DataFrame, scratch: Scratch, plan: Collisions) -> DataFrame:
     parts = F.coalesce(F.col("parts"), F.lit(1))
     mine = F.pmod(F.xxhash64("rid"), parts).cast("int")
     every = F.sequence(F.lit(0), parts - 1)
-    one = F.array(mine)
     joined = cells.join(maybe_broadcast(busy.select(*key, "parts")), key, "left")
     # a home row goes to all tiles of its row, a window row to all tiles of its column; a home row is both
-    as_home = joined.where("home").select(
-        *cells.columns, mine.alias("i"), F.explode(every).alias("j"), (parts > 1).alias("split")
+    others = [c for c in cells.columns if c != "home"]
+    whole = joined.where(parts == 1).select(
+        *cells.columns, F.lit(True).alias("window"), F.lit(0).alias("i"), F.lit(0).alias("j")
     )
-    as_window = joined.select(*cells.columns, F.explode(every).alias("i"), mine.alias("j"), (parts > 1).alias("split"))
-    whole = as_window.where("not split")
-    dealt_window = as_window.where("split").withColumn("home", F.lit(False))
-    return whole.unionByName(as_home.where("split")).unionByName(dealt_window).drop("split")
+    as_home = joined.where((parts > 1) & F.col("home")).select(
+        *cells.columns, F.lit(False).alias("window"), mine.alias("i"), F.explode(every).alias("j")
+    )
+    as_window = joined.where(parts > 1).select(
+        *others,
+        F.lit(False).alias("home"),
+        F.lit(True).alias("window"),
+        F.explode(every).alias("i"),
+        mine.alias("j"),
+    )
+    return whole.unionByName(as_home).unionByName(as_window)
 
 
 def group(
