@@ -77,7 +77,7 @@ def by_part(keys: np.ndarray, parts: int) -> tuple[np.ndarray, list[tuple[int, i
     part = ((keys.view(np.uint64) >> np.uint64(8)) % np.uint64(parts)).astype(np.int64)
     order = np.lexsort((keys, part))
     found, starts = np.unique(part[order], return_index=True)
-    ends = [*starts[1:], len(keys)]
+    ends = [*starts[1:], len(keys)][: len(found)]
     return order, [(int(p), int(a), int(b)) for p, a, b in zip(found, starts, ends, strict=True)]
 
 
@@ -297,8 +297,9 @@ def _masses(block: Block, answers: pa.Table, model: Model, parts: int) -> tuple[
     p = model.unigram(counts)
     kept = model.bigrams.discounted(r)
     held = np.unique(left[owned])
-    add_p = np.bincount(left[owned], p[right[owned]], len(keys))[held]
-    add_r = np.bincount(left[owned], kept[owned], len(keys))[held]
+    # an empty bincount is of integers
+    add_p = np.bincount(left[owned], p[right[owned]], len(keys))[held].astype(np.float64)
+    add_r = np.bincount(left[owned], kept[owned], len(keys))[held].astype(np.float64)
     # log10 of each pair's term; a back-off pair's weight is added by _finish
     with np.errstate(divide="ignore"):
         term = np.where(r > 0, np.log10(kept / (history_counts[left] + 1)), np.log10(p[right]))
