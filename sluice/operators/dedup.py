@@ -1,14 +1,12 @@
 """Duplicate business keys: keep-first, reject-all and consolidation.
 
 No window over the key is used: a key that holds a third of all rows would
-put that third into one task. Instead a partial (map-side combined)
-aggregate computes, per key, the row count and the id of the first row.
-Rows are then flagged by a join:
-
-* when the set of repeated keys is small (measured), it is broadcast and
-  joined on the key: no shuffle of the data at all;
-* otherwise the per-key first/only row ids are joined on the row id, which
-  is unique, so the shuffle is uniform whatever the key distribution.
+put that third into one task. A hash count per key (combined before the
+shuffle) finds the repeated keys; only their rows are ordered, to find each
+key's first row. The flags come back by a join on the key: broadcast when the
+repeated keys are measured small, a shuffle join that the adaptive skew
+split can divide otherwise. The per-key side holds one row per key, so a row
+is never multiplied, whatever its identity columns hold.
 """
 
 from __future__ import annotations
@@ -27,15 +25,10 @@ def with_row_id(df: DataFrame, name: str = "_rid") -> DataFrame:
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
-def _first_key(order_cols: Sequence[str], row_id: str) -> Column:
-    # order columns first, the unique id last as the tie-break
-    return F.min(F.struct(*[F.col(f"`{c}`") for c in order_cols], F.col(f"`{row_id}`").alias("_id")))["_id"]
-
-
 def duplicate_flags(
     df: DataFrame,
     keys: Sequence[str],
-    row_id: str = "_row",
+    row_id: str | Sequence[str] = "_row",
     order_cols: Sequence[str] | None = None,
     reject_all: bool = False,
     flag: str = "_dup",
@@ -43,14 +36,16 @@ def duplicate_flags(
 ) -> DataFrame:
     """Add boolean ``flag``: True for rows rejected as duplicate keys.
 
-    ``row_id`` must be unique per row and stable (source row number or
-    ``with_row_id`` on a scan). "First" is the smallest
-    ``(order_cols..., row_id)``; ``order_cols`` defaults to none (row order).
+    ``row_id`` names the column or columns that tell rows apart: the source
+    row number for one source, ``("_source", "_row")`` where several sources
+    number their rows alike, or ``with_row_id`` on a scan. "First" is the
+    smallest ``(order_cols..., row_id...)``; ``order_cols`` defaults to none.
     keep-first flags every row of a repeated key but the first; reject-all
     flags every row of a repeated key. Null key values group together.
     ``where`` limits the check to eligible rows (others are never flagged).
     """
-    order_cols = list(order_cols or [])
+    ids = [row_id] if isinstance(row_id, str) else list(row_id)
+    order = [*(order_cols or []), *[c for c in ids if c not in (order_cols or [])]]
     if where is None:
         eligible = F.lit(True)
     else:
@@ -58,24 +53,24 @@ def duplicate_flags(
         # upstream expression it depends on into the scan-side predicate
         df = df.withColumn("_elig", F.coalesce(where, F.lit(False)))
         eligible = F.col("_elig")
-    first_struct = F.struct(*[F.col(f"`{c}`") for c in order_cols], F.col(f"`{row_id}`").alias("_id"))
-    per_key = df.groupBy(*[F.col(f"`{k}`") for k in keys]).agg(
-        F.count_if(eligible).alias("_cnt"), F.min(F.when(eligible, first_struct))["_id"].alias("_first")
-    )
-    repeated, small = strategy.small_or_none(per_key.filter(F.col("_cnt") > 1))
-    if small:
+    key_cols = [F.col(f"`{k}`") for k in keys]
+    place = F.struct(*[F.col(f"`{c}`").alias(f"_o{i}") for i, c in enumerate(order)])
+    counts = df.groupBy(*key_cols).agg(F.count_if(eligible).alias("_cnt")).filter(F.col("_cnt") > 1)
+    repeated, small = strategy.small_or_none(counts)
+    if reject_all:
+        firsts = repeated.withColumn("_first", F.lit(None).cast("boolean"))
+    else:
         r, cond = strategy.null_safe_on(df, repeated, keys)
-        joined = df.join(F.broadcast(r), cond, "left")
-        hit = F.col("_cnt").isNotNull()
-        is_dup = eligible & hit & (F.lit(reject_all) | (F.col(f"`{row_id}`") != F.col("_first")))
-        return joined.withColumn(flag, F.coalesce(is_dup, F.lit(False))).drop(
-            "_cnt", "_first", "_elig", *[f"_r_{k}" for k in keys]
-        )
-    # Many repeated keys: keep-set by unique row id (uniform shuffle).
-    keep = per_key.filter(F.col("_cnt") == 1) if reject_all else per_key.filter(F.col("_cnt") > 0)
-    keep = keep.select(F.col("_first").alias(row_id), F.lit(True).alias("_keep"))
-    joined = df.join(keep, on=row_id, how="left")
-    return joined.withColumn(flag, eligible & F.col("_keep").isNull()).drop("_keep", "_elig")
+        rows = df.join(strategy.hint_broadcast(r, small), cond, "left_semi").filter(eligible)
+        firsts = strategy.materialize(rows.groupBy(*key_cols).agg(F.min(place).alias("_first")))
+        firsts = firsts.withColumn("_cnt", F.lit(2))
+    f, cond = strategy.null_safe_on(df, firsts, keys)
+    joined = df.join(strategy.hint_broadcast(f, small), cond, "left")
+    hit = eligible & F.col("_cnt").isNotNull()
+    is_dup = hit if reject_all else hit & ~place.eqNullSafe(F.col("_first"))
+    return joined.withColumn(flag, F.coalesce(is_dup, F.lit(False))).drop(
+        "_cnt", "_first", "_elig", *[f"_r_{k}" for k in keys]
+    )
 
 
 def keep_first(df: DataFrame, keys: Sequence[str], row_id: str = "_row", order_cols=None) -> DataFrame:

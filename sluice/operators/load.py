@@ -187,24 +187,32 @@ def merge_frame(target: DataFrame, staging: DataFrame, keys: Sequence[str], guar
     return j.select(*out, F.col(ACTION))
 
 
+def insert_new_rows(target: DataFrame, staged: DataFrame, keys: Sequence[str], order_col: str | None = None) -> DataFrame:
+    """Staging rows whose key is absent from the target, the first per key by ``order_col`` if staging repeats one;
+    without keys all rows. A key with a null is never a conflict, as in SQL."""
+    if not keys:
+        return staged
+    has_null = F.lit(False)
+    for k in keys:
+        has_null = has_null | _q(k).isNull()
+    new = staged.join(target.select(*[_q(k) for k in keys]), list(keys), "left_anti")
+    keyed = new.where(~has_null)
+    if order_col:
+        from sluice.operators.dedup import keep_first
+
+        keyed = keep_first(keyed, keys, row_id=order_col).filter(~F.col("_dup")).drop("_dup")
+    else:
+        keyed = keyed.dropDuplicates(list(keys))
+    return keyed.unionByName(new.where(has_null))
+
+
 def insert_ignore_frame(target: DataFrame, staging: DataFrame, keys: Sequence[str], order_col: str | None = None) -> DataFrame:
-    """INSERT ... ON CONFLICT DO NOTHING: staging rows whose key is absent
-    from the target are appended (the first per key if staging repeats a
-    key); without keys every staged row is appended. Adds ``_action``."""
+    """INSERT ... ON CONFLICT DO NOTHING: the target's rows and the staging rows that insert_new_rows() lets in.
+    Adds ``_action``."""
     cols = target.columns
     staged = staging.select(*[(_q(c) if c in staging.columns else F.lit(None).cast(target.schema[c].dataType)).alias(c)
                               for c in cols] + ([_q(order_col)] if order_col and order_col not in cols else []))
-    if keys:
-        new = staged.join(target.select(*[_q(k) for k in keys]), list(keys), "left_anti")
-        if order_col:
-            from sluice.operators.dedup import keep_first
-
-            new = keep_first(new, keys, row_id=order_col).filter(~F.col("_dup")).drop("_dup")
-        else:
-            new = new.dropDuplicates(list(keys))
-    else:
-        new = staged
-    new = new.select(*cols, F.lit(INSERTED).alias(ACTION))
+    new = insert_new_rows(target, staged, keys, order_col).select(*cols, F.lit(INSERTED).alias(ACTION))
     return target.select(*cols, F.lit(UNCHANGED).alias(ACTION)).unionByName(new)
 
 
@@ -227,12 +235,25 @@ def action_counts(merged: DataFrame) -> DataFrame:
 
 
 def bucket_of(keys: Sequence[str], n: int) -> Column:
-    return F.pmod(F.xxhash64(*[_q(k) for k in keys]), F.lit(n)).cast("int")
+    """Bucket of a row; rows of a table without a key are dealt out in turn."""
+    value = F.xxhash64(*[_q(k) for k in keys]) if keys else F.monotonically_increasing_id()
+    return F.pmod(value, F.lit(n)).cast("int")
+
+
+class ConcurrentCommit(RuntimeError):
+    """Another writer committed first; nothing of this write is visible."""
 
 
 class BucketedTable:
-    """A target table: hash buckets of the business key, versioned dirs,
-    manifest per version, pointer file ``_CURRENT`` replaced last."""
+    """A target table: hash buckets of the business key in data folders, and one manifest file per version.
+
+    The highest version with a complete manifest is current: there is no
+    pointer to lose. A writer creates the manifest of the version after the
+    one it read, without overwriting, so of two writers one fails with
+    ``ConcurrentCommit``; its data folder has a name of its own and is not
+    referenced. Folders are immutable; a version may add to a bucket (insert)
+    or replace it (upsert).
+    """
 
     def __init__(self, spark: SparkSession, root: str, keys: Sequence[str], num_buckets: int = 64,
                  files_per_bucket: int = 4):
@@ -244,16 +265,20 @@ class BucketedTable:
         self._fs = self._path(self.root).getFileSystem(self._conf)
 
     # -- small metadata files (driver-side, bytes-sized)
-    def _write_text(self, path: str, content: str) -> None:
-        tmp = self._path(path + "." + uuid.uuid4().hex + ".tmp")
-        out = self._fs.create(tmp, True)
+    def _create_text(self, path: str, content: str) -> bool:
+        """Write a new file; False if it is already there."""
+        target = self._path(path)
+        if self._fs.exists(target):
+            return False
+        try:
+            out = self._fs.create(target, False)
+        except Exception as exc:  # the JVM's class name is all that tells the cause
+            if "AlreadyExists" in str(exc):
+                return False
+            raise
         out.write(bytearray(content.encode("utf-8")))
         out.close()
-        dst = self._path(path)
-        if self._fs.exists(dst):
-            self._fs.delete(dst, False)
-        if not self._fs.rename(tmp, dst):
-            raise OSError(f"commit failed for {path}")
+        return True
 
     def _read_text(self, path: str) -> str | None:
         p = self._path(path)
@@ -269,11 +294,30 @@ class BucketedTable:
         reader.close()
         return "\n".join(lines)
 
-    def manifest(self) -> dict | None:
-        cur = self._read_text(f"{self.root}/_CURRENT")
-        if cur is None:
+    def _versions(self) -> list[int]:
+        p = self._path(f"{self.root}/_manifest")
+        if not self._fs.exists(p):
+            return []
+        names = [st.getPath().getName() for st in self._fs.listStatus(p)]
+        return sorted(int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit())
+
+    def _manifest_of(self, version: int) -> dict | None:
+        """A version's manifest; None where its writer did not finish it."""
+        try:
+            return json.loads(self._read_text(f"{self.root}/_manifest/{version}.json") or "")
+        except ValueError:
             return None
-        return json.loads(self._read_text(f"{self.root}/_manifest/{cur.strip()}.json"))
+
+    def manifest(self) -> dict | None:
+        """The current manifest; None only for a table that was never created."""
+        versions = self._versions()
+        for version in reversed(versions):
+            found = self._manifest_of(version)
+            if found is not None:
+                return found
+        if versions:
+            raise OSError(f"no complete manifest among {len(versions)} at {self.root}")
+        return None
 
     def schema(self) -> T.StructType | None:
         m = self.manifest()
@@ -286,43 +330,32 @@ class BucketedTable:
         schema = T.StructType.fromJson(json.loads(m["schema"]))
         loc = {int(b): v for b, v in m["buckets"].items()}
         wanted = sorted(loc) if buckets is None else sorted(set(buckets) & set(loc))
-        paths = [f"{self.root}/{loc[b]}/_bucket={b}" for b in wanted]
+        paths = [f"{self.root}/{folder}/_bucket={b}" for b in wanted for folder in loc[b]]
         if not paths:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(*paths)
 
-    def _commit(self, data: DataFrame, touched: Sequence[int] | None, execution_id: str | None, replace: bool) -> int:
-        prev = self.manifest()
-        version = self._max_version() + 1
-        vdir = f"v{version:06d}"
-        out = data.drop(ACTION) if ACTION in data.columns else data
-        schema_json = out.schema.json()
-        # a few files per bucket: parallel writes without one task per bucket
-        spread = F.pmod(F.xxhash64(*[_q(k) for k in self.keys], F.lit(1)), F.lit(self.files_per_bucket))
-        (out.withColumn("_bucket", bucket_of(self.keys, self.n))
+    def _write_data(self, data: DataFrame, version: int) -> tuple[str, list[int]]:
+        folder = f"v{version:06d}-{uuid.uuid4().hex[:12]}"
+        # a few files per bucket: parallel writes without one task per bucket; rows without a key are spread
+        salt = F.xxhash64(*[_q(k) for k in self.keys], F.lit(1)) if self.keys else F.monotonically_increasing_id()
+        spread = F.pmod(salt, F.lit(self.files_per_bucket))
+        (data.withColumn("_bucket", bucket_of(self.keys, self.n))
             .repartition(F.col("_bucket"), spread)
-            .write.mode("overwrite").partitionBy("_bucket").parquet(f"{self.root}/{vdir}"))
-        written = set(touched) if touched is not None else set(range(self.n))
-        present = {int(b) for b in self._list_buckets(vdir)}
-        buckets = {} if (replace or prev is None) else {int(b): v for b, v in prev["buckets"].items()}
-        for b in written:
-            if b in present:
-                buckets[b] = vdir
-            else:
-                buckets.pop(b, None)
-        manifest = {"version": version, "execution_id": execution_id, "schema": schema_json,
-                    "buckets": {str(b): v for b, v in sorted(buckets.items())}, "written": sorted(written)}
-        self._write_text(f"{self.root}/_manifest/{version}.json", json.dumps(manifest))
-        self._write_text(f"{self.root}/_CURRENT", str(version))
+            .write.mode("error").partitionBy("_bucket").parquet(f"{self.root}/{folder}"))
+        return folder, self._list_buckets(folder)
+
+    def _commit(self, buckets: dict[int, list[str]], schema: T.StructType, execution_id: str | None,
+                written: Sequence[int], base: dict | None, **extra) -> int:
+        version = (max(self._versions(), default=0)) + 1
+        if (self.manifest() or {}).get("version") != (base or {}).get("version"):
+            raise ConcurrentCommit(f"{self.root} changed while version {version} was written")
+        manifest = {"version": version, "execution_id": execution_id, "schema": schema.json(),
+                    "buckets": {str(b): v for b, v in sorted(buckets.items())}, "written": sorted(written), **extra}
+        if not self._create_text(f"{self.root}/_manifest/{version}.json", json.dumps(manifest)):
+            raise ConcurrentCommit(f"version {version} of {self.root} was taken by another writer")
         return version
 
-    def _max_version(self) -> int:
-        p = self._path(f"{self.root}/_manifest")
-        if not self._fs.exists(p):
-            return 0
-        names = [st.getPath().getName() for st in self._fs.listStatus(p)]
-        return max([int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit()] or [0])
-
     def _list_buckets(self, vdir: str) -> list[int]:
         p = self._path(f"{self.root}/{vdir}")
         if not self._fs.exists(p):
@@ -334,54 +367,105 @@ class BucketedTable:
                 out.append(int(name.split("=", 1)[1]))
         return out
 
-    def touched_buckets(self, staging: DataFrame) -> list[int]:
-        """Bucket ids hit by a staging frame: at most ``num_buckets`` ints."""
-        return [r[0] for r in staging.select(bucket_of(self.keys, self.n).alias("b")).distinct().collect()]
+    def _buckets(self, df: DataFrame) -> list[int]:
+        """Bucket ids that hold rows of a frame: at most ``num_buckets`` ints."""
+        return [r[0] for r in df.select(bucket_of(self.keys, self.n).alias("b")).distinct().collect()]
+
+    @staticmethod
+    def _places(manifest: dict | None) -> dict[int, list[str]]:
+        return {int(b): list(v) for b, v in manifest["buckets"].items()} if manifest else {}
+
+    def _to_schema(self, df: DataFrame, schema: T.StructType) -> DataFrame:
+        """A batch in the table's columns and types; columns that the table lacks are an error."""
+        unknown = [c for c in df.columns if c not in schema.names and c != ACTION]
+        if unknown:
+            raise ValueError(f"columns not in the target: {unknown}")
+        have = set(df.columns)
+        return df.select(*[(_q(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema])
 
     def create(self, df: DataFrame, execution_id: str | None = None) -> int:
-        return self._commit(df, None, execution_id, replace=True)
+        base = self.manifest()
+        if base is not None:
+            raise FileExistsError(f"a table exists at {self.root}")
+        checked_columns(df.columns)
+        folder, present = self._write_data(df, 1)
+        return self._commit({b: [folder] for b in present}, df.schema, execution_id, present, None)
 
     def upsert(self, staging: DataFrame, guard_column=None, guard_value=None, immutable=()) -> tuple[int, DataFrame]:
-        touched = self.touched_buckets(staging)
-        merged = merge_frame(self.read(touched), staging, self.keys, guard_column, guard_value, immutable)
-        return self._write_counted(merged, touched, staging)
+        """Merge by key. Buckets that hold a matched key are rewritten; new keys of other buckets are added to them."""
+        base = self.manifest()
+        schema = self.schema()
+        staging = self._to_schema(staging, schema)
+        touched = self._buckets(staging)
+        current = self.read(touched)
+        keys = staging.select(*[_q(k) for k in self.keys]).distinct()
+        matched = set(self._buckets(current.join(keys, list(self.keys), "left_semi")))
+        bucket = bucket_of(self.keys, self.n)
+        in_matched = bucket.isin(*matched) if matched else F.lit(False)
+        merged = merge_frame(self.read(sorted(matched)), staging.where(in_matched), self.keys, guard_column, guard_value,
+                             immutable)
+        added = staging.where(~in_matched).select(*schema.names, F.lit(INSERTED).alias(ACTION))
+        return self._write_counted(merged.unionByName(added), base, schema, staging, rewritten=matched)
 
     def insert(self, staging: DataFrame, order_col: str | None = None) -> tuple[int, DataFrame]:
-        touched = self.touched_buckets(staging)
-        merged = insert_ignore_frame(self.read(touched), staging, self.keys, order_col)
-        return self._write_counted(merged, touched, staging)
+        """Append the rows whose key is not there yet (all rows where the table has no key); nothing is rewritten."""
+        base = self.manifest()
+        schema = self.schema()
+        order = [order_col] if order_col and order_col not in schema.names else []
+        ordered = staging.select(*[_q(c) for c in staging.columns])
+        rows = self._to_schema(ordered.drop(*order), schema)
+        if order:
+            named = [(_q(f.name) if f.name in staging.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema]
+            rows = staging.select(*named, _q(order_col))
+        current = self.read(self._buckets(rows)) if self.keys else self.read([])
+        new = insert_new_rows(current, rows, self.keys, order_col).select(*schema.names, F.lit(INSERTED).alias(ACTION))
+        return self._write_counted(new, base, schema, staging, rewritten=set())
 
     def replace(self, staging: DataFrame) -> tuple[int, DataFrame]:
-        cols = self.read().columns if self.manifest() else staging.columns
-        merged = replace_frame(staging, cols)
-        return self._write_counted(merged, None, staging, replace=True)
-
-    def _write_counted(self, merged: DataFrame, touched, staging: DataFrame, replace: bool = False):
+        base = self.manifest()
+        schema = self.schema() or staging.schema
+        rows = self._to_schema(staging, schema).withColumn(ACTION, F.lit(INSERTED))
+        return self._write_counted(rows, base, schema, staging, rewritten=None)
+
+    def _write_counted(self, rows: DataFrame, base: dict | None, schema: T.StructType, staging: DataFrame,
+                       rewritten: set[int] | None):
+        """Write rows and commit them; ``rewritten`` names the buckets they replace (None: the whole table)."""
         from sluice.operators.strategy import materialize
 
-        m = materialize(merged)  # one evaluation feeds the write and the counts
+        m = materialize(rows)  # one evaluation feeds the write and the counts
         exec_id = None
         if "etl_execution_id" in staging.columns:
             first = staging.select("etl_execution_id").limit(1).collect()
             exec_id = first[0][0] if first else None
-        version = self._commit(m, touched, exec_id, replace)
-        return version, action_counts(m)
+        version = (base or {"version": 0})["version"] + 1
+        folder, present = self._write_data(m.drop(ACTION), version)
+        places = {} if rewritten is None else {b: v for b, v in self._places(base).items() if b not in rewritten}
+        for b in present:
+            places.setdefault(b, []).append(folder)
+        written = sorted({*present, *(rewritten or ())})
+        return self._commit(places, schema, exec_id, written, base), action_counts(m)
 
     def restore(self, version: int) -> int:
-        """Point the table back at an earlier committed version."""
-        if self._read_text(f"{self.root}/_manifest/{version}.json") is None:
+        """A new version with the data of an earlier committed one."""
+        old = self._manifest_of(version) if version in self._versions() else None
+        if old is None:
             raise FileNotFoundError(f"no version {version} at {self.root}")
-        self._write_text(f"{self.root}/_CURRENT", str(version))
-        return version
+        schema = T.StructType.fromJson(json.loads(old["schema"]))
+        return self._commit(self._places(old), schema, old["execution_id"], [], self.manifest(), restored=version)
 
     def rollback(self, execution_id: str) -> int:
         """Remove the rows of one execution from the buckets it wrote."""
-        hist = [json.loads(self._read_text(f"{self.root}/_manifest/{v}.json") or "{}")
-                for v in range(1, self._max_version() + 1)]
-        touched = sorted({b for m in hist if m.get("execution_id") == execution_id for b in m.get("written", [])})
-        if not touched:
-            return self.manifest()["version"]
-        kept = rollback_frame(self.read(touched), execution_id)
         from sluice.operators.strategy import materialize
 
-        return self._commit(materialize(kept), touched, None, replace=False)
+        base = self.manifest()
+        if base is None:
+            raise FileNotFoundError(f"no table at {self.root}")
+        history = [m for m in map(self._manifest_of, self._versions()) if m and m.get("execution_id") == execution_id]
+        touched = {b for m in history for b in m.get("written", [])}
+        if not touched:
+            return base["version"]
+        kept = materialize(rollback_frame(self.read(sorted(touched)), execution_id))
+        folder, present = self._write_data(kept, base["version"] + 1)
+        places = {b: v for b, v in self._places(base).items() if b not in touched}
+        places.update({b: [folder] for b in present})
+        return self._commit(places, self.schema(), None, sorted(touched), base)

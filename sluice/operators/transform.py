@@ -112,7 +112,7 @@ def common_transform(df: DataFrame, cfg: TransformationConfig, errors: str = "er
                 continue
             raw = _q(fld)
             numeric = isinstance(step.df.schema[fld].dataType, T.NumericType)
-            amt = raw.cast(money.AMOUNT_TYPE) if numeric else money.to_amount(raw)
+            amt = raw.try_cast(money.AMOUNT_TYPE) if numeric else money.to_amount(raw)
             msgs.append(F.when(raw.isNotNull() & amt.isNull(),
                                F.concat(F.lit(f"Invalid decimal value for field {fld}: "), raw.cast("string"))))
             values[f"{fld}_original"] = F.when(raw.isNotNull(), amt)
@@ -155,5 +155,5 @@ def _operand(df: DataFrame, token: str, cols: set[str]) -> Column:
     if token in cols:
         dtype = df.schema[token].dataType
         c = _q(token)
-        return c.cast(DERIVED_TYPE) if isinstance(dtype, T.NumericType) else money.to_amount(c, DERIVED_TYPE)
+        return c.try_cast(DERIVED_TYPE) if isinstance(dtype, T.NumericType) else money.to_amount(c, DERIVED_TYPE)
     return money.formula_operand(token, set()).cast(DERIVED_TYPE)

@@ -23,6 +23,7 @@ from sluice.functions import codes, dates, money, text
 from sluice.operators import dedup, load, lookup, quality, rules, strategy
 from sluice.operators.transform import common_transform, with_first_error
 from sluice.plans.config import PipelineConfig
+from sluice.plans.runs import STEP_NAMES
 
 Specific = Callable[[DataFrame, PipelineConfig, dt.date], tuple[DataFrame, list[Column]]]
 
@@ -134,7 +135,7 @@ def inventory_rules(df: DataFrame, cfg: PipelineConfig, as_of: dt.date) -> tuple
         if not _has(df, c):
             return F.lit(None).cast("long")
         if isinstance(df.schema[c].dataType, T.NumericType):
-            return _q(c).cast("long")
+            return _q(c).try_cast("long")
         s = _q(c).cast("string")
         return F.when(money.is_int64_text(s), s.try_cast("long"))
 
@@ -148,13 +149,16 @@ def inventory_rules(df: DataFrame, cfg: PipelineConfig, as_of: dt.date) -> tuple
 
 
 def inventory_consolidate(valid: DataFrame) -> DataFrame:
-    """Rows sharing (sku, warehouse) merged: quantities summed, cost fields
-    of the latest update, everything else from the first row."""
-    latest = [c for c in ("unit_cost", "unit_cost_original", "currency_original") if c in valid.columns]
-    return dedup.consolidate_latest(
-        valid, ["sku", "warehouse_id"], ["quantity_on_hand", "quantity_reserved"],
-        "last_updated" if "last_updated" in valid.columns else "_row", latest, order_cols=["_row"],
-        count_col="_src_rows")
+    """Rows sharing (sku, warehouse) merged: quantities summed, cost and currency of the latest update (of the
+    first row where none says when), everything else from the first row."""
+    known = "last_updated" in valid.columns
+    latest = [c for c in ("unit_cost", "unit_cost_original", "currency", "currency_original") if c in valid.columns]
+    if not known:
+        valid = valid.withColumn("last_updated", F.lit(None).cast("timestamp"))
+    out = dedup.consolidate_latest(
+        valid, ["sku", "warehouse_id"], ["quantity_on_hand", "quantity_reserved"], "last_updated", latest,
+        order_cols=["_row"], count_col="_src_rows")
+    return out if known else out.drop("last_updated")
 
 
 # ------------------------------------------------------------------- item
@@ -167,15 +171,16 @@ def item_rules(df: DataFrame, cfg: PipelineConfig, as_of: dt.date) -> tuple[Data
     name = text.collapse_text(_str(df, "item_name"))
     msgs.append(F.when(name.isNull(), F.lit("item_name is required")))
     price_raw = _q("unit_price") if _has(df, "unit_price") else F.lit(None).cast("string")
-    price = price_raw.cast("decimal(38,10)") if _has(df, "unit_price") and isinstance(
+    price = price_raw.try_cast("decimal(38,10)") if _has(df, "unit_price") and isinstance(
         df.schema["unit_price"].dataType, T.NumericType) else money.to_amount(price_raw, "decimal(38,10)")
     msgs.append(F.when(price_raw.isNull(), F.lit("unit_price is required")))
-    msgs.append(F.when(price_raw.isNotNull() & price.isNull(), F.lit("unit_price must be a valid decimal")))
+    fits = F.round(price, 2).try_cast("decimal(18,2)").isNotNull()
+    msgs.append(F.when(price_raw.isNotNull() & (price.isNull() | ~fits), F.lit("unit_price must be a valid decimal")))
     msgs.append(F.when(price < 0, F.lit("unit_price must be non-negative")))
     return _finish(df, {
         "item_key": key,
         "item_name": name,
-        "unit_price": F.round(price, 2).cast("decimal(18,2)"),
+        "unit_price": F.round(price, 2).try_cast("decimal(18,2)"),
         "description": text.collapse_text(_str(df, "description")),
         "manufacturer_country": text.title_case(text.collapse_text(_str(df, "manufacturer_country"))),
         "supplier_name": text.title_case(text.collapse_text(_str(df, "supplier_name"))),
@@ -255,7 +260,9 @@ def tag_rows(raw: DataFrame, cfg: PipelineConfig, as_of: dt.date,
         t = catalog_frames(t)
     checks = rules.business_checks(t, cfg.validation, as_of, table_catalogs)
     if keys:
-        t = dedup.duplicate_flags(t, keys, row_id="_row", order_cols=dedup_order,
+        # row numbers are per file or sheet: the source is part of a row's identity
+        ids = ["_source", "_row"] if "_source" in t.columns else "_row"
+        t = dedup.duplicate_flags(t, keys, row_id=ids, order_cols=dedup_order,
                                   reject_all=cfg.validation.reject_all_duplicates, flag="_dup", where=alive)
         checks.append(rules.duplicate_error(keys, "_dup", "_row"))
     t = t.withColumns({"_e_business": F.when(alive, rules.collect_errors(checks)).otherwise(empty),
@@ -292,6 +299,7 @@ class RunResult:
     errors: list[str] = field(default_factory=list)
     reports: dict = field(default_factory=dict)
     tagged: DataFrame | None = None
+    exception: Exception | None = None
 
     def valid(self) -> DataFrame:
         return self.tagged.filter(F.col("_step").isNull())
@@ -338,11 +346,118 @@ def run_pipeline(
     table_catalogs=None,
     catalog_frames=None,
 ) -> RunResult:
-    """Run every step, gate, load and record; returns counters and status."""
+    """Run every step, gate, load and record; returns counters and status.
+
+    Rejects are stored before the load, and the run, its steps, its errors
+    and an audit row always, also where a step raises: the run is then
+    FAILED, with the exception in the result. A load that fails after its
+    commit is rolled back if the target's rollback strategy says so.
+    """
     execution_id = execution_id or str(uuid.uuid4())
     as_of = as_of or dt.datetime.now(dt.timezone.utc).date()
-    started = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
     result = RunResult(execution_id, "RUNNING")
+    log = _RunLog(run_store, cfg, result)
+    try:
+        _run_steps(cfg, raw, target, as_of, log, table_catalogs, catalog_frames)
+    except quality.QualityGateBreached as exc:
+        log.failed(str(exc))
+    except load.StagingCheckFailed as exc:
+        log.failed(*exc.details)
+    except Exception as exc:  # noqa: BLE001 - recorded, and returned to the caller
+        result.exception = exc
+        log.failed(f"{type(exc).__name__}: {str(exc).strip().splitlines()[0] if str(exc).strip() else ''}")
+        if target is not None and log.step == "LOAD" and cfg.target.rollback_strategy == "DELETE_BY_EXECUTION":
+            log.rolled_back(target)
+    finally:
+        log.close()
+    return result
+
+
+class _RunLog:
+    """What a run leaves in the run store: its steps as they end, then errors, execution and audit rows."""
+
+    ORDER = {name: i + 1 for i, name in enumerate(STEP_NAMES)}
+
+    def __init__(self, store, cfg: PipelineConfig, result: RunResult):
+        self.store, self.cfg, self.result = store, cfg, result
+        self.started = self.begun = _now()
+        self.step: str | None = None
+        self.steps: list[dict] = []
+        self.rejects: DataFrame | None = None
+
+    def begin(self, step: str) -> None:
+        self.step, self.begun = step, _now()
+
+    def end(self, processed: int | None, status: str = "SUCCESS") -> None:
+        if self.step:
+            self.steps.append({
+                "execution_id": self.result.execution_id, "step_name": self.step, "step_order": self.ORDER[self.step],
+                "status": status, "started_at": self.begun, "finished_at": _now(), "records_processed": processed,
+            })
+            self.step = None
+
+    def failed(self, *messages: str) -> None:
+        self.result.status = "FAILED"
+        self.result.errors.extend(messages)
+
+    def rolled_back(self, target: load.BucketedTable) -> None:
+        try:
+            target.rollback(self.result.execution_id)
+        except Exception as exc:  # noqa: BLE001 - the first failure stays the run's outcome
+            self.result.errors.append(f"Rollback failed: {type(exc).__name__}")
+
+    def save_rejects(self) -> None:
+        if self.store is not None and self.rejects is not None:
+            self.store.append("rejects", self.rejects)
+        self.rejects = None
+
+    def close(self) -> None:
+        r = self.result
+        if self.step:
+            self.end(None, "FAILED")
+        if self.store is None:
+            return
+        problems = list(r.errors)
+        try:
+            self.begin("AUDIT")
+            self.save_rejects()
+        except Exception as exc:  # noqa: BLE001 - the run is recorded without its rejects
+            problems.append(f"Rejects not stored: {type(exc).__name__}")
+            r.status, r.errors = "FAILED", problems
+            self.end(None, "FAILED")
+        else:
+            self.end(r.loaded)
+        finished = _now()
+        self.store.append("steps", self.steps)
+        self.store.append("errors", [{
+            "execution_id": r.execution_id, "step_name": "CLOSE", "error_type": "TECHNICAL", "severity": "CRITICAL",
+            "message": message, "created_at": finished,
+        } for message in problems])
+        self.store.append("executions", [{
+            "execution_id": r.execution_id, "pipeline_id": self.cfg.id, "status": r.status,
+            "trigger_type": "MANUAL", "started_at": self.started, "finished_at": finished,
+            "total_read": r.read, "total_transformed": r.transformed, "total_rejected": r.rejected,
+            "total_loaded": r.loaded, "error_summary": "; ".join(problems) or None, "retry_count": 0,
+            "parent_execution_id": None, "created_at": self.started,
+        }])
+        self.store.append("audit", [{
+            "execution_id": r.execution_id, "pipeline_id": self.cfg.id, "action": "PIPELINE_EXECUTION",
+            "status": r.status,
+            "details": f"read={r.read}, transformed={r.transformed}, rejected={r.rejected}, loaded={r.loaded}"
+                       + (f", failureReason={problems[0]}" if problems else ""),
+            "created_at": finished,
+        }])
+
+
+def _now() -> dt.datetime:
+    return dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
+
+
+def _run_steps(cfg: PipelineConfig, raw: DataFrame, target: load.BucketedTable | None, as_of: dt.date, log: _RunLog,
+               table_catalogs, catalog_frames) -> None:
+    result, started = log.result, log.started
+    execution_id = result.execution_id
+    log.begin("EXTRACT")
     tagged = strategy.materialize(tag_rows(raw, cfg, as_of, table_catalogs, catalog_frames))
     result.tagged = tagged
     c = tagged.agg(
@@ -353,110 +468,98 @@ def run_pipeline(
         F.count_if(F.col("_step").isNull()).alias("valid"),
         F.sum(F.coalesce(F.col("_src_rows"), F.lit(1)) if "_src_rows" in tagged.columns else F.lit(1))
         .cast("long").alias("source_rows"),
-    ).first()
+    ).first().asDict()
     # consolidated rows stand for several source rows; every other row for one
-    raw_count = c["source_rows"]
+    raw_count = c["source_rows"] or 0
     result.read = raw_count
-    schema_in = raw_count
+    log.end(raw_count)
     biz_in = raw_count - c["schema_rej"] - c["transform_rej"]
-    if cfg.name == "inventory-sync":
+    if resolve_transformer(cfg) == SPECIFIC.get("inventory-sync"):
         biz_in = c["valid"] + c["business_rej"]
     pct = cfg.validation.error_threshold_percent
-    result.reports["schema"] = quality.evaluate(schema_in, c["schema_rej"], pct)
+    result.reports["schema"] = quality.evaluate(raw_count, c["schema_rej"], pct)
     result.reports["business"] = quality.evaluate(biz_in, c["business_rej"], pct)
     if cfg.validation.threshold_scope == "cumulative":
         result.reports["cumulative"] = quality.evaluate(
             raw_count, c["schema_rej"] + c["transform_rej"] + c["business_rej"], pct)
     result.transformed = biz_in
     result.rejected = c["schema_rej"] + c["transform_rej"] + c["business_rej"]
-    rejects = reject_rows(tagged, execution_id, started)
-    try:
-        for step in ("schema", "business", "cumulative"):
-            if step in result.reports:
-                quality.gate(result.reports[step], cfg.validation.abort_on_threshold_breach, step)
-    except quality.QualityGateBreached as exc:
-        result.status = "FAILED"
-        result.errors.append(str(exc))
-        _record(run_store, cfg, result, rejects, started)
-        return result
-    tc = cfg.target
-    constraints = load.constraint_checks(tagged, [c for c in tc.not_null_columns if c in tagged.columns],
-                                         [c for c in tc.non_negative_columns if c in tagged.columns],
-                                         {k: v for k, v in tc.max_lengths.items() if k in tagged.columns},
-                                         {k: v for k, v in tc.decimal_types.items() if k in tagged.columns})
-    if constraints:
-        # Rows the target would refuse are rejected one by one (step LOAD)
-        # instead of failing their chunk; fail-fast turns any of them into FAILED
-        load_errors = rules.collect_errors(constraints)
-        ok = F.col("_step").isNull()
-        tagged = strategy.materialize(tagged.withColumn("_le", F.when(ok, load_errors)).withColumns({
-            "_step": F.when(ok & (F.size("_le") > 0), F.lit("LOAD")).otherwise(F.col("_step")),
-            "errors": F.when(ok & (F.size("_le") > 0), F.col("_le")).otherwise(F.col("errors")),
-        }).drop("_le"))
+    log.rejects = reject_rows(tagged, execution_id, started)
+    log.begin("VALIDATE_SCHEMA")
+    quality.gate(result.reports["schema"], cfg.validation.abort_on_threshold_breach, "schema")
+    log.end(raw_count - c["schema_rej"])
+    log.begin("TRANSFORM")
+    log.end(biz_in)
+    log.begin("VALIDATE_BUSINESS")
+    for step in ("business", "cumulative"):
+        if step in result.reports:
+            quality.gate(result.reports[step], cfg.validation.abort_on_threshold_breach, step)
+    log.end(c["valid"])
+    log.begin("LOAD")
+    tagged, refused = _apply_constraints(cfg, tagged)
+    if refused:
         result.tagged = tagged
-        n_load = tagged.filter(F.col("_step") == "LOAD").count()
-        result.rejected += n_load
-        rejects = reject_rows(tagged, execution_id, started)
-        if n_load and tc.fail_fast_on_chunk_error:
-            result.status = "FAILED"
-            result.errors.append(f"{n_load} rows violate target constraints")
-            _record(run_store, cfg, result, rejects, started)
-            return result
-        c = c.asDict()
-        c["valid"] -= n_load
+        result.rejected += refused
+        log.rejects = reject_rows(tagged, execution_id, started)
+        if cfg.target.fail_fast_on_chunk_error:
+            raise load.StagingCheckFailed([f"{refused} rows violate target constraints"])
+    staged_rows = c["valid"] - refused
+    log.save_rejects()
     valid = tagged.filter(F.col("_step").isNull()).drop("_step", "errors", "_raw", "_labels")
     run = load.RunContext(execution_id=execution_id, pipeline_id=cfg.id, pipeline_version=cfg.version,
                           source_file=cfg.source.location, load_timestamp=started, as_of=as_of)
-    staged = load.add_trace_columns(valid, run).drop("_row", "_source", "_extracted_at", "_src_rows")
+    staged = load.add_trace_columns(valid, run).drop("_source", "_extracted_at", "_src_rows")
     if target is not None:
-        check = load.staging_check_frame(staged, cfg.target.business_key if cfg.target.load_strategy == "UPSERT" else [],
-                                         cfg.target.not_null_columns).first()
-        details = load.staging_check_details(check, c["valid"], cfg.target.not_null_columns)
-        if details:
-            result.status = "FAILED"
-            result.errors.extend(details)
-            _record(run_store, cfg, result, rejects, started)
-            return result
-        if target.manifest() is None:
-            target.create(staged.limit(0), None)
-        strat = cfg.target.load_strategy
-        if strat == "UPSERT":
-            guard = cfg.target.closed_flag_column if cfg.target.closed_record_guard_enabled else None
-            _, counts = target.upsert(staged, guard, cfg.target.closed_flag_value, cfg.target.immutable_columns)
-        elif strat == "INSERT":
-            _, counts = target.insert(staged)
-        else:
-            _, counts = target.replace(staged)
-        by = {r[load.ACTION]: r["n_rows"] for r in counts.collect()}
-        result.inserted = by.get(load.INSERTED, 0)
-        result.updated = by.get(load.UPDATED, 0)
-        result.skipped = by.get(load.SKIPPED, 0)
-        if strat == "INSERT":
-            result.rejected += c["valid"] - result.inserted
+        _load(cfg, target, staged, staged_rows, result)
     else:
-        result.inserted = c["valid"]
+        result.inserted = staged_rows
     result.loaded = result.inserted + result.updated
+    log.end(result.loaded)
+    log.begin("CLOSE")
     # row rejects are data outcomes: they make a run PARTIAL, never FAILED
     result.status = "PARTIAL" if result.rejected > 0 else "SUCCESS"
-    _record(run_store, cfg, result, rejects, started)
-    return result
+    log.end(result.loaded)
 
 
-def _record(run_store, cfg: PipelineConfig, result: RunResult, rejects: DataFrame, started: dt.datetime) -> None:
-    if run_store is None:
-        return
-    finished = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
-    run_store.append("rejects", rejects)
-    run_store.append("executions", [{
-        "execution_id": result.execution_id, "pipeline_id": cfg.id, "status": result.status,
-        "trigger_type": "MANUAL", "started_at": started, "finished_at": finished,
-        "total_read": result.read, "total_transformed": result.transformed, "total_rejected": result.rejected,
-        "total_loaded": result.loaded, "error_summary": "; ".join(result.errors) or None, "retry_count": 0,
-        "parent_execution_id": None, "created_at": started,
-    }])
-    run_store.append("audit", [{
-        "execution_id": result.execution_id, "pipeline_id": cfg.id, "action": "PIPELINE_EXECUTION",
-        "status": result.status,
-        "details": f"read={result.read}, transformed={result.transformed}, rejected={result.rejected}, loaded={result.loaded}",
-        "created_at": finished,
-    }])
+def _apply_constraints(cfg: PipelineConfig, tagged: DataFrame) -> tuple[DataFrame, int]:
+    """Rows the target would refuse are rejected one by one (step LOAD); returns the frame and their number."""
+    tc = cfg.target
+    constraints = load.constraint_checks(tagged, [c for c in tc.not_null_columns if c in tagged.columns],
+                                         [c for c in tc.non_negative_columns if c in tagged.columns],
+                                         {k: v for k, v in tc.max_lengths.items() if k in tagged.columns},
+                                         {k: v for k, v in tc.decimal_types.items() if k in tagged.columns})
+    if not constraints:
+        return tagged, 0
+    ok = F.col("_step").isNull()
+    hit = ok & (F.size("_le") > 0)
+    checked = strategy.materialize(tagged.withColumn("_le", F.when(ok, rules.collect_errors(constraints))).withColumns({
+        "_step": F.when(hit, F.lit("LOAD")).otherwise(F.col("_step")),
+        "errors": F.when(hit, F.col("_le")).otherwise(F.col("errors")),
+    }).drop("_le"))
+    return checked, checked.filter(F.col("_step") == "LOAD").count()
+
+
+def _load(cfg: PipelineConfig, target: load.BucketedTable, staged: DataFrame, expected: int, result: RunResult) -> None:
+    tc = cfg.target
+    check = load.staging_check_frame(staged, tc.business_key if tc.load_strategy == "UPSERT" else [],
+                                     tc.not_null_columns).first()
+    details = load.staging_check_details(check, expected, tc.not_null_columns)
+    if details:
+        raise load.StagingCheckFailed(details)
+    rows = staged.drop("_row")
+    if target.manifest() is None:
+        target.create(rows.limit(0), None)
+    if tc.load_strategy == "UPSERT":
+        guard = tc.closed_flag_column if tc.closed_record_guard_enabled else None
+        _, counts = target.upsert(rows, guard, tc.closed_flag_value, tc.immutable_columns)
+    elif tc.load_strategy == "INSERT":
+        _, counts = target.insert(staged if "_row" in staged.columns else rows,
+                                  "_row" if "_row" in staged.columns else None)
+    else:
+        _, counts = target.replace(rows)
+    by = {r[load.ACTION]: r["n_rows"] for r in counts.collect()}
+    result.inserted = by.get(load.INSERTED, 0)
+    result.updated = by.get(load.UPDATED, 0)
+    result.skipped = by.get(load.SKIPPED, 0)
+    if tc.load_strategy == "INSERT":
+        result.rejected += expected - result.inserted

@@ -23,6 +23,7 @@ BASE_CONF = {
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.serializer": "org.apache.spark.serializer.KryoSerializer",
 }
 
@@ -45,8 +46,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder used to cut lineage (``spark.checkpoint.dir``).
 
     On a cluster the setting names a shared filesystem path and is read as
-    is. Only when it is unset (local runs and tests) a private temporary
-    folder is created and registered.
+    is. Only when it is unset on a local master (runs and tests) a private
+    temporary folder is created; a cluster without the setting is an error,
+    since no other machine would see the driver's folder.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -54,6 +56,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
         configured = tempfile.mkdtemp(prefix="sluice-ckpt-")
         spark.conf.set("spark.checkpoint.dir", configured)
     sc.setCheckpointDir(configured)

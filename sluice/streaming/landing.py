@@ -4,14 +4,17 @@ The reference triggers a batch run per schedule; here a file-source stream
 picks up new files and every micro-batch goes through ``run_pipeline``
 (validation, transforms, gates, load into the bucketed target, run
 records) inside ``foreachBatch``. Progress is tracked by the stream's
-checkpoint in the shared ``spark.checkpoint.dir``, so a restarted job (or a
-lost executor) resumes without loading a file twice: the target commit is
-idempotent per batch id because the execution id is derived from it.
+checkpoint, which lies beside the target unless named: a folder that the next
+session finds again. A restarted job resumes from it without losing or
+repeating a file. A batch that was replayed is known by its execution id,
+which holds the stream's own id (kept in its checkpoint) and the batch
+number, so the batches of another stream are never taken for it.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+from collections import deque
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,9 +22,11 @@ from pyspark.sql import types as T
 
 from sluice.operators import load
 from sluice.plans.config import PipelineConfig
-from sluice.session import scratch_path
 from sluice.sources.csv import _csv_options, header_mapping, normalize_headers, null_token_set
 from sluice.functions import text
+from sluice.plans.runs import SUCCESS_STATUSES
+
+KEPT_RESULTS = 100
 
 
 def landing_stream(spark: SparkSession, folder: str, cfg: PipelineConfig, columns: list[str],
@@ -42,25 +47,36 @@ def landing_stream(spark: SparkSession, folder: str, cfg: PipelineConfig, column
 
 def run_on_batches(spark: SparkSession, stream: DataFrame, cfg: PipelineConfig, target: load.BucketedTable,
                    run_store=None, as_of: dt.date | None = None, name: str | None = None,
-                   available_now: bool = True, processing_time: str | None = None):
-    """Start the stream; each micro-batch is one pipeline execution."""
+                   available_now: bool = True, processing_time: str | None = None, checkpoint: str | None = None):
+    """Start the stream; each micro-batch is one pipeline execution.
+
+    ``checkpoint`` is the stream's checkpoint folder; it must stay the same
+    over restarts (default: ``_streams/<name>`` under the target's root).
+    Returns the query and the outcomes of its latest batches.
+    """
     from sluice.plans.pipelines import run_pipeline
 
-    results = []
+    results: deque = deque(maxlen=KEPT_RESULTS)
 
     def each(batch: DataFrame, batch_id: int) -> None:
         from sluice.operators.dedup import with_row_id
 
-        exec_id = f"{cfg.id}-batch-{batch_id}"
+        # set by Spark for the thread that runs the batch; the same after a restart from the checkpoint
+        stream_id = spark.sparkContext.getLocalProperty("sql.streaming.queryId")
+        exec_id = f"{cfg.id}-{stream_id}-batch-{batch_id}"
         if run_store is not None:
-            done = run_store.read("executions").filter(F.col("execution_id") == exec_id).limit(1).count()
+            loaded = (F.col("execution_id") == exec_id) & F.col("status").isin(*SUCCESS_STATUSES)
+            done = run_store.read("executions").filter(loaded).limit(1).count()
             if done:
                 return  # replayed batch after a restart: already loaded
-        raw = with_row_id(batch, "_row")
-        results.append(run_pipeline(spark, cfg, raw, target, as_of, exec_id, run_store))
+        result = run_pipeline(spark, cfg, with_row_id(batch, "_row"), target, as_of, exec_id, run_store)
+        if result.exception is not None:
+            raise result.exception  # the stream stops before the batch counts as done
+        result.tagged = None  # counters only: a stream must not hold on to its batches
+        results.append(result)
 
     writer = stream.writeStream.foreachBatch(each).option(
-        "checkpointLocation", scratch_path(spark, f"stream-{name or cfg.id}"))
+        "checkpointLocation", checkpoint or f"{target.root}/_streams/{name or cfg.id}")
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=processing_time or "1 minute")
     query = writer.start()
     if available_now:
