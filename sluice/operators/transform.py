@@ -19,6 +19,7 @@ from sluice.plans.config import TransformationConfig
 
 TRANSFORM_ERROR = "TRANSFORM_ERROR"
 DERIVED_TYPE = "decimal(22,10)"
+ROUNDED_TYPE = "decimal(38,16)"  # no product is formed from a value that is only rounded
 
 
 def _q(name: str) -> Column:
@@ -143,7 +144,7 @@ def common_transform(df: DataFrame, cfg: TransformationConfig, errors: str = "er
         if fld not in step.df.columns:
             continue
         c = _q(fld)
-        num = c if isinstance(step.df.schema[fld].dataType, T.DecimalType) else money.to_amount(c, DERIVED_TYPE)
+        num = c if isinstance(step.df.schema[fld].dataType, T.DecimalType) else money.to_amount(c, ROUNDED_TYPE)
         msgs.append(F.when(c.isNotNull() & num.isNull(), F.lit(f"Invalid decimal value for field {fld}")))
         values[fld] = money.round_decimal(num, cfg.rounding_scale, cfg.rounding_mode).cast(
             f"decimal(38,{cfg.rounding_scale})")

@@ -244,9 +244,14 @@ def tag_rows(raw: DataFrame, cfg: PipelineConfig, as_of: dt.date,
             c for c in t2.columns if c.startswith("_smsg")])
     t = t.withColumn("_e_transform", F.when(schema_ok, F.col("_e_transform")).otherwise(empty))
     alive = schema_ok & (F.size("_e_transform") == 0)
-    if cfg.name == "inventory-sync" or cfg.id == "inventory-sync":
+    if spec is not None and spec[0] is inventory_rules:
+        # stored before the split: a filter on the valid rows would inline every rule into both halves
+        t = strategy.materialize(t.withColumn("_alive", alive))
+        alive = F.col("_alive")
+        schema_ok = F.size("_e_schema") == 0
         dead = t.filter(~alive)
         t = inventory_consolidate(t.filter(alive)).unionByName(dead, allowMissingColumns=True)
+        stage_transformed = False
     keys = [k for k in cfg.validation.unique_key_columns if k in t.columns]
     if keys and stage_transformed:
         # the duplicate check needs a pass over the transformed rows before the
@@ -474,7 +479,7 @@ def _run_steps(cfg: PipelineConfig, raw: DataFrame, target: load.BucketedTable |
     result.read = raw_count
     log.end(raw_count)
     biz_in = raw_count - c["schema_rej"] - c["transform_rej"]
-    if resolve_transformer(cfg) == SPECIFIC.get("inventory-sync"):
+    if (resolve_transformer(cfg) or (None,))[0] is inventory_rules:
         biz_in = c["valid"] + c["business_rej"]
     pct = cfg.validation.error_threshold_percent
     result.reports["schema"] = quality.evaluate(raw_count, c["schema_rej"], pct)
