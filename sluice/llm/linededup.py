@@ -67,12 +67,14 @@ def _codes(line: Column) -> Column:
 def signatures(lines: DataFrame, plan: LinePlan) -> DataFrame:
     """``key, copies, bands`` per distinct line. The lines move once, folded by key; all else happens where they land."""
     distinct = lines.groupBy("key").agg(F.first("line").alias("line"), F.count("*").alias("copies"))
-    places = distinct.select(
+    # below the explode, or every place would encode the line anew
+    coded = distinct.select(
         "key",
         "copies",
         _codes(F.col("line")).alias("codes"),
-        F.explode(F.sequence(F.lit(0), F.greatest(F.length("line") - plan.shingle, F.lit(0)))).alias("at"),
+        F.sequence(F.lit(0), F.greatest(F.length("line") - plan.shingle, F.lit(0))).alias("places"),
     )
+    places = coded.select("key", "copies", "codes", F.explode("places").alias("at"))
     before = F.substring("codes", F.col("at") * 4 - 3, 4)
     anchors = (
         (F.col("at") == 0)
