@@ -1,61 +1,86 @@
-"""CSV scan with null tokens, header mapping and exact source row numbers.
-
-Row numbers are physical line numbers (header = line 1), computed without
-a global window: every input split reports its line count and the position
-of its first line (``monotonically_increasing_id`` within the Spark
-partition); a tiny per-split table gets cumulative offsets per file and is
-joined back (broadcast only under the checked size limit). Lines are then
-parsed with ``from_csv``, so blank lines keep their number and are dropped
-as empty rows, as in the reference. Quoted line breaks need ``multiLine``
-(one task per file) and are served by ``read_csv_multiline`` without exact
-line numbers.
+"""CSV scan with null tokens, header mapping and source row numbers.
+
+The format is read from the source configuration once (``CsvFormat``). Files
+without quoted line breaks, in UTF-8, are read as lines: every input split
+reports its line count and first position, a per-split table gets cumulative
+offsets per file and is joined back, so row numbers are line numbers (header
+= line 1) without a global sort. Other files (quoted line breaks, other
+encodings) go through Spark's multi-line reader, a task per file, and are
+numbered by record. Which way a source needs is found by one scan.
+
+Nothing is cut: rows longer than the header keep their cells as
+``column_N``, the width being the longest row of all files, and a file whose
+header differs from the others' is an error.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from dataclasses import dataclass, field
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sluice.functions import text
 from sluice.operators import strategy
 from sluice.plans.config import SourceConfig
 
-HEADER_MAPPING_PREFIX = "headerMapping."
-DEFAULT_NULL_TOKENS = ("", "NULL", "null", "N/A", "-")
+MAPPING_PREFIX = "headerMapping."
+# Cells that mean null unless the source names its own.
+NULL_TOKENS = ("", "NULL", "null", "N/A", "-")
+
+
+class HeaderMismatch(ValueError):
+    """Files of one source have different headers."""
 
 
-def null_token_set(props: dict) -> tuple[str, ...]:
-    """``nullValues`` property: comma-split, trimmed, case-sensitive."""
-    value = props.get("nullValues")
-    if value is None or not value.strip():
-        return DEFAULT_NULL_TOKENS
-    return tuple(dict.fromkeys(t.strip() for t in value.split(",")))
+@dataclass(frozen=True)
+class CsvFormat:
+    """Typed view of a source's CSV settings."""
 
+    separator: str = ","
+    quote: str = '"'
+    escape: str = '"'
+    encoding: str = "UTF-8"
+    header: bool = True
+    tokens: tuple[str, ...] = NULL_TOKENS
+    renames: dict[str, str] = field(default_factory=dict)
 
-def header_mapping(props: dict) -> dict[str, str]:
-    out = {}
-    for k, v in props.items():
-        if k.startswith(HEADER_MAPPING_PREFIX):
-            src = k[len(HEADER_MAPPING_PREFIX):]
-            if src.strip() and v and v.strip():
-                out[src] = v
-    return out
+    @classmethod
+    def of(cls, cfg: SourceConfig) -> CsvFormat:
+        props = {k: v for k, v in cfg.properties.items() if v is not None and str(v).strip()}
+        quote = (props.get("quoteChar") or cfg.quote_char or '"')[0]
+        listed = props.get("nullValues")
+        return cls(
+            separator=cfg.delimiter or ",",
+            quote=quote,
+            escape=props.get("escapeChar", quote),
+            encoding=cfg.encoding or "UTF-8",
+            header=cfg.has_header,
+            tokens=NULL_TOKENS if listed is None else tuple(dict.fromkeys(t.strip() for t in listed.split(","))),
+            renames=renames_of(props),
+        )
 
+    @property
+    def is_utf8(self) -> bool:
+        return self.encoding.replace("-", "").upper() in ("UTF8", "USASCII", "ASCII")
 
-def normalize_headers(raw: list[str | None], mapping: dict[str, str]) -> list[str]:
-    out = []
-    for i, h in enumerate(raw):
-        cur = (h or "").strip()
-        if not cur:
-            cur = f"column_{i + 1}"
-        out.append(mapping.get(cur, cur))
-    return out
+    def options(self) -> dict[str, str]:
+        return {"sep": self.separator, "quote": self.quote, "escape": self.escape}
 
+    def names(self, header: list[str | None], width: int = 0) -> list[str]:
+        """Column names of a header row, ``column_N`` for blank or missing ones."""
+        cells = [*header, *[None] * (width - len(header))]
+        plain = [(c or "").strip() or f"column_{i}" for i, c in enumerate(cells, 1)]
+        return [self.renames.get(n, n) for n in plain]
 
-def _csv_options(cfg: SourceConfig) -> dict[str, str]:
-    quote = cfg.properties.get("quoteChar") or cfg.quote_char or '"'
-    return {"sep": cfg.delimiter or ",", "quote": quote[0], "escape": cfg.properties.get("escapeChar", quote[0]),
-            "encoding": cfg.encoding or "UTF-8", "mode": "PERMISSIVE"}
+    def cell(self, col: Column) -> Column:
+        return text.null_tokens(col, self.tokens, case_sensitive=True)
+
+
+def renames_of(props: dict) -> dict[str, str]:
+    """``headerMapping.<source name>`` properties as source name to column name."""
+    pairs = ((k.removeprefix(MAPPING_PREFIX), v) for k, v in props.items() if k.startswith(MAPPING_PREFIX))
+    return {k: v for k, v in pairs if k.strip() and v and v.strip()}
 
 
 def line_numbers(lines: DataFrame) -> DataFrame:
@@ -75,44 +100,89 @@ def line_numbers(lines: DataFrame) -> DataFrame:
     return j.select("value", "_file", (F.col("_offset") + (F.col("_mid") - F.col("_first")) + 1).alias("_line"))
 
 
-def read_header(spark: SparkSession, path: str, cfg: SourceConfig) -> list[str | None]:
-    opts = _csv_options(cfg)
-    first = spark.read.options(**opts).option("header", "false").csv(path).limit(1).collect()
-    return list(first[0]) if first else []
+def _positions(n: int) -> list[str]:
+    return [f"c{i}" for i in range(n)]
+
+
+def _records_by_line(spark: SparkSession, path: str, fmt: CsvFormat, width: int) -> DataFrame:
+    """Cells ``c0..`` per physical line with ``_row`` (line number) and ``_source``."""
+    ddl = ", ".join(f"{p} STRING" for p in _positions(width))
+    lines = line_numbers(spark.read.text(path))
+    parsed = lines.select(F.from_csv("value", F.lit(ddl), fmt.options()).alias("r"), "_file", "_line")
+    return parsed.select(
+        *[F.col(f"r.{p}").alias(p) for p in _positions(width)],
+        F.col("_line").cast("long").alias("_row"),
+        F.col("_file").alias("_source"),
+    )
+
+
+def _records_by_file(spark: SparkSession, path: str, fmt: CsvFormat, width: int) -> DataFrame:
+    """The same from the multi-line reader; ``_row`` is the record's number in its file."""
+    schema = ", ".join(f"{p} STRING" for p in _positions(width))
+    df = spark.read.options(**fmt.options()).option("encoding", fmt.encoding).option("header", "false") \
+        .option("multiLine", "true").option("mode", "PERMISSIVE").schema(schema).csv(path)
+    tagged = df.select("*", F.col("_metadata.file_path").alias("_source"), F.monotonically_increasing_id().alias("_mid"))
+    # a file is one split, so its records are numbered in order from its first
+    firsts = tagged.groupBy(F.col("_source").alias("_file")).agg(F.min("_mid").alias("_first"))
+    firsts, small = strategy.small_or_none(firsts)
+    numbered = tagged.join(strategy.hint_broadcast(firsts, small), F.col("_source") == F.col("_file"))
+    return numbered.select(*_positions(width), (F.col("_mid") - F.col("_first") + 1).alias("_row"), "_source")
+
+
+def _shape(spark: SparkSession, path: str, fmt: CsvFormat) -> tuple[int, bool]:
+    """An upper bound on the cells of a line, and whether a quoted cell holds a line break."""
+    lines = spark.read.text(path)
+    quotes = F.length("value") - F.length(F.replace("value", F.lit(fmt.quote), F.lit("")))
+    cells = (F.length("value") - F.length(F.replace("value", F.lit(fmt.separator), F.lit("")))) / len(fmt.separator) + 1
+    row = lines.agg(
+        F.max(cells).cast("int").alias("cells"), F.count_if(quotes % 2 != 0).alias("odd")
+    ).first()
+    return row["cells"] or 0, bool(row["odd"])
+
+
+def _header(records: DataFrame, width: int) -> list[str | None]:
+    """The one header of all files; they must agree."""
+    rows = records.where(F.col("_row") == 1).select(*_positions(width)).distinct().limit(2).collect()
+    if len(rows) > 1:
+        raise HeaderMismatch(f"files with different headers: {[list(filter(None, r)) for r in rows]}")
+    cells = list(rows[0]) if rows else []
+    while cells and cells[-1] is None:
+        cells.pop()
+    return cells
+
+
+def _longest(records: DataFrame, width: int, known: int) -> int:
+    """Cells of the longest row, counting from the last one that is not empty."""
+    if width <= known:
+        return known
+    reach = F.greatest(F.lit(known), *[F.when(F.col(p).isNotNull(), F.lit(i + 1)) for i, p in enumerate(_positions(width)) if i >= known], F.lit(known))
+    return records.agg(F.max(reach)).first()[0] or known
 
 
 def read_csv(spark: SparkSession, path: str, cfg: SourceConfig, extracted_at=None, width: int | None = None) -> DataFrame:
-    """All-string CSV frame with ``_row`` (line number), ``_source`` and
-    ``_extracted_at``. Rows are padded with nulls; ``width`` widens the
-    schema to keep extra cells of long rows as ``column_N``."""
-    props = cfg.properties
-    tokens = null_token_set(props)
-    opts = _csv_options(cfg)
-    if opts["encoding"].replace("-", "").upper() not in ("UTF8", "USASCII", "ASCII"):
-        # the text source decodes UTF-8 only: other encodings go through the
-        # CSV reader (decoded there), with unique ids instead of line numbers
-        df = read_csv_multiline(spark, path, cfg)
-        ts = F.lit(extracted_at).cast("timestamp") if extracted_at is not None else F.current_timestamp()
-        return df.withColumn("_extracted_at", ts)
-    raw_header = read_header(spark, path, cfg) if cfg.has_header else []
-    n = max(len(raw_header), width or 0)
-    if not cfg.has_header and n == 0:
-        first = spark.read.options(**opts).option("header", "false").csv(path).limit(1).collect()
-        n = len(first[0]) if first else 0
-    names = normalize_headers(raw_header, header_mapping(props)) if cfg.has_header else []
-    names += [f"column_{i + 1}" for i in range(len(names), n)]
-    pos = [f"c{i}" for i in range(n)]
-    lines = line_numbers(spark.read.option("encoding", opts["encoding"]).text(path))
-    if cfg.has_header:
-        lines = lines.filter(F.col("_line") > 1)
-    csv_opts = {k: v for k, v in opts.items() if k in ("sep", "quote", "escape")}
-    ddl = ", ".join(f"{p} STRING" for p in pos)
-    parsed = lines.select(F.from_csv("value", F.lit(ddl), csv_opts).alias("_r"), "_file", "_line")
-    cells = [text.null_tokens(F.col(f"_r.{p}"), tokens, case_sensitive=True).alias(nm) for p, nm in zip(pos, names)]
-    df = parsed.select(*cells, F.col("_line").cast("long").alias("_row"), F.col("_file").alias("_source"))
-    df = drop_empty_rows(df, names)
-    ts = F.lit(extracted_at).cast("timestamp") if extracted_at is not None else F.current_timestamp()
-    return df.withColumn("_extracted_at", ts)
+    """All-string CSV frame with ``_row``, ``_source`` and ``_extracted_at``.
+
+    Short rows are padded with nulls; ``width`` asks for at least so many
+    columns.
+    """
+    fmt = CsvFormat.of(cfg)
+    bound, broken = _shape(spark, path, fmt)
+    if fmt.is_utf8 and not broken:
+        bound = max(bound, width or 1)
+        records = _records_by_line(spark, path, fmt, bound)
+    else:
+        # a record over several lines holds at most the cells of them all; other encodings keep the separator a byte
+        bound = max(2 * bound, width or 1)
+        records = _records_by_file(spark, path, fmt, bound)
+    header = _header(records, bound) if fmt.header else []
+    if fmt.header:
+        records = records.where(F.col("_row") > 1)
+    n = max(_longest(records, bound, len(header)), width or 0)
+    names = fmt.names(header, n)
+    cells = [fmt.cell(F.col(p)).alias(name) for p, name in zip(_positions(n), names)]
+    df = drop_empty_rows(records.select(*cells, "_row", "_source"), names)
+    at = F.lit(extracted_at).cast("timestamp") if extracted_at is not None else F.current_timestamp()
+    return df.withColumn("_extracted_at", at)
 
 
 def drop_empty_rows(df: DataFrame, names: list[str]) -> DataFrame:
@@ -122,19 +192,6 @@ def drop_empty_rows(df: DataFrame, names: list[str]) -> DataFrame:
     return df.filter(F.coalesce(*[F.col(f"`{c}`") for c in names]).isNotNull())
 
 
-def read_csv_multiline(spark: SparkSession, path: str, cfg: SourceConfig) -> DataFrame:
-    """CSV with quoted line breaks: one task per file; ``_row`` is a unique
-    increasing id, not a line number."""
-    opts = _csv_options(cfg)
-    df = spark.read.options(**opts).option("header", str(cfg.has_header).lower()).option("multiLine", "true") \
-        .option("inferSchema", "false").csv(path)
-    names = normalize_headers(df.columns, header_mapping(cfg.properties))
-    tokens = null_token_set(cfg.properties)
-    df = df.select(*[text.null_tokens(F.col(f"`{c}`"), tokens, True).alias(n) for c, n in zip(df.columns, names)],
-                   F.monotonically_increasing_id().alias("_row"), F.col("_metadata.file_path").alias("_source"))
-    return drop_empty_rows(df, names)
-
-
 def preview(df: DataFrame, n: int = 10) -> tuple[list[str], int]:
     """First ``n`` rows as JSON strings plus the total row count."""
     data_cols = [c for c in df.columns if not c.startswith("_")]

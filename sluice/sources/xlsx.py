@@ -148,9 +148,9 @@ def read_xlsx(spark: SparkSession, path: str, props: dict | None = None, has_hea
     first = head.mapInPandas(headers_of, "path string, cells array<string>").collect()
     raw_header = list(first[0]["cells"]) if first else []
     if has_header:
-        from sluice.sources.csv import header_mapping, normalize_headers
+        from sluice.sources.csv import CsvFormat, renames_of
 
-        names = normalize_headers(raw_header, header_mapping(props))
+        names = CsvFormat(renames=renames_of(props)).names(raw_header)
     else:
         names = [f"column_{i + 1}" for i in range(len(raw_header))]
     schema = ", ".join(f"`{n}` string" for n in names) + (", " if names else "") + "_row long, _source string"

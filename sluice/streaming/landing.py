@@ -22,8 +22,7 @@ from pyspark.sql import types as T
 
 from sluice.operators import load
 from sluice.plans.config import PipelineConfig
-from sluice.sources.csv import _csv_options, header_mapping, normalize_headers, null_token_set
-from sluice.functions import text
+from sluice.sources.csv import CsvFormat
 from sluice.plans.runs import SUCCESS_STATUSES
 
 KEPT_RESULTS = 100
@@ -33,15 +32,13 @@ def landing_stream(spark: SparkSession, folder: str, cfg: PipelineConfig, column
                    max_files_per_trigger: int | None = None) -> DataFrame:
     """Streaming frame of landed CSV files (all-string columns) with
     ``_source`` and a per-file ``_row`` (line order within the batch)."""
-    opts = _csv_options(cfg.source)
+    fmt = CsvFormat.of(cfg.source)
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-    reader = spark.readStream.options(**opts).option("header", str(cfg.source.has_header).lower()).schema(schema)
+    reader = spark.readStream.options(**fmt.options()).option("encoding", fmt.encoding).option("header", str(cfg.source.has_header).lower()).schema(schema)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
     df = reader.csv(folder)
-    names = normalize_headers(columns, header_mapping(cfg.source.properties))
-    tokens = null_token_set(cfg.source.properties)
-    return df.select(*[text.null_tokens(F.col(f"`{c}`"), tokens, True).alias(n) for c, n in zip(columns, names)],
+    return df.select(*[fmt.cell(F.col(f"`{c}`")).alias(n) for c, n in zip(columns, fmt.names(columns))],
                      F.col("_metadata.file_path").alias("_source"))
 
 

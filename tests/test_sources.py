@@ -175,3 +175,47 @@ def test_csv_latin1_encoding(spark, tmpdir_path):
         fh.write("name,city\nJosé,Bogotá\n".encode("latin-1"))
     df = csv_src.read_csv(spark, p, SourceConfig(encoding="ISO-8859-1"))
     assert [(r.name, r.city) for r in df.collect()] == [("José", "Bogotá")]
+
+
+def test_csv_nothing_is_cut(spark, tmpdir_path):
+    from sluice.sources import registry as sources
+
+    folder = os.path.join(tmpdir_path, "ragged")
+    os.makedirs(folder)
+    write(os.path.join(folder, "a.csv"), 'k,v\n1,x\n2,y,extra\n3,"q,z"\n')
+    write(os.path.join(folder, "b.csv"), "k,v\n4,w,,far\n\n5\n")
+    df = sources.extract(spark, SourceConfig(type="CSV", location=folder))
+    assert df.columns[:4] == ["k", "v", "column_3", "column_4"]
+    got = {r.k: (r.v, r.column_3, r.column_4, r._row) for r in df.collect()}
+    assert got == {"1": ("x", None, None, 2), "2": ("y", "extra", None, 3), "3": ("q,z", None, None, 4),
+                   "4": ("w", None, "far", 2), "5": (None, None, None, 4)}
+
+
+def test_csv_quoted_line_breaks(spark, tmpdir_path):
+    from sluice.sources import registry as sources
+
+    folder = os.path.join(tmpdir_path, "broken")
+    os.makedirs(folder)
+    write(os.path.join(folder, "a.csv"), 'k,v\n1,"two\nlines, one cell"\n2,plain\n')
+    write(os.path.join(folder, "b.csv"), "k,v\n3,z\n")
+    df = sources.extract(spark, SourceConfig(type="CSV", location=folder))
+    got = {r.k: (r.v, r._row) for r in df.collect()}
+    assert got == {"1": ("two\nlines, one cell", 2), "2": ("plain", 3), "3": ("z", 2)}
+
+
+def test_csv_headers_must_agree(spark, tmpdir_path):
+    folder = os.path.join(tmpdir_path, "headers")
+    os.makedirs(folder)
+    write(os.path.join(folder, "a.csv"), "k,v\n1,x\n")
+    write(os.path.join(folder, "b.csv"), "v,k\nx,1\n")
+    with pytest.raises(csv_src.HeaderMismatch):
+        csv_src.read_csv(spark, folder, SourceConfig())
+
+
+def test_csv_headerless_latin1(spark, tmpdir_path):
+    p = os.path.join(tmpdir_path, "l1.csv")
+    with open(p, "wb") as fh:
+        fh.write("caf\u00e9,1\n\u00fcber,2,x\n".encode("latin-1"))
+    df = csv_src.read_csv(spark, p, SourceConfig(encoding="ISO-8859-1", has_header=False))
+    assert df.columns[:3] == ["column_1", "column_2", "column_3"]
+    assert [(r.column_1, r.column_3, r._row) for r in df.orderBy("_row").collect()] == [("caf\u00e9", None, 1), ("\u00fcber", "x", 2)]
