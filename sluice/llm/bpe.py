@@ -20,7 +20,7 @@ ones are replaced.
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import chain
 
@@ -31,9 +31,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-CACHE_MATCHES = 250_000
+CACHE_MATCHES = 400_000
 SLICE_CHARS = 4_000_000
 NEVER = 1 << 30
+START = -1  # stands before the first token and fits any
 
 
 class Ranks:
@@ -43,7 +44,7 @@ class Ranks:
         self.ranks = ranks
         self.bytes_of = {i: t for t, i in ranks.items()}
         self.longest = max(map(len, ranks))
-        self.length_of = {i: len(t) for t, i in ranks.items()}
+        self.length_of = {i: len(t) for t, i in ranks.items()} | {START: 0}
         self.known: dict[int, bool] = {}
         self._halves: dict[int, tuple[int, int] | None] = {}
         self._right: dict[int, list[tuple[bytes, int]]] = {}
@@ -104,7 +105,7 @@ class Ranks:
         before both nodes are used up inside their own token; at equal rank
         the pair further left goes first. A token that no merge makes never fits.
         """
-        fits = not any(
+        fits = left == START or not any(
             rank < a_until and rank <= b_until
             for a, a_until in self._spine(left, 1, self._right)
             for b, b_until in self._spine(right, 0, self._left)
@@ -122,34 +123,41 @@ class PrefixTable:
 
     def __init__(self, ranks: Ranks, data: bytes = b""):
         self.ranks, self.data = ranks, b""
-        self.last: list[int] = []  # last[i]: last token of the prefix of i + 1 bytes
+        self.last: list[int] = [START]  # last[i]: last token of the prefix of i bytes
         self.append(data)
 
     def append(self, more: bytes) -> None:
         start, table = len(self.data), self.ranks
         self.data = data = self.data + more
-        token_of, known, last, length_of = table.ranks.get, table.known.get, self.last, table.length_of
-        length = length_of[last[-1]] if last else 0
+        token_of, known, last = table.ranks.get, table.known.get, self.last
+        length = table.length_of[last[-1]]
         for end in range(start + 1, len(data) + 1):
             # mostly the last token grows by the new byte or a shorter one takes its place
-            for length in (*range(min(length + 1, end), 0, -1), *range(length + 2, min(end, table.longest) + 1)):
+            longest = length = length + 1 if length < end else end
+            while length:
                 token = token_of(data[end - length : end])
-                if token is None:
-                    continue
-                if length == end:
-                    if length == 1 or table.halves(token) is not None:
+                if token is not None:
+                    before = last[end - length]
+                    fits = known(before << 32 | token)
+                    if fits or (fits is None and table.apart(before, token)):
                         break
-                    continue
-                before = last[end - length - 1]
-                fits = known(before << 32 | token)
-                if fits or (fits is None and table.apart(before, token)):
-                    break
+                length -= 1
+            else:
+                token, length = self._longer(end, longest)
             last.append(token)
 
+    def _longer(self, end: int, than: int) -> tuple[int, int]:
+        """The last token where it is longer than the one before by more than the new byte."""
+        for length in range(than + 1, min(end, self.ranks.longest) + 1):
+            token = self.ranks.ranks.get(self.data[end - length : end])
+            if token is not None and self.ranks.apart(self.last[end - length], token):
+                return token, length
+        raise ValueError("the vocabulary lacks single bytes")
+
     def keep(self, size: int) -> None:
         """Cut the string to its first ``size`` bytes."""
         self.data = self.data[:size]
-        del self.last[size:]
+        del self.last[size + 1 :]
 
     def edit(self, start: int, end: int, replacement: bytes) -> None:
         """Replace bytes ``start`` to ``end``; prefixes up to ``start`` keep their entries."""
@@ -160,7 +168,7 @@ class PrefixTable:
     def tokens(self) -> list[int]:
         out, at, length_of = [], len(self.data), self.ranks.length_of
         while at:
-            token = self.last[at - 1]
+            token = self.last[at]
             out.append(token)
             at -= length_of[token]
         out.reverse()
@@ -183,21 +191,23 @@ class Codec:
     def learn(self, matches: set[str]) -> dict[str, list[int]]:
         """Ids of unseen matches. In byte order neighbours share prefixes, whose entries are kept from one to the next."""
         found, table, whole_of = {}, PrefixTable(self.ranks), self.ranks.ranks.get
-        for data, match in sorted((m.encode("utf-8", "surrogatepass"), m) for m in matches):
+        for match in sorted(matches):  # code points sort as their UTF-8 bytes do
+            data = match.encode("utf-8", "surrogatepass")
             whole = whole_of(data)
             if whole is not None:
                 found[match] = [whole]
                 continue
-            held = table.data
-            same, most = 0, min(len(held), len(data))
-            while same < most and held[same] == data[same]:
+            same = 0
+            for a, b in zip(table.data, data):
+                if a != b:
+                    break
                 same += 1
             table.keep(same)
             table.append(data[same:])
             found[match] = table.tokens()
         return found
 
-    def encode_all(self, texts: list[str | None]) -> Iterator[list[int]]:
+    def encode_all(self, texts: Iterable[str | None]) -> Iterator[list[int]]:
         """Ids of each text; texts are taken together up to a bounded size, and longer ones in slices."""
         for group in _groups(texts):
             parts = [(last, self.split.findall(piece)) for last, piece in group]
@@ -247,7 +257,7 @@ def slices_of(text: str, size: int = SLICE_CHARS) -> Iterator[str]:
     yield text[start:]
 
 
-def _groups(texts: list[str | None]) -> Iterator[list[tuple[bool, str]]]:
+def _groups(texts: Iterable[str | None]) -> Iterator[list[tuple[bool, str]]]:
     """Slices of the texts in order, in groups of bounded size; True marks the last slice of a text.
 
     A long text's slices stay in one group, so that its ids come out as one list.
@@ -278,14 +288,33 @@ def encode(docs: DataFrame, path: str, pattern: str, column: str = "text", out:
     def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         codec = _codec(path, pattern)
         for texts in batches:
-            found = [np.array(x, dtype=np.int32) for x in codec.encode_all(texts.to_pylist())]
-            ends = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
-            flat = np.concatenate([np.empty(0, dtype=np.int32), *found])
-            yield pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
+            yield _id_lists([np.array(x, dtype=np.int32) for x in codec.encode_all(t.as_py() for t in texts)])
 
     return docs.withColumn(out, ids(F.col(column)))
 
 
+def round_trip(docs: DataFrame, path: str, pattern: str, column: str = "text", out: str = "tokens") -> DataFrame:
+    """Add ``struct(token_ids, decoded)``: encode() and decode() in one pass over the text."""
+    kind = pa.struct([("token_ids", pa.list_(pa.int32())), ("decoded", pa.binary())])
+
+    @F.arrow_udf("struct<token_ids:array<int>,decoded:binary>")
+    def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        codec = _codec(path, pattern)
+        for texts in batches:
+            ids, back = [], []
+            for found in codec.encode_all(t.as_py() for t in texts):
+                ids.append(np.array(found, dtype=np.int32))
+                back.append(codec.decode(ids[-1]))
+            yield pa.StructArray.from_arrays([_id_lists(ids), pa.array(back, pa.binary())], fields=list(kind))
+
+    return docs.withColumn(out, both(F.col(column)))
+
+
+def _id_lists(found: list[np.ndarray]) -> pa.ListArray:
+    ends = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, dtype=np.int32), *found])))
+
+
 def decode(tokens: DataFrame, path: str, pattern: str, column: str = "token_ids", out: str = "decoded") -> DataFrame:
     """Add the bytes that the ids of ``column`` stand for; null ids give no bytes."""
 

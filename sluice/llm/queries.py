@@ -66,8 +66,9 @@ def op3_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every whole text, decoded again."""
     vocabulary = (public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    ids = bpe.encode(docs, *vocabulary).select("doc_id", "token_ids")
-    back = bpe.decode(ids, *vocabulary)
+    # behind an explode, or the plan would make the tokens once per column
+    both = bpe.round_trip(docs, *vocabulary).select("doc_id", F.explode(F.array("tokens")).alias("t"))
+    back = both.select("doc_id", "t.token_ids", "t.decoded")
     return back.select(
         "doc_id",
         F.size("token_ids").cast("long").alias("n_tokens"),

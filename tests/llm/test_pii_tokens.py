@@ -132,6 +132,9 @@ def test_encode_decode_columns(clashing, reference):
     ids = bpe.encode(clashing, RANKS, public_tokenizers.PATTERN)
     rows = bpe.decode(ids, RANKS, public_tokenizers.PATTERN).collect()
     assert len(rows) == clashing.count()
+    rows += [
+        r for r in bpe.round_trip(clashing, RANKS, public_tokenizers.PATTERN).select("text", "tokens.*").collect()
+    ]
     for r in rows:
         assert r.token_ids == reference.encode_ordinary(r.text or "")
         assert bytes(r.decoded) == (r.text or "").encode()
@@ -139,6 +142,7 @@ def test_encode_decode_columns(clashing, reference):
 
 def test_bpe_of_nothing(no_docs):
     assert bpe.encode(no_docs, RANKS, public_tokenizers.PATTERN).count() == 0
+    assert bpe.round_trip(no_docs, RANKS, public_tokenizers.PATTERN).select('tokens.*').collect() == []
 
 
 def test_lengths_are_powers_of_two():
