@@ -79,8 +79,8 @@ def map_code(col: Column, mapping: Mapping[str, str], policy: str = "REJECT", de
 
 
 def map_table(df: DataFrame, field: str, table: DataFrame, key: str, value: str, out: str | None = None) -> DataFrame:
-    """Code translation through a lookup table (size-checked broadcast)."""
-    t = table.select(F.col(key).alias("_map_k"), F.col(value).alias("_map_v")).dropDuplicates(["_map_k"])
+    """Code translation through a lookup table (size-checked broadcast); of a repeated code the smallest value counts."""
+    t = table.groupBy(F.col(key).alias("_map_k")).agg(F.min(value).alias("_map_v"))
     bound = strategy.row_bound(t)
     if bound is None:
         t, small = strategy.small_or_none(t)

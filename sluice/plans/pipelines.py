@@ -196,14 +196,45 @@ SPECIFIC: dict[str, tuple[Specific, str]] = {
     "inventory-sync": (inventory_rules, "INVENTORY_TRANSFORM_ERROR"),
     "item-sync": (item_rules, "ITEM_TRANSFORM_ERROR"),
 }
-def register_transformer(name: str, fn: Specific, rule: str) -> None:
-    """Extension hook: a pipeline-specific transformer by name or id."""
-    SPECIFIC[name] = (fn, rule)
+
+# names that stand for every pipeline
+EVERY = ("*", "common")
+Validator = Callable[[DataFrame, PipelineConfig, dt.date], list[Column]]
+_SHARED: list[tuple[int, Specific, str]] = []
+_VALIDATORS: list[tuple[int, str, Validator]] = []
+
+
+def register_transformer(name: str, fn: Specific, rule: str, order: int = 100) -> None:
+    """Extension hook: a transformer for a pipeline's name or id, or (``*`` or ``common``) for pipelines without their own.
+
+    Of several for pipelines without their own, the lowest ``order`` counts. Names compare without case.
+    """
+    if name.lower() in EVERY:
+        _SHARED.append((order, fn, rule))
+        _SHARED.sort(key=lambda x: x[0])
+    else:
+        SPECIFIC[name.lower()] = (fn, rule)
+
+
+def register_validator(name: str, fn: Validator, order: int = 100) -> None:
+    """Extension hook: more checks of the business step, for a pipeline's name or id or for every pipeline.
+
+    ``fn(df, cfg, as_of)`` returns checks as ``rules.check`` builds them; they follow the built-in ones by ``order``.
+    """
+    _VALIDATORS.append((order, name.lower(), fn))
+    _VALIDATORS.sort(key=lambda x: x[0])
+
+
+def clear_extensions() -> None:
+    """Forget the transformers for all pipelines and the validators that were registered."""
+    _SHARED.clear()
+    _VALIDATORS.clear()
 
 
 def resolve_transformer(cfg: PipelineConfig) -> tuple[Specific, str] | None:
-    """Exact name or id wins; otherwise the common rules only."""
-    return SPECIFIC.get(cfg.name) or SPECIFIC.get(cfg.id)
+    """Exact name or id wins, then the first one for all pipelines; None leaves the common rules only."""
+    own = SPECIFIC.get(cfg.name.lower()) or SPECIFIC.get(cfg.id.lower())
+    return own or (_SHARED[0][1:] if _SHARED else None)
 
 
 # ----------------------------------------------------------------- tagging
@@ -264,6 +295,9 @@ def tag_rows(raw: DataFrame, cfg: PipelineConfig, as_of: dt.date,
     if catalog_frames is not None:
         t = catalog_frames(t)
     checks = rules.business_checks(t, cfg.validation, as_of, table_catalogs)
+    for _, name, validate in _VALIDATORS:
+        if name in (*EVERY, cfg.name.lower(), cfg.id.lower()):
+            checks += validate(t, cfg, as_of)
     if keys:
         # row numbers are per file or sheet: the source is part of a row's identity
         ids = ["_source", "_row"] if "_source" in t.columns else "_row"

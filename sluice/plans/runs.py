@@ -181,22 +181,56 @@ def page(df: DataFrame, page_no: int, size: int, order: Sequence[Column]) -> Dat
     return df.orderBy(*order).offset(page_no * size).limit(size)
 
 
+def page_with_total(df: DataFrame, page_no: int, size: int, order: Sequence[Column]) -> tuple[DataFrame, int, int]:
+    """A page with the number of all rows and of pages (O2)."""
+    total = df.count()
+    return page(df, page_no, size, order), total, -(-total // size)
+
+
+def steps_of(store: RunStore, execution_id: str) -> DataFrame:
+    """A run's steps in their order (O3)."""
+    return store.read("steps").where(F.col("execution_id") == execution_id).orderBy("step_order")
+
+
+def audit_of(store: RunStore, execution_id: str) -> DataFrame:
+    """A run's audit rows, oldest first (O3)."""
+    return store.read("audit").where(F.col("execution_id") == execution_id).orderBy("created_at", "action")
+
+
+def errors_of(store: RunStore, execution_id: str) -> DataFrame:
+    """A run's errors, oldest first (O3)."""
+    return store.read("errors").where(F.col("execution_id") == execution_id).orderBy("created_at", "message")
+
+
+def metrics_of(store: RunStore, execution_id: str) -> DataFrame:
+    """A run's metrics by name, step durations included (O3)."""
+    runs = store.read("executions").where(F.col("execution_id") == execution_id)
+    steps = store.read("steps").where(F.col("execution_id") == execution_id)
+    return run_metrics(runs, steps).orderBy("metric_name")
+
+
 def retry_eligible(runs: DataFrame, errors: DataFrame | None, max_retries: int, retry_on: Sequence[str]) -> DataFrame:
     """Failed runs that may be retried (R5): retry count below the maximum
     and the last error's type in ``retry_on`` (empty = any). The last error
     per run is a ``max_by`` aggregate, not a window."""
     r = runs
     if errors is not None:
-        last = errors.groupBy("execution_id").agg(F.max_by("error_type", F.col("created_at")).alias("last_error_type"))
+        last = errors.groupBy("execution_id").agg(F.max_by("error_type", F.struct("created_at", "error_type")).alias("last_error_type"))
         r = r.join(last, "execution_id", "left")
     type_ok = F.lit(True) if not retry_on else F.coalesce(F.col("last_error_type").isin(*retry_on), F.lit(False))
     return r.withColumn("retry_eligible", (F.col("status") == "FAILED") & (F.col("retry_count") < max_retries) & type_ok)
 
 
 def retry_chain(runs: DataFrame) -> DataFrame:
-    """Each run with its parent's status (R3): self join on the unique id."""
+    """Each run with its parent's status (R3): self join on the unique id.
+
+    First attempts have no parent; they stay out of the join, where their
+    nulls would meet in one partition.
+    """
     parent = runs.select(F.col("execution_id").alias("parent_execution_id"), F.col("status").alias("parent_status"))
-    return runs.join(parent, "parent_execution_id", "left")
+    retries = runs.where(F.col("parent_execution_id").isNotNull()).join(parent, "parent_execution_id", "left")
+    firsts = runs.where(F.col("parent_execution_id").isNull()).withColumn("parent_status", F.lit(None).cast("string"))
+    return retries.unionByName(firsts)
 
 
 def window_allowed(ts: Column, windows: Sequence[dict], zone: str = "UTC") -> Column:

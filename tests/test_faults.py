@@ -171,3 +171,65 @@ def test_numbers_out_of_range_reject_their_row_only(spark):
     result = run_pipeline(spark, builtin("item"), raw, None, AS_OF)
     assert result.status in ("PARTIAL", "FAILED") and result.exception is None
     assert {r.item_key for r in result.rejects().collect()} == {"I2", "I3"}
+
+
+def test_readers_of_a_run(spark, tmpdir_path):
+    from sluice.plans import runs
+
+    store = RunStore(spark, os.path.join(tmpdir_path, "runs"))
+    raw = item_rows(spark, [("I1", "Soup", "1.5", "f")])
+    run_pipeline(spark, builtin("item"), raw, None, AS_OF, "run-3", store)
+    assert [r.step_name for r in runs.steps_of(store, "run-3").collect()][0] == "EXTRACT"
+    assert [r.status for r in runs.audit_of(store, "run-3").collect()] == ["SUCCESS"]
+    assert runs.errors_of(store, "run-3").count() == 0
+    names = [r.metric_name for r in runs.metrics_of(store, "run-3").collect()]
+    assert names == sorted(names) and "records_read" in names and "duration_load_ms" in names
+    page, total, pages = runs.page_with_total(spark.range(45), 2, 20, [F.col("id")])
+    assert (total, pages, [r.id for r in page.collect()]) == (45, 3, list(range(40, 45)))
+
+
+def test_first_attempts_have_no_parent(spark):
+    from sluice.plans import runs
+
+    table = spark.createDataFrame(
+        [("a", None, "FAILED"), ("b", "a", "SUCCESS"), ("c", "zz", "FAILED")],
+        "execution_id string, parent_execution_id string, status string")
+    got = {r.execution_id: r.parent_status for r in runs.retry_chain(table).collect()}
+    assert got == {"a": None, "b": "FAILED", "c": None}
+
+
+def test_registered_transformers_and_validators(spark):
+    from sluice.operators import rules
+    from sluice.plans import pipelines
+
+    def shout(df, cfg, as_of):
+        return df.withColumn("item_name", F.upper("item_name")), []
+
+    def no_soup(df, cfg, as_of):
+        return [rules.check(F.col("item_name") == "SOUP", "item_name", F.col("item_name"), "NO_SOUP", "Soup is out")]
+
+    def quiet(df, cfg, as_of):
+        return df.withColumn("item_name", F.lower("item_name")), []
+
+    raw = item_rows(spark, [("I1", "Soup", "1.5", "f"), ("I2", "Rice", "1", "f")])
+    other = builtin("item")
+    other.id = other.name = "other-sync"
+    pipelines.register_transformer("*", quiet, "QUIET", order=200)
+    pipelines.register_transformer("common", shout, "SHOUT", order=5)
+    pipelines.register_validator("Other-Sync", no_soup)
+    try:
+        rows = {r.item_key: (r.item_name, r._labels) for r in pipelines.tag_rows(raw, other, AS_OF).collect()}
+        own = {r.item_key: (r.item_name, r._labels) for r in pipelines.tag_rows(raw, builtin("item"), AS_OF).collect()}
+    finally:
+        pipelines.clear_extensions()
+    assert rows == {"I1": ("SOUP", "NO_SOUP:item_name"), "I2": ("RICE", "")}
+    assert own == {"I1": ("Soup", ""), "I2": ("Rice", "")}  # a pipeline's own transformer wins
+
+
+def test_table_translation_takes_the_smallest_value(spark):
+    from sluice.operators.lookup import map_table
+
+    codes = spark.createDataFrame([("x", "b"), ("x", "a"), ("y", "c")], "code string, name string")
+    df = spark.createDataFrame([("x",), ("z",), (None,)], "k string")
+    got = {r.k: r.out for r in map_table(df, "k", codes, "code", "name", "out").collect()}
+    assert got == {"x": "a", "z": None, None: None}
