@@ -2,9 +2,8 @@
 
 Lines are compared in lower case and trimmed. Equal lines are folded first.
 A distinct line's signature holds minima of its character-shingle hashes
-under many masks (a hash XOR a mask orders shingles at random); only shingles
-that start a word, or follow one of a hashed sixteenth of all characters, are
-hashed for it. The signature is cut into bands. Lines that share a band are
+under many masks (a hash XOR a mask orders shingles at random); of lines with spaces, the shingles
+that start a word are hashed for it. The signature is cut into bands. Lines that share a band are
 compared by the exact Jaccard similarity of all their shingles: every line of
 a band with the band's smallest first, and after a first union-find all pairs
 of a band whose ends are still apart, so a band of near copies costs its size
@@ -23,6 +22,7 @@ through.
 from __future__ import annotations
 
 import random
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -36,12 +36,17 @@ class LinePlan:
     """Similarity and shape: shingles of ``shingle`` characters, ``bands`` bands of ``rows`` minima.
 
     A pair at the similarity of 0.8 shares a band with probability 0.99.
+    Lines with fewer than one space in ``sparse`` characters have all their
+    shingles hashed for the signature. Pairs with a share of agreeing minima
+    under ``agree`` are not verified.
     """
 
     similarity: float = 0.8
     shingle: int = 8
     bands: int = 12
     rows: int = 5
+    sparse: int = 16
+    agree: float = 0.58
 
     def masks(self) -> list[int]:
         rng = random.Random(7)
@@ -50,11 +55,13 @@ class LinePlan:
 
 def lines_of(docs: DataFrame) -> DataFrame:
     """``row, doc_id, line_no, line, key`` for every line that is not blank; ``row`` tells rows with other ids or texts apart."""
-    cut = docs.select(
+    # hashed below the explode, or every line would hash its whole text anew
+    rows = docs.select(
         F.xxhash64("doc_id", "text").alias("row"),
         F.col("doc_id").cast("long").alias("doc_id"),
-        F.posexplode(F.split(text_of(F.col("text")), "\n")).alias("line_no", "raw"),
+        F.split(text_of(F.col("text")), "\n").alias("raws"),
     )
+    cut = rows.select("row", "doc_id", F.posexplode("raws").alias("line_no", "raw"))
     lines = cut.select("row", "doc_id", "line_no", F.lower(F.btrim("raw", F.lit(SPACES))).alias("line"))
     return lines.where(F.col("line") != "").withColumn("key", F.xxhash64("line"))
 
@@ -65,23 +72,23 @@ def _codes(line: Column) -> Column:
 
 
 def signatures(lines: DataFrame, plan: LinePlan) -> DataFrame:
-    """``key, copies, bands`` per distinct line. The lines move once, folded by key; all else happens where they land."""
+    """``key, copies, bands, sketch`` per distinct line. The lines move once, folded by key; all else happens where they land.
+
+    ``sketch`` packs eight bits of every minimum, to estimate a pair's similarity before its lines are fetched.
+    """
     distinct = lines.groupBy("key").agg(F.first("line").alias("line"), F.count("*").alias("copies"))
+    spaces = F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit("")))
     # below the explode, or every place would encode the line anew
     coded = distinct.select(
         "key",
         "copies",
+        (spaces * plan.sparse < F.length("line")).alias("dense"),
         _codes(F.col("line")).alias("codes"),
         F.sequence(F.lit(0), F.greatest(F.length("line") - plan.shingle, F.lit(0))).alias("places"),
     )
-    places = coded.select("key", "copies", "codes", F.explode("places").alias("at"))
-    before = F.substring("codes", F.col("at") * 4 - 3, 4)
-    anchors = (
-        (F.col("at") == 0)
-        | (before == F.unhex(F.lit("00000020")))
-        | (F.xxhash64(before).bitwiseAND(F.lit(15)) == 0)
-    )
-    hashed = places.where(anchors).select(
+    places = coded.select("key", "copies", "dense", "codes", F.explode("places").alias("at"))
+    starts = (F.col("at") == 0) | F.col("dense") | (F.substring("codes", F.col("at") * 4 - 3, 4) == _codes(F.lit(" ")))
+    hashed = places.where(starts).select(
         "key", "copies", F.xxhash64(F.substring("codes", F.col("at") * 4 + 1, plan.shingle * 4)).alias("h")
     )
     minima = hashed.groupBy("key").agg(
@@ -91,22 +98,59 @@ def signatures(lines: DataFrame, plan: LinePlan) -> DataFrame:
     bands = [
         F.xxhash64(F.lit(b), *[f"m{i}" for i in range(b * plan.rows, (b + 1) * plan.rows)]) for b in range(plan.bands)
     ]
-    return minima.select("key", "copies", F.array(*bands).alias("bands"))
+    return minima.select("key", "copies", F.array(*bands).alias("bands"), F.array(*_sketch(plan)).alias("sketch"))
+
+
+def _sketch(plan: LinePlan) -> list[Column]:
+    """Eight minima to a number, eight bits each."""
+    count = plan.bands * plan.rows
+    out = []
+    for at in range(0, count, 8):
+        packed = F.lit(0).cast("long")
+        for j, i in enumerate(range(at, min(at + 8, count))):
+            packed = packed.bitwiseOR(F.shiftleft(F.col(f"m{i}").bitwiseAND(F.lit(255)), 8 * j))
+        out.append(packed)
+    return out
+
+
+def _spread(shift: int) -> Callable[[Column], Column]:
+    return lambda v: v.bitwiseOR(F.shiftrightunsigned(v, shift))
+
 
+def _agreeing(plan: LinePlan, a: str, b: str) -> Column:
+    """How many minima of two sketches agree: bytes of their difference that are zero."""
+    count = plan.bands * plan.rows
+    ones = F.lit(0x0101010101010101)
+    differing = F.lit(0)
+    for g in range(-(-count // 8)):
+        x = F.get(a, F.lit(g)).bitwiseXOR(F.get(b, F.lit(g)))
+        for shift in (4, 2, 1):
+            x = let(x, _spread(shift))
+        differing = differing + F.bit_count(x.bitwiseAND(ones))
+    return F.lit(count) - differing
+
+
+def _verified(pairs: DataFrame, signed: DataFrame, lines: DataFrame, scratch: Scratch, plan: LinePlan) -> DataFrame:
+    """The pairs whose lines are similar enough: exact Jaccard of the sets of all shingles.
+
+    Pairs whose minima agree far too rarely (below ``plan.agree``, four
+    deviations under the similarity asked for) go first, without their lines.
+    """
+
+    def side(table: DataFrame, column: str, name: str) -> DataFrame:
+        return table.select(F.col("key").alias(name), F.col(column).alias(f"{column}_{name}"))
 
-def _verified(pairs: DataFrame, lines: DataFrame, scratch: Scratch, plan: LinePlan) -> DataFrame:
-    """The pairs whose lines are similar enough: exact Jaccard of the sets of all shingles."""
     pairs = scratch.write(pairs.select("a", "b").distinct(), "pairs")
-    keys = scratch.write(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct(), "keys")
+    sketched = pairs.join(side(signed, "sketch", "a"), "a").join(side(signed, "sketch", "b"), "b")
+    likely = scratch.write(
+        sketched.where(_agreeing(plan, "sketch_a", "sketch_b") >= plan.agree * plan.bands * plan.rows).select("a", "b"),
+        "likely",
+    )
+    keys = scratch.write(likely.select(F.col("a").alias("key")).union(likely.select("b")).distinct(), "keys")
     texts = scratch.write(
         lines.join(maybe_broadcast(keys), "key", "left_semi").groupBy("key").agg(F.first("line").alias("line")), "texts"
     )
 
-    def side(name: str) -> DataFrame:
-        return texts.select(F.col("key").alias(name), F.col("line").alias(f"line_{name}"))
-
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-
     def shingles(line: Column) -> Column:
         last = F.greatest(F.length(line) - plan.shingle, F.lit(0))
         return let(
@@ -119,14 +163,13 @@ def _verified(pairs: DataFrame, lines: DataFrame, scratch: Scratch, plan: LinePl
             ),
         )
 
-    sets = both.select(
-        "a", "b", shingles(F.col("line_a")).alias("sa"), shingles(F.col("line_b")).alias("sb")
+    both = likely.join(side(texts, "line", "a"), "a").join(side(texts, "line", "b"), "b")
+    sets = both.select("a", "b", shingles(F.col("line_a")).alias("sa"), shingles(F.col("line_b")).alias("sb"))
+    sizes = sets.select(
+        "a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("n")
     )
-    shared = sets.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(
-        F.array_intersect("sa", "sb")
-    ).alias("n"))
     return scratch.write(
-        shared.where(F.col("n") >= plan.similarity * (F.col("na") + F.col("nb") - F.col("n"))).select("a", "b"), "links"
+        sizes.where(F.col("n") >= plan.similarity * (F.col("na") + F.col("nb") - F.col("n"))).select("a", "b"), "links"
     )
 
 
@@ -143,7 +186,7 @@ def components(lines: DataFrame, signed: DataFrame, scratch: Scratch, plan: Line
     crowds = scratch.write(met.where("n > 2").select("band", "low"), "crowds")
     members = scratch.write(bands.join(maybe_broadcast(crowds), "band"), "members")
     stars = members.where("key <> low").select(F.col("low").alias("a"), F.col("key").alias("b"))
-    links = _verified(couples.unionByName(stars), lines, scratch, plan)
+    links = _verified(couples.unionByName(stars), signed, lines, scratch, plan)
     found = scratch.write(connected_components(links, scratch), "found")
     # pairs of a band whose ends the stars did not join
     named = scratch.write(
@@ -152,9 +195,11 @@ def components(lines: DataFrame, signed: DataFrame, scratch: Scratch, plan: Line
         ),
         "named",
     )
-    hubs = named.where("key = low").select("band", F.col("component").alias("hub"))
+    hubs = scratch.write(named.where("key = low").select("band", F.col("component").alias("hub")), "hubs")
     outside = scratch.write(
-        named.join(hubs, "band").where("component <> hub").select("band", F.col("key").alias("a"), F.col("component").alias("ca")),
+        named.join(maybe_broadcast(hubs), "band")
+        .where("component <> hub")
+        .select("band", F.col("key").alias("a"), F.col("component").alias("ca")),
         "outside",
     )
     apart = (
@@ -162,22 +207,25 @@ def components(lines: DataFrame, signed: DataFrame, scratch: Scratch, plan: Line
         .where("ca <> cb and b <> low")
         .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     )
-    more = _verified(apart, lines, scratch, plan)
+    more = _verified(apart, signed, lines, scratch, plan)
     if more.isEmpty():
         return found
-    return connected_components(links.unionByName(more), scratch)
+    # the components so far stand for their links
+    joined = found.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b"))
+    return connected_components(joined.unionByName(more), scratch)
 
 
 def verdicts(docs: DataFrame, plan: LinePlan = LinePlan()) -> DataFrame:
     """Every line that is not blank: ``row, doc_id, line_no, key, first_doc, first_line, kept``.
 
     ``first_doc, first_line`` is the place of the line that stays for it.
+    The lines are stored once, and all later steps read that copy.
     """
     scratch = Scratch(docs.sparkSession, "lines")
-    lines = lines_of(docs)
-    places = scratch.write(lines.drop("line"), "places")
-    signed = scratch.write(signatures(lines, plan), "signed")
-    linked = components(lines, signed, scratch, plan)
+    lines = scratch.write(lines_of(docs), "lines")
+    places = lines.drop("line")
+    signed = scratch.write(signatures(lines.select("key", "line"), plan), "signed")
+    linked = components(lines.select("key", "line"), signed, scratch, plan)
     repeated = signed.where("copies > 1").select("key")
     roots = scratch.write(
         repeated.join(linked.withColumnRenamed("node", "key"), "key", "full_outer").select(
