@@ -31,6 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sluice.llm.common import small_batches
+
 CACHE_MATCHES = 400_000
 SLICE_CHARS = 4_000_000
 NEVER = 1 << 30
@@ -284,6 +286,8 @@ def _codec(path: str, pattern: str) -> Codec:
 def encode(docs: DataFrame, path: str, pattern: str, column: str = "text", out: str = "token_ids") -> DataFrame:
     """Add the ids of ``column`` as an array of integers; ``path`` names the rank file on every worker."""
 
+    small_batches(docs)
+
     @F.arrow_udf(T.ArrayType(T.IntegerType()))
     def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         codec = _codec(path, pattern)
@@ -295,6 +299,7 @@ def encode(docs: DataFrame, path: str, pattern: str, column: str = "text", out:
 
 def round_trip(docs: DataFrame, path: str, pattern: str, column: str = "text", out: str = "tokens") -> DataFrame:
     """Add ``struct(token_ids, decoded)``: encode() and decode() in one pass over the text."""
+    small_batches(docs)
     kind = pa.struct([("token_ids", pa.list_(pa.int32())), ("decoded", pa.binary())])
 
     @F.arrow_udf("struct<token_ids:array<int>,decoded:binary>")
@@ -318,6 +323,8 @@ def _id_lists(found: list[np.ndarray]) -> pa.ListArray:
 def decode(tokens: DataFrame, path: str, pattern: str, column: str = "token_ids", out: str = "decoded") -> DataFrame:
     """Add the bytes that the ids of ``column`` stand for; null ids give no bytes."""
 
+    small_batches(tokens)
+
     @F.arrow_udf(T.BinaryType())
     def data(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         codec = _codec(path, pattern)

@@ -14,6 +14,8 @@ from sluice.session import scratch_path
 SPACES = " \t\n\x0b\f\r"
 SPACE_RUN = "[ \\t-\\r]+"
 BROADCAST_ROWS = 1_000_000
+BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_ROWS = 1000
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -39,6 +41,13 @@ def fresh(name: str, taken: Iterable[str]) -> str:
     return name
 
 
+def small_batches(df: DataFrame, rows: int = BATCH_ROWS) -> None:
+    """Lower the session's rows per Arrow batch: rows hold whole texts, and a worker holds a batch more than once."""
+    conf = df.sparkSession.conf
+    if int(conf.get(BATCH_CONF, "10000")) > rows:
+        conf.set(BATCH_CONF, str(rows))
+
+
 class Scratch:
     """Parquet tables of one operator call under the folder named by ``spark.checkpoint.dir``.
 

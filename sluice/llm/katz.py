@@ -42,7 +42,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import Scratch
+from sluice.llm.common import Scratch, small_batches
 
 BLOCK_BYTES = 8_000_000
 PART_TOKENS = 1_000_000
@@ -417,6 +417,7 @@ def score(docs: DataFrame, modulus: int = 5, held_out: int = 1, keep_model: str
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "katz")
+    small_batches(docs)
     split = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(modulus))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (split != held_out).alias("train"))
     blocks = scratch.write(rows.mapInArrow(_make_blocks, BLOCKS), "blocks")

@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sluice.llm.common import small_batches
+
 MAX_LENGTH = 2048
 END_ID = 1
 PIECES = T.ArrayType(
@@ -97,6 +99,7 @@ def pack(docs: DataFrame, path: str, pattern: str, end_id: int = END_ID, longest
     """
     if longest & (longest - 1):
         raise ValueError("the longest sequence must be a power of two")
+    small_batches(docs)
     added = ["doc_tokens", "start", "length", "ids", "bucket", "sequence_id", "offset"]
     keep = [c for c in docs.columns if c not in (*added, "text")]
 

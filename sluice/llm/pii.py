@@ -29,6 +29,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sluice.llm.common import small_batches
+
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "url", "iban", "account", "address")
 
@@ -308,6 +310,8 @@ def span_string(spans: list[tuple[str, int, int]]) -> str:
 def with_spans(docs: DataFrame, out: str = "pii") -> DataFrame:
     """Add an array of ``struct(kind, start, end)``, ordered by kind, then start."""
 
+    small_batches(docs)
+
     @F.pandas_udf("array<struct<kind:string,start:long,end:long>>")
     def spans(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
@@ -341,6 +345,8 @@ def redact_text(text: str | None) -> str | None:
 def redact(docs: DataFrame, column: str = "text") -> DataFrame:
     """Documents with personal data replaced in ``column``; nulls stay null."""
 
+    small_batches(docs)
+
     @F.pandas_udf("string")
     def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import Scratch, connected_components, fresh
+from sluice.llm.common import Scratch, connected_components, fresh, small_batches
 
 SEED = 42
 CHUNK = 1 << 16
@@ -59,6 +59,8 @@ def _signed(value: int) -> int:
 def with_fingerprint(docs: DataFrame, out: str = "fingerprint", shingle_words: int = 3) -> DataFrame:
     """Add the fingerprint of ``text`` as a signed 64-bit column (the same bits)."""
 
+    small_batches(docs)
+
     @F.pandas_udf("long")
     def fingerprints(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import Scratch, fresh, maybe_broadcast
+from sluice.llm.common import Scratch, fresh, maybe_broadcast, small_batches
 
 PAGE, LAYOUT, BLOCK = 0, 1, 2
 
@@ -304,6 +304,7 @@ def low_nodes(pages: DataFrame, scratch: Scratch, policy: TreePolicy = TreePolic
 def extract(pages: DataFrame, policy: TreePolicy = TreePolicy()) -> DataFrame:
     """Pages with ``text``, their main text. Low nodes come by a broadcast when few hosts have any, else by a join."""
     scratch = Scratch(pages.sparkSession, "styletree")
+    small_batches(pages)
     hosted = pages.select("html", host_of(F.col("url")).alias("host"))
     low = low_nodes(hosted, scratch, policy)
     keep = [c for c in pages.columns if c != "text"]
