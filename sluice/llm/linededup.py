@@ -168,9 +168,12 @@ def _verified(pairs: DataFrame, signed: DataFrame, lines: DataFrame, scratch: Sc
     sizes = sets.select(
         "a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("n")
     )
-    return scratch.write(
+    links = scratch.write(
         sizes.where(F.col("n") >= plan.similarity * (F.col("na") + F.col("nb") - F.col("n"))).select("a", "b"), "links"
     )
+    for table in (pairs, likely, keys, texts):
+        scratch.drop(table)
+    return links
 
 
 def components(lines: DataFrame, signed: DataFrame, scratch: Scratch, plan: LinePlan) -> DataFrame:
@@ -208,6 +211,8 @@ def components(lines: DataFrame, signed: DataFrame, scratch: Scratch, plan: Line
         .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     )
     more = _verified(apart, signed, lines, scratch, plan)
+    for table in (met, crowds, members, named, hubs, outside):
+        scratch.drop(table)
     if more.isEmpty():
         return found
     # the components so far stand for their links
@@ -219,13 +224,15 @@ def verdicts(docs: DataFrame, plan: LinePlan = LinePlan()) -> DataFrame:
     """Every line that is not blank: ``row, doc_id, line_no, key, first_doc, first_line, kept``.
 
     ``first_doc, first_line`` is the place of the line that stays for it.
-    The lines are stored once, and all later steps read that copy.
+    The lines are stored once, and all later steps read that copy, which
+    goes as soon as the components are known.
     """
     scratch = Scratch(docs.sparkSession, "lines")
     lines = scratch.write(lines_of(docs), "lines")
-    places = lines.drop("line")
+    places = scratch.write(lines.drop("line"), "places")
     signed = scratch.write(signatures(lines.select("key", "line"), plan), "signed")
     linked = components(lines.select("key", "line"), signed, scratch, plan)
+    scratch.drop(lines)
     repeated = signed.where("copies > 1").select("key")
     roots = scratch.write(
         repeated.join(linked.withColumnRenamed("node", "key"), "key", "full_outer").select(
