@@ -33,8 +33,9 @@ from pyspark.sql import types as T
 
 from sluice.llm.common import small_batches
 
-CACHE_MATCHES = 400_000
+CACHE_MATCHES = 300_000
 SLICE_CHARS = 4_000_000
+RUN_BYTES = 64
 NEVER = 1 << 30
 START = -1  # stands before the first token and fits any
 
@@ -114,7 +115,7 @@ class Ranks:
             if (rank := self.ranks.get(a + b, NEVER)) < NEVER
         )
         fits = fits and (self.length_of[right] == 1 or self.halves(right) is not None)
-        if len(self.known) >= 2 * CACHE_MATCHES:
+        if len(self.known) >= 4 * CACHE_MATCHES:
             self.known.clear()
         self.known[left << 32 | right] = fits
         return fits
@@ -126,14 +127,22 @@ class PrefixTable:
     def __init__(self, ranks: Ranks, data: bytes = b""):
         self.ranks, self.data = ranks, b""
         self.last: list[int] = [START]  # last[i]: last token of the prefix of i bytes
-        self.append(data)
-
-    def append(self, more: bytes) -> None:
-        start, table = len(self.data), self.ranks
-        self.data = data = self.data + more
-        token_of, known, last = table.ranks.get, table.known.get, self.last
+        self._runs: list[tuple[int, ...]] = [()]  # the tokens of the first prefixes, read off once
+        self.become(data)
+
+    def become(self, data: bytes) -> tuple[int, ...]:
+        """Hold ``data`` instead, keeping the entries of the prefix that both have; returns its tokens."""
+        same = 0
+        for a, b in zip(self.data, data):
+            if a != b:
+                break
+            same += 1
+        last, runs, table = self.last, self._runs, self.ranks
+        del last[same + 1 :], runs[same + 1 :]
+        self.data = data
+        token_of, known = table.ranks.get, table.known.get
         length = table.length_of[last[-1]]
-        for end in range(start + 1, len(data) + 1):
+        for end in range(same + 1, len(data) + 1):
             # mostly the last token grows by the new byte or a shorter one takes its place
             longest = length = length + 1 if length < end else end
             while length:
@@ -147,6 +156,9 @@ class PrefixTable:
             else:
                 token, length = self._longer(end, longest)
             last.append(token)
+            if end <= RUN_BYTES:
+                runs.append((*runs[end - length], token))
+        return runs[-1] if len(data) <= RUN_BYTES else tuple(self.tokens())
 
     def _longer(self, end: int, than: int) -> tuple[int, int]:
         """The last token where it is longer than the one before by more than the new byte."""
@@ -156,75 +168,62 @@ class PrefixTable:
                 return token, length
         raise ValueError("the vocabulary lacks single bytes")
 
-    def keep(self, size: int) -> None:
-        """Cut the string to its first ``size`` bytes."""
-        self.data = self.data[:size]
-        del self.last[size + 1 :]
+    def append(self, more: bytes) -> None:
+        self.become(self.data + more)
 
     def edit(self, start: int, end: int, replacement: bytes) -> None:
         """Replace bytes ``start`` to ``end``; prefixes up to ``start`` keep their entries."""
-        tail = self.data[end:]
-        self.keep(start)
-        self.append(replacement + tail)
+        self.become(self.data[:start] + replacement + self.data[end:])
 
     def tokens(self) -> list[int]:
         out, at, length_of = [], len(self.data), self.ranks.length_of
         while at:
-            token = self.last[at]
-            out.append(token)
-            at -= length_of[token]
+            out.append(self.last[at])
+            at -= length_of[self.last[at]]
         out.reverse()
         return out
 
 
 class Codec:
-    """Encoding of texts match by match, with a bounded cache of the matches' ids."""
+    """Encoding of texts match by match, with a bounded cache of the matches' ids in two generations."""
 
     def __init__(self, path: str, pattern: str, cache_matches: int = CACHE_MATCHES):
         self.ranks = Ranks.load(path)
         self.split = regex.compile(pattern)
-        self.cache: dict[str, list[int]] = {}
+        self.cache: dict[str, tuple[int, ...]] = {}
+        self.before: dict[str, tuple[int, ...]] = {}
         self.limit = cache_matches
         tokens = [self.ranks.bytes_of.get(i, b"") for i in range(max(self.ranks.bytes_of) + 1)]
         self._lengths = np.array([len(t) for t in tokens], dtype=np.int64)
         self._starts = np.cumsum(self._lengths) - self._lengths
         self._blob = np.frombuffer(b"".join(tokens), dtype=np.uint8)
 
-    def learn(self, matches: set[str]) -> dict[str, list[int]]:
+    def learn(self, matches: set[str]) -> dict[str, tuple[int, ...]]:
         """Ids of unseen matches. In byte order neighbours share prefixes, whose entries are kept from one to the next."""
-        found, table, whole_of = {}, PrefixTable(self.ranks), self.ranks.ranks.get
+        found, whole_of, become = {}, self.ranks.ranks.get, PrefixTable(self.ranks).become
         for match in sorted(matches):  # code points sort as their UTF-8 bytes do
             data = match.encode("utf-8", "surrogatepass")
             whole = whole_of(data)
-            if whole is not None:
-                found[match] = [whole]
-                continue
-            same = 0
-            for a, b in zip(table.data, data):
-                if a != b:
-                    break
-                same += 1
-            table.keep(same)
-            table.append(data[same:])
-            found[match] = table.tokens()
+            found[match] = become(data) if whole is None else (whole,)
         return found
 
     def encode_all(self, texts: Iterable[str | None]) -> Iterator[list[int]]:
         """Ids of each text; texts are taken together up to a bounded size, and longer ones in slices."""
         for group in _groups(texts):
             parts = [(last, self.split.findall(piece)) for last, piece in group]
-            unseen = {m for _, matches in parts for m in matches}.difference(self.cache)
-            if len(self.cache) + len(unseen) > self.limit:
-                # of the old matches keep those that this group uses
-                used = {m for _, matches in parts for m in matches}.intersection(self.cache)
-                self.cache = {m: self.cache[m] for m in used}
-            self.cache.update(self.learn(unseen))
+            unseen = set().union(*(matches for _, matches in parts)).difference(self.cache)
+            known = unseen.intersection(self.before)
+            self.cache.update((m, self.before[m]) for m in known)
+            self.cache.update(self.learn(unseen - known))
             get, ids = self.cache.__getitem__, []
             for last, matches in parts:
                 ids.extend(chain.from_iterable(map(get, matches)))
                 if last:
                     yield ids
                     ids = []
+            if len(self.cache) >= self.limit:
+                # what was used since the last turn stays one turn more
+                self.before, self.cache = self.cache, {}
 
     def encode(self, text: str | None) -> list[int]:
         return next(self.encode_all([text]))
