@@ -161,3 +161,42 @@ def op10_power_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "offset",
         "bucket",
     )
+
+
+ORACLE["op9_host_quality"] = r"""
+WITH d AS (
+  SELECT doc_id, source, coalesce(text, '') AS t,
+    list_filter(string_split_regex(coalesce(text, ''), '[ \t-\r]+'), lambda x: x <> '') AS ws,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^ \t-\r]')) AS ls,
+    len(string_split(coalesce(text, ''), chr(10))) AS n_lines
+  FROM documents),
+windows AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM d),
+grams AS (SELECT doc_id, i, array_to_string(ws[i:i + 4], ' ') AS g FROM windows),
+twice AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS n FROM grams) WHERE n > 1),
+covered AS (
+  SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS p FROM twice) GROUP BY doc_id),
+counts AS (
+  SELECT d.doc_id, source, CAST(len(ws) AS BIGINT) AS n_words,
+    CAST(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+    CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
+    CAST(coalesce(covered.n, 0) AS BIGINT) AS n_repeat_words, n_lines
+  FROM d LEFT JOIN covered USING (doc_id)),
+failed AS (
+  SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+    n_words < 10 OR 100 * n_repeat_words > 20 * n_words OR n_symbols > 0.3 * n_words OR n_dup_lines > 0.5 * n_lines
+      AS strict_failed
+  FROM counts),
+hosts AS (
+  SELECT source, count(*) AS n, sum(CAST(base_failed AS INTEGER)) AS f, f / n AS rate FROM failed GROUP BY source),
+moments AS (SELECT least(greatest(avg(rate), 1e-6), 1 - 1e-6) AS m, var_pop(rate) AS v, avg(1.0 / n) AS u FROM hosts),
+prior AS (
+  SELECT m, greatest(m * (1 - m) / greatest(v - m * (1 - m) * u, m * (1 - m) * 1e-4) - 1, 1) AS strength FROM moments),
+verdicts AS (
+  SELECT source, (f + m * strength) / (n + strength) AS shrunk,
+    CASE WHEN shrunk > 0.5 THEN 'reject' WHEN shrunk > greatest(0.25, 2 * m) THEN 'strict' ELSE 'ok' END AS host_verdict
+  FROM hosts, prior)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND (host_verdict = 'ok' OR (host_verdict = 'strict' AND NOT strict_failed)) AS kept,
+  strict_failed, host_verdict
+FROM failed JOIN verdicts ON failed.source IS NOT DISTINCT FROM verdicts.source"""
