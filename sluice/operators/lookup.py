@@ -39,13 +39,7 @@ def catalog_flags(
         F.col(catalog_key).alias("_cat_key"),
         (active if active is not None else F.lit(True)).alias("_cat_active"),
     ).groupBy("_cat_key").agg(F.max("_cat_active").alias("_cat_active"))
-    # footer row count of the catalog table bounds its distinct keys: no job
-    # over the data, and a large catalog is never copied just to be counted
-    bound = strategy.row_bound(cat)
-    if bound is None:
-        cat, small = strategy.small_or_none(cat)
-    else:
-        small = bound <= strategy.broadcast_limit(cat)
+    cat, small = _checked(cat)
     j = df.join(strategy.hint_broadcast(cat, small), df[f"`{field}`"] == cat["_cat_key"], "left")
     present = F.col("_cat_key").isNotNull()
     j = j.withColumn(in_col, F.when(F.col(f"`{field}`").isNotNull(), present))
@@ -54,6 +48,18 @@ def catalog_flags(
     return j.drop("_cat_key", "_cat_active"), in_col, act_col
 
 
+def _checked(side: DataFrame) -> tuple[DataFrame, bool]:
+    """Whether a side may be broadcast, by rows and by bytes.
+
+    The footers' row count bounds its rows without a job: a side that may be
+    large is not copied just to be measured, a small one is measured whole.
+    """
+    bound = strategy.row_bound(side)
+    if bound is not None and bound > strategy.broadcast_limit(side):
+        return side, False
+    return strategy.small_or_none(side)
+
+
 def map_literal(mapping: Mapping[str, str]) -> Column:
     return F.create_map(*[F.lit(x) for kv in mapping.items() for x in kv])
 
@@ -81,10 +87,6 @@ def map_code(col: Column, mapping: Mapping[str, str], policy: str = "REJECT", de
 def map_table(df: DataFrame, field: str, table: DataFrame, key: str, value: str, out: str | None = None) -> DataFrame:
     """Code translation through a lookup table (size-checked broadcast); of a repeated code the smallest value counts."""
     t = table.groupBy(F.col(key).alias("_map_k")).agg(F.min(value).alias("_map_v"))
-    bound = strategy.row_bound(t)
-    if bound is None:
-        t, small = strategy.small_or_none(t)
-    else:
-        small = bound <= strategy.broadcast_limit(t)
+    t, small = _checked(t)
     j = df.join(strategy.hint_broadcast(t, small), df[f"`{field}`"] == t["_map_k"], "left")
     return j.withColumn(out or field, F.col("_map_v")).drop("_map_k", "_map_v")
