@@ -35,7 +35,10 @@ def _json(spark, cfg):
         item = T._parse_datatype_string(schema) if schema else T.MapType(T.StringType(), T.StringType())
         df = read_json_files(spark, cfg.location, array_path=path, item_type=item)
         return df.withColumn("_row", F.col("_pos") + 1).drop("_pos")
-    return read_json_files(spark, cfg.location)
+    from sluice.operators.dedup import with_row_id
+
+    # rejects and duplicate checks need a row number; a scan's ids are unique
+    return with_row_id(read_json_files(spark, cfg.location), "_row")
 
 
 def _api(spark, cfg):
@@ -47,11 +50,11 @@ def _api(spark, cfg):
 
 
 def _database(spark, cfg):
-    from sluice.sources.jdbc import read_jdbc, with_source_rows
+    from sluice.sources.jdbc import partitioning, read_jdbc, with_source_rows
 
     p = cfg.properties
     df = read_jdbc(spark, cfg.location, p["query"], p, fetch_size=int(p.get("fetchSize", "500")),
-                   query_timeout_s=int(p.get("queryTimeoutSeconds", "30")))
+                   query_timeout_s=int(p.get("queryTimeoutSeconds", "30")), **partitioning(p))
     return with_source_rows(df, cfg.location)
 
 

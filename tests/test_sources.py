@@ -219,3 +219,23 @@ def test_csv_headerless_latin1(spark, tmpdir_path):
     df = csv_src.read_csv(spark, p, SourceConfig(encoding="ISO-8859-1", has_header=False))
     assert df.columns[:3] == ["column_1", "column_2", "column_3"]
     assert [(r.column_1, r.column_3, r._row) for r in df.orderBy("_row").collect()] == [("caf\u00e9", None, 1), ("\u00fcber", "x", 2)]
+
+
+def test_jdbc_values_as_the_feed_means_them():
+    assert [jdbc.typed_value(v, None) for v in (" null ", "", " x ", "+5", "5.", "1e3", "-7", "-1.50", "TRUE")] == [
+        None, None, "x", "+5", "5.", "1e3", -7, Decimal("-1.50"), True]
+    assert jdbc.typed_value(" 12 ", "LONG") == 12 and jdbc.typed_value(" NULL ", "DATE") is None
+    assert jdbc.typed_value("2026-03-01T01:00:00Z", "INSTANT") == dt.datetime(2026, 3, 1, 1)
+    with pytest.raises(ValueError):
+        jdbc.typed_value("x", "BLOB")
+    sql = jdbc.render("SELECT ':a', \":a\", x::text -- :a\nFROM t WHERE y = :a /* :b */", {"a": "o'\\n"}, True)
+    assert sql == "SELECT ':a', \":a\", x::text -- :a\nFROM t WHERE y = 'o''\\\\n' /* :b */"
+
+
+def test_jdbc_partitions_from_config():
+    assert jdbc.partitioning({}) == {}
+    props = {"partitionColumn": "id", "lowerBound": "0", "upperBound": "100", "numPartitions": "4"}
+    assert jdbc.partitioning(props) == {
+        "partition_column": "id", "lower_bound": "0", "upper_bound": "100", "num_partitions": 4}
+    with pytest.raises(ValueError):
+        jdbc.partitioning({"partitionColumn": "id"})
