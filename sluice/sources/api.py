@@ -84,9 +84,10 @@ def auth_headers(opts: dict) -> dict:
             raise ValueError("authType=BEARER requires authToken or authTokenEnv")
         return {"Authorization": f"Bearer {tok}"}
     if kind == "BASIC":
-        user, pw = _secret(opts, "username"), _secret(opts, "password")
+        user = _secret(opts, "authUsername") or _secret(opts, "username")
+        pw = _secret(opts, "authPassword") or _secret(opts, "password")
         if not user or pw is None:
-            raise ValueError("authType=BASIC requires username/password credentials")
+            raise ValueError("authType=BASIC requires authUsername and authPassword")
         return {"Authorization": "Basic " + base64.b64encode(f"{user}:{pw}".encode()).decode()}
     if kind == "API_KEY":
         name = opts.get("apiKeyHeader")
@@ -94,6 +95,8 @@ def auth_headers(opts: dict) -> dict:
         if not name or not val:
             raise ValueError("authType=API_KEY requires apiKeyHeader and apiKeyValue or apiKeyValueEnv")
         return {name: val}
+    if kind != "NONE":
+        raise ValueError(f"Unsupported authType: {kind}")
     return {}
 
 
@@ -168,9 +171,10 @@ def pages(opts: dict, endpoint: str, fetch=None):
 
 
 class _Endpoint(InputPartition):
-    def __init__(self, endpoint: str, page: int | None = None):
+    def __init__(self, endpoint: str, page: int | None = None, onwards: bool = False):
         self.endpoint = endpoint
         self.page = page
+        self.onwards = onwards
 
 
 class PagedApiReader(DataSourceReader):
@@ -180,11 +184,12 @@ class PagedApiReader(DataSourceReader):
     def partitions(self):
         endpoints = [e.strip() for e in self.options["location"].split("|") if e.strip()]
         kind = (self.options.get("paginationType") or "NONE").upper()
-        max_pages = self.options.get("maxPages")
-        if kind == "OFFSET" and max_pages:
-            # page count known up front: every page is its own task
+        expected = self.options.get("expectedPages") or self.options.get("maxPages")
+        if kind == "OFFSET" and expected:
+            # a page each for the pages expected; the last task reads on to the first empty page
             start = int(self.options.get("pageStart", "0"))
-            return [_Endpoint(e, p) for e in endpoints for p in range(start, start + int(max_pages))]
+            end = start + max(1, int(expected))
+            return [_Endpoint(e, p, p == end - 1) for e in endpoints for p in range(start, end)]
         return [_Endpoint(e) for e in endpoints]
 
     def read(self, partition):
@@ -193,13 +198,17 @@ class PagedApiReader(DataSourceReader):
             size = int(self.options.get("pageSize", "200"))
             start = int(self.options.get("pageStart", "0"))
             opts = self.options
-            root = fetch_page(opts, partition.endpoint, {opts.get("pageParam", "page"): str(partition.page)})
-            arr = dotted(root, opts["responseArrayPath"])
-            if not isinstance(arr, list):
-                raise ValueError(f"Response path '{opts['responseArrayPath']}' is not an array")
-            for i, item in enumerate(arr):
-                yield (json.dumps(item), (partition.page - start) * size + i + 1, partition.endpoint, partition.page)
-            return
+            page = partition.page
+            while True:
+                root = fetch_page(opts, partition.endpoint, {opts.get("pageParam", "page"): str(page)})
+                arr = dotted(root, opts["responseArrayPath"])
+                if not isinstance(arr, list):
+                    raise ValueError(f"Response path '{opts['responseArrayPath']}' is not an array")
+                for i, item in enumerate(arr):
+                    yield (json.dumps(item), (page - start) * size + i + 1, partition.endpoint, page)
+                if not (arr and partition.onwards):
+                    return
+                page += 1
         row = 1
         for page_no, items in pages(self.options, partition.endpoint):
             for item in items:

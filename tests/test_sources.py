@@ -239,3 +239,16 @@ def test_jdbc_partitions_from_config():
         "partition_column": "id", "lower_bound": "0", "upper_bound": "100", "num_partitions": 4}
     with pytest.raises(ValueError):
         jdbc.partitioning({"partitionColumn": "id"})
+
+
+def test_api_reads_beyond_the_expected_pages(spark, tmpdir_path):
+    from sluice.sources.api import auth_headers, read_api
+
+    p = _api_spec(tmpdir_path, {"pages": {"page=0": {"items": [{"v": 1}]}, "page=1": {"items": [{"v": 2}]},
+                                          "page=2": {"items": [{"v": 3}]}, "page=3": {"items": []}}})
+    props = {"responseArrayPath": "items", "paginationType": "OFFSET", "fetcher": "tests.fake_api:fetch",
+             "expectedPages": "2", "pageSize": "1"}
+    assert sorted(r.v for r in read_api(spark, "fake://" + p, props, "v int").collect()) == [1, 2, 3]
+    with pytest.raises(ValueError):
+        auth_headers({"authType": "DIGEST"})
+    assert auth_headers({"authType": "BASIC", "authUsername": "u", "authPassword": "p"})["Authorization"] == "Basic dTpw"
