@@ -5,7 +5,7 @@ A distinct line's signature holds minima of its character-shingle hashes
 under many masks (a hash XOR a mask orders shingles at random); of lines with spaces, the shingles
 that start a word are hashed for it. The signature is cut into bands. Lines that share a band are
 compared by the exact Jaccard similarity of all their shingles: every line of
-a band with the band's smallest first, and after a first union-find all pairs
+a band with its hub first (the line with most copies), and after a first union-find all pairs
 of a band whose ends are still apart, so a band of near copies costs its size
 and no pair that shares a band is left undecided. Union-find over the links
 names the components; the first line of each, by document id and line number,
@@ -178,36 +178,45 @@ def _verified(pairs: DataFrame, signed: DataFrame, lines: DataFrame, scratch: Sc
 
 def components(lines: DataFrame, signed: DataFrame, scratch: Scratch, plan: LinePlan) -> DataFrame:
     """``node, component`` for every distinct line that is linked to another."""
-    bands = signed.select("key", F.explode("bands").alias("band"))
+    bands = signed.select("key", "copies", F.explode("bands").alias("band"))
+    # the hub is the line with most copies: variants of a line lie closer to it than to each other
+    rank = F.shiftleft(F.least("copies", F.lit((1 << 31) - 1)), 32).bitwiseOR(
+        F.shiftrightunsigned(F.xxhash64("key", "band"), 32)
+    )
     met = scratch.write(
         bands.groupBy("band")
-        .agg(F.count("*").alias("n"), F.min("key").alias("low"), F.max("key").alias("high"))
+        .agg(
+            F.count("*").alias("n"),
+            F.min("key").alias("low"),
+            F.max("key").alias("high"),
+            F.max_by("key", rank).alias("hub"),
+        )
         .where("n > 1"),
         "met",
     )
     couples = met.where("n = 2").select(F.col("low").alias("a"), F.col("high").alias("b"))
-    crowds = scratch.write(met.where("n > 2").select("band", "low"), "crowds")
-    members = scratch.write(bands.join(maybe_broadcast(crowds), "band"), "members")
-    stars = members.where("key <> low").select(F.col("low").alias("a"), F.col("key").alias("b"))
+    crowds = scratch.write(met.where("n > 2").select("band", "hub"), "crowds")
+    members = scratch.write(bands.select("key", "band").join(maybe_broadcast(crowds), "band"), "members")
+    stars = members.where("key <> hub").select(F.least("hub", "key").alias("a"), F.greatest("hub", "key").alias("b"))
     links = _verified(couples.unionByName(stars), signed, lines, scratch, plan)
     found = scratch.write(connected_components(links, scratch), "found")
     # pairs of a band whose ends the stars did not join
     named = scratch.write(
         members.join(found, members["key"] == found["node"], "left").select(
-            "band", "key", "low", F.coalesce("component", "key").alias("component")
+            "band", "key", "hub", F.coalesce("component", "key").alias("component")
         ),
         "named",
     )
-    hubs = scratch.write(named.where("key = low").select("band", F.col("component").alias("hub")), "hubs")
+    hubs = scratch.write(named.where("key = hub").select("band", F.col("component").alias("main")), "hubs")
     outside = scratch.write(
         named.join(maybe_broadcast(hubs), "band")
-        .where("component <> hub")
+        .where("component <> main")
         .select("band", F.col("key").alias("a"), F.col("component").alias("ca")),
         "outside",
     )
     apart = (
-        outside.join(named.select("band", F.col("key").alias("b"), F.col("component").alias("cb"), "low"), "band")
-        .where("ca <> cb and b <> low")
+        outside.join(named.select("band", F.col("key").alias("b"), F.col("component").alias("cb"), "hub"), "band")
+        .where("ca <> cb and b <> hub")
         .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     )
     more = _verified(apart, signed, lines, scratch, plan)
