@@ -2,13 +2,15 @@
 
 Lines are compared in lower case and trimmed. Equal lines are folded first.
 A distinct line's signature holds minima of its character-shingle hashes
-under many masks (a hash XOR a mask orders shingles at random); of lines with spaces, the shingles
-that start a word are hashed for it. The signature is cut into bands. Lines that share a band are
-compared by the exact Jaccard similarity of all their shingles: every line of
-a band with its hub first (the line with most copies), and after a first union-find all pairs
-of a band whose ends are still apart, so a band of near copies costs its size
-and no pair that shares a band is left undecided. Union-find over the links
-names the components; the first line of each, by document id and line number,
+under many masks (a hash XOR a mask orders shingles at random); of lines with
+spaces, the shingles that start a word are hashed for it. The signature is
+cut into bands. Lines that share a band are compared by the exact Jaccard
+similarity of all their shingles: every line of a band with its hub (the line
+with most copies) first, and after a first union-find all pairs of a band
+whose ends are still apart. So a band of near copies costs its size, and no
+pair that shares a band is left undecided; a band of many lines that are
+alike but not similar enough costs its pairs. Union-find over the links names
+the components; the first line of each, by document id and line number,
 stays.
 
 Hashes are 64-bit. Defined results: blank lines are never compared and always
