@@ -24,7 +24,6 @@ through.
 from __future__ import annotations
 
 import random
-from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -39,8 +38,7 @@ class LinePlan:
 
     A pair at the similarity of 0.8 shares a band with probability 0.99.
     Lines with fewer than one space in ``sparse`` characters have all their
-    shingles hashed for the signature. Pairs with a share of agreeing minima
-    under ``agree`` are not verified.
+    shingles hashed for the signature.
     """
 
     similarity: float = 0.8
@@ -48,7 +46,6 @@ class LinePlan:
     bands: int = 12
     rows: int = 5
     sparse: int = 16
-    agree: float = 0.58
 
     def masks(self) -> list[int]:
         rng = random.Random(7)
@@ -74,10 +71,7 @@ def _codes(line: Column) -> Column:
 
 
 def signatures(lines: DataFrame, plan: LinePlan) -> DataFrame:
-    """``key, copies, bands, sketch`` per distinct line. The lines move once, folded by key; all else happens where they land.
-
-    ``sketch`` packs eight bits of every minimum, to estimate a pair's similarity before its lines are fetched.
-    """
+    """``key, copies, bands`` per distinct line. The lines move once, folded by key; all else happens where they land."""
     distinct = lines.groupBy("key").agg(F.first("line").alias("line"), F.count("*").alias("copies"))
     spaces = F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit("")))
     # below the explode, or every place would encode the line anew
@@ -100,55 +94,17 @@ def signatures(lines: DataFrame, plan: LinePlan) -> DataFrame:
     bands = [
         F.xxhash64(F.lit(b), *[f"m{i}" for i in range(b * plan.rows, (b + 1) * plan.rows)]) for b in range(plan.bands)
     ]
-    return minima.select("key", "copies", F.array(*bands).alias("bands"), F.array(*_sketch(plan)).alias("sketch"))
-
-
-def _sketch(plan: LinePlan) -> list[Column]:
-    """Eight minima to a number, eight bits each."""
-    count = plan.bands * plan.rows
-    out = []
-    for at in range(0, count, 8):
-        packed = F.lit(0).cast("long")
-        for j, i in enumerate(range(at, min(at + 8, count))):
-            packed = packed.bitwiseOR(F.shiftleft(F.col(f"m{i}").bitwiseAND(F.lit(255)), 8 * j))
-        out.append(packed)
-    return out
-
-
-def _spread(shift: int) -> Callable[[Column], Column]:
-    return lambda v: v.bitwiseOR(F.shiftrightunsigned(v, shift))
+    return minima.select("key", "copies", F.array(*bands).alias("bands"))
 
 
-def _agreeing(plan: LinePlan, a: str, b: str) -> Column:
-    """How many minima of two sketches agree: bytes of their difference that are zero."""
-    count = plan.bands * plan.rows
-    ones = F.lit(0x0101010101010101)
-    differing = F.lit(0)
-    for g in range(-(-count // 8)):
-        x = F.get(a, F.lit(g)).bitwiseXOR(F.get(b, F.lit(g)))
-        for shift in (4, 2, 1):
-            x = let(x, _spread(shift))
-        differing = differing + F.bit_count(x.bitwiseAND(ones))
-    return F.lit(count) - differing
-
-
-def _verified(pairs: DataFrame, signed: DataFrame, lines: DataFrame, scratch: Scratch, plan: LinePlan) -> DataFrame:
-    """The pairs whose lines are similar enough: exact Jaccard of the sets of all shingles.
-
-    Pairs whose minima agree far too rarely (below ``plan.agree``, four
-    deviations under the similarity asked for) go first, without their lines.
-    """
+def _verified(pairs: DataFrame, lines: DataFrame, scratch: Scratch, plan: LinePlan) -> DataFrame:
+    """The pairs whose lines are similar enough: exact Jaccard of the sets of all shingles."""
 
     def side(table: DataFrame, column: str, name: str) -> DataFrame:
         return table.select(F.col("key").alias(name), F.col(column).alias(f"{column}_{name}"))
 
     pairs = scratch.write(pairs.select("a", "b").distinct(), "pairs")
-    sketched = pairs.join(side(signed, "sketch", "a"), "a").join(side(signed, "sketch", "b"), "b")
-    likely = scratch.write(
-        sketched.where(_agreeing(plan, "sketch_a", "sketch_b") >= plan.agree * plan.bands * plan.rows).select("a", "b"),
-        "likely",
-    )
-    keys = scratch.write(likely.select(F.col("a").alias("key")).union(likely.select("b")).distinct(), "keys")
+    keys = scratch.write(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct(), "keys")
     texts = scratch.write(
         lines.join(maybe_broadcast(keys), "key", "left_semi").groupBy("key").agg(F.first("line").alias("line")), "texts"
     )
@@ -165,7 +121,7 @@ def _verified(pairs: DataFrame, signed: DataFrame, lines: DataFrame, scratch: Sc
             ),
         )
 
-    both = likely.join(side(texts, "line", "a"), "a").join(side(texts, "line", "b"), "b")
+    both = pairs.join(side(texts, "line", "a"), "a").join(side(texts, "line", "b"), "b")
     sets = both.select("a", "b", shingles(F.col("line_a")).alias("sa"), shingles(F.col("line_b")).alias("sb"))
     sizes = sets.select(
         "a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("n")
@@ -173,7 +129,7 @@ def _verified(pairs: DataFrame, signed: DataFrame, lines: DataFrame, scratch: Sc
     links = scratch.write(
         sizes.where(F.col("n") >= plan.similarity * (F.col("na") + F.col("nb") - F.col("n"))).select("a", "b"), "links"
     )
-    for table in (pairs, likely, keys, texts):
+    for table in (pairs, keys, texts):
         scratch.drop(table)
     return links
 
@@ -200,7 +156,7 @@ def components(lines: DataFrame, signed: DataFrame, scratch: Scratch, plan: Line
     crowds = scratch.write(met.where("n > 2").select("band", "hub"), "crowds")
     members = scratch.write(bands.select("key", "band").join(maybe_broadcast(crowds), "band"), "members")
     stars = members.where("key <> hub").select(F.least("hub", "key").alias("a"), F.greatest("hub", "key").alias("b"))
-    links = _verified(couples.unionByName(stars), signed, lines, scratch, plan)
+    links = _verified(couples.unionByName(stars), lines, scratch, plan)
     found = scratch.write(connected_components(links, scratch), "found")
     # pairs of a band whose ends the stars did not join
     named = scratch.write(
@@ -221,7 +177,7 @@ def components(lines: DataFrame, signed: DataFrame, scratch: Scratch, plan: Line
         .where("ca <> cb and b <> hub")
         .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     )
-    more = _verified(apart, signed, lines, scratch, plan)
+    more = _verified(apart, lines, scratch, plan)
     for table in (met, crowds, members, named, hubs, outside):
         scratch.drop(table)
     if more.isEmpty():
