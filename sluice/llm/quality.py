@@ -134,11 +134,14 @@ def beta_prior(hosts: int, mean: float | None, var: float | None, inverse_docs:
     return mean * strength, (1 - mean) * strength
 
 
-def judge(docs: DataFrame, policy: HostPolicy = HostPolicy(), carry: list[str] | None = None) -> DataFrame:
+def judge(
+    docs: DataFrame, policy: HostPolicy = HostPolicy(), carry: list[str] | None = None, store: bool = True
+) -> DataFrame:
     """Documents with rule counts, host verdict and ``kept``; ``carry`` names the input columns to return (default all).
 
     The counted rows are stored once, since the host sums and the result
-    both read them. Only hosts whose verdict is not ``ok`` are joined back:
+    both read them; without ``store`` they are counted twice instead, for
+    rows that carry their texts. Only hosts whose verdict is not ``ok`` are joined back:
     broadcast when counted small, by a skew-splitting shuffle join otherwise.
     """
     scratch = Scratch(docs.sparkSession, "quality")
@@ -146,7 +149,14 @@ def judge(docs: DataFrame, policy: HostPolicy = HostPolicy(), carry: list[str] |
     added = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "strict_failed"]
     host = fresh("_host", rules.columns)
     names = [c for c in (docs.columns if carry is None else carry) if c not in added] + added
-    flagged = scratch.write(rules.select(*names, F.col("source").alias(host)), "flagged")
+    flagged = rules.select(*names, F.col("source").alias(host))
+    if store:
+        flagged = scratch.write(flagged, "flagged")
+    else:
+        # behind an explode, a filter on the verdict does not count the rules once more
+        flags = F.explode(F.array(F.struct("base_failed", "strict_failed"))).alias("flags")
+        rest = [c for c in flagged.columns if c not in ("base_failed", "strict_failed")]
+        flagged = flagged.select(*rest, flags).select(*rest, "flags.*")
     verdicts = host_verdicts(flagged.select(F.col(host).alias("source"), "base_failed"), scratch, policy)
     marked = scratch.write(verdicts.where("verdict <> 'ok'"), "marked")
     key, verdict = fresh("_key", flagged.columns), fresh("_verdict", flagged.columns)

@@ -31,6 +31,8 @@ def test_counts_match_brute_force(clashing):
         got = (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed)
         assert got == expected(r.text), r.doc_id
         assert not (r.base_failed and r.kept)
+    again = quality.judge(clashing, store=False).select(*quality.judge(clashing).columns).collect()
+    assert sorted(map(str, again)) == sorted(map(str, rows))
 
 
 def test_bad_host_goes_and_clean_hosts_stay(spark):
