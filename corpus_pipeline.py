@@ -24,7 +24,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     # the record travels as one column, so that none of its columns can clash with a rule's
     record = fresh("record", ["doc_id", "text", "source"])
     packed = docs.select("doc_id", "text", "source", F.struct(*docs.columns).alias(record))
-    return quality.judge(packed, carry=[record]).where("kept").select(f"{record}.*")
+    return quality.judge(packed, carry=[record], store=False).where("kept").select(f"{record}.*")
 
 
 def fuzzy_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
