@@ -1,10 +1,10 @@
 """Fuzzy line deduplication over a whole corpus, in DataFrame operations only.
 
 Lines are compared in lower case and trimmed. Equal lines are folded first.
-A distinct line's signature holds minima of its character-shingle hashes
-under many masks (a hash XOR a mask orders shingles at random); of lines with
-spaces, the shingles that start a word are hashed for it. The signature is
-cut into bands. Lines that share a band are compared by the exact Jaccard
+A distinct line's signature holds minima of the hashes of all its character
+shingles under many masks (a hash XOR a mask orders shingles at random), by
+one rule for all lines, so the bands see the similarity that is verified. The
+signature is cut into bands. Lines that share a band are compared by the exact Jaccard
 similarity of all their shingles: every line of a band with its hub (the line
 with most copies) first, and after a first union-find all pairs of a band
 whose ends are still apart. So a band of near copies costs its size, and no
@@ -36,16 +36,14 @@ from sluice.llm.common import SPACES, Scratch, connected_components, fresh, let,
 class LinePlan:
     """Similarity and shape: shingles of ``shingle`` characters, ``bands`` bands of ``rows`` minima.
 
-    A pair at the similarity of 0.8 shares a band with probability 0.99.
-    Lines with fewer than one space in ``sparse`` characters have all their
-    shingles hashed for the signature.
+    A pair shares a band with probability 1 - (1 - s ** rows) ** bands, s
+    being its exact similarity: 0.99 at 0.8.
     """
 
     similarity: float = 0.8
     shingle: int = 8
     bands: int = 12
     rows: int = 5
-    sparse: int = 16
 
     def masks(self) -> list[int]:
         rng = random.Random(7)
@@ -73,18 +71,15 @@ def _codes(line: Column) -> Column:
 def signatures(lines: DataFrame, plan: LinePlan) -> DataFrame:
     """``key, copies, bands`` per distinct line. The lines move once, folded by key; all else happens where they land."""
     distinct = lines.groupBy("key").agg(F.first("line").alias("line"), F.count("*").alias("copies"))
-    spaces = F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit("")))
     # below the explode, or every place would encode the line anew
     coded = distinct.select(
         "key",
         "copies",
-        (spaces * plan.sparse < F.length("line")).alias("dense"),
         _codes(F.col("line")).alias("codes"),
         F.sequence(F.lit(0), F.greatest(F.length("line") - plan.shingle, F.lit(0))).alias("places"),
     )
-    places = coded.select("key", "copies", "dense", "codes", F.explode("places").alias("at"))
-    starts = (F.col("at") == 0) | F.col("dense") | (F.substring("codes", F.col("at") * 4 - 3, 4) == _codes(F.lit(" ")))
-    hashed = places.where(starts).select(
+    places = coded.select("key", "copies", "codes", F.explode("places").alias("at"))
+    hashed = places.select(
         "key", "copies", F.xxhash64(F.substring("codes", F.col("at") * 4 + 1, plan.shingle * 4)).alias("h")
     )
     minima = hashed.groupBy("key").agg(

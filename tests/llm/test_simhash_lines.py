@@ -1,4 +1,5 @@
 import collections
+import random
 import re
 
 import xxhash
@@ -119,6 +120,29 @@ def test_lines_match_brute_force(spark, clashing):
         assert r.kept == (first == here)
 
 
+def test_short_lines_and_changed_starts_match_brute_force(spark):
+    rng = random.Random(3)
+
+    def word():
+        return "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(7, 11)))
+
+    pairs = []
+    for n in range(240):
+        line = " ".join(word() for _ in range(4 + n % 7))
+        if n % 2:
+            pairs.append((line, rng.choice("-*\"([>") + line))  # a bullet, quote or bracket before the line
+        else:
+            at = rng.choice([0, 1, len(line) - 1, len(line) - 2])
+            pairs.append((line, line[:at] + "#" + line[at + 1 :]))
+    rows = [(2 * i + k, line) for i, pair in enumerate(pairs) for k, line in enumerate(pair)]
+    want = line_rows(rows)
+    linked = sum(first != place for place, first in want.items())
+    got = linededup.verdicts(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(want[r.doc_id, r.line_no] == (r.first_doc, r.first_line) or r.kept for r in got)
+    missed = sum(want[r.doc_id, r.line_no] != (r.first_doc, r.first_line) for r in got)
+    assert linked > 200 and missed <= 0.01 * linked
+
+
 def test_dedup_keeps_first_lines_and_columns(clashing):
     out = linededup.dedup(clashing)
     assert out.columns == clashing.columns
