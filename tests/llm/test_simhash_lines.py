@@ -143,6 +143,18 @@ def test_short_lines_and_changed_starts_match_brute_force(spark):
     assert linked > 200 and missed <= 0.01 * linked
 
 
+def test_near_copies_of_long_words_meet(spark):
+    rng = random.Random(4)
+    rows = []
+    for i in range(20):
+        # 160 characters with 10 spaces, and the same with a full stop: nearly one space in 16 characters
+        word = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(14)) for _ in range(11)]
+        line = " ".join(word)[:160]
+        rows += [(2 * i, line), (2 * i + 1, line + ".")]
+    got = linededup.verdicts(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.first_doc for r in got} == {i: i - i % 2 for i in range(40)}
+
+
 def test_dedup_keeps_first_lines_and_columns(clashing):
     out = linededup.dedup(clashing)
     assert out.columns == clashing.columns
