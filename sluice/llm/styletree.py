@@ -5,10 +5,11 @@ the same path of tags, classes and ids are one style-tree node. A node's
 presentation importance is the entropy of the child layouts seen under it,
 its content importance is one minus the mean entropy of the text blocks
 below it over the host's pages (a block on every page says nothing about a
-page). Both are blended by the number of layouts; branches of low importance
-are removed from each page. Markup that names its own role (menus, footers,
-adverts, forms, comments and so on) is removed on any page, so hosts with few
-pages are cleaned as well.
+page). Both are blended by the number of layouts and shrunk towards full importance
+by a prior, so that few pages need clearer evidence than many; branches of
+low importance are removed from each page. Markup that names its own role (menus, footers,
+adverts, forms, comments and so on) is removed on any page, so hosts of a
+single page are cleaned as well.
 
 The tree exists only as rows: pages give (node, layout) and (node, block)
 rows, which are counted with map-side combining, so a host with a third of
@@ -16,8 +17,8 @@ all pages costs a row per node and task. Pages are then cut with the list of
 low nodes of their host.
 
 Defined results: a null or empty page has an empty text; a page without a
-host is pruned by roles only; very long pages are read whole; repeated pages
-count as pages; empty tables give empty tables; extra columns pass through
+host is pruned by roles only; very long pages are read whole; pages of a
+host that are equal but for their head count as one; empty tables give empty tables; extra columns pass through
 and clashing ones are replaced.
 """
 
@@ -42,10 +43,10 @@ PAGE, LAYOUT, BLOCK = 0, 1, 2
 
 @dataclass(frozen=True)
 class TreePolicy:
-    """A branch goes below ``least`` importance, judged on ``pages`` pages or more; ``gamma`` damps layouts."""
+    """A branch goes below ``least`` importance, with ``prior`` pages of full importance added; ``gamma`` damps layouts."""
 
     least: float = 0.4
-    pages: int = 10
+    prior: float = 1.0
     gamma: float = 0.9
 
 
@@ -79,7 +80,7 @@ FURNITURE_WORDS = re.compile(
 )
 COMMENT_WORDS = re.compile(r"(?:^|[\s_-])(?:comments?|repl(?:y|ies))(?:$|[\s_-])")
 FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu form".split())
-KEPT_WHOLE = frozenset("html body main article".split())
+KEPT_WHOLE = frozenset("# html body main article".split())
 # inside an article these are its text and are never judged by importance
 ARTICLE_TEXT = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
 
@@ -275,29 +276,38 @@ def low_nodes(pages: DataFrame, scratch: Scratch, policy: TreePolicy = TreePolic
             )
             yield pa.ListArray.from_arrays(pa.array(ends), structs)
 
+    # equal pages share the weight of one; the head is no part of the tree
+    body = F.xxhash64(F.regexp_replace("html", r"(?is)<head[\s>].*?</head>", ""))
+    hosted = pages.where(F.col("host") != "").select("host", body.alias("body"), "html")
+    copies = scratch.write(hosted.groupBy("host", "body").agg(F.count("*").alias("copies")).where("copies > 1"), "copies")
+    few = maybe_broadcast(copies.withColumnsRenamed({"host": "copy_host", "body": "copy_body"}))
     seen = (
-        pages.where(F.col("host") != "")
-        .select("host", F.explode(rows(F.col("html"))).alias("r"))
+        hosted.select("host", "body", rows(F.col("html")).alias("rows"))
+        .join(few, (F.col("host") == F.col("copy_host")) & (F.col("body") == F.col("copy_body")), "left")
+        .select("host", (1 / F.coalesce("copies", F.lit(1))).alias("weight"), F.explode("rows").alias("r"))
         .groupBy("host", "r.node", "r.kind", "r.value")
-        .agg(F.count("*").alias("n"))
+        .agg(F.greatest(F.round(F.sum("weight")), F.lit(1.0)).alias("n"))
     )
-    n = F.col("n").cast("double")
+    n = F.col("n")
     is_page, is_layout, is_block = (F.col("kind") == k for k in (PAGE, LAYOUT, BLOCK))
     sums = seen.groupBy("host", "node").agg(
-        F.sum(F.when(is_page, F.col("n"))).alias("pages"),
+        F.sum(F.when(is_page, n)).alias("pages"),
         F.count(F.when(is_layout, 1)).alias("layouts"),
         F.sum(F.when(is_layout, n)).alias("shown"),
         F.sum(F.when(is_layout, n * F.ln(n))).alias("shown_log"),
         F.count(F.when(is_block, 1)).alias("blocks"),
         F.sum(F.when(is_block, F.ln(n))).alias("block_log"),
     )
-    judged = sums.where((F.col("pages") >= policy.pages) & (F.col("blocks") > 0))
-    log_pages = F.ln(F.col("pages").cast("double"))
+    # a node of one page has nothing to be compared with
+    judged = sums.where((F.col("pages") >= 2) & (F.col("blocks") > 0))
+    log_pages = F.ln(F.greatest("pages", F.lit(2.0)))
     # entropy to the base of the page count: (ln N - sum(n ln n) / N) / ln pages
     presentation = (F.ln("shown") - F.col("shown_log") / F.col("shown")) / log_pages
     content = 1 - F.col("block_log") / F.col("blocks") / log_pages
     damp = F.pow(F.lit(policy.gamma), F.col("layouts"))
-    low = judged.where((1 - damp) * presentation + damp * content < policy.least)
+    importance = (1 - damp) * presentation + damp * content
+    shrunk = (importance * F.col("pages") + policy.prior) / (F.col("pages") + policy.prior)
+    low = judged.where(shrunk < policy.least)
     return scratch.write(low.groupBy("host").agg(F.collect_set("node").alias("low")), "low")
 
 

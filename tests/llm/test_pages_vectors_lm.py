@@ -44,6 +44,22 @@ def test_unmarked_boilerplate_is_found_by_the_tree(spark):
         assert r.text == r.want, r.page_id
 
 
+def test_hosts_of_few_pages_lose_unmarked_boilerplate(spark):
+    rows = []
+    for size in (2, 3, 4, 9):
+        for i in range(size):
+            text = " ".join(prose(100 * size + i, 40).split())
+            body = f"<div class=x1><span>All our sites</span></div><div class=x2><p>{text}</p></div><div class=x3>Imprint</div>"
+            rows.append((100 * size + i, f"http://of{size}.example/{i}", page(body), text))
+    # copies are one page, whatever their heads say, and have nothing to be compared with
+    for i in range(3):
+        copy = f"<html><head><title>{i}</title></head><body><div><p>same text</p></div><div class=x3>Imprint</div></body></html>"
+        rows.append((2000 + i, "http://copies.example/", copy, "same text\nImprint"))
+    out = styletree.extract(spark.createDataFrame(rows, "page_id long, url string, html string, want string"))
+    for r in out.collect():
+        assert r.text == r.want, r.page_id
+
+
 def test_pages_of_nothing(spark):
     assert styletree.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
