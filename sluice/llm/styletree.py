@@ -81,8 +81,9 @@ FURNITURE_WORDS = re.compile(
 COMMENT_WORDS = re.compile(r"(?:^|[\s_-])(?:comments?|repl(?:y|ies))(?:$|[\s_-])")
 FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu form".split())
 KEPT_WHOLE = frozenset("# html body main article".split())
-# inside an article these are its text and are never judged by importance
-ARTICLE_TEXT = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
+# what an article's text is made of
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+PROSE = frozenset("p blockquote pre".split())
 
 
 @dataclass(slots=True)
@@ -207,7 +208,8 @@ def main_text(html: str | None, low: frozenset[int]) -> str:
     """The page's text without furniture and without the branches in ``low``.
 
     If the low branches hold all of a page's text (a host of copies), only
-    furniture is removed.
+    furniture is removed; so in an article (or main element) if they hold all
+    of its paragraphs and these are most of its text (near copies).
     """
     root = parse(html)
     return (_text(root, low) if low else "") or _text(root, frozenset())
@@ -223,10 +225,10 @@ def _text(root: Node, low: frozenset[int]) -> str:
             blocks.append(text)
         line.clear()
 
-    # (node or text, path, inside an article); None ends a block
-    todo: list[tuple] = [(root, "", False)]
+    # (node or text, path, inside an article, in one that is spared); None ends a block
+    todo: list[tuple] = [(root, "", False, False)]
     while todo:
-        item, path, article = todo.pop()
+        item, path, article, spared = todo.pop()
         if item is None:
             flush()
             continue
@@ -242,19 +244,44 @@ def _text(root: Node, low: frozenset[int]) -> str:
             line.append(" " if tag == "br" else "")
             continue
         path = f"{path}>{item.style}"
-        if low and tag not in KEPT_WHOLE and not (article and tag in ARTICLE_TEXT) and _hash(path) in low:
+        if low and not spared and tag not in KEPT_WHOLE and _hash(path) in low:
             if tag in BLOCKS:
                 flush()
             continue
-        article = article or tag in ("article", "main")
+        if low and not article and tag in ("article", "main"):
+            article, spared = True, _loses_its_prose(item, path, low)
         if tag in BLOCKS:
             flush()
-            todo.append((None, "", article))
-        todo += [(child, path, article) for child in reversed(item.children)]
+            todo.append((None, "", article, spared))
+        todo += [(child, path, article, spared) for child in reversed(item.children)]
     flush()
     return "\n".join(blocks)
 
 
+def _loses_its_prose(article: Node, path: str, low: frozenset[int]) -> bool:
+    """Whether the low branches hold all paragraphs of an article, and these are longer than its other text without headings."""
+    lost = other = 0
+    # (node or text, path, in a low branch, in a paragraph, in a heading)
+    todo: list[tuple] = [(child, path, False, False, False) for child in reversed(article.children)]
+    while todo:
+        item, path, gone, prose, heading = todo.pop()
+        if isinstance(item, str):
+            size = len(item.strip())
+            if not size or heading:
+                continue
+            if prose and not gone:
+                return False
+            lost, other = (lost + size, other) if prose else (lost, other + size * (not gone))
+            continue
+        if item.furniture or item.tag in UNSEEN:
+            continue
+        path = f"{path}>{item.style}"
+        gone = gone or (item.tag not in KEPT_WHOLE and _hash(path) in low)
+        prose, heading = prose or item.tag in PROSE, heading or item.tag in HEADINGS
+        todo += [(child, path, gone, prose, heading) for child in reversed(item.children)]
+    return lost > other
+
+
 def host_of(url: Column) -> Column:
     """Lower-case host of a URL; empty when there is none."""
     host = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)

@@ -60,6 +60,25 @@ def test_hosts_of_few_pages_lose_unmarked_boilerplate(spark):
         assert r.text == r.want, r.page_id
 
 
+def test_repeated_notices_in_articles_go_and_copies_stay(spark):
+    rows = []
+    for i in range(12):
+        text = " ".join(prose(i, 40).split())
+        for k, tag in enumerate(("article", "main")):
+            notice = "<p class='x7'>Read our terms before you go on.</p><h4 class=x8>Stay with us</h4>"
+            body = f"<{tag}><h1>Title {i}</h1><p>{text}</p>{notice}</{tag}>"
+            rows.append((100 * k + i, f"http://{tag}.example/{i}", page(body), f"Title {i}\n{text}"))
+        # only the repeated notice is a paragraph
+        body = f"<main><p class='x7'>Read our terms.</p><div>{text}</div></main>"
+        rows.append((200 + i, f"http://divs.example/{i}", page(body), text))
+        # near copies: the article's paragraphs are the same on all pages, its date is not
+        body = f"<article><h2>News</h2><p>A long paragraph on every page.</p><span>Day {i}</span></article>"
+        rows.append((300 + i, f"http://near.example/{i}", page(body), f"News\nA long paragraph on every page.\nDay {i}"))
+    out = styletree.extract(spark.createDataFrame(rows, "page_id long, url string, html string, want string"))
+    for r in out.collect():
+        assert r.text == r.want, r.page_id
+
+
 def test_pages_of_nothing(spark):
     assert styletree.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
