@@ -6,7 +6,9 @@ digits of the rest from the highest. Every piece is a sequence of its own and
 goes to the bucket of its length, so no sequence crosses documents, every
 batch of a bucket has one length, and nothing is padded.
 
-Defined results: a null or empty text is the end id alone; a null id is
+Defined results: a special token of the file that a text holds literally is
+its id, as in a call of the library with ``add_special_tokens=False``; a null
+or empty text is the end id alone; a null id is
 carried; repeated rows give their pieces each, with sequences of their own;
 empty tables give empty tables; extra columns pass through and clashing ones
 are replaced.
@@ -15,6 +17,7 @@ are replaced.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -42,39 +45,54 @@ PIECES_ARROW = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())
 
 
 class FileEncoder:
-    """Ids of whole texts by the vocabulary of a byte-level ``tokenizers`` file, without special tokens.
+    """Ids of whole texts by the vocabulary of a byte-level ``tokenizers`` file; no special tokens are put around them.
 
     Where the file's merges rank as its ids do, the rank encoder of
     ``tiktoken`` is built from the file: it gives the same ids four times
     faster than the ``tokenizers`` library, which is used for other files.
+    With ``specials`` a special token that a text holds literally gets its
+    own id, as by the library in its default state; else it is plain text.
     """
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, pattern: str, specials: bool = False):
         import tiktoken
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
-        vocab, merges = model["vocab"], model["merges"]
+            file = json.load(f)
+        vocab, merges = file["model"]["vocab"], file["model"]["merges"]
+        added = [t for t in file.get("added_tokens") or [] if specials or not t["special"]]
+        # tokens that take their surroundings in are left to the library
+        plain = not any(t["single_word"] or t["lstrip"] or t["rstrip"] or (t["normalized"] and file.get("normalizer")) for t in added)
+        self.added = {t["content"]: np.array([t["id"]], dtype="<u4").tobytes() for t in added}
+        longest_first = sorted(self.added, key=len, reverse=True)
+        self.literal = re.compile(f"({'|'.join(map(re.escape, longest_first))})") if added else None
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in merges]
         made = [vocab.get(a + b) for a, b in pairs]
         self.tokenizer = self.ranks = None
-        if made == list(range(256, 256 + len(made))):
+        if plain and made == list(range(256, 256 + len(made))):
             to_byte = {c: b for b, c in byte_alphabet().items()}
             ranks = {bytes(to_byte[c] for c in t): i for t, i in vocab.items() if i < 256 + len(made)}
             self.ranks = tiktoken.Encoding(path, pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         else:
             self.tokenizer = Tokenizer.from_file(path)
-            self.tokenizer.encode_special_tokens = True
+            self.tokenizer.encode_special_tokens = not specials
 
     def encode(self, text: str | None) -> bytes:
         """Little-endian unsigned 32-bit ids."""
         if not text:
             return b""
         if self.ranks is not None:
-            return self.ranks.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
+            if self.literal is None or not self.literal.search(text):
+                return self._ranked(text)
+            # every second part is an added token; the texts between are split on their own, as in the library
+            parts = self.literal.split(text)
+            return b"".join(self.added[p] if i % 2 else self._ranked(p) for i, p in enumerate(parts) if p)
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
+    def _ranked(self, text: str) -> bytes:
+        return self.ranks.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
+
 
 def byte_alphabet() -> dict[int, str]:
     """The printable character that stands for each byte in byte-level vocabulary files."""
@@ -139,7 +157,7 @@ def pack(docs: DataFrame, path: str, pattern: str, end_id: int = END_ID, longest
 @lru_cache(maxsize=4)
 def _encoder(path: str, pattern: str) -> FileEncoder:
     """One encoder per worker process and file."""
-    return FileEncoder(path, pattern)
+    return FileEncoder(path, pattern, specials=True)
 
 
 def write_buckets(pieces: DataFrame, path: str) -> None:

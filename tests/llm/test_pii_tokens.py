@@ -162,6 +162,19 @@ def test_file_encoder_equals_the_library():
         assert got == library.encode(text, add_special_tokens=False).ids
 
 
+def test_special_tokens_in_texts_equal_the_library_by_default(spark):
+    library = Tokenizer.from_file(FILE)
+    encoder = packing.FileEncoder(FILE, public_tokenizers.PATTERN, specials=True)
+    assert encoder.ranks is not None
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x  <|endoftext|><|endoftext|>\n", "<|endoftext|", *samples()]
+    for text in texts:
+        got = np.frombuffer(encoder.encode(text), dtype="<u4").tolist()
+        assert got == library.encode(text, add_special_tokens=False).ids, repr(text)
+    docs = spark.createDataFrame([(1, texts[0])], "doc_id long, text string")
+    pieces = sorted(packing.pack(docs, FILE, public_tokenizers.PATTERN).collect(), key=lambda p: p.start)
+    assert np.frombuffer(b"".join(bytes(p.ids) for p in pieces), dtype="<u4").tolist() == [64, 220, 50256, 275, 1]
+
+
 def test_pieces_cover_every_document(clashing, reference):
     pieces = packing.pack(clashing, FILE, public_tokenizers.PATTERN).collect()
     docs = clashing.collect()
