@@ -20,8 +20,9 @@ extra columns pass through and clashing ones are replaced.
 
 from __future__ import annotations
 
+import re
 import string
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import ahocorasick
@@ -36,7 +37,6 @@ KINDS = (*BASE_KINDS, "url", "iban", "account", "address")
 
 DIGITS = frozenset(string.digits)
 ALNUM = frozenset(string.ascii_letters + string.digits)
-LETTERS = frozenset(string.ascii_letters + "äöüÄÖÜ")
 LOCAL = ALNUM | frozenset("._%+-")
 LABEL = ALNUM | frozenset("-")
 PHONE_INNER = DIGITS | frozenset(" ().-")
@@ -45,6 +45,22 @@ URL_STOP = frozenset(string.whitespace + "<>\"'`{}|\\^")
 SCHEMES = ("http://", "https://", "ftp://", "sftp://", "ssh://", "mailto:", "tel:")
 ACCOUNT_CUES = ("account", "acct", "iban", "passport", "ssn", "social security", "routing", "tax id", "licence no")
 STREET_WORDS = ("street", "avenue", "road", "lane", "boulevard", "drive", "square", "straße", "strasse", "calle", "rue")
+# street words that are written in one word with the name, and those that a name can follow
+JOINED = ("straße", "strasse")
+NAME_AFTER = ("calle", "rue", "avenue", "boulevard", "square")
+JOINING = frozenset(
+    "of the on upon in and at de la le les du des el los las del y et en sur sous au aux à der dem den von vom zu zur "
+    "zum am an im".split()
+)
+HOUSE = re.compile(r"[0-9]{1,5}[A-Za-z]?(?:[-/][0-9]{1,4}[A-Za-z]?)?")
+HOUSE_AFTER = re.compile(
+    r",? (?:(?:n[º°]|n[or]\.|núm\.|número|nummer) ?)?[0-9]{1,4}[a-z]?(?:[-/][0-9]{1,4}[a-z]?)?(?!\w|[.,:][0-9])", re.I
+)
+ORDINAL = re.compile(r"[0-9]+(?:st|nd|rd|th)", re.I)
+WORD = re.compile(r" ([^\W_]+(?:['’-][^\W_]+)*)")
+DIGIT = re.compile(r"[0-9]")
+LINE_END = re.compile(r"\n")
+SENTENCE_END = re.compile(r"[.!?](?=\s|$)(?!\s+[0-9])")
 IBAN_LENGTHS = {
     "AT": 20, "BE": 16, "CH": 21, "CZ": 24, "DE": 22, "DK": 18, "ES": 24, "FI": 18, "FR": 27, "GB": 22, "GR": 27,
     "HU": 28, "IE": 22, "IT": 27, "LU": 20, "NL": 18, "NO": 15, "PL": 28, "PT": 25, "SE": 24,
@@ -88,6 +104,8 @@ def find_spans(text: str | None) -> list[tuple[str, int, int]]:
         return []
     free = dict.fromkeys(KINDS, 0)  # per kind, where the next match may start
     found: list[tuple[str, int, int]] = []
+    digit, line, sentence = _next(DIGIT, text), _next(LINE_END, text), _next(SENTENCE_END, text)
+    wall = [-1]  # the last street word from which no house number was found leftwards
 
     def add(kind: str, span: tuple[int, int] | None, valid: bool = True) -> None:
         """Record a validated span. A match that fails validation still takes its text, as a scan would."""
@@ -122,14 +140,28 @@ def find_spans(text: str | None) -> list[tuple[str, int, int]]:
                 add("iban", _iban(text, start))
         elif anchor == "cue":
             if start >= free["account"]:
-                add("account", _account(text, start, length, free["account"]))
+                add("account", _account(text, start, length, free["account"], digit, line, sentence))
         elif anchor == "street":
             if start >= free["address"]:
-                add("address", _address(text, start, length, free["address"]))
+                add("address", _address(text, start, length, free["address"], wall))
     rank = {k: i for i, k in enumerate(KINDS)}
     return sorted(found, key=lambda s: (rank[s[0]], s[1]))
 
 
+def _next(pattern: re.Pattern, text: str) -> Callable[[int], int]:
+    """Place of the first match at or after a place; asked in order, all calls read the text once."""
+    last = -1
+
+    def find(at: int) -> int:
+        nonlocal last
+        if last < at:
+            m = pattern.search(text, at)
+            last = m.start() if m else len(text)
+        return last
+
+    return find
+
+
 def _run(text: str, at: int, chars: frozenset, limit: int | None = None) -> int:
     """End of the run of ``chars`` that starts at ``at``."""
     n = len(text) if limit is None else limit
@@ -244,19 +276,27 @@ def _iban(text: str, at: int) -> tuple[int, int] | None:
     return (at, end) if int("".join(str(int(c, 36)) for c in moved)) % 97 == 1 else None
 
 
-def _account(text: str, at: int, length: int, floor: int) -> tuple[int, int] | None:
-    """An identifier of 6 to 34 letters and digits, 5 digits at least, within a few characters after its cue."""
+def _account(
+    text: str,
+    at: int,
+    length: int,
+    floor: int,
+    digit: Callable[[int], int],
+    line: Callable[[int], int],
+    sentence: Callable[[int], int],
+) -> tuple[int, int] | None:
+    """An identifier of 6 to 34 letters and digits, 5 digits at least, after its cue in the same sentence.
+
+    A dot within 24 characters may belong to an abbreviation and ends nothing; a line's end always does.
+    """
     if at and text[at - 1].isalnum():
         return None
     end = at + length
     if end < len(text) and text[end].isalnum():
         return None
-    stop = min(len(text), end + 24)
-    start = end
-    while start < stop and text[start] not in DIGITS:
-        if text[start] == "\n":
-            return None
-        start += 1
+    start = digit(end)
+    if start >= min(len(text), line(end), max(sentence(end), end + 24)):
+        return None
     start = _back(text, start, ALNUM, max(end, floor))
     last = _back(text, _run(text, start, LABEL), frozenset("-"), start)
     value = text[start:last]
@@ -264,28 +304,100 @@ def _account(text: str, at: int, length: int, floor: int) -> tuple[int, int] | N
     return (start, last) if enough else None
 
 
-def _address(text: str, at: int, length: int, floor: int) -> tuple[int, int] | None:
-    """House number, one to four capitalised words and the street word, with an optional postcode after it."""
+def _address(text: str, at: int, length: int, floor: int, wall: list[int]) -> tuple[int, int] | None:
+    """House number, name and street word in the order of their language, with an optional postcode after them.
+
+    The forms are ``12 Baker Street``, ``Hauptstraße 12``, ``Calle Mayor 5`` and ``12 rue de la Paix``. Names are
+    capitalised words and lower-case joining words, one space apart, so no name leaves its line or sentence.
+    """
     end = at + length
     if end < len(text) and text[end].isalnum():
         return None
-    joined = text[at:end].lower() in ("straße", "strasse")  # written in one word with the name
-    start, words = _back(text, at, LETTERS, floor) if joined else at, 0
+    cue, start = text[at:end].lower(), at
+    if cue in JOINED:
+        while start > max(floor, wall[0] + 1) and (text[start - 1].isalpha() or text[start - 1] == "-"):
+            start -= 1
+        if start == wall[0] + 1 > floor and start > 0:
+            wall[0] = at  # a chain of street words
+            return None
     if start > floor and text[start - 1].isalnum():
         return None
-    while words < 4 and start > floor and text[start - 1] == " ":
-        before = start - 1
-        word = before
-        while word > floor and text[word - 1].isalnum():
-            word -= 1
-        token = text[word:before]
-        if token.isdigit() and len(token) <= 5:
-            free_standing = word == 0 or text[word - 1].isspace()
-            named = words or start < at or text[at].isupper()
-            return (word, _postcode(text, end)) if free_standing and named else None
-        if not token[:1].isupper():
-            return None
-        start, words = word, words + 1
+    span = None
+    if cue in JOINED:
+        span = _number_after(text, start, at, end, floor)
+    elif cue in NAME_AFTER:
+        span = _name_after(text, at, end, floor, cue)
+    return span or _number_before(text, start, at, end, floor, wall)
+
+
+def _word_before(text: str, at: int, floor: int) -> int:
+    """Start of the word that ends at ``at``."""
+    while at > floor and (text[at - 1].isalnum() or text[at - 1] in "-'’"):
+        at -= 1
+    return at
+
+
+def _number_before(text: str, start: int, at: int, end: int, floor: int, wall: list[int]) -> tuple[int, int] | None:
+    """House number, name, street word: leftwards from the street word to the number."""
+    named = start < at or text[at].isupper()
+    # a walk that reaches an earlier street word would end as that one's did
+    while start > max(floor, wall[0]) and text[start - 1] == " ":
+        word = _word_before(text, start - 1, floor)
+        token = text[word : start - 1]
+        if HOUSE.fullmatch(token):
+            if named and (word == 0 or text[word - 1].isspace() or text[word - 1] == "("):
+                return word, _postcode(text, end)
+            break
+        named = token[:1].isupper() or ORDINAL.fullmatch(token) is not None
+        if not named and token not in JOINING:
+            break
+        start = word
+    wall[0] = at
+    return None
+
+
+def _number_after(text: str, start: int, at: int, end: int, floor: int) -> tuple[int, int] | None:
+    """Name and street word in one word, or capitalised words before the street word, then the number."""
+    house = HOUSE_AFTER.match(text, end)
+    if house is None:
+        return None
+    joined = start < at
+    while not joined and start > floor and text[start - 1] == " ":
+        word = _word_before(text, start - 1, floor)
+        if not text[word].isupper():
+            break
+        start = word
+    return (start, _postcode(text, house.end())) if start < at else None
+
+
+def _name_after(text: str, at: int, end: int, floor: int, cue: str) -> tuple[int, int] | None:
+    """Street word, then the name; the number is before the street word or after the name."""
+    before = at - 1 if at > floor and text[at - 1] == " " else floor
+    if before > floor and text[before - 1] == ",":
+        before -= 1
+    word = _word_before(text, before, floor)
+    if text[word:before] in ("bis", "ter") and word > floor and text[word - 1] == " ":
+        before = word - 1
+        word = _word_before(text, before, floor)
+    token = text[word:before]
+    numbered = HOUSE.fullmatch(token) and (word == 0 or text[word - 1].isspace() or text[word - 1] == "(")
+    stop = here = end
+    while m := WORD.match(text, here):
+        bare = re.split("['’]", m[1])[-1]
+        if m[1].lower() in STREET_WORDS:
+            break
+        if bare[:1].isupper():
+            stop = m.end()
+        elif m[1] not in JOINING and not (numbered and m[1].isdigit()):
+            break
+        here = m.end()
+    if numbered:
+        return (word, _postcode(text, stop)) if stop > end else None
+    if cue not in ("calle", "rue") and token[:1].isupper():
+        return None  # its name is before it
+    house = HOUSE_AFTER.match(text, stop)
+    if house and (stop > end or (cue == "calle" and text[at].isupper())):
+        return at, _postcode(text, house.end())
     return None
 
 

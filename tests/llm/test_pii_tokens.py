@@ -72,6 +72,36 @@ def test_added_kinds_and_redaction():
     assert pii.find_spans("IBAN DE89 3704 0044 0532 0130 01 and the road ahead, 12 roads") == []
 
 
+@pytest.mark.parametrize(
+    "text, kind, want",
+    [
+        ("She lives at 5 Isle of Dogs Road now", "address", "5 Isle of Dogs Road"),
+        ("at 12 Old Saint John The Baptist Church Lane.", "address", "12 Old Saint John The Baptist Church Lane"),
+        ("at 350 5th Avenue today", "address", "350 5th Avenue"),
+        ("Wir wohnen in der Hauptstraße 12 in Bonn", "address", "Hauptstraße 12"),
+        ("Sie finden uns: Berliner Strasse 7a, Bonn 53111.", "address", "Berliner Strasse 7a, Bonn 53111"),
+        ("in der Alten Berliner Straße 7", "address", "Alten Berliner Straße 7"),
+        ("zur Konrad-Adenauer-Straße 3 gehen", "address", "Konrad-Adenauer-Straße 3"),
+        ("Vive en la Calle Mayor 5 desde ayer", "address", "Calle Mayor 5"),
+        ("en la calle de la Princesa, 12, Madrid", "address", "calle de la Princesa, 12"),
+        ("Il habite 12 rue de la Paix depuis hier", "address", "12 rue de la Paix"),
+        ("au 12 Rue de la Paix, Paris 75002.", "address", "12 Rue de la Paix, Paris 75002"),
+        ("au 3 bis, rue de l’Église et", "address", "3 bis, rue de l’Église"),
+        ("au 3, rue de l'Église et", "address", "3, rue de l'Église"),
+        ("the account that you asked us about last week is 12345678 now", "account", "12345678"),
+        ("this account is closed for good, as you know. Call 12345678", "account", None),
+        ("the account that you asked us about last week\nis 12345678 now", "account", None),
+        ("In 12 years the road and the street and dans la rue 5 fois", "address", None),
+    ],
+)
+def test_addresses_and_accounts_in_their_languages(text, kind, want):
+    assert [text[s:e] for k, s, e in pii.find_spans(text) if k == kind] == ([want] if want else [])
+
+
+def test_street_and_account_words_alone_cost_their_length():
+    assert pii.find_spans("Street Rue account " * 20000 + "-straße" * 20000) == []
+
+
 def test_pii_columns(clashing):
     rows = pii.with_spans(clashing).collect()
     assert len(rows) == clashing.count()
