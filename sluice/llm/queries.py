@@ -12,7 +12,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm import bpe, katz, linededup, packing, pii, quality, sharding, simhash, styletree, vectors
+from sluice.llm import (
+    bpe,
+    filteraudit,
+    katz,
+    licenses,
+    linededup,
+    packing,
+    pii,
+    quality,
+    resample,
+    sharding,
+    simhash,
+    styletree,
+    vectors,
+)
 from sluice.llm.common import Scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -163,6 +177,27 @@ def op10_power_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All orders of the five filters, per source, over all documents."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return filteraudit.audit(docs, table(spark, sf_dir, "labels"))
+
+
+@query
+def op12_license_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License words, base phrases and labels of every whole text."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return licenses.scan(docs, carry=["doc_id"])
+
+
+@query
+def op13_importance_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of all documents of 20 words or more, drawn towards the benchmark's words."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return resample.resample(docs, table(spark, sf_dir, "benchmark"), carry=["doc_id"])
+
+
 ORACLE["op9_host_quality"] = r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(text, '') AS t,
@@ -200,3 +235,86 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   NOT base_failed AND (host_verdict = 'ok' OR (host_verdict = 'strict' AND NOT strict_failed)) AS kept,
   strict_failed, host_verdict
 FROM failed JOIN verdicts ON failed.source IS NOT DISTINCT FROM verdicts.source"""
+
+
+ORACLE["op11_filter_audit"] = r"""
+WITH split AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t,
+    list_filter(string_split_regex(coalesce(text, ''), '[ \t-\r]+'), lambda x: x <> '') AS ws
+  FROM documents),
+failing AS (
+  SELECT doc_id, part,
+    [len(ws) < 200, 100 * len(list_distinct(ws)) < 50 * len(ws),
+     100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t), regexp_matches(t, '[#$%&*|]'),
+     coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false)] AS f
+  FROM split),
+marks AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+patterns AS (
+  SELECT part, f, count(*) AS n, count(*) FILTER (good) AS g, count(*) FILTER (toxic) AS x
+  FROM failing LEFT JOIN marks USING (doc_id) GROUP BY part, f),
+letters AS (SELECT unnest([1, 2, 3, 4, 5]) AS i),
+orders AS (
+  SELECT [a.i, b.i, c.i, d.i, e.i] AS o FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5),
+steps AS (SELECT o, unnest(range(1, 6)) AS step FROM orders),
+cells AS (
+  SELECT part, o, step, o[step] AS own, n, g, x, f[o[step]] AS fails,
+    len(list_filter(o[1:step - 1], lambda i: f[i])) > 0 AS gone, len(list_filter(f, lambda y: y)) = 1 AS single
+  FROM patterns, steps),
+sums AS (
+  SELECT part, o, step, own,
+    sum(CASE WHEN NOT gone AND NOT fails THEN n ELSE 0 END) AS kept,
+    sum(CASE WHEN NOT gone AND fails THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN gone AND fails THEN n ELSE 0 END) AS redundant,
+    sum(CASE WHEN single AND fails THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN NOT gone AND fails THEN g ELSE 0 END) AS good_lost,
+    sum(CASE WHEN NOT gone AND fails THEN x ELSE 0 END) AS toxic_lost
+  FROM cells GROUP BY part, o, step, own)
+SELECT part, array_to_string(list_transform(o, lambda i: substr('ABCDE', i, 1)), '') AS filter_order,
+  CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+  CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+  CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
+FROM sums"""
+
+ORACLE["op12_license_index"] = licenses.twin_sql()
+
+ORACLE["op13_importance_draw"] = r"""
+WITH d AS (
+  SELECT doc_id, list_filter(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x00-\x2f\x3a-\x60\x7b-\x7f]+'), lambda w: w <> '') AS ws FROM documents),
+b AS (
+  SELECT unnest(list_filter(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x00-\x2f\x3a-\x60\x7b-\x7f]+'), lambda w: w <> '')) AS w FROM benchmark),
+dw AS (SELECT doc_id, unnest(ws) AS w FROM d),
+bytes AS (
+  SELECT w, list_transform(range(CAST(length(hex(w)) / 2 AS BIGINT)),
+    lambda i: CAST('0x' || substr(hex(w), CAST(2 * i + 1 AS BIGINT), 2) AS BIGINT)) AS bs
+  FROM (SELECT w FROM dw UNION SELECT w FROM b)),
+hashed AS (
+  SELECT w, xor(list_reduce(list_prepend(4294967295, bs), lambda c, x:
+    list_reduce([xor(c, x), 0, 0, 0, 0, 0, 0, 0, 0],
+      lambda v, z: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END)), 4294967295) % 10000 AS bucket
+  FROM bytes),
+corpus AS (SELECT bucket, count(*) AS s FROM dw JOIN hashed USING (w) GROUP BY bucket),
+wanted AS (SELECT bucket, count(*) AS t FROM b JOIN hashed USING (w) GROUP BY bucket),
+totals AS (SELECT (SELECT count(*) FROM dw) AS sa, (SELECT count(*) FROM b) AS ta),
+gains AS (
+  SELECT bucket, CAST(floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * (sa + 10000)::DOUBLE
+    / ((s + 1)::DOUBLE * (ta + 10000)::DOUBLE))) AS BIGINT) AS gain
+  FROM corpus LEFT JOIN wanted USING (bucket), totals),
+weights AS (
+  SELECT doc_id, CAST(sum(gain) AS BIGINT) AS weight
+  FROM dw JOIN hashed USING (w) JOIN gains USING (bucket) GROUP BY doc_id),
+scored AS (
+  SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + CAST(floor(-1000
+    * ln(-ln((CAST('0x' || substr(sha256('2024:' || d.doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE)))
+    AS BIGINT) AS score
+  FROM d LEFT JOIN weights USING (doc_id)),
+placed AS (
+  SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS n
+  FROM scored WHERE n_features >= 20)
+SELECT scored.doc_id, n_features, weight, score, CASE WHEN place <= 10 * n // 100 THEN place END AS rank
+FROM scored LEFT JOIN placed USING (doc_id)"""
