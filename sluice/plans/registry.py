@@ -1058,6 +1058,38 @@ def near_duplicates(spark, sf_dir):
     return dedup.duplicate_flags(d, ["_nk"], row_id="doc_id", flag="is_near_dup").select("doc_id", "is_near_dup")
 
 
+# catalog texts with spelling variants: near copies by similarity, not by equality
+_NAME_TEXT = (
+    "concat(CASE WHEN p_partkey % 5 = 0 THEN upper(p_name) ELSE p_name END, '  ', p_type, ' for the home and garden', "
+    "CASE WHEN p_partkey % 7 = 0 THEN ' !' WHEN p_partkey % 11 = 0 THEN concat(' ', p_brand) ELSE '' END)"
+)
+
+
+@register(
+    "similar_names",
+    f"""WITH t AS (
+  SELECT p_partkey, trim(regexp_replace(translate({_NAME_TEXT}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[ \t\n\r]+', ' ', 'g')) AS v FROM part),
+d AS (
+  SELECT v, min(p_partkey) AS first, list_distinct(list_transform(range(1, greatest(length(v) - 2, 1) + 1), lambda i: substr(v, i, 3))) AS g
+  FROM t GROUP BY v),
+links AS (
+  SELECT b.v, min(a.first) AS earlier FROM d a JOIN d b ON a.first < b.first
+  WHERE len(list_intersect(a.g, b.g)) >= 0.8 * (len(a.g) + len(b.g) - len(list_intersect(a.g, b.g))) - 1e-9 GROUP BY b.v),
+heads AS (SELECT d.v, least(first, coalesce(earlier, first)) AS head FROM d LEFT JOIN links USING (v))
+SELECT p_partkey, CASE WHEN head < p_partkey THEN head END AS similar_to,
+  CASE WHEN head < p_partkey THEN 'WARNING:NEAR_DUPLICATE' ELSE '' END AS warning
+FROM t JOIN heads USING (v)""",
+)
+def similar_names(spark, sf_dir):
+    from sluice.operators import similar
+
+    parts = table(spark, sf_dir, "part").select("p_partkey", F.expr(_NAME_TEXT).alias("name"))
+    flagged = similar.flag_similar(parts, "name", "p_partkey").withColumn("w", similar.warnings(parts, "name"))
+    label = F.concat_ws(":", F.get("w", 0)["severity"], F.get("w", 0)["rule"])
+    return flagged.select("p_partkey", "similar_to", label.alias("warning"))
+
+
 # ------------------------------------------- target constraints per row
 
 _CONSTRAINT_COLS = {
