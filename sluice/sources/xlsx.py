@@ -158,10 +158,22 @@ def read_xlsx(spark: SparkSession, path: str, props: dict | None = None, has_hea
     def rows_of(batches):
         import pandas as pd
 
+        from sluice.sources.csv import HeaderMismatch
+
+        def last(cells):
+            return max((i for i, c in cells.items() if c is not None and str(c).strip()), default=-1)
+
+        known = {i: c for i, c in enumerate(raw_header)}
         for pdf in batches:
             for p, content in zip(pdf["path"], pdf["content"]):
                 recs = []
                 for rnum, cells in parse_workbook(content, sheet_name, sheet_index):
+                    if has_header and rnum - 1 == header_idx:
+                        own = [cells.get(i) for i in range(last(cells) + 1)]
+                        if own != [known.get(i) for i in range(last(known) + 1)]:
+                            raise HeaderMismatch(f"{p} has the header {own}, the first workbook {raw_header}")
+                    if last(cells) >= len(names):
+                        raise HeaderMismatch(f"{p} row {rnum} has more cells than the first workbook has columns")
                     if rnum - 1 < data_start:
                         continue
                     rec = {n: cells.get(i) for i, n in enumerate(names)}

@@ -18,28 +18,45 @@ from collections import deque
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from sluice.operators import load
 from sluice.plans.config import PipelineConfig
-from sluice.sources.csv import CsvFormat
+from sluice.sources.csv import CsvFormat, read_csv
 from sluice.plans.runs import SUCCESS_STATUSES
 
 KEPT_RESULTS = 100
+FILE_COLUMNS = "path string, modificationTime timestamp, length long, content binary"
+FILES_PER_TRIGGER = 1000
 
 
-def landing_stream(spark: SparkSession, folder: str, cfg: PipelineConfig, columns: list[str],
-                   max_files_per_trigger: int | None = None) -> DataFrame:
-    """Streaming frame of landed CSV files (all-string columns) with
-    ``_source`` and a per-file ``_row`` (line order within the batch)."""
-    fmt = CsvFormat.of(cfg.source)
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-    reader = spark.readStream.options(**fmt.options()).option("encoding", fmt.encoding).option("header", str(cfg.source.has_header).lower()).schema(schema)
-    if max_files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
-    df = reader.csv(folder)
-    return df.select(*[fmt.cell(F.col(f"`{c}`")).alias(n) for c, n in zip(columns, fmt.names(columns))],
-                     F.col("_metadata.file_path").alias("_source"))
+def landing_stream(spark: SparkSession, folder: str, cfg: PipelineConfig, columns: list[str] | None = None,
+                   max_files_per_trigger: int = FILES_PER_TRIGGER) -> DataFrame:
+    """Streaming frame of landed files: one row each (``path``), their contents unread.
+
+    A batch's files go through the batch reader (``read_landed``), so header
+    names, header mapping, quoted line breaks, long rows and line numbers are
+    those of a batch run. ``columns`` names the columns of files without a
+    header.
+    """
+    reader = spark.readStream.format("binaryFile").schema(FILE_COLUMNS) \
+        .option("maxFilesPerTrigger", str(max_files_per_trigger))
+    names = ",".join(columns or [])
+    return reader.load(folder).select("path", F.lit(names).alias("columns"))
+
+
+def read_landed(spark: SparkSession, batch: DataFrame, cfg: PipelineConfig) -> DataFrame | None:
+    """The rows of a batch's files as the CSV reader gives them; None for a batch without files.
+
+    Its paths are at most ``maxFilesPerTrigger``.
+    """
+    files = batch.select("path", "columns").collect()
+    if not files:
+        return None
+    rows = read_csv(spark, sorted(f["path"] for f in files), cfg.source)
+    named = [c for c in files[0]["columns"].split(",") if c]
+    if cfg.source.has_header or not named:
+        return rows
+    return rows.withColumnsRenamed({f"column_{i}": c for i, c in enumerate(CsvFormat.of(cfg.source).names(named), 1)})
 
 
 def run_on_batches(spark: SparkSession, stream: DataFrame, cfg: PipelineConfig, target: load.BucketedTable,
@@ -56,8 +73,6 @@ def run_on_batches(spark: SparkSession, stream: DataFrame, cfg: PipelineConfig,
     results: deque = deque(maxlen=KEPT_RESULTS)
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        from sluice.operators.dedup import with_row_id
-
         # set by Spark for the thread that runs the batch; the same after a restart from the checkpoint
         stream_id = spark.sparkContext.getLocalProperty("sql.streaming.queryId")
         exec_id = f"{cfg.id}-{stream_id}-batch-{batch_id}"
@@ -66,7 +81,10 @@ def run_on_batches(spark: SparkSession, stream: DataFrame, cfg: PipelineConfig,
             done = run_store.read("executions").filter(loaded).limit(1).count()
             if done:
                 return  # replayed batch after a restart: already loaded
-        result = run_pipeline(spark, cfg, with_row_id(batch, "_row"), target, as_of, exec_id, run_store)
+        raw = read_landed(spark, batch, cfg)
+        if raw is None:
+            return
+        result = run_pipeline(spark, cfg, raw, target, as_of, exec_id, run_store)
         if result.exception is not None:
             raise result.exception  # the stream stops before the batch counts as done
         result.tagged = None  # counters only: a stream must not hold on to its batches

@@ -200,7 +200,7 @@ def test_csv_quoted_line_breaks(spark, tmpdir_path):
     write(os.path.join(folder, "b.csv"), "k,v\n3,z\n")
     df = sources.extract(spark, SourceConfig(type="CSV", location=folder))
     got = {r.k: (r.v, r._row) for r in df.collect()}
-    assert got == {"1": ("two\nlines, one cell", 2), "2": ("plain", 3), "3": ("z", 2)}
+    assert got == {"1": ("two\nlines, one cell", 2), "2": ("plain", 4), "3": ("z", 2)}
 
 
 def test_csv_headers_must_agree(spark, tmpdir_path):
@@ -252,3 +252,19 @@ def test_api_reads_beyond_the_expected_pages(spark, tmpdir_path):
     with pytest.raises(ValueError):
         auth_headers({"authType": "DIGEST"})
     assert auth_headers({"authType": "BASIC", "authUsername": "u", "authPassword": "p"})["Authorization"] == "Basic dTpw"
+
+
+def test_workbooks_with_other_headers_are_refused(spark, tmpdir_path):
+    from sluice.sources.xlsx import read_xlsx, write_xlsx
+
+    folder = os.path.join(tmpdir_path, "books")
+    os.makedirs(folder)
+    write_xlsx(os.path.join(folder, "a.xlsx"), "s", [["k", "v"], ["a", 1]])
+    write_xlsx(os.path.join(folder, "b.xlsx"), "s", [["v", "k", "w"], [2, "b", 3]])
+    with pytest.raises(Exception, match="header"):
+        read_xlsx(spark, folder, {}, True).collect()
+    write_xlsx(os.path.join(folder, "b.xlsx"), "s", [["k", "v"], ["b", 2, 3]])
+    with pytest.raises(Exception, match="more cells"):
+        read_xlsx(spark, folder, {}, True).collect()
+    write_xlsx(os.path.join(folder, "b.xlsx"), "s", [["k", "v"], ["b", 2]])
+    assert sorted(r.k for r in read_xlsx(spark, folder, {}, True).collect()) == ["a", "b"]
