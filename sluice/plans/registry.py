@@ -1090,6 +1090,38 @@ def similar_names(spark, sf_dir):
     return flagged.select("p_partkey", "similar_to", label.alias("warning"))
 
 
+# ------------------------------------------------------- CSV source
+
+_FEED_NOTE = (
+    "CASE WHEN o_orderkey % 6 = 0 THEN concat('first \"part\"', chr(10), 'of, ', o_orderpriority, chr(10), chr(10), 'end') "
+    "WHEN o_orderkey % 7 = 0 THEN concat(o_orderpriority, ' 5\" pipe') ELSE o_orderpriority END"
+)
+_FEED_EXTRA = "CASE WHEN o_orderkey % 5 = 0 THEN concat('x', CAST(o_custkey AS STRING)) END"
+
+
+@register(
+    "csv_feed",
+    f"""SELECT CAST(o_orderkey AS VARCHAR) AS column_1, {_FEED_NOTE} AS column_2, o_orderstatus AS column_3, {_FEED_EXTRA} AS column_4
+FROM orders""",
+)
+def csv_feed(spark, sf_dir):
+    """Orders as a headerless CSV feed (quoted line breaks, bare quotes, rows of three and four cells), read back."""
+    import uuid
+
+    from sluice.plans.config import SourceConfig
+    from sluice.session import scratch_path
+    from sluice.sources.csv import read_csv
+
+    note = F.expr(_FEED_NOTE)
+    quoted = F.concat(F.lit('"'), F.replace(note, F.lit('"'), F.lit('""')), F.lit('"'))
+    cell = F.when(F.col("o_orderkey") % 7 == 0, F.when(F.col("o_orderkey") % 6 == 0, quoted).otherwise(note)).otherwise(quoted)
+    line = F.concat_ws(",", F.col("o_orderkey").cast("string"), cell, "o_orderstatus", F.expr(_FEED_EXTRA))
+    path = scratch_path(spark, f"csv-feed-{uuid.uuid4().hex}")
+    table(spark, sf_dir, "orders").select(line.alias("value")).write.text(path)
+    cfg = SourceConfig(has_header=False, location=path)
+    return read_csv(spark, path, cfg).select(*[f"column_{i}" for i in range(1, 5)])
+
+
 # ------------------------------------------- target constraints per row
 
 _CONSTRAINT_COLS = {
