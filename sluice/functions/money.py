@@ -139,7 +139,8 @@ def sales_amounts(amount: Column, quantity: Column, discount_rate: Column, tax_r
     subtotal = amount * quantity * (1 - round(discount / 100, 8)),
     tax = subtotal * tax_rate, total = subtotal + tax. Widths are chosen so
     every intermediate is exact in Spark's decimal arithmetic (amount below
-    1e14, quantity below 1e7); larger values give null (a reject).
+    1e14, quantity below 1e7); larger values, and results beyond 16 digits
+    before the point, give null (a reject).
     """
     amt = amount.try_cast("decimal(16,2)")
     qty = quantity.try_cast("decimal(7,0)")
@@ -149,8 +150,8 @@ def sales_amounts(amount: Column, quantity: Column, discount_rate: Column, tax_r
     tax = sub * F.lit(tax_rate).cast("decimal(2,2)")
     total = sub * (F.lit(1) + F.lit(tax_rate).cast("decimal(2,2)")).cast("decimal(3,2)")
     return {
-        "discount_rate": F.round(disc, 2).cast("decimal(18,2)"),
-        "subtotal": F.round(sub, 2).cast("decimal(18,2)"),
-        "tax_amount": F.round(tax, 2).cast("decimal(18,2)"),
-        "total_amount": F.round(total, 2).cast("decimal(18,2)"),
+        "discount_rate": F.round(disc, 2).try_cast("decimal(18,2)"),
+        "subtotal": F.round(sub, 2).try_cast("decimal(18,2)"),
+        "tax_amount": F.round(tax, 2).try_cast("decimal(18,2)"),
+        "total_amount": F.round(total, 2).try_cast("decimal(18,2)"),
     }

@@ -15,6 +15,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sluice.operators import strategy
 
@@ -81,6 +82,18 @@ def reject_all(df: DataFrame, keys: Sequence[str], row_id: str = "_row", order_c
     return duplicate_flags(df, keys, row_id, order_cols, reject_all=True)
 
 
+def _descending(df: DataFrame, column: str) -> Column:
+    """A value that falls as the column rises, for a date, time or number."""
+    kind, c = df.schema[column].dataType, F.col(f"`{column}`")
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        return -F.unix_micros(c.cast("timestamp"))
+    if isinstance(kind, T.DateType):
+        return -F.unix_date(c)
+    if isinstance(kind, T.NumericType):
+        return -c
+    raise ValueError(f"the latest row cannot be told by {column} of type {kind.simpleString()}")
+
+
 def consolidate_latest(
     df: DataFrame,
     keys: Sequence[str],
@@ -92,22 +105,23 @@ def consolidate_latest(
 ) -> DataFrame:
     """One row per key: ``sum_cols`` summed; ``latest_by`` and
     ``latest_cols`` taken from the row with the greatest ``latest_by`` (a
-    strictly later value wins, so ties keep the earliest row by the numeric
+    strictly later value wins, so ties keep the earliest row by
     ``order_cols``); every other column from the key's first row. A null
-    ``latest_by`` never beats a non-null one. One hash aggregate with
-    map-side combine: hot keys are pre-reduced before the shuffle.
+    ``latest_by`` never beats a non-null one. One aggregate, combined on the
+    map side, so hot keys are reduced before the shuffle; its buffers hold
+    whole rows, so Spark sorts by key instead of hashing.
     """
     fixed = set(keys) | set(sum_cols) | set(latest_cols) | {latest_by}
     other = [c for c in df.columns if c not in fixed]
     latest_struct = F.struct(*[F.col(f"`{c}`").alias(c) for c in [latest_by, *latest_cols]])
     rank = F.struct(
-        F.col(f"`{latest_by}`").isNotNull().alias("_nn"),
-        F.col(f"`{latest_by}`").alias("_t"),
-        *[(-F.col(f"`{c}`")).alias(f"_neg{i}") for i, c in enumerate(order_cols)],
+        F.col(f"`{latest_by}`").isNull().alias("_none"),
+        _descending(df, latest_by).alias("_t"),
+        *[F.col(f"`{c}`").alias(f"_r{i}") for i, c in enumerate(order_cols)],
     )
     first_order = F.struct(*[F.col(f"`{c}`").alias(f"_o{i}") for i, c in enumerate(order_cols)])
     aggs = [F.sum(F.col(f"`{c}`")).alias(c) for c in sum_cols]
-    aggs.append(F.max_by(latest_struct, rank).alias("_latest"))
+    aggs.append(F.min_by(latest_struct, rank).alias("_latest"))
     if other:
         aggs.append(F.min_by(F.struct(*[F.col(f"`{c}`").alias(c) for c in other]), first_order).alias("_firstrow"))
     if count_col:

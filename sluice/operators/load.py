@@ -2,23 +2,21 @@
 
 The merge logic is pure DataFrame algebra (``*_frame`` functions) so it can
 be inspected, tested and registered as queries. ``BucketedTable`` stores a
-target as Parquet split into hash buckets of the business key, with
-immutable version directories and a small manifest; a load rewrites only the
-buckets its staging rows hash to and commits by replacing the pointer file
-last, so readers never see a half-written table and a failed load leaves the
-previous version current.
+target as a bucketed and partitioned Parquet table of Spark's: a merge reads
+it in its buckets, without an exchange, and rewrites only the partitions that
+hold a matched key.
 """
 
 from __future__ import annotations
 
 import datetime as dt
-import json
+import hashlib
 import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -233,147 +231,86 @@ def action_counts(merged: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------- bucketed storage
 
-
-def bucket_of(keys: Sequence[str], n: int) -> Column:
-    """Bucket of a row; rows of a table without a key are dealt out in turn."""
-    value = F.xxhash64(*[_q(k) for k in keys]) if keys else F.monotonically_increasing_id()
-    return F.pmod(value, F.lit(n)).cast("int")
-
-
-class ConcurrentCommit(RuntimeError):
-    """Another writer committed first; nothing of this write is visible."""
+PART = "_part"
+SPEC = "sluice.table"
 
 
 class BucketedTable:
-    """A target table: hash buckets of the business key in data folders, and one manifest file per version.
-
-    The highest version with a complete manifest is current: there is no
-    pointer to lose. A writer creates the manifest of the version after the
-    one it read, without overwriting, so of two writers one fails with
-    ``ConcurrentCommit``; its data folder has a name of its own and is not
-    referenced. Folders are immutable; a version may add to a bucket (insert)
-    or replace it (upsert).
+    """A target table in Spark's own storage: a Parquet table at ``root``, partitioned by a hash of the business key
+    into ``parts`` folders and bucketed by the key within each.
+
+    The buckets spare the target an exchange in every join with a batch: only
+    the batch is shuffled, into the table's buckets. The folders are what a
+    load replaces: an upsert rewrites those that hold a matched key by a
+    dynamic partition overwrite (staged and moved in by Spark's committer) and
+    appends to the others, an insert appends only. One writer at a time, as
+    runs of a pipeline are. With ``history`` each load first stores the rows
+    of the folders that it is about to change, and ``restore`` puts the table
+    back to where it was after an earlier load.
+
+    The columns and the layout are kept in an empty Parquet table beside the
+    folders, so that any session can open the table by its path.
     """
 
-    def __init__(self, spark: SparkSession, root: str, keys: Sequence[str], num_buckets: int = 64,
-                 files_per_bucket: int = 4):
-        self.spark, self.root, self.keys, self.n = spark, root.rstrip("/"), list(keys), num_buckets
-        self.files_per_bucket = files_per_bucket
+    def __init__(self, spark: SparkSession, root: str, keys: Sequence[str], num_buckets: int = 64, parts: int = 16,
+                 history: bool = False):
+        self.spark, self.root, self.keys = spark, root.rstrip("/"), list(keys)
+        self.num_buckets, self.parts, self.history = num_buckets, parts, history
         jvm = spark._jvm
-        self._conf = spark._jsc.hadoopConfiguration()
         self._path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.root).getFileSystem(self._conf)
-
-    # -- small metadata files (driver-side, bytes-sized)
-    def _create_text(self, path: str, content: str) -> bool:
-        """Write a new file; False if it is already there."""
-        target = self._path(path)
-        if self._fs.exists(target):
-            return False
-        try:
-            out = self._fs.create(target, False)
-        except Exception as exc:  # the JVM's class name is all that tells the cause
-            if "AlreadyExists" in str(exc):
-                return False
-            raise
-        out.write(bytearray(content.encode("utf-8")))
-        out.close()
-        return True
-
-    def _read_text(self, path: str) -> str | None:
-        p = self._path(path)
-        if not self._fs.exists(p):
-            return None
-        stream = self._fs.open(p)
-        reader = self.spark._jvm.java.io.BufferedReader(self.spark._jvm.java.io.InputStreamReader(stream, "UTF-8"))
-        lines = []
-        line = reader.readLine()
-        while line is not None:
-            lines.append(line)
-            line = reader.readLine()
-        reader.close()
-        return "\n".join(lines)
-
-    def _versions(self) -> list[int]:
-        p = self._path(f"{self.root}/_manifest")
-        if not self._fs.exists(p):
-            return []
-        names = [st.getPath().getName() for st in self._fs.listStatus(p)]
-        return sorted(int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit())
-
-    def _manifest_of(self, version: int) -> dict | None:
-        """A version's manifest; None where its writer did not finish it."""
-        try:
-            return json.loads(self._read_text(f"{self.root}/_manifest/{version}.json") or "")
-        except ValueError:
-            return None
+        self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
+        self.name = "sluice_" + hashlib.sha256(self.root.encode()).hexdigest()[:24]
 
-    def manifest(self) -> dict | None:
-        """The current manifest; None only for a table that was never created."""
-        versions = self._versions()
-        for version in reversed(versions):
-            found = self._manifest_of(version)
-            if found is not None:
-                return found
-        if versions:
-            raise OSError(f"no complete manifest among {len(versions)} at {self.root}")
-        return None
+    # -- layout
 
-    def schema(self) -> T.StructType | None:
-        m = self.manifest()
-        return T.StructType.fromJson(json.loads(m["schema"])) if m else None
+    def exists(self) -> bool:
+        return self._fs.exists(self._path(f"{self.root}/_schema/_SUCCESS"))
 
-    def read(self, buckets: Sequence[int] | None = None) -> DataFrame:
-        m = self.manifest()
-        if m is None:
+    def schema(self) -> T.StructType | None:
+        """The table's columns; None for a table that was never created."""
+        if not self.exists():
+            return None
+        stored = self.spark.read.parquet(f"{self.root}/_schema").schema
+        spec = stored.fields[0].metadata[SPEC]
+        if spec["keys"] != self.keys:
+            raise ValueError(f"the table at {self.root} is keyed by {spec['keys']}, not by {self.keys}")
+        self.num_buckets, self.parts = spec["buckets"], spec["parts"]
+        return T.StructType([T.StructField(f.name, f.dataType) for f in stored])
+
+    def _register(self) -> T.StructType:
+        """Make the table known to the session's catalog, with all its folders; overwrites then replace single folders."""
+        self.spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+        schema = self.schema()
+        if schema is None:
             raise FileNotFoundError(f"no table at {self.root}")
-        schema = T.StructType.fromJson(json.loads(m["schema"]))
-        loc = {int(b): v for b, v in m["buckets"].items()}
-        wanted = sorted(loc) if buckets is None else sorted(set(buckets) & set(loc))
-        paths = [f"{self.root}/{folder}/_bucket={b}" for b in wanted for folder in loc[b]]
-        if not paths:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(*paths)
-
-    def _write_data(self, data: DataFrame, version: int) -> tuple[str, list[int]]:
-        folder = f"v{version:06d}-{uuid.uuid4().hex[:12]}"
-        # a few files per bucket: parallel writes without one task per bucket; rows without a key are spread
-        salt = F.xxhash64(*[_q(k) for k in self.keys], F.lit(1)) if self.keys else F.monotonically_increasing_id()
-        spread = F.pmod(salt, F.lit(self.files_per_bucket))
-        (data.withColumn("_bucket", bucket_of(self.keys, self.n))
-            .repartition(F.col("_bucket"), spread)
-            .write.mode("error").partitionBy("_bucket").parquet(f"{self.root}/{folder}"))
-        return folder, self._list_buckets(folder)
-
-    def _commit(self, buckets: dict[int, list[str]], schema: T.StructType, execution_id: str | None,
-                written: Sequence[int], base: dict | None, **extra) -> int:
-        version = (max(self._versions(), default=0)) + 1
-        if (self.manifest() or {}).get("version") != (base or {}).get("version"):
-            raise ConcurrentCommit(f"{self.root} changed while version {version} was written")
-        manifest = {"version": version, "execution_id": execution_id, "schema": schema.json(),
-                    "buckets": {str(b): v for b, v in sorted(buckets.items())}, "written": sorted(written), **extra}
-        if not self._create_text(f"{self.root}/_manifest/{version}.json", json.dumps(manifest)):
-            raise ConcurrentCommit(f"version {version} of {self.root} was taken by another writer")
-        return version
-
-    def _list_buckets(self, vdir: str) -> list[int]:
-        p = self._path(f"{self.root}/{vdir}")
-        if not self._fs.exists(p):
-            return []
-        out = []
-        for st in self._fs.listStatus(p):
-            name = st.getPath().getName()
-            if name.startswith("_bucket="):
-                out.append(int(name.split("=", 1)[1]))
-        return out
-
-    def _buckets(self, df: DataFrame) -> list[int]:
-        """Bucket ids that hold rows of a frame: at most ``num_buckets`` ints."""
-        return [r[0] for r in df.select(bucket_of(self.keys, self.n).alias("b")).distinct().collect()]
-
-    @staticmethod
-    def _places(manifest: dict | None) -> dict[int, list[str]]:
-        return {int(b): list(v) for b, v in manifest["buckets"].items()} if manifest else {}
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+        keys = ", ".join(f"`{k}`" for k in self.keys)
+        buckets = f"CLUSTERED BY ({keys}) SORTED BY ({keys}) INTO {self.num_buckets} BUCKETS" if keys else ""
+        location = f"{self.root}/data".replace("'", "\\'")
+        if not self.spark.catalog.tableExists(self.name):
+            self.spark.sql(f"CREATE TABLE {self.name} ({columns}, {PART} INT) USING parquet PARTITIONED BY ({PART}) "
+                           f"{buckets} LOCATION '{location}'")
+        self._fs.mkdirs(self._path(f"{self.root}/data"))
+        self.spark.sql(f"ALTER TABLE {self.name} RECOVER PARTITIONS")
+        self.spark.catalog.refreshTable(self.name)
+        return schema
+
+    def part(self) -> Column:
+        """Folder of a row; rows of a table without a key are dealt out in turn."""
+        value = F.xxhash64(*[_q(k) for k in self.keys]) if self.keys else F.monotonically_increasing_id()
+        return F.pmod(value, F.lit(self.parts)).cast("int")
+
+    def read(self, parts: Sequence[int] | None = None) -> DataFrame:
+        """The rows, or those of some folders; joins and aggregates by the key need no exchange of them."""
+        schema = self._register()
+        rows = self.spark.table(self.name)
+        if parts is not None:
+            rows = rows.where(F.col(PART).isin([int(p) for p in parts])) if len(parts) else rows.limit(0)
+        return rows.select(*[_q(f.name) for f in schema])
+
+    def _parts_of(self, df: DataFrame) -> list[int]:
+        """Folders that hold rows of a frame: at most ``parts`` ints."""
+        return sorted(r[0] for r in df.select(self.part().alias("p")).distinct().collect())
 
     def _to_schema(self, df: DataFrame, schema: T.StructType) -> DataFrame:
         """A batch in the table's columns and types; columns that the table lacks are an error."""
@@ -383,89 +320,148 @@ class BucketedTable:
         have = set(df.columns)
         return df.select(*[(_q(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema])
 
-    def create(self, df: DataFrame, execution_id: str | None = None) -> int:
-        base = self.manifest()
-        if base is not None:
+    # -- writes
+
+    def _write(self, rows: DataFrame, overwrite: bool) -> dict[str, int]:
+        """Append rows with an ``_action``, or replace the folders they fall in; counts by action come with the write."""
+        seen = Observation()
+        actions = (INSERTED, UPDATED, UNCHANGED, SKIPPED)
+        watched = rows.observe(seen, *[F.count_if(F.col(ACTION) == a).alias(a) for a in actions])
+        names = [c for c in rows.columns if c != ACTION]
+        watched.select(*[_q(c) for c in names], self.part().alias(PART)).write.mode(
+            "overwrite" if overwrite else "append").insertInto(self.name)
+        self.spark.catalog.refreshTable(self.name)
+        return {a: n for a, n in seen.get.items() if n}
+
+    def _dealt(self, rows: DataFrame) -> DataFrame:
+        """Rows of no known distribution, one task per bucket (a task would write a file for every bucket otherwise)."""
+        return rows.repartition(self.num_buckets, *[_q(k) for k in self.keys]) if self.keys else rows
+
+    def _drop(self, parts: Sequence[int]) -> None:
+        for p in parts:
+            self.spark.sql(f"ALTER TABLE {self.name} DROP IF EXISTS PARTITION ({PART}={int(p)})")
+            self._fs.delete(self._path(f"{self.root}/data/{PART}={int(p)}"), True)
+        if parts:
+            self.spark.catalog.refreshTable(self.name)
+
+    def _present(self) -> list[int]:
+        return sorted(int(r[0].split("=")[1]) for r in self.spark.sql(f"SHOW PARTITIONS {self.name}").collect())
+
+    def create(self, df: DataFrame) -> None:
+        """A new table with the columns and rows of a frame."""
+        if self.exists():
             raise FileExistsError(f"a table exists at {self.root}")
         checked_columns(df.columns)
-        folder, present = self._write_data(df, 1)
-        return self._commit({b: [folder] for b in present}, df.schema, execution_id, present, None)
-
-    def upsert(self, staging: DataFrame, guard_column=None, guard_value=None, immutable=()) -> tuple[int, DataFrame]:
-        """Merge by key. Buckets that hold a matched key are rewritten; new keys of other buckets are added to them."""
-        base = self.manifest()
-        schema = self.schema()
+        spec = {SPEC: {"keys": self.keys, "buckets": self.num_buckets, "parts": self.parts}}
+        noted = [_q(f.name).alias(f.name, metadata=spec if i == 0 else {}) for i, f in enumerate(df.schema)]
+        df.limit(0).select(*noted).write.parquet(f"{self.root}/_schema")
+        self._register()
+        self._remember([])
+        self._write(self._dealt(df).withColumn(ACTION, F.lit(INSERTED)), overwrite=False)
+
+    def upsert(self, staging: DataFrame, guard_column=None, guard_value=None, immutable=()) -> dict[str, int]:
+        """Merge by key; returns the rows by action. Folders that hold a matched key are rewritten, new keys of the
+        others are added to them."""
+        schema = self._register()
         staging = self._to_schema(staging, schema)
-        touched = self._buckets(staging)
-        current = self.read(touched)
+        touched = self._parts_of(staging)
         keys = staging.select(*[_q(k) for k in self.keys]).distinct()
-        matched = set(self._buckets(current.join(keys, list(self.keys), "left_semi")))
-        bucket = bucket_of(self.keys, self.n)
-        in_matched = bucket.isin(*matched) if matched else F.lit(False)
-        merged = merge_frame(self.read(sorted(matched)), staging.where(in_matched), self.keys, guard_column, guard_value,
-                             immutable)
-        added = staging.where(~in_matched).select(*schema.names, F.lit(INSERTED).alias(ACTION))
-        return self._write_counted(merged.unionByName(added), base, schema, staging, rewritten=matched)
-
-    def insert(self, staging: DataFrame, order_col: str | None = None) -> tuple[int, DataFrame]:
+        matched = self._parts_of(self.read(touched).join(keys, list(self.keys), "left_semi"))
+        self._remember(touched)
+        in_matched = self.part().isin(matched) if matched else F.lit(False)
+        counts: dict[str, int] = {}
+        if len(matched) < len(touched):
+            added = staging.where(~in_matched).withColumn(ACTION, F.lit(INSERTED))
+            counts = self._write(self._dealt(added), overwrite=False)
+        if matched:
+            merged = merge_frame(self.read(matched), staging.where(in_matched), self.keys, guard_column, guard_value, immutable)
+            for action, n in self._write(merged, overwrite=True).items():
+                counts[action] = counts.get(action, 0) + n
+        counts.pop(UNCHANGED, None)
+        return counts
+
+    def insert(self, staging: DataFrame, order_col: str | None = None) -> dict[str, int]:
         """Append the rows whose key is not there yet (all rows where the table has no key); nothing is rewritten."""
-        base = self.manifest()
-        schema = self.schema()
+        schema = self._register()
         order = [order_col] if order_col and order_col not in schema.names else []
-        ordered = staging.select(*[_q(c) for c in staging.columns])
-        rows = self._to_schema(ordered.drop(*order), schema)
+        rows = self._to_schema(staging.drop(*order), schema)
         if order:
             named = [(_q(f.name) if f.name in staging.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema]
             rows = staging.select(*named, _q(order_col))
-        current = self.read(self._buckets(rows)) if self.keys else self.read([])
-        new = insert_new_rows(current, rows, self.keys, order_col).select(*schema.names, F.lit(INSERTED).alias(ACTION))
-        return self._write_counted(new, base, schema, staging, rewritten=set())
-
-    def replace(self, staging: DataFrame) -> tuple[int, DataFrame]:
-        base = self.manifest()
-        schema = self.schema() or staging.schema
+        touched = self._parts_of(rows) if self.keys else []
+        self._remember(touched if self.keys else self._present())
+        new = insert_new_rows(self.read(touched), rows, self.keys, order_col).select(*[_q(c) for c in schema.names])
+        return self._write(self._dealt(new).withColumn(ACTION, F.lit(INSERTED)), overwrite=False)
+
+    def replace(self, staging: DataFrame) -> dict[str, int]:
+        """The batch in place of all rows."""
+        schema = self._register()
         rows = self._to_schema(staging, schema).withColumn(ACTION, F.lit(INSERTED))
-        return self._write_counted(rows, base, schema, staging, rewritten=None)
-
-    def _write_counted(self, rows: DataFrame, base: dict | None, schema: T.StructType, staging: DataFrame,
-                       rewritten: set[int] | None):
-        """Write rows and commit them; ``rewritten`` names the buckets they replace (None: the whole table)."""
-        from sluice.operators.strategy import materialize
-
-        m = materialize(rows)  # one evaluation feeds the write and the counts
-        exec_id = None
-        if "etl_execution_id" in staging.columns:
-            first = staging.select("etl_execution_id").limit(1).collect()
-            exec_id = first[0][0] if first else None
-        version = (base or {"version": 0})["version"] + 1
-        folder, present = self._write_data(m.drop(ACTION), version)
-        places = {} if rewritten is None else {b: v for b, v in self._places(base).items() if b not in rewritten}
-        for b in present:
-            places.setdefault(b, []).append(folder)
-        written = sorted({*present, *(rewritten or ())})
-        return self._commit(places, schema, exec_id, written, base), action_counts(m)
-
-    def restore(self, version: int) -> int:
-        """A new version with the data of an earlier committed one."""
-        old = self._manifest_of(version) if version in self._versions() else None
-        if old is None:
-            raise FileNotFoundError(f"no version {version} at {self.root}")
-        schema = T.StructType.fromJson(json.loads(old["schema"]))
-        return self._commit(self._places(old), schema, old["execution_id"], [], self.manifest(), restored=version)
+        before = self._present()
+        after = self._parts_of(rows) if self.keys else []
+        self._remember(sorted({*before, *after}))
+        if not self.keys:
+            self._drop(before)
+        counts = self._write(self._dealt(rows), overwrite=True)
+        self._drop([p for p in before if self.keys and p not in after])
+        return counts
 
     def rollback(self, execution_id: str) -> int:
-        """Remove the rows of one execution from the buckets it wrote."""
-        from sluice.operators.strategy import materialize
+        """Remove the rows of one execution; returns how many folders were rewritten."""
+        schema = self._register()
+        if "etl_execution_id" not in schema.names:
+            return 0
+        stored = self.spark.table(self.name)
+        hit = sorted(r[0] for r in stored.where(F.col("etl_execution_id") == execution_id).select(PART).distinct().collect())
+        if hit:
+            self._remember(hit)
+            self._replace_parts(rollback_frame(stored.where(F.col(PART).isin(hit)), execution_id), hit)
+        return len(hit)
+
+    def _replace_parts(self, rows: DataFrame, parts: Sequence[int]) -> None:
+        """Rows with their ``_part`` in place of some folders; folders without rows go."""
+        left = {r[0] for r in rows.select(PART).distinct().collect()}
+        names = self.schema().names
+        if left:
+            dealt = rows.repartition(self.num_buckets, *[_q(k) for k in self.keys]) if self.keys else rows
+            dealt.select(*[_q(c) for c in names], PART).write.mode("overwrite").insertInto(self.name)
+            self.spark.catalog.refreshTable(self.name)
+        self._drop([p for p in parts if p not in left])
+
+    # -- history
 
-        base = self.manifest()
-        if base is None:
-            raise FileNotFoundError(f"no table at {self.root}")
-        history = [m for m in map(self._manifest_of, self._versions()) if m and m.get("execution_id") == execution_id]
-        touched = {b for m in history for b in m.get("written", [])}
-        if not touched:
-            return base["version"]
-        kept = materialize(rollback_frame(self.read(sorted(touched)), execution_id))
-        folder, present = self._write_data(kept, base["version"] + 1)
-        places = {b: v for b, v in self._places(base).items() if b not in touched}
-        places.update({b: [folder] for b in present})
-        return self._commit(places, self.schema(), None, sorted(touched), base)
+    @property
+    def version(self) -> int:
+        """Number of loads that were remembered."""
+        if not self._fs.exists(self._path(f"{self.root}/_loads")):
+            return 0
+        return self.spark.read.parquet(f"{self.root}/_loads").agg(F.max("load")).first()[0]
+
+    def _remember(self, parts: Sequence[int]) -> None:
+        """Store the rows of the folders that the next load changes, under its number."""
+        if not self.history:
+            return
+        load = self.version + 1
+        rows = self.spark.table(self.name).where(F.col(PART).isin([int(p) for p in parts]) if parts else F.lit(False))
+        rows.withColumnRenamed(PART, "part").write.parquet(f"{self.root}/_before/load={load}")
+        changed = self.spark.createDataFrame([(int(p),) for p in parts] or [(-1,)], "part int")
+        changed.coalesce(1).write.parquet(f"{self.root}/_loads/load={load}")
+
+    def restore(self, version: int) -> None:
+        """The table as it was after load ``version``: every folder that a later load changed gets its rows from before
+        the first such load. Itself a load."""
+        schema = self._register()
+        if not self.history or not 1 <= version <= self.version:
+            raise FileNotFoundError(f"no version {version} at {self.root}")
+        later = self.spark.read.parquet(f"{self.root}/_loads").where((F.col("load") > version) & (F.col("part") >= 0))
+        first = {r["part"]: r["load"] for r in later.groupBy("part").agg(F.min("load").alias("load")).collect()}
+        if not first:
+            return
+        self._remember(sorted(first))
+        kept = None
+        for load in sorted(set(first.values())):
+            parts = [p for p, n in first.items() if n == load]
+            rows = self.spark.read.schema(T.StructType([*schema.fields, T.StructField("part", T.IntegerType())])) \
+                .parquet(f"{self.root}/_before/load={load}").where(F.col("part").isin(parts)).withColumnRenamed("part", PART)
+            kept = rows if kept is None else kept.unionByName(rows)
+        self._replace_parts(kept, sorted(first))

@@ -71,6 +71,11 @@ def map_code(col: Column, mapping: Mapping[str, str], policy: str = "REJECT", de
     default value), PASS_THROUGH (value unchanged). Null stays null.
     """
     mapped = F.element_at(map_literal(mapping), col.cast("string")) if mapping else F.lit(None).cast("string")
+    return by_policy(col, mapped, policy, default)
+
+
+def by_policy(col: Column, mapped: Column, policy: str = "REJECT", default: str | None = None) -> tuple[Column, Column]:
+    """``(value, failed)`` of a code and what a table maps it to."""
     policy = (policy or "REJECT").upper()
     if policy == "DEFAULT":
         value = F.when(col.isNull(), F.lit(None).cast("string")).otherwise(F.coalesce(mapped, F.lit(default).cast("string")))

@@ -7,12 +7,14 @@ join stays a shuffle join (AQE may still split skewed partitions).
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import uuid
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from sluice.session import checkpoint_dir
+from sluice.session import checkpoint_dir, scratch_path
 
 BROADCAST_ROW_LIMIT = 1_000_000
 BROADCAST_CONF = "sluice.broadcast.rowLimit"
@@ -34,6 +36,32 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+class Staging:
+    """Parquet tables of one run under ``spark.checkpoint.dir``: columnar, so later steps read the columns they use,
+    shared, so a lost executor costs its tasks only, and gone after ``clear``."""
+
+    def __init__(self, spark: SparkSession, label: str = "staging"):
+        self.spark, self.root = spark, scratch_path(spark, f"{label}-{uuid.uuid4().hex}")
+
+    def write(self, df: DataFrame, name: str, metrics: Mapping[str, Column] | None = None) -> tuple[DataFrame, dict]:
+        """Store a frame; returns the stored rows, and aggregates over them that were observed by the write itself."""
+        path, seen = f"{self.root}/{name}", Observation()
+        watched = df.observe(seen, *[c.alias(k) for k, c in metrics.items()]) if metrics else df
+        # stored by position: source names may differ in case only, or hold anything; a column of nulls has no type
+        flat = watched.select(*[
+            (F.col(f"`{f.name}`").cast("string") if isinstance(f.dataType, T.NullType) else F.col(f"`{f.name}`")).alias(f"c{i}")
+            for i, f in enumerate(df.schema)
+        ])
+        flat.write.parquet(path)
+        stored = self.spark.read.schema(flat.schema).parquet(path)
+        back = stored.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(df.columns)])
+        return back, dict(seen.get) if metrics else {}
+
+    def clear(self) -> None:
+        target = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def counted(df: DataFrame) -> tuple[DataFrame, int]:
     """Materialise ``df`` once and return it with its row count."""
     m = materialize(df)
@@ -43,8 +71,6 @@ def counted(df: DataFrame) -> tuple[DataFrame, int]:
 def _width(dt) -> int:
     """Bytes of a fixed-width value in Spark's row format (complex types are
     counted generously)."""
-    from pyspark.sql import types as T
-
     if isinstance(dt, (T.BooleanType, T.ByteType)):
         return 1
     if isinstance(dt, (T.ShortType,)):
@@ -64,8 +90,6 @@ def small_or_none(df: DataFrame, limit: int | None = None) -> tuple[DataFrame, b
     """Materialise a (usually small) side and say whether it may be broadcast:
     its row count and its measured size (fixed-width fields by type, string
     and binary fields by their actual bytes) must both be under the limits."""
-    from pyspark.sql import types as T
-
     m = materialize(df)
     var = [f.name for f in m.schema.fields if isinstance(f.dataType, (T.StringType, T.BinaryType))]
     fixed = sum(_width(f.dataType) for f in m.schema.fields if f.name not in var) + 16

@@ -87,6 +87,20 @@ def common_transform(df: DataFrame, cfg: TransformationConfig, errors: str = "er
         values[fld] = value
     step.apply(values, msgs)
 
+    # code tables (D9): joined in, then the policies of code maps
+    values, msgs = {}, []
+    for fld, spec in cfg.code_tables.items():
+        if fld not in present:
+            continue
+        codes = step.df.sparkSession.read.format(spec.get("format", "parquet")).load(spec["location"])
+        codes = codes.select(F.col(spec["key"]).cast("string").alias("code"), F.col(spec["value"]).cast("string").alias("text"))
+        step.df = lookup.map_table(step.df, fld, codes, "code", "text", out=f"_code_{fld}")
+        value, failed = lookup.by_policy(_q(fld), _q(f"_code_{fld}").cast("string"), spec.get("policy", "REJECT"), spec.get("default"))
+        msgs.append(F.when(failed, F.concat(F.lit(f"Missing code mapping for field {fld} and value "), _q(fld).cast("string"))))
+        values[fld] = value
+    step.apply(values, msgs)
+    step.df = step.df.drop(*[f"_code_{fld}" for fld in values])
+
     # dates -> UTC timestamps
     values, msgs = {}, []
     for fld in cfg.date_fields:

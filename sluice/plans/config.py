@@ -17,6 +17,7 @@ from typing import Any
 import yaml
 
 _PLACEHOLDER = re.compile(r"\$\{([A-Za-z0-9_.]+)(?::([^}]*))?\}")
+DUPLICATE_OPTIONS = ("REJECT_EXCEPT_FIRST", "REJECT_ALL", "CONSOLIDATE")
 SAFE_IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_]*")
 
 
@@ -91,6 +92,10 @@ class ValidationConfig:
     active_catalog_values: dict[str, list[str]] = field(default_factory=dict)
     unique_key_columns: list[str] = field(default_factory=list)
     reject_all_duplicates: bool = False
+    duplicates: str = ""  # REJECT_EXCEPT_FIRST, REJECT_ALL or CONSOLIDATE; empty: by reject_all_duplicates
+    consolidate_by: str | None = None  # the latest row by this column gives consolidate_latest's values
+    consolidate_sum: list[str] = field(default_factory=list)
+    consolidate_latest: list[str] = field(default_factory=list)
     error_threshold_percent: float = 5.0
     abort_on_threshold_breach: bool = True
     threshold_scope: str = "step"  # "step" (as coded) or "cumulative"
@@ -113,6 +118,8 @@ class TransformationConfig:
     code_mappings: dict[str, dict[str, str]] = field(default_factory=dict)
     mapping_policies: dict[str, str] = field(default_factory=dict)
     mapping_defaults: dict[str, str] = field(default_factory=dict)
+    # field: location and format of a table, its key and value columns, policy and default for unknown codes
+    code_tables: dict[str, dict[str, str]] = field(default_factory=dict)
     derived_columns: dict[str, str] = field(default_factory=dict)  # insertion order is evaluation order
 
 
@@ -202,6 +209,12 @@ def from_dict(doc: dict) -> PipelineConfig:
         )
         for k, v in (_g(vc, "future-date-rules", {}) or {}).items()
     }
+    duplicates = str(_g(vc, "duplicates", "") or "").upper()
+    merged = _g(vc, "consolidate", {}) or {}
+    if duplicates not in ("", *DUPLICATE_OPTIONS):
+        raise ValueError(f"duplicates must be one of {', '.join(DUPLICATE_OPTIONS)}, not {duplicates}")
+    if duplicates == "CONSOLIDATE" and not _g(merged, "by"):
+        raise ValueError("CONSOLIDATE needs the column that tells the latest row (consolidate: by)")
     validation = ValidationConfig(
         mandatory_columns=list(_g(vc, "mandatory-columns", []) or []),
         column_types={k: str(v).upper() for k, v in (_g(vc, "column-types", {}) or {}).items()},
@@ -216,7 +229,11 @@ def from_dict(doc: dict) -> PipelineConfig:
         catalog_values={k: [str(x) for x in v] for k, v in (_g(vc, "catalog-values", {}) or {}).items()},
         active_catalog_values={k: [str(x) for x in v] for k, v in (_g(vc, "active-catalog-values", {}) or {}).items()},
         unique_key_columns=list(_g(vc, "unique-key-columns", []) or []),
-        reject_all_duplicates=bool(_g(vc, "reject-all-duplicates", False)),
+        reject_all_duplicates=duplicates == "REJECT_ALL" if duplicates else bool(_g(vc, "reject-all-duplicates", False)),
+        duplicates=duplicates,
+        consolidate_by=_g(merged, "by"),
+        consolidate_sum=list(_g(merged, "sum", []) or []),
+        consolidate_latest=list(_g(merged, "latest", []) or []),
         error_threshold_percent=float(_g(vc, "error-threshold-percent", 5.0)),
         abort_on_threshold_breach=bool(_g(vc, "abort-on-threshold-breach", True)),
         threshold_scope=str(_g(vc, "threshold-scope", "step")),
@@ -237,6 +254,7 @@ def from_dict(doc: dict) -> PipelineConfig:
         code_mappings={k: {str(a): str(b) for a, b in v.items()} for k, v in (_g(xc, "code-mappings", {}) or {}).items()},
         mapping_policies={k: str(v).upper() for k, v in (_g(xc, "mapping-policies", {}) or {}).items()},
         mapping_defaults={k: v for k, v in (_g(xc, "mapping-defaults", {}) or {}).items()},
+        code_tables={k: {str(a): str(b) for a, b in v.items()} for k, v in (_g(xc, "code-tables", {}) or {}).items()},
         derived_columns=dict(_g(xc, "derived-columns", {}) or {}),
     )
     retry = RetryPolicy(

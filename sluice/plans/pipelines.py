@@ -23,6 +23,7 @@ from sluice.functions import codes, dates, money, text
 from sluice.operators import dedup, load, lookup, quality, rules, strategy
 from sluice.operators.transform import common_transform, with_first_error
 from sluice.plans.config import PipelineConfig
+from sluice.plans import sinks
 from sluice.plans.runs import STEP_NAMES
 
 Specific = Callable[[DataFrame, PipelineConfig, dt.date], tuple[DataFrame, list[Column]]]
@@ -70,7 +71,7 @@ def sales_rules(df: DataFrame, cfg: PipelineConfig, as_of: dt.date) -> tuple[Dat
     values = {"channel": channel, "quantity": qty, **amounts}
     if not _has(df, "status"):
         values["status"] = F.lit(codes.SALES_DEFAULT_STATUS)
-    for k in ("subtotal", "tax_amount", "total_amount"):
+    for k in ("discount_rate", "subtotal", "tax_amount", "total_amount"):
         msgs.append(F.when(amount.isNotNull() & qty.isNotNull() & disc.isNotNull() & amounts[k].isNull(),
                            F.lit(f"{k} out of range")))
     return _finish(df, values, msgs, drop=["product_quantity"])
@@ -240,26 +241,13 @@ def resolve_transformer(cfg: PipelineConfig) -> tuple[Specific, str] | None:
 # ----------------------------------------------------------------- tagging
 
 
-def tag_rows(raw: DataFrame, cfg: PipelineConfig, as_of: dt.date,
-             table_catalogs: dict[str, tuple[str, str | None]] | None = None,
-             catalog_frames: Callable[[DataFrame], DataFrame] | None = None,
-             dedup_order: list[str] | None = None, stage_transformed: bool = True) -> DataFrame:
-    """All steps as one plan over one scan of the source. Output: data
-    columns after transformation, ``_row``, ``_raw`` (JSON of the source
-    row), ``_step`` (the step a rejected row failed at, null if valid) and
-    ``errors`` (every error of that step).
-
-    Rows are never split into branches: each step's errors are computed for
-    every row and masked for rows that already failed an earlier step, so the
-    source is read once (plus the key-only pass of the duplicate check).
-    Inventory consolidation changes cardinality and is the one exception.
-    ``catalog_frames`` may join table-backed catalogs onto the transformed
-    frame (adding the flag columns named in ``table_catalogs``). The first
-    row of a repeated key is the smallest ``(dedup_order..., _row)``.
-    """
+def transform_rows(raw: DataFrame, cfg: PipelineConfig, as_of: dt.date) -> DataFrame:
+    """Schema and transform steps over a source, lazily: the transformed columns with each step's errors, ``_alive``
+    (no error so far) and ``_cells`` (the source's cells, of which a reject's JSON is made)."""
     empty = F.array().cast(rules.ERRORS_TYPE)
     data_cols = [c for c in raw.columns if not c.startswith("_")]
-    base = raw.withColumn("_raw", F.to_json(F.struct(*[_q(c) for c in data_cols])))
+    cells = F.struct(*[_q(c).alias(f"f{i}") for i, c in enumerate(data_cols)]) if data_cols else F.lit(None).cast("string")
+    base = raw.withColumn("_cells", cells)
     # schema step on raw header names
     s = rules.validate_schema(base, cfg.validation, "_e_schema", labels="_l_schema")
     schema_ok = F.size("_e_schema") == 0
@@ -274,31 +262,63 @@ def tag_rows(raw: DataFrame, cfg: PipelineConfig, as_of: dt.date,
         t = t2.withColumn("_e_transform", F.concat("_e_transform", "_e_spec")).drop("_e_spec", *[
             c for c in t2.columns if c.startswith("_smsg")])
     t = t.withColumn("_e_transform", F.when(schema_ok, F.col("_e_transform")).otherwise(empty))
-    alive = schema_ok & (F.size("_e_transform") == 0)
-    if spec is not None and spec[0] is inventory_rules:
-        # stored before the split: a filter on the valid rows would inline every rule into both halves
-        t = strategy.materialize(t.withColumn("_alive", alive))
-        alive = F.col("_alive")
-        schema_ok = F.size("_e_schema") == 0
-        dead = t.filter(~alive)
-        t = inventory_consolidate(t.filter(alive)).unionByName(dead, allowMissingColumns=True)
-        stage_transformed = False
-    keys = [k for k in cfg.validation.unique_key_columns if k in t.columns]
-    if keys and stage_transformed:
-        # the duplicate check needs a pass over the transformed rows before the
-        # final pass; materialising them once avoids running every transform
-        # rule twice (one write + two reads instead of two full evaluations)
-        t = strategy.materialize(t.withColumn("_alive", alive))
-        alive = F.col("_alive")
-        schema_ok = F.size("_e_schema") == 0
-    # business step
+    return t.withColumn("_alive", schema_ok & (F.size("_e_transform") == 0))
+
+
+def needs_staging(cfg: PipelineConfig) -> bool:
+    """Whether the transformed rows are read more than once: by a duplicate check or a consolidation."""
+    return bool(cfg.validation.unique_key_columns) or consolidation(cfg) is not None
+
+
+def transform_metrics() -> dict[str, Column]:
+    return {
+        "rows": F.count(F.lit(1)),
+        "schema_rej": F.count_if(F.size("_e_schema") > 0),
+        "transform_rej": F.count_if((F.size("_e_schema") == 0) & (F.size("_e_transform") > 0)),
+    }
+
+
+def consolidation(cfg: PipelineConfig) -> Callable[[DataFrame], DataFrame] | None:
+    """How rows of one key are merged before the business step: by the pipeline's own rules, or as configured."""
+    if (resolve_transformer(cfg) or (None,))[0] is inventory_rules:
+        return inventory_consolidate
+    v = cfg.validation
+    if v.duplicates != "CONSOLIDATE":
+        return None
+
+    def merge(valid: DataFrame) -> DataFrame:
+        known = [c for c in v.consolidate_latest if c in valid.columns]
+        return dedup.consolidate_latest(
+            valid, v.unique_key_columns, [c for c in v.consolidate_sum if c in valid.columns], v.consolidate_by, known,
+            order_cols=["_source", "_row"] if "_source" in valid.columns else ["_row"], count_col="_src_rows")
+
+    return merge
+
+
+def consolidate(t: DataFrame, cfg: PipelineConfig) -> DataFrame:
+    """Rows still valid merged by key, where the configuration asks for it (``_src_rows`` counts what each stands for)."""
+    merge = consolidation(cfg)
+    if merge is None:
+        return t
+    return merge(t.filter("_alive")).unionByName(t.filter("not _alive"), allowMissingColumns=True)
+
+
+def business_rows(t: DataFrame, cfg: PipelineConfig, as_of: dt.date, names: list[str],
+                  table_catalogs: dict[str, tuple[str, str | None]] | None = None,
+                  catalog_frames: Callable[[DataFrame], DataFrame] | None = None,
+                  dedup_order: list[str] | None = None, refine: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Business step over transformed rows, lazily; ``names`` are the source's column names, for the rejects' JSON, and
+    ``refine`` may reject more rows by their ``_step`` and ``errors``."""
+    empty = F.array().cast(rules.ERRORS_TYPE)
+    alive = F.col("_alive")
     if catalog_frames is not None:
         t = catalog_frames(t)
     checks = rules.business_checks(t, cfg.validation, as_of, table_catalogs)
     for _, name, validate in _VALIDATORS:
         if name in (*EVERY, cfg.name.lower(), cfg.id.lower()):
             checks += validate(t, cfg, as_of)
-    if keys:
+    keys = [k for k in cfg.validation.unique_key_columns if k in t.columns]
+    if keys and cfg.validation.duplicates != "CONSOLIDATE":
         # row numbers are per file or sheet: the source is part of a row's identity
         ids = ["_source", "_row"] if "_source" in t.columns else "_row"
         t = dedup.duplicate_flags(t, keys, row_id=ids, order_cols=dedup_order,
@@ -306,19 +326,54 @@ def tag_rows(raw: DataFrame, cfg: PipelineConfig, as_of: dt.date,
         checks.append(rules.duplicate_error(keys, "_dup", "_row"))
     t = t.withColumns({"_e_business": F.when(alive, rules.collect_errors(checks)).otherwise(empty),
                        "_l_business": F.when(alive, rules.check_labels(checks)).otherwise(F.lit(""))})
-    step = (F.when(~schema_ok, F.lit(rules.STEP_SCHEMA))
-            .when(F.size("_e_transform") > 0, F.lit(rules.STEP_TRANSFORM))
+    flags = ["_dup", *[x for pair in (table_catalogs or {}).values() for x in pair if x]]
+    return _outcome(t, names, refine).drop(*flags)
+
+
+def _outcome(t: DataFrame, names: list[str], refine: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """The first step with errors, its errors and labels, and the source row of a reject, in place of the steps' own."""
+    schema_ok = F.size("_e_schema") == 0
+    transform_bad = F.size("_e_transform") > 0
+    step = (F.when(~schema_ok, F.lit(rules.STEP_SCHEMA)).when(transform_bad, F.lit(rules.STEP_TRANSFORM))
             .when(F.size("_e_business") > 0, F.lit(rules.STEP_BUSINESS)))
-    errors = (F.when(~schema_ok, F.col("_e_schema")).when(F.size("_e_transform") > 0, F.col("_e_transform"))
-              .otherwise(F.col("_e_business")))
-    flags = {"_dup"} | ({x for pair in table_catalogs.values() for x in pair if x} if table_catalogs else set())
+    errors = F.when(~schema_ok, F.col("_e_schema")).when(transform_bad, F.col("_e_transform")).otherwise(F.col("_e_business"))
     # rule:field labels of the failing step, without a higher-order function
-    labels = (F.when(~schema_ok, F.col("_l_schema"))
-              .when(F.size("_e_transform") > 0, F.get(F.col("_e_transform"), 0)["rule"])
+    labels = (F.when(~schema_ok, F.col("_l_schema")).when(transform_bad, F.get(F.col("_e_transform"), 0)["rule"])
               .otherwise(F.col("_l_business")))
     out = t.withColumns({"_step": step, "errors": errors, "_labels": labels})
-    return out.drop(*[c for c in out.columns if c in flags or c in (
-        "_e_schema", "_e_transform", "_e_business", "_alive", "_l_schema", "_l_business")])
+    if refine is not None:
+        out = refine(out)
+    return with_raw(out, names).drop("_e_schema", "_e_transform", "_e_business", "_alive", "_l_schema", "_l_business", "_cells")
+
+
+def with_raw(t: DataFrame, names: list[str]) -> DataFrame:
+    """Add ``_raw``, the source row as JSON, to rows with a ``_step``: other rows need none."""
+    cells = F.struct(*[F.col(f"_cells.f{i}").alias(n) for i, n in enumerate(names)]) if names else F.struct(F.lit(None).alias("_"))
+    return t.withColumn("_raw", F.when(F.col("_step").isNotNull(), F.to_json(cells)))
+
+
+def tag_rows(raw: DataFrame, cfg: PipelineConfig, as_of: dt.date,
+             table_catalogs: dict[str, tuple[str, str | None]] | None = None,
+             catalog_frames: Callable[[DataFrame], DataFrame] | None = None,
+             dedup_order: list[str] | None = None, staging: strategy.Staging | None = None) -> DataFrame:
+    """All steps over one scan of the source. Output: data columns after
+    transformation, ``_row``, ``_step`` (the step a rejected row failed at,
+    null if valid), ``errors`` (every error of that step) and, for rejects,
+    ``_raw`` (JSON of the source row).
+
+    Rows are never split into branches: each step's errors are computed for
+    every row and masked for rows that already failed an earlier step. Where
+    a duplicate check or a consolidation reads the transformed rows more than
+    once, they are stored once (``staging``), and the source is read once.
+    ``catalog_frames`` may join table-backed catalogs onto the transformed
+    frame (adding the flag columns named in ``table_catalogs``). The first
+    row of a repeated key is the smallest ``(dedup_order..., _row)``.
+    """
+    names = [c for c in raw.columns if not c.startswith("_")]
+    t = transform_rows(raw, cfg, as_of)
+    if needs_staging(cfg):
+        t, _ = (staging or strategy.Staging(raw.sparkSession)).write(t, "transformed")
+    return business_rows(consolidate(t, cfg), cfg, as_of, names, table_catalogs, catalog_frames, dedup_order)
 
 
 # ------------------------------------------------------------------ runner
@@ -339,6 +394,15 @@ class RunResult:
     reports: dict = field(default_factory=dict)
     tagged: DataFrame | None = None
     exception: Exception | None = None
+    parent_execution_id: str | None = None
+    retry_count: int = 0
+    staging: strategy.Staging | None = None
+
+    def close(self) -> None:
+        """Remove the run's staged rows."""
+        self.tagged = None
+        if self.staging is not None:
+            self.staging.clear()
 
     def valid(self) -> DataFrame:
         return self.tagged.filter(F.col("_step").isNull())
@@ -358,6 +422,7 @@ def reject_rows(tagged: DataFrame, execution_id: str, rejected_at: dt.datetime)
     """Rejects in the run-store layout (row number, step, raw JSON, reason,
     errors JSON)."""
     rej = tagged.filter(F.col("_step").isNotNull())
+    replayed = "_first_execution_id" in tagged.columns
     reason = F.when(F.col("_step") == rules.STEP_TRANSFORM, F.col("errors")[0]["message"])
     for step, text_ in STEP_REASONS.items():
         reason = reason.when(F.col("_step") == step, F.lit(text_))
@@ -371,6 +436,9 @@ def reject_rows(tagged: DataFrame, execution_id: str, rejected_at: dt.datetime)
         reason.alias("reason"),
         F.to_json("errors").alias("errors"),
         F.lit(rejected_at).cast("timestamp").alias("rejected_at"),
+        (F.col("_source") if "_source" in tagged.columns else F.lit(None)).cast("string").alias("source_file"),
+        (F.col("_first_execution_id") if replayed else F.lit(execution_id)).alias("first_execution_id"),
+        (F.col("_attempt") + 1 if replayed else F.lit(1)).cast("int").alias("attempt"),
     )
 
 
@@ -384,20 +452,29 @@ def run_pipeline(
     run_store=None,
     table_catalogs=None,
     catalog_frames=None,
+    parent_execution_id: str | None = None,
+    retry_count: int = 0,
+    sink: str | None = None,
 ) -> RunResult:
     """Run every step, gate, load and record; returns counters and status.
 
     Rejects are stored before the load, and the run, its steps, its errors
     and an audit row always, also where a step raises: the run is then
     FAILED, with the exception in the result. A load that fails after its
-    commit is rolled back if the target's rollback strategy says so.
+    commit is rolled back if the target's rollback strategy says so. A retry
+    names the run that it repeats and its number. ``sink`` names a registered
+    loader (``sinks.register_sink``) that gets the rows in place of ``target``.
+
+    The staged rows of the run (``result.tagged``) stay until
+    ``result.close()``.
     """
     execution_id = execution_id or str(uuid.uuid4())
     as_of = as_of or dt.datetime.now(dt.timezone.utc).date()
-    result = RunResult(execution_id, "RUNNING")
+    result = RunResult(execution_id, "RUNNING", parent_execution_id=parent_execution_id, retry_count=retry_count,
+                       staging=strategy.Staging(spark, "run"))
     log = _RunLog(run_store, cfg, result)
     try:
-        _run_steps(cfg, raw, target, as_of, log, table_catalogs, catalog_frames)
+        _run_steps(cfg, raw, target, as_of, log, table_catalogs, catalog_frames, sink)
     except quality.QualityGateBreached as exc:
         log.failed(str(exc))
     except load.StagingCheckFailed as exc:
@@ -413,37 +490,46 @@ def run_pipeline(
 
 
 class _RunLog:
-    """What a run leaves in the run store: its steps as they end, then errors, execution and audit rows."""
+    """What a run leaves in the run store: its steps as they end, then errors, execution and audit rows.
+
+    Steps that one job runs together, row by row, begin together; each ends
+    when its own outcome is known.
+    """
 
     ORDER = {name: i + 1 for i, name in enumerate(STEP_NAMES)}
 
     def __init__(self, store, cfg: PipelineConfig, result: RunResult):
         self.store, self.cfg, self.result = store, cfg, result
-        self.started = self.begun = _now()
-        self.step: str | None = None
+        self.started = _now()
+        self.open: dict[str, dt.datetime] = {}
         self.steps: list[dict] = []
+        self.problems: list[tuple[str, str]] = []
         self.rejects: DataFrame | None = None
 
-    def begin(self, step: str) -> None:
-        self.step, self.begun = step, _now()
+    @property
+    def step(self) -> str | None:
+        """The step under way: the first that has begun and not ended."""
+        return min(self.open, key=self.ORDER.__getitem__, default=None)
 
-    def end(self, processed: int | None, status: str = "SUCCESS") -> None:
-        if self.step:
-            self.steps.append({
-                "execution_id": self.result.execution_id, "step_name": self.step, "step_order": self.ORDER[self.step],
-                "status": status, "started_at": self.begun, "finished_at": _now(), "records_processed": processed,
-            })
-            self.step = None
+    def begin(self, *steps: str) -> None:
+        self.open |= dict.fromkeys(steps, _now())
+
+    def end(self, step: str, processed: int | None, status: str = "SUCCESS") -> None:
+        self.steps.append({
+            "execution_id": self.result.execution_id, "step_name": step, "step_order": self.ORDER[step],
+            "status": status, "started_at": self.open.pop(step), "finished_at": _now(), "records_processed": processed,
+        })
 
     def failed(self, *messages: str) -> None:
         self.result.status = "FAILED"
         self.result.errors.extend(messages)
+        self.problems.extend((self.step or "CLOSE", m) for m in messages)
 
     def rolled_back(self, target: load.BucketedTable) -> None:
         try:
             target.rollback(self.result.execution_id)
         except Exception as exc:  # noqa: BLE001 - the first failure stays the run's outcome
-            self.result.errors.append(f"Rollback failed: {type(exc).__name__}")
+            self.failed(f"Rollback failed: {type(exc).__name__}")
 
     def save_rejects(self) -> None:
         if self.store is not None and self.rejects is not None:
@@ -453,37 +539,38 @@ class _RunLog:
     def close(self) -> None:
         r = self.result
         if self.step:
-            self.end(None, "FAILED")
+            # steps of the same job that come after the failed one have no outcome
+            self.end(self.step, None, "FAILED")
+            self.open.clear()
         if self.store is None:
             return
-        problems = list(r.errors)
         try:
             self.begin("AUDIT")
             self.save_rejects()
         except Exception as exc:  # noqa: BLE001 - the run is recorded without its rejects
-            problems.append(f"Rejects not stored: {type(exc).__name__}")
-            r.status, r.errors = "FAILED", problems
-            self.end(None, "FAILED")
+            self.failed(f"Rejects not stored: {type(exc).__name__}")
+            self.end("AUDIT", None, "FAILED")
         else:
-            self.end(r.loaded)
+            self.end("AUDIT", r.loaded)
         finished = _now()
+        messages = [message for _, message in self.problems]
         self.store.append("steps", self.steps)
         self.store.append("errors", [{
-            "execution_id": r.execution_id, "step_name": "CLOSE", "error_type": "TECHNICAL", "severity": "CRITICAL",
+            "execution_id": r.execution_id, "step_name": step, "error_type": "TECHNICAL", "severity": "CRITICAL",
             "message": message, "created_at": finished,
-        } for message in problems])
+        } for step, message in self.problems])
         self.store.append("executions", [{
             "execution_id": r.execution_id, "pipeline_id": self.cfg.id, "status": r.status,
-            "trigger_type": "MANUAL", "started_at": self.started, "finished_at": finished,
+            "trigger_type": "RETRY" if r.parent_execution_id else "MANUAL", "started_at": self.started, "finished_at": finished,
             "total_read": r.read, "total_transformed": r.transformed, "total_rejected": r.rejected,
-            "total_loaded": r.loaded, "error_summary": "; ".join(problems) or None, "retry_count": 0,
-            "parent_execution_id": None, "created_at": self.started,
+            "total_loaded": r.loaded, "error_summary": "; ".join(messages) or None, "retry_count": r.retry_count,
+            "parent_execution_id": r.parent_execution_id, "created_at": self.started,
         }])
         self.store.append("audit", [{
             "execution_id": r.execution_id, "pipeline_id": self.cfg.id, "action": "PIPELINE_EXECUTION",
             "status": r.status,
             "details": f"read={r.read}, transformed={r.transformed}, rejected={r.rejected}, loaded={r.loaded}"
-                       + (f", failureReason={problems[0]}" if problems else ""),
+                       + (f", failureReason={messages[0]}" if messages else ""),
             "created_at": finished,
         }])
 
@@ -493,89 +580,100 @@ def _now() -> dt.datetime:
 
 
 def _run_steps(cfg: PipelineConfig, raw: DataFrame, target: load.BucketedTable | None, as_of: dt.date, log: _RunLog,
-               table_catalogs, catalog_frames) -> None:
+               table_catalogs, catalog_frames, sink: str | None) -> None:
+    """The steps of a run. The transformed rows are stored once where they are read more than once, the business step's
+    rows always; both writes count what they write."""
     result, started = log.result, log.started
-    execution_id = result.execution_id
-    log.begin("EXTRACT")
-    tagged = strategy.materialize(tag_rows(raw, cfg, as_of, table_catalogs, catalog_frames))
+    execution_id, pct, abort = result.execution_id, cfg.validation.error_threshold_percent, cfg.validation.abort_on_threshold_breach
+    names = [c for c in raw.columns if not c.startswith("_")]
+    log.begin("EXTRACT", "VALIDATE_SCHEMA", "TRANSFORM")
+    t = transform_rows(raw, cfg, as_of)
+    staged_first = needs_staging(cfg)
+    c: dict = {}
+
+    def transformed(seen: dict) -> None:
+        c.update(seen)
+        result.read = c["rows"]
+        log.end("EXTRACT", result.read)
+        result.reports["schema"] = quality.evaluate(result.read, c["schema_rej"], pct)
+        quality.gate(result.reports["schema"], abort, "schema")
+        log.end("VALIDATE_SCHEMA", result.read - c["schema_rej"])
+        log.end("TRANSFORM", result.read - c["schema_rej"] - c["transform_rej"])
+
+    if staged_first:
+        t, seen = result.staging.write(t, "transformed", transform_metrics())
+        # what is rejected if the schema gate ends the run here
+        early = t.where("not _alive").withColumns({"_e_business": F.array().cast(rules.ERRORS_TYPE), "_l_business": F.lit("")})
+        log.rejects = reject_rows(_outcome(early, names), execution_id, started)
+        result.rejected = seen["schema_rej"] + seen["transform_rej"]
+        transformed(seen)
+        t = consolidate(t, cfg)
+    log.begin("VALIDATE_BUSINESS")
+    metrics = {
+        "business_rej": F.count_if(F.col("_step") == rules.STEP_BUSINESS),
+        "refused": F.count_if(F.col("_step") == "LOAD"),
+        "valid": F.count_if(F.col("_step").isNull()),
+    }
+    if not staged_first:
+        metrics |= {"rows": F.count(F.lit(1)), "schema_rej": F.count_if(F.col("_step") == rules.STEP_SCHEMA),
+                    "transform_rej": F.count_if(F.col("_step") == rules.STEP_TRANSFORM)}
+    business = business_rows(t, cfg, as_of, names, table_catalogs, catalog_frames, refine=lambda d: _with_constraints(cfg, d))
+    tagged, seen = result.staging.write(business, "tagged", metrics)
     result.tagged = tagged
-    c = tagged.agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.count_if(F.col("_step") == rules.STEP_SCHEMA).alias("schema_rej"),
-        F.count_if(F.col("_step") == rules.STEP_TRANSFORM).alias("transform_rej"),
-        F.count_if(F.col("_step") == rules.STEP_BUSINESS).alias("business_rej"),
-        F.count_if(F.col("_step").isNull()).alias("valid"),
-        F.sum(F.coalesce(F.col("_src_rows"), F.lit(1)) if "_src_rows" in tagged.columns else F.lit(1))
-        .cast("long").alias("source_rows"),
-    ).first().asDict()
-    # consolidated rows stand for several source rows; every other row for one
-    raw_count = c["source_rows"] or 0
-    result.read = raw_count
-    log.end(raw_count)
-    biz_in = raw_count - c["schema_rej"] - c["transform_rej"]
-    if (resolve_transformer(cfg) or (None,))[0] is inventory_rules:
-        biz_in = c["valid"] + c["business_rej"]
-    pct = cfg.validation.error_threshold_percent
-    result.reports["schema"] = quality.evaluate(raw_count, c["schema_rej"], pct)
-    result.reports["business"] = quality.evaluate(biz_in, c["business_rej"], pct)
-    if cfg.validation.threshold_scope == "cumulative":
-        result.reports["cumulative"] = quality.evaluate(
-            raw_count, c["schema_rej"] + c["transform_rej"] + c["business_rej"], pct)
-    result.transformed = biz_in
-    result.rejected = c["schema_rej"] + c["transform_rej"] + c["business_rej"]
     log.rejects = reject_rows(tagged, execution_id, started)
-    log.begin("VALIDATE_SCHEMA")
-    quality.gate(result.reports["schema"], cfg.validation.abort_on_threshold_breach, "schema")
-    log.end(raw_count - c["schema_rej"])
-    log.begin("TRANSFORM")
-    log.end(biz_in)
-    log.begin("VALIDATE_BUSINESS")
+    if staged_first:
+        c.update(seen)
+    else:
+        result.rejected = seen["schema_rej"] + seen["transform_rej"]
+        transformed(seen)
+    passed = c["valid"] + c["refused"]
+    result.transformed = passed + c["business_rej"]
+    result.rejected += c["business_rej"]
+    result.reports["business"] = quality.evaluate(result.transformed, c["business_rej"], pct)
+    if cfg.validation.threshold_scope == "cumulative":
+        result.reports["cumulative"] = quality.evaluate(result.read, result.rejected, pct)
     for step in ("business", "cumulative"):
         if step in result.reports:
-            quality.gate(result.reports[step], cfg.validation.abort_on_threshold_breach, step)
-    log.end(c["valid"])
+            quality.gate(result.reports[step], abort, step)
+    log.end("VALIDATE_BUSINESS", passed)
     log.begin("LOAD")
-    tagged, refused = _apply_constraints(cfg, tagged)
-    if refused:
-        result.tagged = tagged
-        result.rejected += refused
-        log.rejects = reject_rows(tagged, execution_id, started)
-        if cfg.target.fail_fast_on_chunk_error:
-            raise load.StagingCheckFailed([f"{refused} rows violate target constraints"])
-    staged_rows = c["valid"] - refused
+    result.rejected += c["refused"]
+    if c["refused"] and cfg.target.fail_fast_on_chunk_error:
+        raise load.StagingCheckFailed([f"{c['refused']} rows violate target constraints"])
     log.save_rejects()
     valid = tagged.filter(F.col("_step").isNull()).drop("_step", "errors", "_raw", "_labels")
     run = load.RunContext(execution_id=execution_id, pipeline_id=cfg.id, pipeline_version=cfg.version,
                           source_file=cfg.source.location, load_timestamp=started, as_of=as_of)
-    staged = load.add_trace_columns(valid, run).drop("_source", "_extracted_at", "_src_rows")
-    if target is not None:
-        _load(cfg, target, staged, staged_rows, result)
+    staged = load.add_trace_columns(valid, run).drop("_source", "_extracted_at", "_src_rows", "_first_execution_id", "_attempt")
+    if sink is not None:
+        result.inserted = sinks.deliver(staged.drop("_row"), sink, execution_id, cfg)
+    elif target is not None:
+        _load(cfg, target, staged, c["valid"], result)
     else:
-        result.inserted = staged_rows
+        result.inserted = c["valid"]
     result.loaded = result.inserted + result.updated
-    log.end(result.loaded)
+    log.end("LOAD", result.loaded)
     log.begin("CLOSE")
     # row rejects are data outcomes: they make a run PARTIAL, never FAILED
     result.status = "PARTIAL" if result.rejected > 0 else "SUCCESS"
-    log.end(result.loaded)
+    log.end("CLOSE", result.loaded)
 
 
-def _apply_constraints(cfg: PipelineConfig, tagged: DataFrame) -> tuple[DataFrame, int]:
-    """Rows the target would refuse are rejected one by one (step LOAD); returns the frame and their number."""
+def _with_constraints(cfg: PipelineConfig, tagged: DataFrame) -> DataFrame:
+    """Rows the target would refuse are rejected one by one (step LOAD)."""
     tc = cfg.target
     constraints = load.constraint_checks(tagged, [c for c in tc.not_null_columns if c in tagged.columns],
                                          [c for c in tc.non_negative_columns if c in tagged.columns],
                                          {k: v for k, v in tc.max_lengths.items() if k in tagged.columns},
                                          {k: v for k, v in tc.decimal_types.items() if k in tagged.columns})
     if not constraints:
-        return tagged, 0
-    ok = F.col("_step").isNull()
-    hit = ok & (F.size("_le") > 0)
-    checked = strategy.materialize(tagged.withColumn("_le", F.when(ok, rules.collect_errors(constraints))).withColumns({
+        return tagged
+    hit = F.col("_step").isNull() & (F.size("_le") > 0)
+    checked = tagged.withColumn("_le", rules.collect_errors(constraints))
+    return checked.withColumns({
         "_step": F.when(hit, F.lit("LOAD")).otherwise(F.col("_step")),
         "errors": F.when(hit, F.col("_le")).otherwise(F.col("errors")),
-    }).drop("_le"))
-    return checked, checked.filter(F.col("_step") == "LOAD").count()
+    }).drop("_le")
 
 
 def _load(cfg: PipelineConfig, target: load.BucketedTable, staged: DataFrame, expected: int, result: RunResult) -> None:
@@ -586,17 +684,15 @@ def _load(cfg: PipelineConfig, target: load.BucketedTable, staged: DataFrame, ex
     if details:
         raise load.StagingCheckFailed(details)
     rows = staged.drop("_row")
-    if target.manifest() is None:
-        target.create(rows.limit(0), None)
+    if not target.exists():
+        target.create(rows.limit(0))
     if tc.load_strategy == "UPSERT":
         guard = tc.closed_flag_column if tc.closed_record_guard_enabled else None
-        _, counts = target.upsert(rows, guard, tc.closed_flag_value, tc.immutable_columns)
+        by = target.upsert(rows, guard, tc.closed_flag_value, tc.immutable_columns)
     elif tc.load_strategy == "INSERT":
-        _, counts = target.insert(staged if "_row" in staged.columns else rows,
-                                  "_row" if "_row" in staged.columns else None)
+        by = target.insert(staged, "_row" if "_row" in staged.columns else None)
     else:
-        _, counts = target.replace(rows)
-    by = {r[load.ACTION]: r["n_rows"] for r in counts.collect()}
+        by = target.replace(rows)
     result.inserted = by.get(load.INSERTED, 0)
     result.updated = by.get(load.UPDATED, 0)
     result.skipped = by.get(load.SKIPPED, 0)

@@ -804,12 +804,28 @@ def rejects_page(spark, sf_dir):
 
     from sluice.operators.strategy import materialize
 
-    # pages are served from stored rejects: validate once, then filter and
-    # page the materialised rows (a filter on the live error array would be
-    # pushed below and evaluate every rule twice)
-    stored = materialize(_orders_validated(spark, sf_dir).select("o_orderkey", "errors", "rules"))
-    _, rej = rules.split(stored)
-    return runs.page(rej.select("o_orderkey", "rules"), 2, 50, [F.col("o_orderkey")])
+    # pages are served from stored rejects, and only rejects are stored
+    _, rej = rules.split(_orders_validated(spark, sf_dir))
+    return runs.page(materialize(rej.select("o_orderkey", "rules")), 2, 50, [F.col("o_orderkey")])
+
+
+@register(
+    "rejects_seek",
+    f"""WITH {_DUCK_ORDERS_CLEAN}
+SELECT o_orderkey, rules FROM validated WHERE n_errors > 0 ORDER BY o_orderkey LIMIT 50 OFFSET 150""",
+)
+def rejects_seek(spark, sf_dir):
+    """The fourth page, reached from page to page by the last key seen."""
+    from sluice.operators.strategy import Staging
+    from sluice.plans import runs
+
+    _, rej = rules.split(_orders_validated(spark, sf_dir))
+    stored, _ = Staging(spark, "rejects").write(rej.select("o_orderkey", "rules").sortWithinPartitions("o_orderkey"), "rejects")
+    after = None
+    for _ in range(3):
+        seen = runs.page_after(stored, ["o_orderkey"], after, 50).agg(F.max("o_orderkey")).first()[0]
+        after = after if seen is None else (seen,)
+    return runs.page_after(stored, ["o_orderkey"], after, 50)
 
 
 WINDOWS = [

@@ -13,6 +13,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -78,13 +79,24 @@ REJECT_SCHEMA = T.StructType([
     T.StructField("reason", T.StringType()),
     T.StructField("errors", T.StringType()),
     T.StructField("rejected_at", T.TimestampType()),
+    T.StructField("source_file", T.StringType()),
+    T.StructField("first_execution_id", T.StringType()),
+    T.StructField("attempt", T.IntegerType()),
+])
+REPLAY_SCHEMA = T.StructType([
+    T.StructField("execution_id", T.StringType()),
+    T.StructField("first_execution_id", T.StringType()),
+    T.StructField("source_file", T.StringType()),
+    T.StructField("source_row_number", T.LongType()),
+    T.StructField("attempt", T.IntegerType()),
 ])
 
 
 class RunStore:
     """Append-only run tables under one root folder (shared storage)."""
 
-    TABLES = {"executions": RUN_SCHEMA, "steps": STEP_SCHEMA, "errors": ERROR_SCHEMA, "audit": AUDIT_SCHEMA}
+    TABLES = {"executions": RUN_SCHEMA, "steps": STEP_SCHEMA, "errors": ERROR_SCHEMA, "audit": AUDIT_SCHEMA,
+              "replays": REPLAY_SCHEMA}
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -97,7 +109,8 @@ class RunStore:
         df = rows if isinstance(rows, DataFrame) else self.spark.createDataFrame(
             [tuple(r.get(f.name) for f in schema.fields) for r in rows], schema)
         if name == "rejects":
-            df.write.mode("append").partitionBy("execution_id").parquet(self.path(name))
+            # by row within a file, so that a page reads the row groups from its first row on
+            df.sortWithinPartitions("source_row_number").write.mode("append").partitionBy("execution_id").parquet(self.path(name))
         else:
             df.write.mode("append").parquet(self.path(name))
 
@@ -105,8 +118,10 @@ class RunStore:
         schema = self.TABLES.get(name, REJECT_SCHEMA)
         try:
             return self.spark.read.schema(schema).parquet(self.path(name))
-        except Exception:  # noqa: BLE001 - no run written yet
-            return self.spark.createDataFrame([], schema)
+        except AnalysisException as exc:
+            if exc.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return self.spark.createDataFrame([], schema)  # no run written yet
 
 
 # ------------------------------------------------------------- queries
@@ -187,6 +202,31 @@ def page_with_total(df: DataFrame, page_no: int, size: int, order: Sequence[Colu
     return page(df, page_no, size, order), total, -(-total // size)
 
 
+def page_after(df: DataFrame, order: Sequence[str], after: Sequence | None, size: int) -> DataFrame:
+    """The ``size`` rows that follow the key ``after`` in the order of the columns (None: the first rows).
+
+    A page costs the rows that follow it, never those before: the bound on
+    the first column reaches the scan, and only ``size`` rows per task go on.
+    The columns must tell rows apart and hold no nulls.
+    """
+    if not 1 <= size <= 200:
+        raise ValueError("size must be within 1..200")
+    if after is not None:
+        beyond, same = F.lit(False), F.lit(True)
+        for c, v in zip(order, after, strict=True):
+            bound = F.lit(v).cast(df.schema[c].dataType)
+            beyond, same = beyond | (same & (F.col(c) > bound)), same & (F.col(c) == bound)
+        df = df.where(F.col(order[0]) >= F.lit(after[0]).cast(df.schema[order[0]].dataType)).where(beyond)
+    return df.orderBy(*order).limit(size)
+
+
+def rejects_after(store: RunStore, execution_id: str, after_row: tuple | None = None, size: int = 50) -> DataFrame:
+    """A page of a run's rejects behind a row ``(source_row_number, source_file)``: one partition of the table is read (O2)."""
+    rejects = store.read("rejects").where(F.col("execution_id") == execution_id)
+    return page_after(rejects.withColumn("source_file", F.coalesce("source_file", F.lit(""))),
+                      ["source_row_number", "source_file"], after_row, size)
+
+
 def steps_of(store: RunStore, execution_id: str) -> DataFrame:
     """A run's steps in their order (O3)."""
     return store.read("steps").where(F.col("execution_id") == execution_id).orderBy("step_order")
@@ -233,6 +273,33 @@ def retry_chain(runs: DataFrame) -> DataFrame:
     return retries.unionByName(firsts)
 
 
+def retry_chains(runs: DataFrame) -> DataFrame:
+    """Every run with the first run of its chain, its depth in it, the chain's attempts and final status.
+
+    A recursion from the runs without a (known) parent down to their
+    retries. The final status is that of the deepest run, the latest of
+    several at that depth.
+    """
+    spark = runs.sparkSession
+    # the default bound on a recursion's rows would refuse long histories
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
+    chain = spark.sql(
+        """WITH RECURSIVE chain(root_execution_id, execution_id, depth) AS (
+  SELECT r.execution_id, r.execution_id, 0 FROM {runs} r LEFT ANTI JOIN {runs} p ON r.parent_execution_id = p.execution_id
+  UNION ALL
+  SELECT c.root_execution_id, r.execution_id, c.depth + 1 FROM chain c JOIN {retries} r ON r.parent_execution_id = c.execution_id)
+SELECT * FROM chain""",
+        runs=runs, retries=runs.where(F.col("parent_execution_id").isNotNull()),
+    )
+    known = chain.join(runs.select("execution_id", "status", "created_at"), "execution_id")
+    ends = known.groupBy("root_execution_id").agg(
+        F.count(F.lit(1)).alias("attempts"),
+        F.max_by("status", F.struct("depth", "created_at", "execution_id")).alias("final_status"),
+    )
+    return known.join(ends, "root_execution_id").select(
+        "execution_id", "root_execution_id", "depth", "attempts", "final_status")
+
+
 def window_allowed(ts: Column, windows: Sequence[dict], zone: str = "UTC") -> Column:
     return in_allowed_windows(ts, windows, zone)
 

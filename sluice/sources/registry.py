@@ -32,7 +32,7 @@ def _json(spark, cfg):
         from pyspark.sql import types as T
 
         schema = cfg.properties.get("itemSchema")
-        item = T._parse_datatype_string(schema) if schema else T.MapType(T.StringType(), T.StringType())
+        item = T._parse_datatype_string(schema) if schema else None
         df = read_json_files(spark, cfg.location, array_path=path, item_type=item)
         return df.withColumn("_row", F.col("_pos") + 1).drop("_pos")
     from sluice.operators.dedup import with_row_id
@@ -70,10 +70,22 @@ for _t, _f in (("CSV", _csv), ("JSON", _json), ("API", _api), ("DATABASE", _data
 
 
 def extract(spark: SparkSession, cfg: SourceConfig) -> DataFrame:
+    """The source's rows with their lineage (S15): ``_source``, the file or location they come from, and
+    ``_extracted_at``, one instant for all rows of the run."""
+    import datetime as dt
+
+    from pyspark.sql import functions as F
+
     reader = READERS.get(cfg.type.upper())
     if reader is None:
         raise ValueError(f"No extractor supports source type {cfg.type}")
-    return reader(spark, cfg)
+    rows = reader(spark, cfg)
+    if "_source" not in rows.columns:
+        rows = rows.withColumn("_source", F.lit(cfg.location))
+    if "_extracted_at" not in rows.columns:
+        now = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
+        rows = rows.withColumn("_extracted_at", F.lit(now).cast("timestamp"))
+    return rows
 
 
 def watermark(target: DataFrame, column: str):

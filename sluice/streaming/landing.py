@@ -87,7 +87,7 @@ def run_on_batches(spark: SparkSession, stream: DataFrame, cfg: PipelineConfig,
         result = run_pipeline(spark, cfg, raw, target, as_of, exec_id, run_store)
         if result.exception is not None:
             raise result.exception  # the stream stops before the batch counts as done
-        result.tagged = None  # counters only: a stream must not hold on to its batches
+        result.close()  # counters only: a stream must not hold on to its batches
         results.append(result)
 
     writer = stream.writeStream.foreachBatch(each).option(

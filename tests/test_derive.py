@@ -72,14 +72,14 @@ def test_restore_and_incremental(spark, tmpdir_path):
     from sluice.operators import load
     from sluice.sources.registry import incremental, watermark
 
-    t = load.BucketedTable(spark, os.path.join(tmpdir_path, "t"), ["k"], 4)
+    t = load.BucketedTable(spark, os.path.join(tmpdir_path, "t"), ["k"], 4, history=True)
     t.create(spark.createDataFrame([("a", 1)], "k string, v int"))
     t.upsert(spark.createDataFrame([("a", 2)], "k string, v int"))
     assert t.read().first().v == 2
     t.restore(1)
     assert t.read().first().v == 1
     t.upsert(spark.createDataFrame([("b", 3)], "k string, v int"))  # history is kept: the restore is version 3
-    assert t.manifest()["version"] == 4 and t.read().count() == 2
+    assert t.version == 4 and t.read().count() == 2
     ev = spark.createDataFrame([(1, dt.datetime(2026, 1, 1)), (2, dt.datetime(2026, 1, 3))], "id int, ts timestamp")
     w = watermark(ev.filter(F.col("id") == 1), "ts")
     assert [r.id for r in incremental(ev, "ts", w).collect()] == [2]
