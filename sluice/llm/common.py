@@ -63,6 +63,7 @@ class Scratch:
         self._n = 0
 
     def write(self, df: DataFrame, name: str = "t", partition_by: list[str] | None = None) -> DataFrame:
+        """Store a frame and read it back; the exchanges of what was stored are no longer needed after that."""
         self._n += 1
         path = f"{self.root}/{name}-{self._n}"
         writer = df.write.mode("error")
@@ -79,6 +80,11 @@ class Scratch:
     def clear(self) -> None:
         self._delete(self.root)
 
+    def release(self) -> None:
+        """Let Spark remove the exchange files of finished queries now: its cleaner acts on what the driver's collector
+        finds unreachable, which on a quiet driver comes late."""
+        self.spark._jvm.System.gc()
+
     def _delete(self, path: str) -> None:
         jvm = self.spark._jvm
         target = jvm.org.apache.hadoop.fs.Path(path)

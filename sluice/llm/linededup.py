@@ -32,6 +32,12 @@ from pyspark.sql import functions as F
 from sluice.llm.common import SPACES, Scratch, connected_components, fresh, let, maybe_broadcast, text_of
 
 
+# neighbouring shingles hashed in one row
+RUN = 8
+# counters by which shingles are ordered from rare to frequent
+SLOTS = 1 << 18
+
+
 @dataclass(frozen=True)
 class LinePlan:
     """Similarity and shape: shingles of ``shingle`` characters, ``bands`` bands of ``rows`` minima.
@@ -69,22 +75,32 @@ def _codes(line: Column) -> Column:
 
 
 def signatures(lines: DataFrame, plan: LinePlan) -> DataFrame:
-    """``key, copies, bands`` per distinct line. The lines move once, folded by key; all else happens where they land."""
+    """``key, copies, bands`` per distinct line. The lines move once, folded by key; all else happens where they land.
+
+    A row holds the hashes of ``RUN`` neighbouring shingles, of which the
+    smallest under each mask goes into the line's minimum.
+    """
     distinct = lines.groupBy("key").agg(F.first("line").alias("line"), F.count("*").alias("copies"))
     # below the explode, or every place would encode the line anew
     coded = distinct.select(
         "key",
         "copies",
         _codes(F.col("line")).alias("codes"),
-        F.sequence(F.lit(0), F.greatest(F.length("line") - plan.shingle, F.lit(0))).alias("places"),
-    )
-    places = coded.select("key", "copies", "codes", F.explode("places").alias("at"))
-    hashed = places.select(
-        "key", "copies", F.xxhash64(F.substring("codes", F.col("at") * 4 + 1, plan.shingle * 4)).alias("h")
+        F.greatest(F.length("line") - plan.shingle, F.lit(0)).alias("last"),
     )
+    runs = coded.select("key", "copies", "codes", "last", F.explode(F.sequence(F.lit(0), "last", F.lit(RUN))).alias("at"))
+
+    def shingle(j: int) -> Column:
+        # beyond the end the last shingle once more, which changes no minimum
+        return F.xxhash64(F.substring("codes", F.least(F.col("at") + j, F.col("last")) * 4 + 1, plan.shingle * 4))
+
+    hashed = runs.select("key", "copies", *[shingle(j).alias(f"h{j}") for j in range(RUN)])
     minima = hashed.groupBy("key").agg(
         F.max("copies").alias("copies"),
-        *[F.min(F.col("h").bitwiseXOR(F.lit(m))).alias(f"m{i}") for i, m in enumerate(plan.masks())],
+        *[
+            F.min(F.least(*[F.col(f"h{j}").bitwiseXOR(F.lit(m)) for j in range(RUN)])).alias(f"m{i}")
+            for i, m in enumerate(plan.masks())
+        ],
     )
     bands = [
         F.xxhash64(F.lit(b), *[f"m{i}" for i in range(b * plan.rows, (b + 1) * plan.rows)]) for b in range(plan.bands)
@@ -92,6 +108,20 @@ def signatures(lines: DataFrame, plan: LinePlan) -> DataFrame:
     return minima.select("key", "copies", F.array(*bands).alias("bands"))
 
 
+def _shingles(line: Column, plan: LinePlan) -> Column:
+    """Hashes of all shingles, each once."""
+    last = F.greatest(F.length(line) - plan.shingle, F.lit(0))
+    return let(
+        _codes(line),
+        lambda codes: F.array_distinct(
+            F.transform(
+                F.sequence(F.lit(0), last),
+                lambda at: F.xxhash64(F.substring(codes, at * 4 + F.lit(1), F.lit(plan.shingle * 4))),
+            )
+        ),
+    )
+
+
 def _verified(pairs: DataFrame, lines: DataFrame, scratch: Scratch, plan: LinePlan) -> DataFrame:
     """The pairs whose lines are similar enough: exact Jaccard of the sets of all shingles."""
 
@@ -104,20 +134,8 @@ def _verified(pairs: DataFrame, lines: DataFrame, scratch: Scratch, plan: LinePl
         lines.join(maybe_broadcast(keys), "key", "left_semi").groupBy("key").agg(F.first("line").alias("line")), "texts"
     )
 
-    def shingles(line: Column) -> Column:
-        last = F.greatest(F.length(line) - plan.shingle, F.lit(0))
-        return let(
-            _codes(line),
-            lambda codes: F.array_distinct(
-                F.transform(
-                    F.sequence(F.lit(0), last),
-                    lambda at: F.xxhash64(F.substring(codes, at * 4 + F.lit(1), F.lit(plan.shingle * 4))),
-                )
-            ),
-        )
-
     both = pairs.join(side(texts, "line", "a"), "a").join(side(texts, "line", "b"), "b")
-    sets = both.select("a", "b", shingles(F.col("line_a")).alias("sa"), shingles(F.col("line_b")).alias("sb"))
+    sets = both.select("a", "b", _shingles(F.col("line_a"), plan).alias("sa"), _shingles(F.col("line_b"), plan).alias("sb"))
     sizes = sets.select(
         "a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("n")
     )
@@ -131,49 +149,43 @@ def _verified(pairs: DataFrame, lines: DataFrame, scratch: Scratch, plan: LinePl
 
 def components(lines: DataFrame, signed: DataFrame, scratch: Scratch, plan: LinePlan) -> DataFrame:
     """``node, component`` for every distinct line that is linked to another."""
-    bands = signed.select("key", "copies", F.explode("bands").alias("band"))
-    # the hub is the line with most copies: variants of a line lie closer to it than to each other
-    rank = F.shiftleft(F.least("copies", F.lit((1 << 31) - 1)), 32).bitwiseOR(
-        F.shiftrightunsigned(F.xxhash64("key", "band"), 32)
-    )
     met = scratch.write(
-        bands.groupBy("band")
-        .agg(
-            F.count("*").alias("n"),
-            F.min("key").alias("low"),
-            F.max("key").alias("high"),
-            F.max_by("key", rank).alias("hub"),
-        )
+        signed.select("key", F.explode("bands").alias("band"))
+        .groupBy("band")
+        .agg(F.count("*").alias("n"), F.min("key").alias("low"), F.max("key").alias("high"))
         .where("n > 1"),
         "met",
     )
+    scratch.release()
     couples = met.where("n = 2").select(F.col("low").alias("a"), F.col("high").alias("b"))
-    crowds = scratch.write(met.where("n > 2").select("band", "hub"), "crowds")
-    members = scratch.write(bands.select("key", "band").join(maybe_broadcast(crowds), "band"), "members")
-    stars = members.where("key <> hub").select(F.least("hub", "key").alias("a"), F.greatest("hub", "key").alias("b"))
+    crowds = scratch.write(met.where("n > 2").select("band"), "crowds")
+    bands = signed.select("key", "copies", F.explode("bands").alias("band"))
+    members = scratch.write(bands.join(maybe_broadcast(crowds), "band"), "members")
+    # the hub is the line with most copies: variants of a line lie closer to it than to each other
+    rank = F.shiftleft(F.least("copies", F.lit((1 << 31) - 1)), 32).bitwiseOR(
+        F.shiftrightunsigned(F.xxhash64("key", "band"), 32)
+    )
+    hubs = scratch.write(members.groupBy("band").agg(F.max_by("key", rank).alias("hub")), "hubs")
+    crowded = members.select("band", "key").join(maybe_broadcast(hubs), "band")
+    stars = crowded.where("key <> hub").select(F.least("hub", "key").alias("a"), F.greatest("hub", "key").alias("b"))
     links = _verified(couples.unionByName(stars), lines, scratch, plan)
+    scratch.release()
     found = scratch.write(connected_components(links, scratch), "found")
-    # pairs of a band whose ends the stars did not join
+    scratch.drop(links)
+    # lines of a band that the star did not join to its hub
     named = scratch.write(
-        members.join(found, members["key"] == found["node"], "left").select(
+        crowded.join(found, crowded["key"] == found["node"], "left").select(
             "band", "key", "hub", F.coalesce("component", "key").alias("component")
         ),
         "named",
     )
-    hubs = scratch.write(named.where("key = hub").select("band", F.col("component").alias("main")), "hubs")
-    outside = scratch.write(
-        named.join(maybe_broadcast(hubs), "band")
-        .where("component <> main")
-        .select("band", F.col("key").alias("a"), F.col("component").alias("ca")),
-        "outside",
-    )
-    apart = (
-        outside.join(named.select("band", F.col("key").alias("b"), F.col("component").alias("cb"), "hub"), "band")
-        .where("ca <> cb and b <> hub")
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    )
-    more = _verified(apart, lines, scratch, plan)
-    for table in (met, crowds, members, named, hubs, outside):
+    mains = scratch.write(named.where("key = hub").select("band", F.col("component").alias("main")), "mains")
+    outside = scratch.write(named.join(maybe_broadcast(mains), "band").where("component <> main"), "outside")
+    open_bands = scratch.write(outside.select("band").distinct(), "open")
+    partners = named.join(maybe_broadcast(open_bands), "band").select("key", "component").distinct()
+    asking = scratch.write(outside.select("key").distinct(), "asking")
+    more = _verified(_by_rare_shingles(partners, asking, lines, scratch, plan), lines, scratch, plan)
+    for table in (met, crowds, members, hubs, named, mains, outside, open_bands, asking):
         scratch.drop(table)
     if more.isEmpty():
         return found
@@ -182,6 +194,53 @@ def components(lines: DataFrame, signed: DataFrame, scratch: Scratch, plan: Line
     return connected_components(joined.unionByName(more), scratch)
 
 
+def _by_rare_shingles(
+    partners: DataFrame, asking: DataFrame, lines: DataFrame, scratch: Scratch, plan: LinePlan
+) -> DataFrame:
+    """Pairs ``a, b`` of an asking line and a partner of another component that can be similar enough.
+
+    Two sets of ``n`` and ``m`` shingles with a similarity of ``s`` share one
+    of the first ``n - ceil(s * n) + 1`` of the one and of the other, in any
+    order common to all lines. The order is by how often a shingle occurs
+    among the partners (counted in ``SLOTS`` slots of its hash), so lines
+    that share a template only, whose shingles are the frequent ones, do not
+    meet, and no similar pair is lost.
+    """
+    texts = (
+        lines.join(maybe_broadcast(scratch.write(partners, "partners")), "key")
+        .groupBy("key")
+        .agg(F.first("line").alias("line"), F.min("component").alias("component"))
+    )
+    sets = scratch.write(texts.select("key", "component", _shingles(F.col("line"), plan).alias("grams")), "sets")
+    slot = F.pmod(F.col("gram"), F.lit(SLOTS))
+    often = scratch.write(
+        sets.select(F.explode("grams").alias("gram")).groupBy(slot.alias("slot")).agg(F.count("*").alias("often")), "often"
+    )
+    # at most SLOTS rows
+    grams = sets.select("key", "component", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
+    told = grams.withColumn("slot", slot).join(F.broadcast(often), "slot")
+    ranked = told.groupBy("key").agg(
+        F.first("component").alias("component"), F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("often", "gram"))).alias("ranked")
+    )
+    keep = F.col("n") - F.ceil(F.col("n") * plan.similarity - F.lit(1e-9)).cast("int") + 1
+    rare = scratch.write(
+        ranked.select("key", "component", "n", F.explode(F.slice("ranked", 1, keep)).alias("r")).select(
+            "key", "component", "n", F.col("r.gram").alias("gram")
+        ),
+        "rare",
+    )
+    left = rare.join(maybe_broadcast(asking), "key", "left_semi").select(
+        "gram", F.col("key").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na")
+    )
+    right = rare.select("gram", F.col("key").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"))
+    near = F.least("na", "nb") >= plan.similarity * F.greatest("na", "nb") - 1e-9
+    pairs = left.join(right, "gram").where((F.col("ca") != F.col("cb")) & near)
+    out = scratch.write(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "rest")
+    for table in (sets, often, rare):
+        scratch.drop(table)
+    return out
+
+
 def verdicts(docs: DataFrame, plan: LinePlan = LinePlan()) -> DataFrame:
     """Every line that is not blank: ``row, doc_id, line_no, key, first_doc, first_line, kept``.
 
@@ -193,6 +252,7 @@ def verdicts(docs: DataFrame, plan: LinePlan = LinePlan()) -> DataFrame:
     lines = scratch.write(lines_of(docs), "lines")
     places = scratch.write(lines.drop("line"), "places")
     signed = scratch.write(signatures(lines.select("key", "line"), plan), "signed")
+    scratch.release()
     linked = components(lines.select("key", "line"), signed, scratch, plan)
     scratch.drop(lines)
     repeated = signed.where("copies > 1").select("key")
