@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Callable, Iterable
 
@@ -53,11 +54,15 @@ class Scratch:
 
     A written table cuts lineage and survives lost executors, since the
     folder is shared. ``drop`` removes a table that later steps no longer
-    read; tables behind a returned DataFrame stay until the caller calls
-    ``clear`` or the folder's own retention removes them.
+    read; tables behind a returned DataFrame stay until the caller has stored
+    its rows and clears them (``clear_since``), or the folder's own retention
+    removes them.
     """
 
+    opened: list[Scratch] = []
+
     def __init__(self, spark: SparkSession, label: str):
+        Scratch.opened.append(self)
         self.spark = spark
         self.root = scratch_path(spark, f"{label}-{uuid.uuid4().hex}")
         self._n = 0
@@ -79,10 +84,19 @@ class Scratch:
 
     def clear(self) -> None:
         self._delete(self.root)
+        if self in Scratch.opened:
+            Scratch.opened.remove(self)
+
+    @classmethod
+    def clear_since(cls, mark: int) -> None:
+        """Clear what was opened after ``len(Scratch.opened)`` was ``mark``."""
+        for scratch in cls.opened[mark:]:
+            scratch.clear()
 
     def release(self) -> None:
         """Let Spark remove the exchange files of finished queries now: its cleaner acts on what the driver's collector
         finds unreachable, which on a quiet driver comes late."""
+        gc.collect()
         self.spark._jvm.System.gc()
 
     def _delete(self, path: str) -> None:

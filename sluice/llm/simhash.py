@@ -26,10 +26,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import Scratch, connected_components, fresh, small_batches
+from sluice.llm.common import Scratch, connected_components, fresh, maybe_broadcast, small_batches
 
 SEED = 42
 CHUNK = 1 << 16
+ROWS_PER_TASK = 20_000
 
 
 def fingerprint_of(text: str | None, shingle_words: int = 3) -> int:
@@ -74,23 +75,31 @@ def ball(half: int = 1) -> list[int]:
     return [_signed(sum(1 << b for b in bits)) for k in range(half + 1) for bits in combinations(range(64), k)]
 
 
-def links(fingerprints: DataFrame, radius: int = 2) -> DataFrame:
+def links(fingerprints: DataFrame, scratch: Scratch, radius: int = 2) -> DataFrame:
     """Edges ``a, b`` whose components are those of all distinct ``fp`` pairs within ``radius`` bits (an even number)."""
     if radius % 2:
         raise ValueError("the radius is split in two equal halves and must be even")
     masks = F.array(*[F.lit(m) for m in ball(radius // 2)])
-    variants = fingerprints.select("fp", F.explode(masks).alias("mask")).select(
+    # fingerprints are few bytes, so a scan has few tasks; each row becomes 65
+    spread = fingerprints.select("fp").repartition(max(1, fingerprints.count() // ROWS_PER_TASK + 1), "fp")
+    variants = spread.select("fp", F.explode(masks).alias("mask")).select(
         "fp", F.col("fp").bitwiseXOR(F.col("mask")).alias("variant")
     )
-    met = variants.groupBy("variant").agg(F.min("fp").alias("a"), F.collect_set("fp").alias("members"))
-    pairs = met.where(F.size("members") > 1).select("a", F.explode("members").alias("b")).where("a <> b").distinct()
+    # most variants have one fingerprint: only the others are looked at again
+    met = scratch.write(
+        variants.groupBy("variant").agg(F.min("fp").alias("a"), F.max("fp").alias("last")).where("a < last").select("variant", "a"),
+        "met",
+    )
+    scratch.release()
+    members = variants.join(maybe_broadcast(met), "variant").where("fp <> a")
+    pairs = members.select("a", F.col("fp").alias("b")).distinct()
     return pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
 
 
 def components(prints: DataFrame, scratch: Scratch, radius: int = 2) -> DataFrame:
     """``fp, group`` for every distinct value of the column ``fp``; the group is named by its smallest fingerprint."""
     distinct = scratch.write(prints.select("fp").distinct(), "prints")
-    found = connected_components(links(distinct, radius), scratch)
+    found = connected_components(links(distinct, scratch, radius), scratch)
     return (
         distinct.join(found, distinct["fp"] == found["node"], "left")
         .select("fp", F.coalesce("component", "fp").alias("group"))
