@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 import uuid
 from collections.abc import Callable, Iterable
 
@@ -96,8 +97,10 @@ class Scratch:
     def release(self) -> None:
         """Let Spark remove the exchange files of finished queries now: its cleaner acts on what the driver's collector
         finds unreachable, which on a quiet driver comes late."""
-        gc.collect()
-        self.spark._jvm.System.gc()
+        for _ in range(2):  # the second collection finds what the first one's finalizers let go
+            gc.collect()
+            self.spark._jvm.System.gc()
+            time.sleep(0.7)
 
     def _delete(self, path: str) -> None:
         jvm = self.spark._jvm

@@ -95,7 +95,10 @@ def op3_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page, with the style trees of all hosts."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
-    return styletree.extract(pages).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+    texts = styletree.extract(pages, carry=["page_id", "url"])
+    # behind an explode, or the plan would make the texts once per column
+    once = texts.select("page_id", "url", F.explode(F.array("text")).alias("text"))
+    return once.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
 @query

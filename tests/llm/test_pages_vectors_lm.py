@@ -1,11 +1,13 @@
 import collections
 import math
+import re
 import zlib
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from sluice.llm import katz, styletree, vectors
+from sluice.llm.common import Scratch
 from tests.llm.conftest import prose
 
 
@@ -13,6 +15,11 @@ def page(body: str) -> str:
     return f"<!DOCTYPE html><html><head><title>t</title><style>p{{}}</style></head><body>{body}</body></html>"
 
 
+def plain(html):
+    """A page's text by its own markup only."""
+    return styletree.main_text(styletree.read_page(html)[1], {}, frozenset())
+
+
 def test_furniture_goes_and_text_stays():
     html = page(
         "<header><h1>Site</h1></header><nav><ul><li>Home</ul></nav><article class='post no-ad'><header><h1>Title</h1>"
@@ -20,10 +27,120 @@ def test_furniture_goes_and_text_stays():
         "<div class='ad'>Buy</div><aside>Side</aside><div id=comments><p>Me too</p></div><form>Mail</form>"
         "<div style='display: none'>hidden</div><footer>&copy; us</footer>"
     )
-    assert styletree.main_text(html, frozenset()) == "Title\nFirst & best line\nSecond"
-    assert styletree.main_text("<div>" * 3000 + "deep", frozenset()) == "deep"
-    assert styletree.main_text(None, frozenset()) == "" and styletree.main_text("", frozenset()) == ""
-    assert styletree.main_text("plain &lt; text", frozenset()) == "plain < text"
+    assert plain(html) == "Title\nFirst & best line\nSecond"
+    assert plain("<div>" * 3000 + "deep") == "deep"
+    assert plain(None) == "" and plain("") == ""
+    assert plain("plain &lt; text") == "plain < text"
+
+
+def test_names_that_only_sound_like_furniture():
+    body = "<h1>Title</h1><p>First paragraph of the page.</p><p>Second one.</p>"
+    want = "Title\nFirst paragraph of the page.\nSecond one."
+    around = [
+        '<div class="content no-sidebar">%s</div>', '<div class="layout with-sidebar">%s</div>', '<div class="has-banner">%s</div>',
+        '<div class="article-body social-policy">%s</div>', '<form id="aspnetForm" method=post>%s<input type=text></form>',
+        '<main>%s</main>', '<div class="sidebar">%s</div>', '<div id=overlay>%s</div>', '<section role=dialog>%s</section>',
+    ]
+    for outer in around:
+        assert plain(page(outer % body)) == want, outer
+        # beside real furniture
+        mixed = outer % body + "<div class='sidebar-left'><p>Side</p></div><div class=commentlist><p>Me</p><p>too, and much more than that</p></div>"
+        assert plain(page(mixed)) == want, outer
+    assert plain(page("<article><div class='entry-header'><h1>T</h1></div><p>text of it</p></article>")) == "T\ntext of it"
+    assert plain(page("<main><header><h1>T</h1></header><p>text of it</p></main>")) == "T\ntext of it"
+    assert plain(page("<article><p>text of it</p></article><ol class=commentlist><li><p>a much longer comment</p></ol>")) == "text of it"
+    assert plain(page("<article><p>text of it</p></article><form><label>Mail</label><input></form>")) == "text of it"
+    for name in ("mainNav", "site-footer", "ad", "AdBox", "cookie-notice", "top_banner", "newsletter-signup", "share-buttons"):
+        assert plain(page(f"<article><p>text of it</p></article><div class='{name}'>x y</div>")) == "text of it", name
+
+
+def test_unclosed_comments_are_no_text():
+    assert plain("<p>text</p><!-- never closed <p>more</p>") == "text"
+    assert plain("<p>text</p><!-- closed --><p>more</p>") == "text\nmore"
+
+
+def test_open_tags_cost_their_number():
+    import time
+
+    sizes = []
+    for n in (1000, 6000):
+        html = "<p>" + "<b>word " * n
+        began = time.perf_counter()
+        rows, pieces = styletree.read_page(html)
+        sizes.append((len(rows), time.perf_counter() - began))
+        assert len(pieces) == n and plain(html) == " ".join(["word"] * n)
+    assert sizes[1][0] <= 6.1 * sizes[0][0] and sizes[1][1] < 0.5
+
+
+def style_importances(pages):
+    """Brute force: the tree of one host's different pages as nested dictionaries."""
+    bodies = {}
+    for html in pages:
+        bodies[re.sub(r"(?is)<head[\s>].*?</head>", "", html)] = html
+    count = collections.Counter(re.sub(r"(?is)<head[\s>].*?</head>", "", h) for h in pages)
+    layouts, texts, on = collections.defaultdict(collections.Counter), collections.defaultdict(collections.Counter), collections.Counter()
+    for html in bodies.values():
+        seen = set()
+
+        def walk(node, path):
+            here = (*path, node.style)
+            alive = [c for c in node.children if not isinstance(c, str) and c.role != styletree.GOES and c.tag not in styletree.UNSEEN]
+            names = [c.style for c in alive]
+            seen.add((here, "on", ""))
+            seen.add((here, "layout", " ".join(n for i, n in enumerate(names) if not i or names[i - 1] != n)))
+            block = " ".join("".join(c for c in node.children if isinstance(c, str)).split())
+            if block:
+                seen.add((here, "text", block))
+            for c in alive:
+                if c.tag not in ("br", "wbr"):
+                    walk(c, here)
+
+        walk(styletree.parse(html), ())
+        for here, kind, value in seen:
+            (on.update([here]) if kind == "on" else (layouts if kind == "layout" else texts)[here].update([value]))
+    assert count
+    out = {}
+    for here, n in on.items():
+        below = [c for h, counter in texts.items() if h[: len(here)] == here for c in counter.values()]
+        if n < 2 or not below or here[-1].split(".")[0].split("#")[0] in styletree.KEPT_WHOLE or here[-1] == "#":
+            continue
+        shown = layouts[here]
+        total = sum(shown.values())
+        entropy = (math.log(total) - sum(x * math.log(x) for x in shown.values()) / total) / math.log(max(n, 2))
+        content = 1 - sum(map(math.log, below)) / len(below) / math.log(max(n, 2))
+        damp = 0.9 ** len(shown)
+        out[here] = round((((1 - damp) * entropy + damp * content) * n + 1) / (n + 1), 9)
+    return out
+
+
+def test_importances_match_a_tree_in_memory(spark):
+    rows, by_host = [], collections.defaultdict(list)
+    for i in range(60):
+        host = f"h{i % 3}.example"
+        text = " ".join(prose(i, 20).split())
+        body = (
+            f"<div class=x1><span>All our sites</span><i>{i % 4}</i></div><div class=x2><p>{text}</p>" + f"<p class=y>{i % 2}</p>" * (i % 5)
+            + "</div><main><p>Read on</p><ul>" + "<li>one" * (i % 3) + f"</ul></main><div class=x3>Imprint {'a' if i % 7 else 'b'}</div>"
+        )
+        rows.append((i, f"http://{host}/{i}", page(body)))
+        by_host[host].append(page(body))
+    rows.append((99, "http://h0.example/copy", rows[0][2]))
+    by_host["h0.example"].append(rows[0][2])
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    parsed = pages.select(
+        styletree.host_of(F.col("url")).alias("host"), F.xxhash64(F.regexp_replace("html", r"(?is)<head[\s>].*?</head>", "")).alias("body"),
+        styletree.parsed_pages(F.col("html")).alias("p"))
+    got = {(r.host, r.node): r.importance for r in styletree.importances(parsed.select("host", "body", "p.rows"), Scratch(spark, "test")).collect()}
+
+    def key(path):
+        k = 0
+        for style in path:
+            k = styletree._node_key(k, style)
+        return k
+
+    want = {(h, key(path)): v for h, of in by_host.items() for path, v in style_importances(of).items()}
+    assert set(got) == set(want) and all(abs(got[k] - want[k]) < 2e-9 for k in want)
+    assert any(v < 0.4 for v in want.values()) and any(v > 0.6 for v in want.values())
 
 
 def test_unmarked_boilerplate_is_found_by_the_tree(spark):
