@@ -44,6 +44,7 @@ from sluice.llm.common import Scratch, fresh, maybe_broadcast, small_batches
 PAGE, LAYOUT, BLOCK, KEPT = 0, 1, 2, 3
 # all low nodes together are broadcast up to this size
 LOW_BYTES = 32 << 20
+PAGES_PER_BATCH = 200
 
 
 @dataclass(frozen=True)
@@ -380,21 +381,26 @@ PARSED_DDL = (
 )
 
 
-def _list_column(found: tuple, kind: pa.DataType, columns: list[pa.Array]) -> pa.Array:
-    ends = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32))
+def _list_column(sizes: list[int], kind: pa.DataType, columns: list[pa.Array]) -> pa.Array:
+    ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
     return pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays(columns, fields=list(kind.value_type)))
 
 
 def _parsed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for htmls in batches:
-        rows, pieces = zip(*[read_page(h.as_py()) for h in htmls], strict=True) if len(htmls) else ((), ())
-        flat = np.array([r for page in rows for r in page], dtype=np.int64).reshape(-1, 3)
-        numbers = np.array([x[:3] for page in pieces for x in page], dtype=np.int64).reshape(-1, 3)
-        texts = pa.array([x[3].encode("utf-8", "replace").decode() for page in pieces for x in page], pa.string())
+        # a page's rows and pieces become arrays before the next page is parsed
+        rows, numbers, texts = [np.empty((0, 3), np.int64)], [np.empty((0, 3), np.int64)], [pa.array([], pa.string())]
+        for html in htmls:
+            of_tree, pieces = read_page(html.as_py())
+            rows.append(np.array(list(of_tree), dtype=np.int64).reshape(-1, 3))
+            numbers.append(np.array([x[:3] for x in pieces], dtype=np.int64).reshape(-1, 3))
+            texts.append(pa.array([x[3].encode("utf-8", "replace").decode() for x in pieces], pa.string()))
+        flat, marks = np.concatenate(rows), np.concatenate(numbers)
         of_rows = [pa.array(flat[:, 0]), pa.array(flat[:, 1].astype(np.int32)), pa.array(flat[:, 2])]
-        of_pieces = [pa.array(numbers[:, 0]), pa.array(numbers[:, 1]), pa.array(numbers[:, 2].astype(np.int32)), texts]
-        both = zip((rows, pieces), (of_rows, of_pieces), PARSED, strict=True)
-        yield pa.StructArray.from_arrays([_list_column(x, f.type, c) for x, c, f in both], fields=list(PARSED))
+        of_pieces = [pa.array(marks[:, 0]), pa.array(marks[:, 1]), pa.array(marks[:, 2].astype(np.int32)), pa.concat_arrays(texts)]
+        sizes = [len(x) for x in rows[1:]], [len(x) for x in numbers[1:]]
+        both = zip(sizes, (of_rows, of_pieces), PARSED, strict=True)
+        yield pa.StructArray.from_arrays([_list_column(n, f.type, c) for n, c, f in both], fields=list(PARSED))
 
 
 def parsed_pages(html: Column) -> Column:
@@ -487,7 +493,7 @@ def extract(pages: DataFrame, policy: TreePolicy = TreePolicy(), carry: list[str
     by a broadcast if all of them together are small, else by a join.
     """
     scratch = Scratch(pages.sparkSession, "styletree")
-    small_batches(pages)
+    small_batches(pages, PAGES_PER_BATCH)
     keep = [c for c in (pages.columns if carry is None else carry) if c != "text"]
     body = F.xxhash64(F.regexp_replace("html", r"(?is)<head[\s>].*?</head>", ""))
     stored = scratch.write(
@@ -510,15 +516,14 @@ def extract(pages: DataFrame, policy: TreePolicy = TreePolicy(), carry: list[str
         for rows, pieces, lows in batches:
             out = []
             for i in range(len(rows)):
-                own = [(x["node"], x["article"], x["bits"], x["text"]) for x in pieces[i].as_py()]
+                own = list(zip(*(c.to_pylist() for c in pieces[i].values.flatten()), strict=True))
                 if not lows[i].is_valid:
                     out.append(_joined(own))
                     continue
-                flat = rows[i].values.flatten() if rows[i].is_valid else []
-                nodes, kinds, above = (c.to_numpy(zero_copy_only=False) for c in flat)
+                nodes, kinds, above = (c.to_numpy(zero_copy_only=False) for c in rows[i].values.flatten())
                 is_page = (kinds == PAGE) | (kinds == KEPT)
                 parents = dict(zip(nodes[is_page].tolist(), above[is_page].tolist(), strict=True))
-                out.append(main_text(own, parents, frozenset(lows[i].as_py())))
+                out.append(main_text(own, parents, frozenset(lows[i].values.to_pylist())))
             yield pa.array(out, pa.string())
 
     side = low.withColumnRenamed("host", "low_host")
