@@ -34,8 +34,6 @@ from sluice.llm.common import SPACES, Scratch, connected_components, fresh, let,
 
 # neighbouring shingles hashed in one row
 RUN = 8
-# counters by which shingles are ordered from rare to frequent
-SLOTS = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -122,8 +120,8 @@ def _shingles(line: Column, plan: LinePlan) -> Column:
     )
 
 
-def _verified(pairs: DataFrame, lines: DataFrame, scratch: Scratch, plan: LinePlan) -> DataFrame:
-    """The pairs whose lines are similar enough: exact Jaccard of the sets of all shingles."""
+def _scored(pairs: DataFrame, lines: DataFrame, scratch: Scratch, plan: LinePlan) -> DataFrame:
+    """``a, b, similarity``: exact Jaccard similarity of the sets of all shingles of each pair's lines."""
 
     def side(table: DataFrame, column: str, name: str) -> DataFrame:
         return table.select(F.col("key").alias(name), F.col(column).alias(f"{column}_{name}"))
@@ -133,18 +131,17 @@ def _verified(pairs: DataFrame, lines: DataFrame, scratch: Scratch, plan: LinePl
     texts = scratch.write(
         lines.join(maybe_broadcast(keys), "key", "left_semi").groupBy("key").agg(F.first("line").alias("line")), "texts"
     )
-
     both = pairs.join(side(texts, "line", "a"), "a").join(side(texts, "line", "b"), "b")
     sets = both.select("a", "b", _shingles(F.col("line_a"), plan).alias("sa"), _shingles(F.col("line_b"), plan).alias("sb"))
     sizes = sets.select(
         "a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("n")
     )
-    links = scratch.write(
-        sizes.where(F.col("n") >= plan.similarity * (F.col("na") + F.col("nb") - F.col("n"))).select("a", "b"), "links"
+    scored = scratch.write(
+        sizes.select("a", "b", (F.col("n") / (F.col("na") + F.col("nb") - F.col("n"))).alias("similarity")), "scored"
     )
     for table in (pairs, keys, texts):
         scratch.drop(table)
-    return links
+    return scored
 
 
 def components(lines: DataFrame, signed: DataFrame, scratch: Scratch, plan: LinePlan) -> DataFrame:
@@ -167,25 +164,39 @@ def components(lines: DataFrame, signed: DataFrame, scratch: Scratch, plan: Line
     )
     hubs = scratch.write(members.groupBy("band").agg(F.max_by("key", rank).alias("hub")), "hubs")
     crowded = members.select("band", "key").join(maybe_broadcast(hubs), "band")
-    stars = crowded.where("key <> hub").select(F.least("hub", "key").alias("a"), F.greatest("hub", "key").alias("b"))
-    links = _verified(couples.unionByName(stars), lines, scratch, plan)
+    pair = [F.least("hub", "key").alias("a"), F.greatest("hub", "key").alias("b")]
+    stars = crowded.where("key <> hub").select(*pair)
+    scored = _scored(couples.unionByName(stars), lines, scratch, plan)
     scratch.release()
-    found = scratch.write(connected_components(links, scratch), "found")
-    scratch.drop(links)
-    # lines of a band that the star did not join to its hub
+    alike = F.col("similarity") >= plan.similarity - 1e-12
+    found = scratch.write(connected_components(scored.where(alike), scratch), "found")
+    # every line of a crowd with its distance from the hub, and whether the star joined the two
+    placed = crowded.select("band", "key", "hub", *pair).join(scored, ["a", "b"], "left")
+    placed = placed.select("band", "key", "hub", (1 - F.coalesce("similarity", F.lit(1.0))).alias("distance"))
     named = scratch.write(
-        crowded.join(found, crowded["key"] == found["node"], "left").select(
-            "band", "key", "hub", F.coalesce("component", "key").alias("component")
+        placed.join(found, placed["key"] == found["node"], "left").select(
+            "band", "key", "hub", "distance", F.coalesce("component", "key").alias("component")
         ),
         "named",
     )
+    scratch.drop(scored)
     mains = scratch.write(named.where("key = hub").select("band", F.col("component").alias("main")), "mains")
-    outside = scratch.write(named.join(maybe_broadcast(mains), "band").where("component <> main"), "outside")
-    open_bands = scratch.write(outside.select("band").distinct(), "open")
-    partners = named.join(maybe_broadcast(open_bands), "band").select("key", "component").distinct()
-    asking = scratch.write(outside.select("key").distinct(), "asking")
-    more = _verified(_by_rare_shingles(partners, asking, lines, scratch, plan), lines, scratch, plan)
-    for table in (met, crowds, members, hubs, named, mains, outside, open_bands, asking):
+    outside = scratch.write(
+        named.join(maybe_broadcast(mains), "band")
+        .where("component <> main")
+        .select("band", F.col("key").alias("a"), F.col("component").alias("ca"), F.col("distance").alias("da")),
+        "outside",
+    )
+    others = named.where("key <> hub").select(
+        "band", F.col("key").alias("b"), F.col("component").alias("cb"), F.col("distance").alias("db")
+    )
+    # one minus the similarity is a metric: lines whose distances from the hub differ by more than the bound are
+    # further apart than the bound
+    within = F.abs(F.col("da") - F.col("db")) <= 1 - plan.similarity + 1e-9
+    apart = outside.join(others, (outside["band"] == others["band"]) & (F.col("ca") != F.col("cb")) & within)
+    rest = _scored(apart.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), lines, scratch, plan)
+    more = rest.where(alike).select("a", "b")
+    for table in (met, crowds, members, hubs, named, mains, outside):
         scratch.drop(table)
     if more.isEmpty():
         return found
@@ -194,53 +205,6 @@ def components(lines: DataFrame, signed: DataFrame, scratch: Scratch, plan: Line
     return connected_components(joined.unionByName(more), scratch)
 
 
-def _by_rare_shingles(
-    partners: DataFrame, asking: DataFrame, lines: DataFrame, scratch: Scratch, plan: LinePlan
-) -> DataFrame:
-    """Pairs ``a, b`` of an asking line and a partner of another component that can be similar enough.
-
-    Two sets of ``n`` and ``m`` shingles with a similarity of ``s`` share one
-    of the first ``n - ceil(s * n) + 1`` of the one and of the other, in any
-    order common to all lines. The order is by how often a shingle occurs
-    among the partners (counted in ``SLOTS`` slots of its hash), so lines
-    that share a template only, whose shingles are the frequent ones, do not
-    meet, and no similar pair is lost.
-    """
-    texts = (
-        lines.join(maybe_broadcast(scratch.write(partners, "partners")), "key")
-        .groupBy("key")
-        .agg(F.first("line").alias("line"), F.min("component").alias("component"))
-    )
-    sets = scratch.write(texts.select("key", "component", _shingles(F.col("line"), plan).alias("grams")), "sets")
-    slot = F.pmod(F.col("gram"), F.lit(SLOTS))
-    often = scratch.write(
-        sets.select(F.explode("grams").alias("gram")).groupBy(slot.alias("slot")).agg(F.count("*").alias("often")), "often"
-    )
-    # at most SLOTS rows
-    grams = sets.select("key", "component", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
-    told = grams.withColumn("slot", slot).join(F.broadcast(often), "slot")
-    ranked = told.groupBy("key").agg(
-        F.first("component").alias("component"), F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("often", "gram"))).alias("ranked")
-    )
-    keep = F.col("n") - F.ceil(F.col("n") * plan.similarity - F.lit(1e-9)).cast("int") + 1
-    rare = scratch.write(
-        ranked.select("key", "component", "n", F.explode(F.slice("ranked", 1, keep)).alias("r")).select(
-            "key", "component", "n", F.col("r.gram").alias("gram")
-        ),
-        "rare",
-    )
-    left = rare.join(maybe_broadcast(asking), "key", "left_semi").select(
-        "gram", F.col("key").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na")
-    )
-    right = rare.select("gram", F.col("key").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"))
-    near = F.least("na", "nb") >= plan.similarity * F.greatest("na", "nb") - 1e-9
-    pairs = left.join(right, "gram").where((F.col("ca") != F.col("cb")) & near)
-    out = scratch.write(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "rest")
-    for table in (sets, often, rare):
-        scratch.drop(table)
-    return out
-
-
 def verdicts(docs: DataFrame, plan: LinePlan = LinePlan()) -> DataFrame:
     """Every line that is not blank: ``row, doc_id, line_no, key, first_doc, first_line, kept``.
 
