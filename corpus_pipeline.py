@@ -65,5 +65,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
+        mark = len(Scratch.opened)
         docs = scratch.write(stage(spark, docs, sf_dir), name)
+        Scratch.clear_since(mark)  # what the stage stored on its way
+        scratch.release()
     return STAGES[-1][1](spark, docs, sf_dir)
