@@ -36,6 +36,10 @@ from sluice.llm.common import SPACES, Scratch, connected_components, fresh, let,
 RUN = 8
 
 
+# 64-bit words of a line's map of shingles
+WORDS = 32
+
+
 @dataclass(frozen=True)
 class LinePlan:
     """Similarity and shape: shingles of ``shingle`` characters, ``bands`` bands of ``rows`` minima.
@@ -187,16 +191,31 @@ def components(lines: DataFrame, signed: DataFrame, scratch: Scratch, plan: Line
         .select("band", F.col("key").alias("a"), F.col("component").alias("ca"), F.col("distance").alias("da")),
         "outside",
     )
-    others = named.where("key <> hub").select(
-        "band", F.col("key").alias("b"), F.col("component").alias("cb"), F.col("distance").alias("db")
+    asked = scratch.write(outside.select("band").distinct(), "asked")
+    others = scratch.write(
+        named.where("key <> hub")
+        .join(maybe_broadcast(asked), "band")
+        .select("band", F.col("key").alias("b"), F.col("component").alias("cb"), F.col("distance").alias("db")),
+        "others",
     )
+    maps = scratch.write(_bitmaps(lines, others.select(F.col("b").alias("key")).distinct(), plan), "maps")
+
+    def mapped(table: DataFrame, side: str) -> DataFrame:
+        named_maps = maps.select(F.col("key").alias(side), F.col("n").alias(f"n{side}"), *[F.col(f"w{i}").alias(f"{side}{i}") for i in range(WORDS)])
+        return table.join(named_maps, side)
+
     # one minus the similarity is a metric: lines whose distances from the hub differ by more than the bound are
     # further apart than the bound
     within = F.abs(F.col("da") - F.col("db")) <= 1 - plan.similarity + 1e-9
-    apart = outside.join(others, (outside["band"] == others["band"]) & (F.col("ca") != F.col("cb")) & within)
+    # each bit that only one line sets is a shingle that only it has
+    own = {x: sum((F.bit_count(F.expr(f"{x}{i} & ~{y}{i}")) for i in range(1, WORDS)), F.bit_count(F.expr(f"{x}0 & ~{y}0"))) for x, y in ("ab", "ba")}
+    common = F.least(F.col("na") - own["a"], F.col("nb") - own["b"])
+    enough = common >= plan.similarity / (1 + plan.similarity) * (F.col("na") + F.col("nb")) - 1e-9
+    left, right = mapped(outside, "a"), mapped(others, "b").withColumnRenamed("band", "other_band")
+    apart = left.join(right, (F.col("band") == F.col("other_band")) & (F.col("ca") != F.col("cb")) & within & enough)
     rest = _scored(apart.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), lines, scratch, plan)
     more = rest.where(alike).select("a", "b")
-    for table in (met, crowds, members, hubs, named, mains, outside):
+    for table in (met, crowds, members, hubs, named, mains, outside, asked, others, maps):
         scratch.drop(table)
     if more.isEmpty():
         return found
@@ -205,6 +224,18 @@ def components(lines: DataFrame, signed: DataFrame, scratch: Scratch, plan: Line
     return connected_components(joined.unionByName(more), scratch)
 
 
+def _bitmaps(lines: DataFrame, keys: DataFrame, plan: LinePlan) -> DataFrame:
+    """``key, n, w0..`` per line: its number of shingles, and a map with the bit of every shingle's hash set."""
+    texts = lines.join(maybe_broadcast(keys), "key", "left_semi").groupBy("key").agg(F.first("line").alias("line"))
+    grams = texts.select("key", F.explode(_shingles(F.col("line"), plan)).alias("gram"))
+    slot = F.pmod("gram", F.lit(64 * WORDS)).cast("int")
+    bits = grams.select("key", slot.alias("slot")).select(
+        "key", F.expr("slot div 64").alias("word"), F.expr("shiftleft(1L, CAST(slot % 64 AS INT))").alias("bit")
+    )
+    words = [F.bit_or(F.when(F.col("word") == i, F.col("bit")).otherwise(F.lit(0).cast("long"))).alias(f"w{i}") for i in range(WORDS)]
+    return bits.groupBy("key").agg(F.count("*").alias("n"), *words)
+
+
 def verdicts(docs: DataFrame, plan: LinePlan = LinePlan()) -> DataFrame:
     """Every line that is not blank: ``row, doc_id, line_no, key, first_doc, first_line, kept``.
 

@@ -156,4 +156,5 @@ def keep_one(docs: DataFrame, shingle_words: int = 3, radius: int = 2) -> DataFr
     rows = slim.join(best.withColumnsRenamed({"fp": "best_fp", "id": "best_id"}), F.col("fp") == F.col("best_fp"))
     keep = rows.where(F.col("id").eqNullSafe(F.col("best_id"))).groupBy("group").agg(F.min("rid").alias("keep_rid"))
     keep = scratch.write(keep.select("keep_rid"), "keep")
-    return stored.join(keep, stored[rid] == keep["keep_rid"], "left_semi").select(*taken)
+    # whole documents do not move while the list of those that stay is small
+    return stored.join(maybe_broadcast(keep), stored[rid] == keep["keep_rid"], "left_semi").select(*taken)
