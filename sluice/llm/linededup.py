@@ -195,7 +195,14 @@ def components(lines: DataFrame, signed: DataFrame, scratch: Scratch, plan: Line
     others = scratch.write(
         named.where("key <> hub")
         .join(maybe_broadcast(asked), "band")
-        .select("band", F.col("key").alias("b"), F.col("component").alias("cb"), F.col("distance").alias("db")),
+        .join(maybe_broadcast(mains), "band")
+        .select(
+            "band",
+            F.col("key").alias("b"),
+            F.col("component").alias("cb"),
+            F.col("distance").alias("db"),
+            (F.col("component") != F.col("main")).alias("asks"),
+        ),
         "others",
     )
     maps = scratch.write(_bitmaps(lines, others.select(F.col("b").alias("key")).distinct(), plan), "maps")
@@ -211,8 +218,10 @@ def components(lines: DataFrame, signed: DataFrame, scratch: Scratch, plan: Line
     own = {x: sum((F.bit_count(F.expr(f"{x}{i} & ~{y}{i}")) for i in range(1, WORDS)), F.bit_count(F.expr(f"{x}0 & ~{y}0"))) for x, y in ("ab", "ba")}
     common = F.least(F.col("na") - own["a"], F.col("nb") - own["b"])
     enough = common >= plan.similarity / (1 + plan.similarity) * (F.col("na") + F.col("nb")) - 1e-9
+    # two lines that are both apart from the hub meet once
+    once = ~F.col("asks") | (F.col("a") < F.col("b"))
     left, right = mapped(outside, "a"), mapped(others, "b").withColumnRenamed("band", "other_band")
-    apart = left.join(right, (F.col("band") == F.col("other_band")) & (F.col("ca") != F.col("cb")) & within & enough)
+    apart = left.join(right, (F.col("band") == F.col("other_band")) & (F.col("ca") != F.col("cb")) & once & within & enough)
     rest = _scored(apart.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), lines, scratch, plan)
     more = rest.where(alike).select("a", "b")
     for table in (met, crowds, members, hubs, named, mains, outside, asked, others, maps):
