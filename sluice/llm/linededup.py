@@ -1,17 +1,21 @@
-"""Fuzzy line deduplication over a whole corpus, in DataFrame operations only.
+"""Fuzzy line deduplication over a whole corpus.
 
 Lines are compared in lower case and trimmed. Equal lines are folded first.
 A distinct line's signature holds minima of the hashes of all its character
-shingles under many masks (a hash XOR a mask orders shingles at random), by
-one rule for all lines, so the bands see the similarity that is verified. The
-signature is cut into bands. Lines that share a band are compared by the exact Jaccard
-similarity of all their shingles: every line of a band with its hub (the line
-with most copies) first, and after a first union-find all pairs of a band
-whose ends are still apart. So a band of near copies costs its size, and no
-pair that shares a band is left undecided; a band of many lines that are
-alike but not similar enough costs its pairs. Union-find over the links names
-the components; the first line of each, by document id and line number,
-stays.
+shingles under many odd factors (a hash times a factor orders shingles at
+random), by one rule for all lines, so the bands see the similarity that is
+verified. The signature is cut into bands. Lines that share a band are
+compared by the exact Jaccard similarity of all their shingles: every line of
+a band with its hub (the line with most copies) first, and after a first
+union-find all pairs of a band whose ends are still apart, each in the first
+band that it shares. So a band of near copies costs its size, and no pair that
+shares a band is left undecided; a band of many lines that are alike but not
+similar enough costs its pairs. Union-find over the links names the
+components; the first line of each, by document id and line number, stays.
+
+Only the signatures leave DataFrame operations: their minima are taken in
+numpy, a batch of distinct lines at a time, since 60 minima over all shingles
+in SQL are beyond the CPU budget (figures in the README).
 
 Hashes are 64-bit. Defined results: blank lines are never compared and always
 stay; a null or empty text has no lines to compare; lines shorter than a
@@ -23,22 +27,24 @@ through.
 
 from __future__ import annotations
 
-import random
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import SPACES, Scratch, connected_components, fresh, let, maybe_broadcast, text_of
-
-
-# neighbouring shingles hashed in one row
-RUN = 8
+from sluice.llm.common import SPACES, Scratch, connected_components, fresh, let, maybe_broadcast, small_batches, text_of
 
+SEED = 7
 
 # 64-bit words of a line's map of shingles
 WORDS = 32
 
+# characters hashed at a time, so that the arrays stay in a core's cache
+CHUNK = 50_000
+
 
 @dataclass(frozen=True)
 class LinePlan:
@@ -53,9 +59,10 @@ class LinePlan:
     bands: int = 12
     rows: int = 5
 
-    def masks(self) -> list[int]:
-        rng = random.Random(7)
-        return [rng.getrandbits(64) - (1 << 63) for _ in range(self.bands * self.rows)]
+    def factors(self) -> np.ndarray:
+        """An odd 32-bit factor per minimum."""
+        drawn = np.random.default_rng(SEED).integers(0, 1 << 32, self.bands * self.rows, dtype=np.uint64)
+        return (drawn | np.uint64(1)).astype(np.uint32)
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -66,9 +73,12 @@ def lines_of(docs: DataFrame) -> DataFrame:
         F.col("doc_id").cast("long").alias("doc_id"),
         F.split(text_of(F.col("text")), "\n").alias("raws"),
     )
-    cut = rows.select("row", "doc_id", F.posexplode("raws").alias("line_no", "raw"))
+    # the filter looks at the line's start only, and need not make the line a second time
+    cut = rows.select("row", "doc_id", F.posexplode("raws").alias("line_no", "raw")).where(
+        F.ltrim("raw", F.lit(SPACES)) != ""
+    )
     lines = cut.select("row", "doc_id", "line_no", F.lower(F.btrim("raw", F.lit(SPACES))).alias("line"))
-    return lines.where(F.col("line") != "").withColumn("key", F.xxhash64("line"))
+    return lines.withColumn("key", F.xxhash64("line"))
 
 
 def _codes(line: Column) -> Column:
@@ -76,38 +86,74 @@ def _codes(line: Column) -> Column:
     return F.encode(line, "UTF-32")
 
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """32-bit finaliser: every input bit moves every output bit."""
+    x = (x ^ (x >> np.uint32(16))) * np.uint32(0x7FEB352D)
+    x = (x ^ (x >> np.uint32(15))) * np.uint32(0x846CA68B)
+    return x ^ (x >> np.uint32(16))
+
+
+def _minima(lines: list[str], plan: LinePlan) -> np.ndarray:
+    """One row per minimum, one column per line: the smallest hash of all the line's shingles under each factor."""
+    size = plan.shingle
+    padded = [x if len(x) >= size else x.ljust(size, "\0") for x in lines]
+    lengths = np.fromiter(map(len, padded), dtype=np.int64, count=len(padded))
+    codes = _mixed(np.frombuffer("".join(padded).encode("utf-32-le"), dtype="<u4"))
+    places = len(codes) - size + 1
+    hashes = np.zeros(places, dtype=np.uint32)
+    for j in range(size):
+        hashes *= np.uint32(0x9E3779B1)
+        hashes += codes[j : j + places]
+    # places whose shingle would run into the next line
+    inside = np.ones(len(codes), dtype=bool)
+    inside[(np.cumsum(lengths)[:, None] - np.arange(1, size)).ravel()] = False
+    hashes = _mixed(hashes[inside[:places]])
+    counts = lengths - (size - 1)
+    starts = np.cumsum(counts) - counts
+    factors = plan.factors()
+    out = np.empty((len(factors), len(lines)), dtype=np.uint32)
+    ordered = np.empty_like(hashes)
+    for i, factor in enumerate(factors):
+        np.multiply(hashes, factor, out=ordered)
+        np.minimum.reduceat(ordered, starts, out=out[i])
+    return out
+
+
+def _bands(lines: list[str], plan: LinePlan) -> np.ndarray:
+    """One row per line, one 64-bit hash per band."""
+    parts, chunk, held = [], [], 0
+    for line in lines:
+        chunk.append(line)
+        held += len(line)
+        if held >= CHUNK:
+            parts.append(_minima(chunk, plan))
+            chunk, held = [], 0
+    if chunk:
+        parts.append(_minima(chunk, plan))
+    minima = np.concatenate(parts, axis=1).astype(np.uint64).reshape(plan.bands, plan.rows, len(lines))
+    # the place of the band is part of its hash
+    hashes = np.repeat(np.arange(1, plan.bands + 1, dtype=np.uint64)[:, None], len(lines), axis=1)
+    for r in range(plan.rows):
+        hashes = (hashes ^ minima[:, r]) * np.uint64(0xFF51AFD7ED558CCD)
+        hashes ^= hashes >> np.uint64(32)
+    return np.ascontiguousarray(hashes.T).view(np.int64)
+
+
 def signatures(lines: DataFrame, plan: LinePlan) -> DataFrame:
-    """``key, copies, bands`` per distinct line. The lines move once, folded by key; all else happens where they land.
+    """``key, line, copies, bands`` per distinct line. The lines move once, folded; all else happens where they land."""
+    distinct = lines.groupBy("key", "line").agg(F.count("*").alias("copies"))
+    small_batches(distinct)
 
-    A row holds the hashes of ``RUN`` neighbouring shingles, of which the
-    smallest under each mask goes into the line's minimum.
-    """
-    distinct = lines.groupBy("key").agg(F.first("line").alias("line"), F.count("*").alias("copies"))
-    # below the explode, or every place would encode the line anew
-    coded = distinct.select(
-        "key",
-        "copies",
-        _codes(F.col("line")).alias("codes"),
-        F.greatest(F.length("line") - plan.shingle, F.lit(0)).alias("last"),
-    )
-    runs = coded.select("key", "copies", "codes", "last", F.explode(F.sequence(F.lit(0), "last", F.lit(RUN))).alias("at"))
-
-    def shingle(j: int) -> Column:
-        # beyond the end the last shingle once more, which changes no minimum
-        return F.xxhash64(F.substring("codes", F.least(F.col("at") + j, F.col("last")) * 4 + 1, plan.shingle * 4))
-
-    hashed = runs.select("key", "copies", *[shingle(j).alias(f"h{j}") for j in range(RUN)])
-    minima = hashed.groupBy("key").agg(
-        F.max("copies").alias("copies"),
-        *[
-            F.min(F.least(*[F.col(f"h{j}").bitwiseXOR(F.lit(m)) for j in range(RUN)])).alias(f"m{i}")
-            for i, m in enumerate(plan.masks())
-        ],
-    )
-    bands = [
-        F.xxhash64(F.lit(b), *[f"m{i}" for i in range(b * plan.rows, (b + 1) * plan.rows)]) for b in range(plan.bands)
-    ]
-    return minima.select("key", "copies", F.array(*bands).alias("bands"))
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            bands = _bands(batch.column("line").to_pylist(), plan)
+            ends = pa.array(np.arange(0, bands.size + 1, plan.bands, dtype=np.int32))
+            arrays = [*(batch.column(c) for c in ("key", "line", "copies")), pa.ListArray.from_arrays(ends, bands.ravel())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["key", "line", "copies", "bands"])
+
+    return distinct.mapInArrow(sign, "key long, line string, copies long, bands array<long>")
 
 
 def _shingles(line: Column, plan: LinePlan) -> Column:
@@ -124,7 +170,7 @@ def _shingles(line: Column, plan: LinePlan) -> Column:
     )
 
 
-def _scored(pairs: DataFrame, lines: DataFrame, scratch: Scratch, plan: LinePlan) -> DataFrame:
+def _scored(pairs: DataFrame, signed: DataFrame, scratch: Scratch, plan: LinePlan) -> DataFrame:
     """``a, b, similarity``: exact Jaccard similarity of the sets of all shingles of each pair's lines."""
 
     def side(table: DataFrame, column: str, name: str) -> DataFrame:
@@ -133,7 +179,7 @@ def _scored(pairs: DataFrame, lines: DataFrame, scratch: Scratch, plan: LinePlan
     pairs = scratch.write(pairs.select("a", "b").distinct(), "pairs")
     keys = scratch.write(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct(), "keys")
     texts = scratch.write(
-        lines.join(maybe_broadcast(keys), "key", "left_semi").groupBy("key").agg(F.first("line").alias("line")), "texts"
+        signed.select("key", "line").join(maybe_broadcast(keys), "key", "left_semi"), "texts"
     )
     both = pairs.join(side(texts, "line", "a"), "a").join(side(texts, "line", "b"), "b")
     sets = both.select("a", "b", _shingles(F.col("line_a"), plan).alias("sa"), _shingles(F.col("line_b"), plan).alias("sb"))
@@ -148,7 +194,7 @@ def _scored(pairs: DataFrame, lines: DataFrame, scratch: Scratch, plan: LinePlan
     return scored
 
 
-def components(lines: DataFrame, signed: DataFrame, scratch: Scratch, plan: LinePlan) -> DataFrame:
+def components(signed: DataFrame, scratch: Scratch, plan: LinePlan) -> DataFrame:
     """``node, component`` for every distinct line that is linked to another."""
     met = scratch.write(
         signed.select("key", F.explode("bands").alias("band"))
@@ -170,7 +216,7 @@ def components(lines: DataFrame, signed: DataFrame, scratch: Scratch, plan: Line
     crowded = members.select("band", "key").join(maybe_broadcast(hubs), "band")
     pair = [F.least("hub", "key").alias("a"), F.greatest("hub", "key").alias("b")]
     stars = crowded.where("key <> hub").select(*pair)
-    scored = _scored(couples.unionByName(stars), lines, scratch, plan)
+    scored = _scored(couples.unionByName(stars), signed, scratch, plan)
     scratch.release()
     alike = F.col("similarity") >= plan.similarity - 1e-12
     found = scratch.write(connected_components(scored.where(alike), scratch), "found")
@@ -205,10 +251,15 @@ def components(lines: DataFrame, signed: DataFrame, scratch: Scratch, plan: Line
         ),
         "others",
     )
-    maps = scratch.write(_bitmaps(lines, others.select(F.col("b").alias("key")).distinct(), plan), "maps")
+    maps = scratch.write(_bitmaps(signed, others.select(F.col("b").alias("key")).distinct(), plan), "maps")
 
     def mapped(table: DataFrame, side: str) -> DataFrame:
-        named_maps = maps.select(F.col("key").alias(side), F.col("n").alias(f"n{side}"), *[F.col(f"w{i}").alias(f"{side}{i}") for i in range(WORDS)])
+        named_maps = maps.select(
+            F.col("key").alias(side),
+            F.col("n").alias(f"n{side}"),
+            F.col("bands").alias(f"bands_{side}"),
+            *[F.col(f"w{i}").alias(f"{side}{i}") for i in range(WORDS)],
+        )
         return table.join(named_maps, side)
 
     # one minus the similarity is a metric: lines whose distances from the hub differ by more than the bound are
@@ -218,11 +269,13 @@ def components(lines: DataFrame, signed: DataFrame, scratch: Scratch, plan: Line
     own = {x: sum((F.bit_count(F.expr(f"{x}{i} & ~{y}{i}")) for i in range(1, WORDS)), F.bit_count(F.expr(f"{x}0 & ~{y}0"))) for x, y in ("ab", "ba")}
     common = F.least(F.col("na") - own["a"], F.col("nb") - own["b"])
     enough = common >= plan.similarity / (1 + plan.similarity) * (F.col("na") + F.col("nb")) - 1e-9
-    # two lines that are both apart from the hub meet once
-    once = ~F.col("asks") | (F.col("a") < F.col("b"))
+    # two lines that are both apart from the hub meet once, and in the first band that they share: where that is
+    # another band than this one, it holds them as a couple, as a star or as two lines apart, and decides them there
+    same = [F.when(F.col("bands_a")[i] == F.col("bands_b")[i], F.col("bands_a")[i]) for i in range(plan.bands)]
+    once = (~F.col("asks") | (F.col("a") < F.col("b"))) & (F.col("band") == F.coalesce(*same))
     left, right = mapped(outside, "a"), mapped(others, "b").withColumnRenamed("band", "other_band")
     apart = left.join(right, (F.col("band") == F.col("other_band")) & (F.col("ca") != F.col("cb")) & once & within & enough)
-    rest = _scored(apart.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), lines, scratch, plan)
+    rest = _scored(apart.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), signed, scratch, plan)
     more = rest.where(alike).select("a", "b")
     for table in (met, crowds, members, hubs, named, mains, outside, asked, others, maps):
         scratch.drop(table)
@@ -233,33 +286,31 @@ def components(lines: DataFrame, signed: DataFrame, scratch: Scratch, plan: Line
     return connected_components(joined.unionByName(more), scratch)
 
 
-def _bitmaps(lines: DataFrame, keys: DataFrame, plan: LinePlan) -> DataFrame:
-    """``key, n, w0..`` per line: its number of shingles, and a map with the bit of every shingle's hash set."""
-    texts = lines.join(maybe_broadcast(keys), "key", "left_semi").groupBy("key").agg(F.first("line").alias("line"))
+def _bitmaps(signed: DataFrame, keys: DataFrame, plan: LinePlan) -> DataFrame:
+    """``key, bands, n, w0..`` per line: its bands, its number of shingles, and a map with the bit of every shingle's hash set."""
+    texts = signed.select("key", "line").join(maybe_broadcast(keys), "key", "left_semi")
     grams = texts.select("key", F.explode(_shingles(F.col("line"), plan)).alias("gram"))
     slot = F.pmod("gram", F.lit(64 * WORDS)).cast("int")
     bits = grams.select("key", slot.alias("slot")).select(
         "key", F.expr("slot div 64").alias("word"), F.expr("shiftleft(1L, CAST(slot % 64 AS INT))").alias("bit")
     )
     words = [F.bit_or(F.when(F.col("word") == i, F.col("bit")).otherwise(F.lit(0).cast("long"))).alias(f"w{i}") for i in range(WORDS)]
-    return bits.groupBy("key").agg(F.count("*").alias("n"), *words)
+    return bits.groupBy("key").agg(F.count("*").alias("n"), *words).join(signed.select("key", "bands"), "key")
 
 
 def verdicts(docs: DataFrame, plan: LinePlan = LinePlan()) -> DataFrame:
     """Every line that is not blank: ``row, doc_id, line_no, key, first_doc, first_line, kept``.
 
     ``first_doc, first_line`` is the place of the line that stays for it.
-    The lines are stored once, and all later steps read that copy, which
-    goes as soon as the components are known.
+    The places of all lines and the distinct lines are stored; no step
+    stores or moves the copies of a line's text.
     """
     scratch = Scratch(docs.sparkSession, "lines")
-    lines = scratch.write(lines_of(docs), "lines")
-    places = scratch.write(lines.drop("line"), "places")
-    signed = scratch.write(signatures(lines.select("key", "line"), plan), "signed")
+    places = scratch.write(lines_of(docs).drop("line"), "places")
+    signed = scratch.write(signatures(lines_of(docs).select("key", "line"), plan), "signed")
     scratch.release()
-    linked = components(lines.select("key", "line"), signed, scratch, plan)
-    scratch.drop(lines)
-    repeated = signed.where("copies > 1").select("key")
+    linked = components(signed, scratch, plan)
+    repeated = signed.where("copies > 1").select("key").distinct()
     roots = scratch.write(
         repeated.join(linked.withColumnRenamed("node", "key"), "key", "full_outer").select(
             "key", F.coalesce("component", "key").alias("root")
