@@ -1,24 +1,28 @@
 """Duplicate business keys: keep-first, reject-all and consolidation.
 
-No window over the key is used: a key that holds a third of all rows would
-put that third into one task. A hash count per key (combined before the
-shuffle) finds the repeated keys; only their rows are ordered, to find each
-key's first row. The flags come back by a join on the key: broadcast when the
-repeated keys are measured small, a shuffle join that the adaptive skew
-split can divide otherwise. The per-key side holds one row per key, so a row
-is never multiplied, whatever its identity columns hold.
+A hash count per key (combined before the shuffle) finds the repeated keys.
+Where they are measured small, only their rows are ordered, to find each
+key's first row, and the flags come back by a broadcast join on the key: rows
+never move. Where they are many, the rows move once, to a window over the
+key. A key that holds a third of all rows would put that third into one task:
+the rows of keys beyond ``HOT_ROWS`` take the broadcast path, and rows that
+are not eligible are spread. The per-key side of a join holds one row per
+key, so a row is never multiplied, whatever its identity columns hold.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sluice.operators import strategy
 
+# rows of one key that a window may hold; no more than one key in so many rows is beyond it
+HOT_ROWS = 200_000
+
 
 def with_row_id(df: DataFrame, name: str = "_rid") -> DataFrame:
     """Unique id for rows of a deterministic input (a file scan or a
@@ -58,15 +62,43 @@ def duplicate_flags(
     place = F.struct(*[F.col(f"`{c}`").alias(f"_o{i}") for i, c in enumerate(order)])
     counts = df.groupBy(*key_cols).agg(F.count_if(eligible).alias("_cnt")).filter(F.col("_cnt") > 1)
     repeated, small = strategy.small_or_none(counts)
+    if small:
+        return _joined_flags(df, keys, repeated, place, eligible, reject_all, flag)
+    hot = repeated.filter(F.col("_cnt") > HOT_ROWS)
+    if hot.isEmpty():
+        return _window_flags(df, keys, order, eligible, reject_all, flag)
+    h, cond = strategy.null_safe_on(df, hot.drop("_cnt"), keys)
+    crowded = df.join(F.broadcast(h), cond, "left_semi")
+    others = df.join(F.broadcast(h), cond, "left_anti")
+    return _joined_flags(crowded, keys, hot, place, eligible, reject_all, flag).unionByName(
+        _window_flags(others, keys, order, eligible, reject_all, flag))
+
+
+def _window_flags(df: DataFrame, keys: Sequence[str], order: Sequence[str], eligible: Column, reject_all: bool,
+                  flag: str) -> DataFrame:
+    """The flags by one window over the key. Rows that are not eligible go anywhere, not to their key."""
+    apart = F.when(~eligible, F.xxhash64(*[F.col(f"`{c}`") for c in order]))
+    window = Window.partitionBy(*[F.col(f"`{k}`") for k in keys], apart)
+    if reject_all:
+        is_dup = F.count(F.lit(1)).over(window) > 1
+    else:
+        is_dup = F.rank().over(window.orderBy(*[F.col(f"`{c}`") for c in order])) > 1
+    return df.withColumn(flag, eligible & is_dup).drop("_elig")
+
+
+def _joined_flags(df: DataFrame, keys: Sequence[str], repeated: DataFrame, place: Column, eligible: Column,
+                  reject_all: bool, flag: str) -> DataFrame:
+    """The flags by broadcasts of the few repeated keys and of the first place of each."""
+    key_cols = [F.col(f"`{k}`") for k in keys]
     if reject_all:
         firsts = repeated.withColumn("_first", F.lit(None).cast("boolean"))
     else:
         r, cond = strategy.null_safe_on(df, repeated, keys)
-        rows = df.join(strategy.hint_broadcast(r, small), cond, "left_semi").filter(eligible)
+        rows = df.join(F.broadcast(r), cond, "left_semi").filter(eligible)
         firsts = strategy.materialize(rows.groupBy(*key_cols).agg(F.min(place).alias("_first")))
         firsts = firsts.withColumn("_cnt", F.lit(2))
     f, cond = strategy.null_safe_on(df, firsts, keys)
-    joined = df.join(strategy.hint_broadcast(f, small), cond, "left")
+    joined = df.join(F.broadcast(f), cond, "left")
     hit = eligible & F.col("_cnt").isNotNull()
     is_dup = hit if reject_all else hit & ~place.eqNullSafe(F.col("_first"))
     return joined.withColumn(flag, F.coalesce(is_dup, F.lit(False))).drop(
