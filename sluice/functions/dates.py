@@ -137,9 +137,11 @@ def schema_date_ok(col, date_format: str | None, iso_fallback: bool = True) -> C
     return F.coalesce(*tries).isNotNull()
 
 
-def utc_date(col) -> Column:
-    """DATE in UTC of a timestamp, date or ISO text value."""
+def utc_date(col, typed: bool = False) -> Column:
+    """DATE in UTC of a timestamp, date or ISO text value; ``typed`` where it is known to be no text."""
     c = _c(col)
+    if typed:
+        return F.to_date(c)
     return F.coalesce(F.to_date(_try_parse(c.cast("string"), ISO_DATE)), F.to_date(c.try_cast("timestamp")))
 
 

@@ -142,11 +142,19 @@ def sales_amounts(amount: Column, quantity: Column, discount_rate: Column, tax_r
     1e14, quantity below 1e7); larger values, and results beyond 16 digits
     before the point, give null (a reject).
     """
+    return sales_totals(*sales_terms(amount, quantity, discount_rate), tax_rate)
+
+
+def sales_terms(amount: Column, quantity: Column, discount_rate: Column) -> tuple[Column, Column]:
+    """Discount rate and unrounded subtotal, of which ``sales_totals`` makes the amounts."""
     amt = amount.try_cast("decimal(16,2)")
     qty = quantity.try_cast("decimal(7,0)")
     disc = discount_rate.try_cast("decimal(20,8)")
     mult = (F.lit(1).cast("decimal(1,0)") - F.round(disc / F.lit(100).cast("decimal(3,0)"), 8)).try_cast("decimal(12,8)")
-    sub = (amt * qty * mult).try_cast("decimal(34,10)")
+    return disc, (amt * qty * mult).try_cast("decimal(34,10)")
+
+
+def sales_totals(disc: Column, sub: Column, tax_rate: str = "0.19") -> dict[str, Column]:
     tax = sub * F.lit(tax_rate).cast("decimal(2,2)")
     total = sub * (F.lit(1) + F.lit(tax_rate).cast("decimal(2,2)")).cast("decimal(3,2)")
     return {

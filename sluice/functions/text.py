@@ -57,9 +57,15 @@ def null_tokens(col, tokens: Iterable[str] = DEFAULT_NULL_TOKENS, case_sensitive
     t = trim_ws(raw)
     toks = [x for x in tokens if x is not None]
     if case_sensitive:
-        hit = t.isin(toks) | raw.isin(toks) if toks else F.lit(False)
+        hit = t.isin(toks) if toks else F.lit(False)
+        # a raw cell that equals a trimmed token is equal once trimmed, too
+        padded = [x for x in toks if x != x.strip(JAVA_TRIM_CHARS)]
+        if padded:
+            hit = hit | raw.isin(padded)
     else:
-        hit = F.upper(t).isin([x.upper() for x in toks]) if toks else F.lit(False)
+        # upper case never has fewer characters: longer cells need not be converted
+        upper = [x.upper() for x in toks]
+        hit = (F.length(t) <= max(map(len, upper))) & F.upper(t).isin(upper) if toks else F.lit(False)
     return F.when((t == "") | hit, F.lit(None).cast("string")).otherwise(t)
 
 

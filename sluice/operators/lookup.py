@@ -40,7 +40,9 @@ def catalog_flags(
         (active if active is not None else F.lit(True)).alias("_cat_active"),
     ).groupBy("_cat_key").agg(F.max("_cat_active").alias("_cat_active"))
     cat, small = _checked(cat)
-    j = df.join(strategy.hint_broadcast(cat, small), df[f"`{field}`"] == cat["_cat_key"], "left")
+    # a catalog holds a key once: it is hashed, and the rows need no sort
+    side = F.broadcast(cat) if small else cat.hint("shuffle_hash")
+    j = df.join(side, df[f"`{field}`"] == cat["_cat_key"], "left")
     present = F.col("_cat_key").isNotNull()
     j = j.withColumn(in_col, F.when(F.col(f"`{field}`").isNotNull(), present))
     if act_col:

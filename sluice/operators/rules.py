@@ -95,12 +95,19 @@ def collect_errors(checks: Sequence[Column]) -> Column:
 
 def attach_errors(df: DataFrame, checks: Sequence[Column], name: str = "errors", labels: str | None = None) -> DataFrame:
     """Add the error array; with ``labels`` also a ``rule:field|...`` text
-    column built from the same checks (same subexpressions, so codegen
-    evaluates each check once; no higher-order function)."""
-    cols = {name: collect_errors(checks)}
+    column. The checks are columns of their own first, so that each is
+    evaluated once a row, however often its outcome is asked for."""
+    df, held = hold_checks(df, checks)
+    cols = {name: collect_errors(held)}
     if labels:
-        cols[labels] = check_labels(checks)
-    return df.withColumns(cols)
+        cols[labels] = check_labels(held)
+    return df.withColumns(cols).drop(*[f"_check{i}" for i in range(len(held))])
+
+
+def hold_checks(df: DataFrame, checks: Sequence[Column]) -> tuple[DataFrame, list[Column]]:
+    """``df`` with the checks as columns ``_check0``, ``_check1``, ..., and those columns."""
+    names = [f"_check{i}" for i in range(len(checks))]
+    return df.withColumns(dict(zip(names, checks))) if names else df, [F.col(n) for n in names]
 
 
 def check_labels(checks: Sequence[Column], sep: str = "|") -> Column:
@@ -227,7 +234,7 @@ def business_checks(
         if c not in present:
             continue
         v = _col(c)
-        d = dates.utc_date(v)
+        d = dates.utc_date(v, isinstance(df.schema[c].dataType, (T.DateType, T.TimestampType)))
         out.append(check(v.isNotNull() & d.isNull(), c, v, TYPE_COMPATIBILITY, "Value is not a valid date"))
         out.append(check(d > F.date_add(as_of_lit, allowed_future_days(cfg, c)), c, v, FUTURE_DATE,
                          "Future dates are not allowed"))

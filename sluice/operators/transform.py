@@ -44,6 +44,13 @@ class Step:
     def __init__(self, df: DataFrame):
         self.df = df
         self.msg_cols: list[str] = []
+        self.held: list[str] = []
+
+    def hold(self, name: str, value: Column) -> Column:
+        """``value`` as a column until the step ends, so that what is read more than once is evaluated once a row."""
+        self.held.append(name)
+        self.df = self.df.withColumn(name, value)
+        return _q(name)
 
     def apply(self, values: dict[str, Column], messages: list[Column]) -> DataFrame:
         names = [f"_msg{len(self.msg_cols) + i}" for i in range(len(messages))]
@@ -53,7 +60,7 @@ class Step:
 
     def finish(self, rule: str, name: str) -> DataFrame:
         out = with_first_error(self.df, [F.col(c) for c in self.msg_cols], rule, name)
-        return out.drop(*self.msg_cols)
+        return out.drop(*self.msg_cols, *self.held)
 
 
 def with_first_error(df: DataFrame, messages: list[Column], rule: str = TRANSFORM_ERROR, name: str = "errors") -> DataFrame:
@@ -110,7 +117,7 @@ def common_transform(df: DataFrame, cfg: TransformationConfig, errors: str = "er
         if isinstance(dtype, (T.TimestampType, T.TimestampNTZType, T.DateType)):
             values[fld] = _q(fld).cast("timestamp")
         else:
-            parsed = dates.to_utc_timestamp_multi(_q(fld), cfg.source_timezone)
+            parsed = step.hold(f"_parsed_{fld}", dates.to_utc_timestamp_multi(_q(fld), cfg.source_timezone))
             msgs.append(F.when(_q(fld).isNotNull() & parsed.isNull(),
                                F.concat(F.lit("Cannot parse datetime: "), _q(fld).cast("string"))))
             values[fld] = parsed
@@ -128,6 +135,7 @@ def common_transform(df: DataFrame, cfg: TransformationConfig, errors: str = "er
             raw = _q(fld)
             numeric = isinstance(step.df.schema[fld].dataType, T.NumericType)
             amt = raw.try_cast(money.AMOUNT_TYPE) if numeric else money.to_amount(raw)
+            amt = step.hold(f"_amount_{fld}", amt)
             msgs.append(F.when(raw.isNotNull() & amt.isNull(),
                                F.concat(F.lit(f"Invalid decimal value for field {fld}: "), raw.cast("string"))))
             values[f"{fld}_original"] = F.when(raw.isNotNull(), amt)

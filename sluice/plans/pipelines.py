@@ -57,24 +57,30 @@ def _finish(df: DataFrame, values: dict[str, Column], msgs: list[Column], drop=(
 def sales_rules(df: DataFrame, cfg: PipelineConfig, as_of: dt.date) -> tuple[DataFrame, list[Column]]:
     msgs = []
     amount = _q("amount").try_cast("decimal(38,10)") if _has(df, "amount") else F.lit(None).cast("decimal(38,10)")
-    msgs.append(F.when(amount.isNull(), F.lit("amount is required")))
     pq = _str(df, "product_quantity")
     qty = F.when(pq.isNull(), F.lit(1)).otherwise(F.when(money.is_int32_text(pq), pq.try_cast("int")))
-    msgs.append(F.when(qty.isNull(), F.concat(F.lit("For input string: "), pq)))
     dr = _str(df, "discount_rate") if not (_has(df, "discount_rate") and isinstance(df.schema["discount_rate"].dataType, T.NumericType)) else _q("discount_rate")
     disc = F.when(dr.isNull(), F.lit(0).cast("decimal(20,8)")).otherwise(money.to_amount(dr))
-    msgs.append(F.when(disc.isNull(), F.concat(F.lit("Invalid discount_rate: "), dr.cast("string"))))
     chan_in = F.upper(text.trim_ws(F.coalesce(_str(df, "channel"), F.lit("null"))))
-    channel, failed = lookup.map_code(chan_in, codes.CHANNEL_MAPPING, "REJECT")
-    msgs.append(F.when(failed, F.concat(F.lit("Missing channel mapping for value "), F.coalesce(_str(df, "channel"), F.lit("null")))))
-    amounts = money.sales_amounts(amount, qty, disc, codes.SALES_TAX_RATE)
+    channel, _ = lookup.map_code(chan_in, codes.CHANNEL_MAPPING, "REJECT")
+    # what is read more than once becomes a column first, so that it is evaluated once a row
+    held = {"_sale_amount": amount, "_sale_quantity": qty, "_sale_discount": disc, "_sale_channel": channel}
+    df = df.withColumns(held)
+    amount, qty, disc, channel = (F.col(c) for c in held)
+    terms = dict(zip(("_sale_rate", "_sale_subtotal"), money.sales_terms(amount, qty, disc)))
+    df = df.withColumns(terms)
+    msgs.append(F.when(amount.isNull(), F.lit("amount is required")))
+    msgs.append(F.when(qty.isNull(), F.concat(F.lit("For input string: "), pq)))
+    msgs.append(F.when(disc.isNull(), F.concat(F.lit("Invalid discount_rate: "), dr.cast("string"))))
+    msgs.append(F.when(channel.isNull(), F.concat(F.lit("Missing channel mapping for value "), F.coalesce(_str(df, "channel"), F.lit("null")))))
+    amounts = money.sales_totals(*[F.col(c) for c in terms], codes.SALES_TAX_RATE)
     values = {"channel": channel, "quantity": qty, **amounts}
     if not _has(df, "status"):
         values["status"] = F.lit(codes.SALES_DEFAULT_STATUS)
     for k in ("discount_rate", "subtotal", "tax_amount", "total_amount"):
         msgs.append(F.when(amount.isNotNull() & qty.isNotNull() & disc.isNotNull() & amounts[k].isNull(),
                            F.lit(f"{k} out of range")))
-    return _finish(df, values, msgs, drop=["product_quantity"])
+    return _finish(df, values, msgs, drop=["product_quantity", *held, *terms])
 
 
 # --------------------------------------------------------------- customer
@@ -244,6 +250,8 @@ def resolve_transformer(cfg: PipelineConfig) -> tuple[Specific, str] | None:
 def transform_rows(raw: DataFrame, cfg: PipelineConfig, as_of: dt.date) -> DataFrame:
     """Schema and transform steps over a source, lazily: the transformed columns with each step's errors, ``_alive``
     (no error so far) and ``_cells`` (the source's cells, of which a reject's JSON is made)."""
+    # HotSpot never compiles a method of more than 8,000 bytes: a stage of that size is left to its operators
+    raw.sparkSession.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
     empty = F.array().cast(rules.ERRORS_TYPE)
     data_cols = [c for c in raw.columns if not c.startswith("_")]
     cells = F.struct(*[_q(c).alias(f"f{i}") for i, c in enumerate(data_cols)]) if data_cols else F.lit(None).cast("string")
@@ -311,21 +319,25 @@ def business_rows(t: DataFrame, cfg: PipelineConfig, as_of: dt.date, names: list
     ``refine`` may reject more rows by their ``_step`` and ``errors``."""
     empty = F.array().cast(rules.ERRORS_TYPE)
     alive = F.col("_alive")
+    keys = [k for k in cfg.validation.unique_key_columns if k in t.columns]
+    unique = bool(keys) and cfg.validation.duplicates != "CONSOLIDATE"
+    if unique:
+        # before the catalogs are joined: counting keys reads the stored rows, and no join
+        # row numbers are per file or sheet: the source is part of a row's identity
+        ids = ["_source", "_row"] if "_source" in t.columns else "_row"
+        t = dedup.duplicate_flags(t, keys, row_id=ids, order_cols=dedup_order,
+                                  reject_all=cfg.validation.reject_all_duplicates, flag="_dup", where=alive)
     if catalog_frames is not None:
         t = catalog_frames(t)
     checks = rules.business_checks(t, cfg.validation, as_of, table_catalogs)
     for _, name, validate in _VALIDATORS:
         if name in (*EVERY, cfg.name.lower(), cfg.id.lower()):
             checks += validate(t, cfg, as_of)
-    keys = [k for k in cfg.validation.unique_key_columns if k in t.columns]
-    if keys and cfg.validation.duplicates != "CONSOLIDATE":
-        # row numbers are per file or sheet: the source is part of a row's identity
-        ids = ["_source", "_row"] if "_source" in t.columns else "_row"
-        t = dedup.duplicate_flags(t, keys, row_id=ids, order_cols=dedup_order,
-                                  reject_all=cfg.validation.reject_all_duplicates, flag="_dup", where=alive)
+    if unique:
         checks.append(rules.duplicate_error(keys, "_dup", "_row"))
+    t, checks = rules.hold_checks(t, checks)
     t = t.withColumns({"_e_business": F.when(alive, rules.collect_errors(checks)).otherwise(empty),
-                       "_l_business": F.when(alive, rules.check_labels(checks)).otherwise(F.lit(""))})
+                       "_l_business": F.when(alive, rules.check_labels(checks)).otherwise(F.lit(""))}).drop(*[f"_check{i}" for i in range(len(checks))])
     flags = ["_dup", *[x for pair in (table_catalogs or {}).values() for x in pair if x]]
     return _outcome(t, names, refine).drop(*flags)
 

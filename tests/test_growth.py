@@ -1,9 +1,13 @@
 """Steps whose cost must grow no faster than the rows."""
 
+import datetime as dt
+
 import pytest
 from pyspark.sql import functions as F
 
-from sluice.operators import dedup, strategy
+from sluice.operators import dedup, lookup, strategy
+from sluice.plans import pipelines
+from sluice.plans.config import builtin
 
 
 @pytest.fixture()
@@ -43,3 +47,27 @@ def test_rows_of_many_repeated_keys_move_once(many):
     flagged.collect()
     plan = flagged._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "Window" in plan
+
+
+def test_large_catalogs_are_hashed_not_sorted(many):
+    rows = many.createDataFrame([("a", 1), ("x", 2), (None, 3)], "k string, _row long")
+    catalog = many.createDataFrame([("a",), ("b",)], "code string")
+    flagged, known, _ = lookup.catalog_flags(rows, "k", catalog, "code")
+    assert {(r._row, r[known]) for r in flagged.collect()} == {(1, True), (2, False), (3, None)}
+    assert "SortMergeJoin" not in flagged._jdf.queryExecution().executedPlan().toString()
+
+
+def test_duplicates_are_told_before_catalogs_are_joined(spark):
+    cfg = builtin("sales")
+    names = ["transaction_id", "customer_id", "product_id", "amount", "currency", "sale_date", "salesperson_id", "channel"]
+    rows = [("T1", "C-100", "P-100", "5", "USD", "2024-01-05", "S-001", "1", i) for i in (1, 2)]
+    raw = spark.createDataFrame(rows, ", ".join(f"{c} string" for c in names) + ", _row long")
+    seen = []
+
+    def catalogs(df):
+        seen.extend(df.columns)
+        return df
+
+    tagged = pipelines.tag_rows(raw, cfg, dt.date(2024, 2, 1), catalog_frames=catalogs)
+    assert {(r._row, r._labels) for r in tagged.collect()} == {(1, ""), (2, "UNIQUE_BUSINESS_KEY:transaction_id")}
+    assert "_dup" in seen
