@@ -2,9 +2,9 @@
 
 Lines are compared in lower case and trimmed. Equal lines are folded first.
 A distinct line's signature holds minima of the hashes of all its character
-shingles under many odd factors (a hash times a factor orders shingles at
-random), by one rule for all lines, so the bands see the similarity that is
-verified. The signature is cut into bands. Lines that share a band are
+shingles, one per bin of equal width (one-permutation MinHash; an empty bin
+takes the minimum of another, drawn in the bin's own random order), by one
+rule for all lines, so the bands see the similarity that is verified. The signature is cut into bands. Lines that share a band are
 compared by the exact Jaccard similarity of all their shingles: every line of
 a band with its hub (the line with most copies) first, and after a first
 union-find all pairs of a band whose ends are still apart, each in the first
@@ -13,9 +13,8 @@ shares a band is left undecided; a band of many lines that are alike but not
 similar enough costs its pairs. Union-find over the links names the
 components; the first line of each, by document id and line number, stays.
 
-Only the signatures leave DataFrame operations: their minima are taken in
-numpy, a batch of distinct lines at a time, since 60 minima over all shingles
-in SQL are beyond the CPU budget (figures in the README).
+All steps are DataFrame operations. A line's hashes are sorted together with
+the starts of the bins, so that a bin's minimum stands behind its start.
 
 Hashes are 64-bit. Defined results: blank lines are never compared and always
 stay; a null or empty text has no lines to compare; lines shorter than a
@@ -27,24 +26,19 @@ through.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import random
 from dataclasses import dataclass
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import SPACES, Scratch, connected_components, fresh, let, maybe_broadcast, small_batches, text_of
+from sluice.llm.common import SPACES, Scratch, connected_components, fresh, let, maybe_broadcast, text_of
 
 SEED = 7
 
 # 64-bit words of a line's map of shingles
 WORDS = 32
 
-# characters hashed at a time, so that the arrays stay in a core's cache
-CHUNK = 50_000
-
 
 @dataclass(frozen=True)
 class LinePlan:
@@ -59,10 +53,15 @@ class LinePlan:
     bands: int = 12
     rows: int = 5
 
-    def factors(self) -> np.ndarray:
-        """An odd 32-bit factor per minimum."""
-        drawn = np.random.default_rng(SEED).integers(0, 1 << 32, self.bands * self.rows, dtype=np.uint64)
-        return (drawn | np.uint64(1)).astype(np.uint32)
+    def starts(self) -> list[int]:
+        """Where each minimum's bin of 64-bit hashes starts: even numbers."""
+        n = self.bands * self.rows
+        return [-(1 << 63) + (i << 63) // n * 2 for i in range(n)]
+
+    def orders(self) -> list[list[int]]:
+        """Per bin itself, then all bins in random order."""
+        rng, n = random.Random(SEED), self.bands * self.rows
+        return [[i, *rng.sample(range(n), n)] for i in range(n)]
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -86,74 +85,54 @@ def _codes(line: Column) -> Column:
     return F.encode(line, "UTF-32")
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    """32-bit finaliser: every input bit moves every output bit."""
-    x = (x ^ (x >> np.uint32(16))) * np.uint32(0x7FEB352D)
-    x = (x ^ (x >> np.uint32(15))) * np.uint32(0x846CA68B)
-    return x ^ (x >> np.uint32(16))
-
-
-def _minima(lines: list[str], plan: LinePlan) -> np.ndarray:
-    """One row per minimum, one column per line: the smallest hash of all the line's shingles under each factor."""
-    size = plan.shingle
-    padded = [x if len(x) >= size else x.ljust(size, "\0") for x in lines]
-    lengths = np.fromiter(map(len, padded), dtype=np.int64, count=len(padded))
-    codes = _mixed(np.frombuffer("".join(padded).encode("utf-32-le"), dtype="<u4"))
-    places = len(codes) - size + 1
-    hashes = np.zeros(places, dtype=np.uint32)
-    for j in range(size):
-        hashes *= np.uint32(0x9E3779B1)
-        hashes += codes[j : j + places]
-    # places whose shingle would run into the next line
-    inside = np.ones(len(codes), dtype=bool)
-    inside[(np.cumsum(lengths)[:, None] - np.arange(1, size)).ravel()] = False
-    hashes = _mixed(hashes[inside[:places]])
-    counts = lengths - (size - 1)
-    starts = np.cumsum(counts) - counts
-    factors = plan.factors()
-    out = np.empty((len(factors), len(lines)), dtype=np.uint32)
-    ordered = np.empty_like(hashes)
-    for i, factor in enumerate(factors):
-        np.multiply(hashes, factor, out=ordered)
-        np.minimum.reduceat(ordered, starts, out=out[i])
-    return out
-
-
-def _bands(lines: list[str], plan: LinePlan) -> np.ndarray:
-    """One row per line, one 64-bit hash per band."""
-    parts, chunk, held = [], [], 0
-    for line in lines:
-        chunk.append(line)
-        held += len(line)
-        if held >= CHUNK:
-            parts.append(_minima(chunk, plan))
-            chunk, held = [], 0
-    if chunk:
-        parts.append(_minima(chunk, plan))
-    minima = np.concatenate(parts, axis=1).astype(np.uint64).reshape(plan.bands, plan.rows, len(lines))
-    # the place of the band is part of its hash
-    hashes = np.repeat(np.arange(1, plan.bands + 1, dtype=np.uint64)[:, None], len(lines), axis=1)
-    for r in range(plan.rows):
-        hashes = (hashes ^ minima[:, r]) * np.uint64(0xFF51AFD7ED558CCD)
-        hashes ^= hashes >> np.uint64(32)
-    return np.ascontiguousarray(hashes.T).view(np.int64)
+def _ordered(line: Column, plan: LinePlan) -> Column:
+    """Odd hashes of all shingles, sorted together with the even numbers where bins start."""
+    last = F.greatest(F.length(line) - plan.shingle, F.lit(0))
+    hashes = let(
+        _codes(line),
+        lambda codes: F.transform(
+            F.sequence(F.lit(1), last * 4 + 1, F.lit(4)),
+            lambda at: F.xxhash64(F.substring(codes, at, F.lit(plan.shingle * 4))).bitwiseOR(F.lit(1)),
+        ),
+    )
+    return F.sort_array(F.concat(hashes, F.lit(plan.starts())))
+
+
+def _odd(number: Column) -> Column:
+    return number.bitwiseAND(F.lit(1)) == 1
+
+
+def _behind(ordered: Column) -> Column:
+    """Per bin what stands behind its start: its smallest hash, or, in an empty bin, the next start or nothing."""
+    return F.filter(ordered, lambda _, i: ~_odd(F.get(ordered, i - 1)))
+
+
+def _filled(behind: Column, plan: LinePlan) -> Column:
+    """The bins' minima; an empty bin takes that of the first bin that has one, in the bin's own random order."""
+
+    def minima(bins: Column) -> Column:
+        def minimum(order: Column) -> Column:
+            # most bins are met at once, and only the others need the search
+            soon = [F.get(bins, F.get(order, F.lit(i))) for i in range(4)]
+            full = F.filter(order, lambda i: F.get(bins, i).isNotNull())
+            return F.coalesce(*soon, F.get(bins, F.get(full, F.lit(0))))
+
+        return F.transform(F.lit(plan.orders()), minimum)
+
+    return let(F.transform(behind, lambda x: F.when(_odd(x), x)), minima)
 
 
 def signatures(lines: DataFrame, plan: LinePlan) -> DataFrame:
     """``key, line, copies, bands`` per distinct line. The lines move once, folded; all else happens where they land."""
     distinct = lines.groupBy("key", "line").agg(F.count("*").alias("copies"))
-    small_batches(distinct)
-
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            bands = _bands(batch.column("line").to_pylist(), plan)
-            ends = pa.array(np.arange(0, bands.size + 1, plan.bands, dtype=np.int32))
-            arrays = [*(batch.column(c) for c in ("key", "line", "copies")), pa.ListArray.from_arrays(ends, bands.ravel())]
-            yield pa.RecordBatch.from_arrays(arrays, names=["key", "line", "copies", "bands"])
-
-    return distinct.mapInArrow(sign, "key long, line string, copies long, bands array<long>")
+    ordered = distinct.select("key", "line", "copies", _ordered(F.col("line"), plan).alias("ordered"))
+    bins = ordered.select("key", "line", "copies", _behind(F.col("ordered")).alias("bins"))
+    minima = bins.select("key", "line", "copies", _filled(F.col("bins"), plan).alias("minima"))
+    # the place of the band is part of its hash
+    bands = [
+        F.xxhash64(F.lit(b), *[F.get("minima", F.lit(b * plan.rows + r)) for r in range(plan.rows)]) for b in range(plan.bands)
+    ]
+    return minima.select("key", "line", "copies", F.array(*bands).alias("bands"))
 
 
 def _shingles(line: Column, plan: LinePlan) -> Column:

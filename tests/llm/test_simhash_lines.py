@@ -155,6 +155,35 @@ def test_near_copies_of_long_words_meet(spark):
     assert {r.doc_id: r.first_doc for r in got} == {i: i - i % 2 for i in range(40)}
 
 
+def test_signatures_are_dataframe_operations_and_one_permutation_minima(spark):
+    plan, lines = linededup.LinePlan(), ["a", "eight ch", "nine char", "\U0001f600 " * 9, prose(6, 11), prose(7, 200, 200)]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lines)] + [(2, lines[2])], "key long, line string")
+    signed = linededup.signatures(df, plan)
+    shown = signed._jdf.queryExecution().toString()
+    assert "Arrow" not in shown and "Python" not in shown and "Pandas" not in shown
+    mask, n = 2**64 - 1, plan.bands * plan.rows
+
+    def signed64(x):
+        return x - (1 << 64) if x >> 63 else x
+
+    for r in signed.collect():
+        line = r.line
+        grams = {line[i : i + 8] for i in range(max(1, len(line) - 7))}
+        bins = [None] * n
+        for gram in grams:
+            h = signed64(xxhash.xxh64_intdigest(gram.encode("utf-32-be"), 42) | 1)
+            at = max(i for i, start in enumerate(plan.starts()) if start < h)
+            bins[at] = h if bins[at] is None else min(bins[at], h)
+        full = [next(bins[i] for i in order if bins[i] is not None) for order in plan.orders()]
+        want = []
+        for b in range(plan.bands):
+            h = xxhash.xxh64_intdigest(b.to_bytes(4, "little"), 42)
+            for x in full[b * plan.rows : (b + 1) * plan.rows]:
+                h = xxhash.xxh64_intdigest((x & mask).to_bytes(8, "little"), h)
+            want.append(signed64(h))
+        assert r.bands == want and r.copies == 1 + (r.key == 2)
+
+
 def test_dedup_keeps_first_lines_and_columns(clashing):
     out = linededup.dedup(clashing)
     assert out.columns == clashing.columns
