@@ -28,6 +28,8 @@ from __future__ import annotations
 
 import random
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -72,12 +74,16 @@ def lines_of(docs: DataFrame) -> DataFrame:
         F.col("doc_id").cast("long").alias("doc_id"),
         F.split(text_of(F.col("text")), "\n").alias("raws"),
     )
-    # the filter looks at the line's start only, and need not make the line a second time
-    cut = rows.select("row", "doc_id", F.posexplode("raws").alias("line_no", "raw")).where(
+    # the filter looks at the line's start only, and need not make the line a second time; a split is never empty, and
+    # the outer explode keeps Spark from splitting every text once more to see whether it is
+    cut = rows.select("row", "doc_id", F.posexplode_outer("raws").alias("line_no", "raw")).where(
         F.ltrim("raw", F.lit(SPACES)) != ""
     )
-    lines = cut.select("row", "doc_id", "line_no", F.lower(F.btrim("raw", F.lit(SPACES))).alias("line"))
-    return lines.withColumn("key", F.xxhash64("line"))
+    # a trim walks the whole line, and most lines have nothing to trim
+    raw = F.col("raw")
+    spaced = reduce(or_, [end(F.lit(x)) for x in SPACES for end in (raw.startswith, raw.endswith)])
+    line = F.lower(F.when(spaced, F.btrim(raw, F.lit(SPACES))).otherwise(raw))
+    return cut.select("row", "doc_id", "line_no", line.alias("line")).withColumn("key", F.xxhash64("line"))
 
 
 def _codes(line: Column) -> Column:
@@ -119,7 +125,9 @@ def _filled(behind: Column, plan: LinePlan) -> Column:
 
         return F.transform(F.lit(plan.orders()), minimum)
 
-    return let(F.transform(behind, lambda x: F.when(_odd(x), x)), minima)
+    # a line without an empty bin has its minima already
+    full = (F.size(behind) == plan.bands * plan.rows) & F.forall(behind, _odd)
+    return F.when(full, behind).otherwise(let(F.transform(behind, lambda x: F.when(_odd(x), x)), minima))
 
 
 def signatures(lines: DataFrame, plan: LinePlan) -> DataFrame:
@@ -274,7 +282,9 @@ def _bitmaps(signed: DataFrame, keys: DataFrame, plan: LinePlan) -> DataFrame:
         "key", F.expr("slot div 64").alias("word"), F.expr("shiftleft(1L, CAST(slot % 64 AS INT))").alias("bit")
     )
     words = [F.bit_or(F.when(F.col("word") == i, F.col("bit")).otherwise(F.lit(0).cast("long"))).alias(f"w{i}") for i in range(WORDS)]
-    return bits.groupBy("key").agg(F.count("*").alias("n"), *words).join(signed.select("key", "bands"), "key")
+    # the bands of these lines only: the join would move those of all lines
+    bands = signed.select("key", "bands").join(maybe_broadcast(keys), "key", "left_semi")
+    return bits.groupBy("key").agg(F.count("*").alias("n"), *words).join(bands, "key")
 
 
 def verdicts(docs: DataFrame, plan: LinePlan = LinePlan()) -> DataFrame:

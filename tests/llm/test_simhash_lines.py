@@ -184,6 +184,16 @@ def test_signatures_are_dataframe_operations_and_one_permutation_minima(spark):
         assert r.bands == want and r.copies == 1 + (r.key == 2)
 
 
+def test_texts_are_split_once_and_lines_trimmed_where_needed(spark):
+    raw = ["\tTab Before", "space after ", " \x0b\f\r both \r", "none", "\u00a0kept\u00a0", " ", "\r", ""]
+    docs = spark.createDataFrame([(1, "\n".join(raw)), (2, None), (3, "")], "doc_id long, text string")
+    lines = linededup.lines_of(docs)
+    # a filter on the size of the split would make it a second time
+    assert lines._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+    got = {(r.doc_id, r.line_no): r.line for r in lines.collect()}
+    assert got == {(1, i): x.strip(" \t\n\x0b\f\r").lower() for i, x in enumerate(raw) if x.strip(" \t\n\x0b\f\r")}
+
+
 def test_dedup_keeps_first_lines_and_columns(clashing):
     out = linededup.dedup(clashing)
     assert out.columns == clashing.columns
