@@ -68,11 +68,13 @@ class Scratch:
         self.root = scratch_path(spark, f"{label}-{uuid.uuid4().hex}")
         self._n = 0
 
-    def write(self, df: DataFrame, name: str = "t", partition_by: list[str] | None = None) -> DataFrame:
+    def write(
+        self, df: DataFrame, name: str = "t", partition_by: list[str] | None = None, options: dict | None = None
+    ) -> DataFrame:
         """Store a frame and read it back; the exchanges of what was stored are no longer needed after that."""
         self._n += 1
         path = f"{self.root}/{name}-{self._n}"
-        writer = df.write.mode("error")
+        writer = df.write.mode("error").options(**options or {})
         if partition_by:
             writer = writer.partitionBy(*partition_by)
         writer.parquet(path)

@@ -23,6 +23,11 @@ no more than a rare one, and no text or token row is shuffled. Counts, left
 over masses and scores are exchanged the same way, and all stored tables are
 partitioned by part or block.
 
+Between the steps numbers are bytes, not arrays: the JVM copies them whole,
+the few large rows (a block's tokens) are compressed, counts and totals take
+the fewest bytes that hold them, and the stored pages and row groups are
+small, so an executor holds a few blocks, whatever the size of a file.
+
 Defined results: a null or empty text is the end token alone; a null id is
 hashed as an empty string for the training split and is carried; repeated
 rows are counted and scored each; very long texts are blocks of their own;
@@ -32,7 +37,7 @@ has the id and the scores), so they cannot clash.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -48,15 +53,22 @@ BLOCK_BYTES = 8_000_000
 PART_TOKENS = 1_000_000
 TOP = 5  # counts above are not discounted
 END, START = b"\n", b"\n\n"  # no words: words hold no white space
+CODEC = pa.Codec("zstd", 3)
 
-BLOCKS = "block long, ids array<long>, train array<boolean>, sizes array<int>, tokens array<int>, words array<long>"
-ASK = "part long, block long, keys array<long>, counts array<int>"
-ANSWER = "part long, block long, kind string, values array<long>"
-MASS = "part long, block long, need boolean, keys array<long>, p array<double>, r array<double>"
+BLOCKS = "block long, ids array<long>, train array<boolean>, sizes array<int>, tokens binary, words binary"
+ASK = "part long, block long, keys binary, counts binary"
+ANSWER = "part long, block long, kind string, values binary, model array<long>"
 SCORED = (
     "block long, ids array<long>, train array<boolean>, n_tokens array<long>, n_known array<long>, "
-    "base array<double>, score array<double>, missing array<int>, histories array<long>, history_counts array<long>"
+    "base array<double>, score array<double>, missing binary, histories binary, history_counts binary"
 )
+BOTH = "part long, need boolean, keys binary, p binary, r binary, " + SCORED
+# rows are large: without these, a page and a row group hold a hundred of them at least
+SMALL_PAGES = {
+    "parquet.page.size.row.check.min": "1",
+    "parquet.block.size.row.check.min": "1",
+    "parquet.block.size": str(2 * BLOCK_BYTES),
+}
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
@@ -99,8 +111,8 @@ def _make_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 "ids": pa.array([b["ids"]], pa.list_(pa.int64())),
                 "train": pa.array([b["train"]], pa.list_(pa.bool_())),
                 "sizes": pa.array([b["sizes"]], pa.list_(pa.int32())),
-                "tokens": _list(np.concatenate(b["tokens"]).astype(np.int32)),
-                "words": _list(words),
+                "tokens": pa.array([_packed(np.concatenate(b["tokens"]))], pa.binary()),
+                "words": pa.array([words.tobytes()], pa.binary()),
             }
         )
 
@@ -129,9 +141,49 @@ def _list(values: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values))
 
 
-def _lists(values: np.ndarray, bounds: list[tuple[int, int, int]]) -> pa.ListArray:
-    ends = [0, *(b for _, _, b in bounds)]
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))
+def _packed(values: np.ndarray) -> bytes:
+    """32-bit numbers compressed, by byte planes: the high ones are nearly all zeros."""
+    planes = np.ascontiguousarray(values.astype(np.int32, copy=False).view(np.uint8).reshape(-1, 4).T)
+    return len(values).to_bytes(8, "little") + (CODEC.compress(planes, asbytes=True) if len(values) else b"")
+
+
+def _unpacked(data: pa.Buffer) -> np.ndarray:
+    size = int.from_bytes(data[:8].to_pybytes(), "little")
+    planes = CODEC.decompress(data[8:], 4 * size) if size else b""
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, size).T).view(np.int32).ravel()
+
+
+def _narrow(values: np.ndarray) -> bytes:
+    """Whole numbers in the fewest bytes each that hold all of them."""
+    top = int(np.abs(values).max(initial=0))
+    return values.astype(next(f"<i{w}" for w in (1, 2, 4, 8) if top < 1 << (8 * w - 1))).tobytes()
+
+
+def _widened(data: bytes, size: int) -> np.ndarray:
+    return np.frombuffer(data, f"<i{len(data) // size}")
+
+
+def _cut(values: np.ndarray, ends: Iterable[int]) -> pa.Array:
+    """A row of bytes for each stretch of 64-bit values up to an end."""
+    offsets = np.array([0, *ends], dtype=np.int32) * np.int32(8)
+    data = np.ascontiguousarray(values)
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
+
+def _flat(column: pa.ChunkedArray, kind: type) -> np.ndarray:
+    """The 64-bit values of all rows."""
+    found = [np.empty(0, kind)]
+    for chunk in column.chunks:
+        if len(chunk):
+            ends = np.frombuffer(chunk.buffers()[1], np.int32)[chunk.offset : chunk.offset + len(chunk) + 1]
+            if ends[-1] > ends[0]:
+                found.append(np.frombuffer(chunk.buffers()[2].slice(int(ends[0]), int(ends[-1] - ends[0])), kind))
+    return np.concatenate(found)
+
+
+def _sizes(column: pa.ChunkedArray) -> np.ndarray:
+    """The number of 64-bit values of each row."""
+    return pa.compute.binary_length(column).to_numpy().astype(np.int64) // 8
 
 
 class Block:
@@ -142,8 +194,8 @@ class Block:
         self.ids = row["ids"].as_py()
         self.train = np.array(row["train"].as_py(), dtype=bool)
         self.sizes = row["sizes"].values.to_numpy(zero_copy_only=False).astype(np.int64)
-        self.tokens = row["tokens"].values.to_numpy(zero_copy_only=False)
-        self.words = row["words"].values.to_numpy(zero_copy_only=False)
+        self.tokens = _unpacked(row["tokens"].as_buffer())
+        self.words = np.frombuffer(row["words"].as_buffer(), np.int64)
         self.in_train = np.repeat(self.train, self.sizes)
 
     @classmethod
@@ -151,16 +203,33 @@ class Block:
         for i in range(batch.num_rows):
             yield cls({n: batch.column(n)[i] for n in batch.schema.names})
 
-    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct bigrams: history and word numbers (the number of words stands for the start), the pair's number
-        at each token, and counts in training texts."""
+    def _codes(self) -> np.ndarray:
+        """At each token, its bigram as one number: of the history (the number of words stands for the start) and word."""
+        codes = np.empty(len(self.tokens), dtype=np.int64)
+        codes[1:] = self.tokens[:-1]
+        codes[np.cumsum(self.sizes) - self.sizes] = len(self.words)
+        codes *= len(self.words) + 1
+        codes += self.tokens
+        return codes
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct bigrams: history and word numbers, and the pair's number at each token."""
+        code, place = np.unique(self._codes(), return_inverse=True)
         width = len(self.words) + 1
-        history = np.empty(len(self.tokens), dtype=np.int64)
-        history[1:] = self.tokens[:-1]
-        history[np.cumsum(self.sizes) - self.sizes] = width - 1
-        code, place = np.unique(history * width + self.tokens, return_inverse=True)
-        counts = np.bincount(place[self.in_train], minlength=len(code))
-        return code // width, code % width, place, counts
+        return code // width, code % width, place.astype(np.int32)
+
+    def pair_counts(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct bigrams in the same order, and their counts in training texts."""
+        codes = self._codes()
+        codes *= 2
+        codes += self.in_train
+        codes.sort()
+        trained = (codes & 1).astype(np.int32)
+        codes >>= 1
+        first = np.flatnonzero(np.append(True, codes[1:] != codes[:-1]))
+        counts = np.add.reduceat(trained, first)
+        codes, width = codes[first], len(self.words) + 1
+        return codes // width, codes % width, counts
 
     def history_keys(self) -> np.ndarray:
         return np.append(self.words, np.int64(key_of(START)))
@@ -172,8 +241,8 @@ def _ask(keys: np.ndarray, counts: np.ndarray, block: int, parts: int) -> pa.Rec
         {
             "part": pa.array([p for p, _, _ in bounds], pa.int64()),
             "block": pa.array([block] * len(bounds), pa.int64()),
-            "keys": _lists(keys[order], bounds),
-            "counts": _lists(counts[order].astype(np.int32), bounds),
+            "keys": _cut(keys[order], (b for _, _, b in bounds)),
+            "counts": pa.array([_narrow(counts[order[a:b]]) for _, a, b in bounds], pa.binary()),
         }
     )
 
@@ -182,16 +251,18 @@ def _answer(table: pa.Table, kind: str, keep: bool) -> pa.Table:
     """Totals over all blocks of one part, in the order each block asked; minus signs mark the block that owns a key.
 
     The owner is the first block that counts a key in training. Rows of block
-    -2 hold the part's sums: tokens, types and types seen 1 to TOP + 1 times;
-    rows of block -1 and -3 hold the part's keys and totals, if kept.
+    -2 hold the part's sums, as ``model``: tokens, types and types seen 1 to
+    TOP + 1 times; rows of block -1 and -3 hold its keys and totals, if kept.
     """
     part = table.column("part")[0].as_py()
     table = table.sort_by("block")
     blocks = table.column("block").to_pylist()
-    lists = table.column("keys").combine_chunks()
-    sizes = np.diff(lists.offsets.to_numpy())
-    keys = lists.flatten().to_numpy(zero_copy_only=False)
-    counts = table.column("counts").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    sizes = _sizes(table.column("keys"))
+    ends = np.cumsum(sizes)
+    keys = _flat(table.column("keys"), np.int64)
+    counts = np.empty(len(keys), dtype=np.int64)
+    for data, n, end in zip(table.column("counts").to_pylist(), sizes, ends, strict=True):
+        counts[end - n : end] = _widened(data, n)
     distinct, place = np.unique(keys, return_inverse=True)
     totals = np.zeros(len(distinct), dtype=np.int64)
     np.add.at(totals, place, counts)
@@ -199,22 +270,19 @@ def _answer(table: pa.Table, kind: str, keep: bool) -> pa.Table:
     counted = np.flatnonzero(counts)
     _, first = np.unique(place[counted], return_index=True)
     out[counted[first]] *= -1
-    ends = np.cumsum(sizes)
     seen = totals[totals > 0]
     stats = [seen.sum(), len(seen), *(np.count_nonzero(seen == r) for r in range(1, TOP + 2))]
-    rows = [(b, out[e - n : e]) for b, n, e in zip(blocks, sizes, ends, strict=True)]
-    rows.append((-2, np.array(stats, dtype=np.int64)))
+    rows = [(b, _narrow(out[e - n : e]), None) for b, n, e in zip(blocks, sizes, ends, strict=True)]
+    rows.append((-2, None, [int(x) for x in stats]))
     if keep:
-        rows += [(-1, distinct[totals > 0]), (-3, seen)]
+        rows += [(-1, None, distinct[totals > 0]), (-3, None, seen)]
     return pa.table(
         {
             "part": pa.array([part] * len(rows), pa.int64()),
-            "block": pa.array([b for b, _ in rows], pa.int64()),
+            "block": pa.array([b for b, _, _ in rows], pa.int64()),
             "kind": pa.array([kind] * len(rows), pa.string()),
-            "values": pa.ListArray.from_arrays(
-                pa.array(np.cumsum([0, *(len(v) for _, v in rows)]).astype(np.int32)),
-                pa.array(np.concatenate([v for _, v in rows])),
-            ),
+            "values": pa.array([v for _, v, _ in rows], pa.binary()),
+            "model": pa.array([m for _, _, m in rows], pa.list_(pa.int64())),
         }
     )
 
@@ -222,10 +290,10 @@ def _answer(table: pa.Table, kind: str, keep: bool) -> pa.Table:
 def _take(answers: pa.Table, kind: str, keys: np.ndarray, parts: int) -> np.ndarray:
     """A block's answers, back in the order of its own keys."""
     mine = answers.filter(pa.compute.equal(answers.column("kind"), kind)).sort_by("part")
-    values = mine.column("values").combine_chunks().flatten().to_numpy(zero_copy_only=False)
-    order, _ = by_part(keys, parts)
+    order, bounds = by_part(keys, parts)
     out = np.empty(len(keys), dtype=np.int64)
-    out[order] = values
+    for (_, a, b), data in zip(bounds, mine.column("values").to_pylist(), strict=True):
+        out[order[a:b]] = _widened(data, b - a)
     return out
 
 
@@ -289,7 +357,7 @@ class Model:
 def _masses(block: Block, answers: pa.Table, model: Model, parts: int) -> tuple[list, dict]:
     """What one block adds to its histories' masses, and its texts scored but for the back-off weights."""
     counts = np.abs(_take(answers, "word", block.words, parts))
-    left, right, place, _ = block.pairs()
+    left, right, place = block.pairs()
     keys = block.history_keys()
     signed = _take(answers, "pair", pair_keys(keys[left], block.words[right]), parts)
     owned, r = signed < 0, np.abs(signed)
@@ -319,9 +387,9 @@ def _masses(block: Block, answers: pa.Table, model: Model, parts: int) -> tuple[
         "n_known": np.add.reduceat((counts[block.tokens] > 0).astype(np.int64), starts),
         "base": np.add.reduceat(model.base(counts)[block.tokens], starts),
         "score": np.add.reduceat(term[place], starts),
-        "missing": missing.ravel().astype(np.int32),
-        "histories": keys[histories],
-        "history_counts": history_counts[histories],
+        "missing": _packed(missing.ravel()),
+        "histories": keys[histories].tobytes(),
+        "history_counts": history_counts[histories].tobytes(),
     }
     return [(keys[held], add_p, add_r, False), (keys[histories], None, None, True)], scored
 
@@ -329,42 +397,36 @@ def _masses(block: Block, answers: pa.Table, model: Model, parts: int) -> tuple[
 def _mass_batch(block: int, masses: list, parts: int) -> Iterator[pa.RecordBatch]:
     for keys, p, r, need in masses:
         order, bounds = by_part(keys, parts)
-        empty = pa.ListArray.from_arrays(
-            pa.array([0] * (len(bounds) + 1), pa.int32()), pa.array(np.empty(0, dtype=np.float64))
-        )
+        ends = [b for _, _, b in bounds]
+        none = pa.nulls(len(bounds), pa.binary())
         yield pa.RecordBatch.from_pydict(
             {
                 "part": pa.array([x for x, _, _ in bounds], pa.int64()),
                 "block": pa.array([block] * len(bounds), pa.int64()),
                 "need": pa.array([need] * len(bounds), pa.bool_()),
-                "keys": _lists(keys[order], bounds),
-                "p": empty if need else _lists(p[order], bounds),
-                "r": empty if need else _lists(r[order], bounds),
+                "keys": _cut(keys[order], ends),
+                "p": none if need else _cut(p[order], ends),
+                "r": none if need else _cut(r[order], ends),
             }
         )
 
 
 def _mass_answer(table: pa.Table) -> pa.Table:
     """Per part: the sums of p and of discounted counts after each history, for the blocks that need them."""
-
-    def flat(rows: pa.Table, name: str) -> np.ndarray:
-        return rows.column(name).combine_chunks().flatten().to_numpy(zero_copy_only=False)
-
     part = table.column("part")[0].as_py()
     given = table.filter(pa.compute.invert(table.column("need")))
     asked = table.filter(table.column("need")).sort_by("block")
-    keys, place = np.unique(flat(given, "keys"), return_inverse=True) if given.num_rows else (np.empty(0, np.int64), [])
-    p = np.bincount(place, flat(given, "p"), len(keys)) if given.num_rows else np.empty(0)
-    r = np.bincount(place, flat(given, "r"), len(keys)) if given.num_rows else np.empty(0)
-    wanted = np.searchsorted(keys, flat(asked, "keys")) if asked.num_rows else np.empty(0, np.int64)
-    lists = asked.column("keys").combine_chunks()
-    offsets = pa.array(np.cumsum([0, *(len(x) for x in lists)]).astype(np.int32))
+    keys, place = np.unique(_flat(given.column("keys"), np.int64), return_inverse=True)
+    p = np.bincount(place, _flat(given.column("p"), np.float64), len(keys)).astype(np.float64)
+    r = np.bincount(place, _flat(given.column("r"), np.float64), len(keys)).astype(np.float64)
+    wanted = np.searchsorted(keys, _flat(asked.column("keys"), np.int64))
+    ends = np.cumsum(_sizes(asked.column("keys")))
     return pa.table(
         {
             "part": pa.array([part] * asked.num_rows, pa.int64()),
             "block": asked.column("block").combine_chunks(),
-            "p": pa.ListArray.from_arrays(offsets, pa.array(p[wanted])),
-            "r": pa.ListArray.from_arrays(offsets, pa.array(r[wanted])),
+            "p": _cut(p[wanted], ends),
+            "r": _cut(r[wanted], ends),
         }
     )
 
@@ -375,16 +437,16 @@ def _finish(state: pa.Table, answers: pa.Table, parts: int) -> pa.Table:
     ids, train = row["ids"].as_py(), row["train"].as_py()
     values = {n: row[n].values.to_numpy(zero_copy_only=False) for n in ("n_tokens", "n_known", "base", "score")}
     score = values["score"].copy()
-    histories = row["histories"].values.to_numpy(zero_copy_only=False)
+    histories = np.frombuffer(row["histories"].as_buffer(), np.int64)
     if len(histories):
         order, _ = by_part(histories, parts)
         answers = answers.sort_by("part")
         p, r = np.empty(len(histories)), np.empty(len(histories))
-        p[order] = answers.column("p").combine_chunks().flatten().to_numpy(zero_copy_only=False)
-        r[order] = answers.column("r").combine_chunks().flatten().to_numpy(zero_copy_only=False)
-        counts = row["history_counts"].values.to_numpy(zero_copy_only=False)
+        p[order] = _flat(answers.column("p"), np.float64)
+        r[order] = _flat(answers.column("r"), np.float64)
+        counts = np.frombuffer(row["history_counts"].as_buffer(), np.int64)
         weight = np.log10((1 - r / (counts + 1)) / (1 - p))
-        text, history, times = row["missing"].values.to_numpy(zero_copy_only=False).reshape(-1, 3).T
+        text, history, times = _unpacked(row["missing"].as_buffer()).reshape(-1, 3).T
         score += np.bincount(text, weight[history] * times, len(ids))
     return pa.table(
         {
@@ -404,6 +466,8 @@ def _list_row(scored: dict) -> pa.RecordBatch:
     for name, values in scored.items():
         if name in kinds:
             out[name] = pa.array([values], pa.list_(kinds[name]))
+        elif isinstance(values, bytes):
+            out[name] = pa.array([values], pa.binary())
         elif name != "block":
             out[name] = _list(values)
     return pa.RecordBatch.from_pydict(out)
@@ -420,7 +484,7 @@ def score(docs: DataFrame, modulus: int = 5, held_out: int = 1, keep_model: str
     small_batches(docs)
     split = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(modulus))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (split != held_out).alias("train"))
-    blocks = scratch.write(rows.mapInArrow(_make_blocks, BLOCKS), "blocks")
+    blocks = scratch.write(rows.mapInArrow(_make_blocks, BLOCKS), "blocks", options=SMALL_PAGES)
     add = F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x)
     trained = F.size(F.filter("train", lambda t: t))
     size = blocks.agg(F.sum(add).alias("tokens"), F.sum(trained).alias("train_docs")).first()
@@ -436,7 +500,7 @@ def score(docs: DataFrame, modulus: int = 5, held_out: int = 1, keep_model: str
     def ask_pairs(batches):
         for batch in batches:
             for b in Block.each(batch):
-                left, right, _, counts = b.pairs()
+                left, right, counts = b.pair_counts()
                 yield _ask(pair_keys(b.history_keys()[left], b.words[right]), counts, b.number, parts)
 
     def answers_to(ask, kind: str) -> DataFrame:
@@ -444,20 +508,23 @@ def score(docs: DataFrame, modulus: int = 5, held_out: int = 1, keep_model: str
             return _answer(table, kind, keep_model is not None)
 
         asked = blocks.mapInArrow(ask, ASK)
-        return scratch.write(asked.groupBy("part").applyInArrow(answer, ANSWER), kind)
+        answered = scratch.write(asked.groupBy("part").applyInArrow(answer, ANSWER), kind, options=SMALL_PAGES)
+        scratch.release()
+        return answered
 
     def stats(answers: DataFrame) -> Discounts:
         places = range(TOP + 3)
-        row = answers.where("block = -2").agg(*[F.sum(F.get("values", F.lit(i))).alias(f"s{i}") for i in places]).first()
+        row = answers.where("block = -2").agg(*[F.sum(F.get("model", F.lit(i))).alias(f"s{i}") for i in places]).first()
         return Discounts.of([row[i] or 0 for i in places])
 
     words, pairs = answers_to(ask_words, "word"), answers_to(ask_pairs, "pair")
     model = Model(stats(words), stats(pairs), size["train_docs"] or 0)
     if keep_model:
         tables = words.unionByName(pairs).where("block in (-1, -3)")
-        tables.withColumn("field", F.when(F.col("block") == -1, "key").otherwise("count")).drop("block").write.mode(
-            "error"
-        ).partitionBy("kind").parquet(keep_model)
+        field = F.when(F.col("block") == -1, "key").otherwise("count").alias("field")
+        tables.select("part", "kind", F.col("model").alias("values"), field).write.mode("error").partitionBy(
+            "kind"
+        ).parquet(keep_model)
 
     def masses(left: pa.Table, right: pa.Table) -> pa.Table:
         found, scored = [], []
@@ -468,13 +535,18 @@ def score(docs: DataFrame, modulus: int = 5, held_out: int = 1, keep_model: str
                 scored.append(_list_row(row))
         return _both(found, scored)
 
-    answers = words.unionByName(pairs).where("block >= 0")
+    answers = words.unionByName(pairs).where("block >= 0").drop("model")
     both = scratch.write(
-        blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(masses, BOTH), "masses"
+        blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(masses, BOTH),
+        "masses",
+        options=SMALL_PAGES,
     )
+    for table in (blocks, words, pairs):
+        scratch.drop(table)
+    scratch.release()
     asked = both.where("part is not null").select("part", "block", "need", "keys", "p", "r")
     mass_answers = asked.groupBy("part").applyInArrow(
-        _mass_answer, "part long, block long, p array<double>, r array<double>"
+        _mass_answer, "part long, block long, p binary, r binary"
     )
     state = both.where("part is null").select(*[c.split()[0] for c in SCORED.split(", ")])
 
@@ -485,9 +557,6 @@ def score(docs: DataFrame, modulus: int = 5, held_out: int = 1, keep_model: str
     return done.withColumn("train_tokens", F.lit(model.unigrams.tokens).cast("long"))
 
 
-BOTH = "part long, need boolean, keys array<long>, p array<double>, r array<double>, " + SCORED
-
-
 def _both(found: list[pa.RecordBatch], scored: list[pa.RecordBatch]) -> pa.Table:
     """Mass rows and scored rows as one table: a scored row has no part."""
     tables = [pa.Table.from_batches([b]) for b in (*found, *scored)]

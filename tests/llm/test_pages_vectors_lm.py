@@ -4,6 +4,8 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from sluice.llm import katz, styletree, vectors
@@ -327,6 +329,31 @@ def test_scores_match_brute_force(spark, clashing, tmpdir_path):
     assert totals["word"] == totals["pair"] == scored.first().train_tokens
 
 
+def test_blocks_are_small_rows():
+    text = " ".join(f"w{i * i % 3001}" for i in range(200_000))
+    rows = pa.table({"doc_id": [1, 2], "text": [text, "w1 w0 w1"], "train": [True, False]}).to_batches()
+    (stored,) = katz._make_blocks(rows)
+    assert stored.nbytes < 2.5 * 200_000  # four bytes a token as an array
+    (block,) = katz.Block.each(stored)
+    left, right, counts = block.pair_counts()
+    again = block.pairs()
+    assert left.tolist() == again[0].tolist() and right.tolist() == again[1].tolist()
+    assert counts.tolist() == np.bincount(again[2][block.in_train], minlength=len(left)).tolist()
+    keys = katz.pair_keys(block.history_keys()[left], block.words[right])
+    asked = katz._ask(keys, counts, block.number, 7)
+    assert asked.nbytes < 11 * len(keys) + 1000  # a key's eight bytes, and no four for a count
+
+
+def test_large_rows_get_row_groups_of_some_megabytes(spark, tmpdir_path):
+    scratch = Scratch(spark, "wide")
+    wide = spark.range(0, 40, 1, 1).select(F.expr("transform(sequence(1, 60000), i -> xxhash64(id, i))").alias("v"))
+    stored = scratch.write(wide, "wide", options=katz.SMALL_PAGES)
+    (part,) = [f for f in stored.inputFiles() if "part-" in f]
+    data = pq.ParquetFile(part.removeprefix("file:")).metadata
+    assert max(data.row_group(i).total_byte_size for i in range(data.num_row_groups)) < 24e6
+    scratch.clear()
+
+
 def test_scores_without_training_texts(spark, no_docs):
     held = [i for i in range(100) if zlib.crc32(str(i).encode()) % 5 == 1][:3]
     docs = spark.createDataFrame([(i, "a b a") for i in held], "doc_id long, text string")
