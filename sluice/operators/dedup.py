@@ -7,7 +7,9 @@ never move. Where they are many, the rows move once, to a window over the
 key. A key that holds a third of all rows would put that third into one task:
 the rows of keys beyond ``HOT_ROWS`` take the broadcast path, and rows that
 are not eligible are spread. The per-key side of a join holds one row per
-key, so a row is never multiplied, whatever its identity columns hold.
+key, so a row is never multiplied, whatever its identity columns hold. Rows
+that lie by columns that the key determines (``near``) need no count and do
+not move: the window stands on them as they lie.
 """
 
 from __future__ import annotations
@@ -38,6 +40,7 @@ def duplicate_flags(
     reject_all: bool = False,
     flag: str = "_dup",
     where: Column | None = None,
+    near: Sequence[str] = (),
 ) -> DataFrame:
     """Add boolean ``flag``: True for rows rejected as duplicate keys.
 
@@ -48,6 +51,9 @@ def duplicate_flags(
     keep-first flags every row of a repeated key but the first; reject-all
     flags every row of a repeated key. Null key values group together.
     ``where`` limits the check to eligible rows (others are never flagged).
+    ``near`` names columns in which eligible rows of one key agree, and by
+    which the rows are dealt out already, none of their values holding very
+    many.
     """
     ids = [row_id] if isinstance(row_id, str) else list(row_id)
     order = [*(order_cols or []), *[c for c in ids if c not in (order_cols or [])]]
@@ -59,6 +65,8 @@ def duplicate_flags(
         df = df.withColumn("_elig", F.coalesce(where, F.lit(False)))
         eligible = F.col("_elig")
     key_cols = [F.col(f"`{k}`") for k in keys]
+    if near:
+        return _window_flags(df, keys, order, eligible, reject_all, flag, near)
     place = F.struct(*[F.col(f"`{c}`").alias(f"_o{i}") for i, c in enumerate(order)])
     counts = df.groupBy(*key_cols).agg(F.count_if(eligible).alias("_cnt")).filter(F.col("_cnt") > 1)
     repeated, small = strategy.small_or_none(counts)
@@ -74,11 +82,21 @@ def duplicate_flags(
         _window_flags(others, keys, order, eligible, reject_all, flag))
 
 
+def crowded(df: DataFrame, columns: Sequence[str]) -> bool:
+    """Whether more than ``HOT_ROWS`` rows agree in the columns, or a row has none."""
+    hot = df.groupBy(*[F.col(f"`{c}`") for c in columns]).agg(F.count(F.lit(1)).alias("_cnt"))
+    none = F.coalesce(*[F.when(F.col(f"`{c}`").isNull(), F.lit(True)) for c in columns], F.lit(False))
+    found = not hot.filter((F.col("_cnt") > HOT_ROWS) | none).isEmpty()
+    del hot
+    strategy.release(df.sparkSession)
+    return found
+
+
 def _window_flags(df: DataFrame, keys: Sequence[str], order: Sequence[str], eligible: Column, reject_all: bool,
-                  flag: str) -> DataFrame:
+                  flag: str, near: Sequence[str] = ()) -> DataFrame:
     """The flags by one window over the key. Rows that are not eligible go anywhere, not to their key."""
     apart = F.when(~eligible, F.xxhash64(*[F.col(f"`{c}`") for c in order]))
-    window = Window.partitionBy(*[F.col(f"`{k}`") for k in keys], apart)
+    window = Window.partitionBy(*[F.col(f"`{k}`") for k in (*near, *keys)], apart)
     if reject_all:
         is_dup = F.count(F.lit(1)).over(window) > 1
     else:

@@ -7,6 +7,8 @@ join stays a shuffle join (AQE may still split skewed partitions).
 
 from __future__ import annotations
 
+import gc
+import time
 import uuid
 from collections.abc import Mapping, Sequence
 
@@ -68,6 +70,15 @@ def counted(df: DataFrame) -> tuple[DataFrame, int]:
     return m, m.count()
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark remove the exchange files of finished queries now: it acts on what the driver's collector finds
+    unreachable, which on a quiet driver comes late."""
+    for _ in range(2):  # the second collection finds what the first one's finalizers let go
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.5)
+
+
 def _width(dt) -> int:
     """Bytes of a fixed-width value in Spark's row format (complex types are
     counted generously)."""

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import datetime as dt
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -314,7 +314,8 @@ def consolidate(t: DataFrame, cfg: PipelineConfig) -> DataFrame:
 def business_rows(t: DataFrame, cfg: PipelineConfig, as_of: dt.date, names: list[str],
                   table_catalogs: dict[str, tuple[str, str | None]] | None = None,
                   catalog_frames: Callable[[DataFrame], DataFrame] | None = None,
-                  dedup_order: list[str] | None = None, refine: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+                  dedup_order: list[str] | None = None, refine: Callable[[DataFrame], DataFrame] | None = None,
+                  near: Sequence[str] = ()) -> DataFrame:
     """Business step over transformed rows, lazily; ``names`` are the source's column names, for the rejects' JSON, and
     ``refine`` may reject more rows by their ``_step`` and ``errors``."""
     empty = F.array().cast(rules.ERRORS_TYPE)
@@ -326,7 +327,7 @@ def business_rows(t: DataFrame, cfg: PipelineConfig, as_of: dt.date, names: list
         # row numbers are per file or sheet: the source is part of a row's identity
         ids = ["_source", "_row"] if "_source" in t.columns else "_row"
         t = dedup.duplicate_flags(t, keys, row_id=ids, order_cols=dedup_order,
-                                  reject_all=cfg.validation.reject_all_duplicates, flag="_dup", where=alive)
+                                  reject_all=cfg.validation.reject_all_duplicates, flag="_dup", where=alive, near=near)
     if catalog_frames is not None:
         t = catalog_frames(t)
     checks = rules.business_checks(t, cfg.validation, as_of, table_catalogs)
@@ -367,7 +368,8 @@ def with_raw(t: DataFrame, names: list[str]) -> DataFrame:
 def tag_rows(raw: DataFrame, cfg: PipelineConfig, as_of: dt.date,
              table_catalogs: dict[str, tuple[str, str | None]] | None = None,
              catalog_frames: Callable[[DataFrame], DataFrame] | None = None,
-             dedup_order: list[str] | None = None, staging: strategy.Staging | None = None) -> DataFrame:
+             dedup_order: list[str] | None = None, staging: strategy.Staging | None = None,
+             near: Sequence[str] = ()) -> DataFrame:
     """All steps over one scan of the source. Output: data columns after
     transformation, ``_row``, ``_step`` (the step a rejected row failed at,
     null if valid), ``errors`` (every error of that step) and, for rejects,
@@ -380,9 +382,15 @@ def tag_rows(raw: DataFrame, cfg: PipelineConfig, as_of: dt.date,
     ``catalog_frames`` may join table-backed catalogs onto the transformed
     frame (adding the flag columns named in ``table_catalogs``). The first
     row of a repeated key is the smallest ``(dedup_order..., _row)``.
+    ``near`` names columns of the source, beginning with ``_``, in which rows
+    of one unique key agree and by which the source's rows are dealt out (by
+    a join), if they are not ``dedup.crowded``: duplicates are then told where
+    the rows lie, and these are neither stored nor moved for it.
     """
     names = [c for c in raw.columns if not c.startswith("_")]
     t = transform_rows(raw, cfg, as_of)
+    if near and consolidation(cfg) is None:
+        return business_rows(t, cfg, as_of, names, table_catalogs, catalog_frames, dedup_order, near=near)
     if needs_staging(cfg):
         t, _ = (staging or strategy.Staging(raw.sparkSession)).write(t, "transformed")
     return business_rows(consolidate(t, cfg), cfg, as_of, names, table_catalogs, catalog_frames, dedup_order)

@@ -18,6 +18,14 @@ def many(spark):
     spark.conf.unset(strategy.BROADCAST_CONF)
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def exchanges(df):
+    return plan_of(df).split("Initial Plan")[-1].count("Exchange hashpartitioning")
+
+
 def keyed(spark):
     rows = [("hot", 9 - i % 3, i, i % 5 > 0) for i in range(40)]
     rows += [("b", None, 50, True), ("b", 1, 51, True), ("c", 1, 52, True), (None, 2, 53, True), (None, 1, 54, True),
@@ -57,6 +65,60 @@ def test_large_catalogs_are_hashed_not_sorted(many):
     assert "SortMergeJoin" not in flagged._jdf.queryExecution().executedPlan().toString()
 
 
+@pytest.mark.parametrize("reject_all", [False, True])
+def test_rows_that_lie_by_their_key_stay_there(many, reject_all):
+    lines = many.createDataFrame([(i % 7, i % 3, 90 - i, i, i % 4 > 0) for i in range(60)], "a long, n int, o int, _row long, fit boolean")
+    orders = many.createDataFrame([(i, "x") for i in range(7)], "b long, c string")
+    joined = lines.join(orders, lines.a == orders.b).withColumn("k", F.when(F.col("n") > 0, F.concat_ws("-", "a", "n")))
+    assert not dedup.crowded(joined, ["a"])
+
+    def flags(where, **how):
+        out = dedup.duplicate_flags(joined, ["k"], order_cols=["o"], reject_all=reject_all, where=where, **how)
+        return out, sorted((r._row, r._dup) for r in out.collect())
+
+    fit = F.col("fit") & F.col("k").isNotNull()  # rows without a key do not agree in their order
+    lying, near = flags(fit, near=["a"])
+    assert near == flags(fit)[1] and any(dup for _, dup in near)
+    assert exchanges(lying) == exchanges(joined) and "hashpartitioning(k#" not in plan_of(lying)
+
+
+def test_crowded_columns(many, monkeypatch):
+    df = many.createDataFrame([(1,), (1,), (2,)], "a int")
+    assert not dedup.crowded(df, ["a"])
+    assert dedup.crowded(df.union(many.createDataFrame([(None,)], "a int")), ["a"])
+    monkeypatch.setattr(dedup, "HOT_ROWS", 1)
+    assert dedup.crowded(df, ["a"])
+
+
+@pytest.mark.parametrize("limit, near", [("2", []), ("0", ["a"]), ("0", [])])
+def test_unlisted_values_come_to_the_rows(many, limit, near):
+    many.conf.set(strategy.BROADCAST_CONF, limit)
+    lines = many.createDataFrame([(i % 4, k, i) for i, k in enumerate(["a", "b", "x", None, "c", "x", "b", None])], "a long, k string, _row long")
+    rows = lines.join(many.createDataFrame([(i,) for i in range(4)], "z long"), F.col("a") == F.col("z"))
+    catalog = many.createDataFrame([("a", True), ("b", False), ("b", False), ("c", True)], "code string, on boolean")
+    flagged, known, active = lookup.catalog_flags(rows, "k", catalog, "code", active=F.col("on"), near=near)
+    want = {"a": (True, True), "b": (True, False), "x": (False, False), "c": (True, True), None: (None, None)}
+    got = flagged.collect()
+    assert len(got) == 8 and all((r[known], r[active]) == want[r.k] for r in got)
+    assert flagged.columns == [*rows.columns, known, active]
+    if near or limit != "0":  # no row is dealt out by the value
+        assert "hashpartitioning(k#" not in flagged._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rows_that_lie_by_their_key_are_not_stored(spark, monkeypatch):
+    cfg = builtin("sales")
+    names = ["transaction_id", "customer_id", "product_id", "amount", "currency", "sale_date", "salesperson_id", "channel"]
+    rows = [(f"T{i % 5}", "C-100", "P-100", "5" if i % 4 else "x", "USD", "2024-01-05", "S-001", "1", i, i % 5) for i in range(20)]
+    raw = spark.createDataFrame(rows, ", ".join(f"{c} string" for c in names) + ", _row long, _order int")
+
+    def outcome(**how):
+        return {(r._row, r._step, r._labels, r.total_amount) for r in pipelines.tag_rows(raw, cfg, dt.date(2024, 2, 1), **how).collect()}
+
+    stored = outcome()
+    monkeypatch.setattr(strategy.Staging, "write", None)
+    assert outcome(near=["_order"]) == stored and len({step for _, step, *_ in stored}) == 3
+
+
 def test_duplicates_are_told_before_catalogs_are_joined(spark):
     cfg = builtin("sales")
     names = ["transaction_id", "customer_id", "product_id", "amount", "currency", "sale_date", "salesperson_id", "channel"]
